@@ -89,11 +89,7 @@ def rules(cfg: AnalysisConfig = DEFAULT) -> list[Rule]:
 
 
 def with_flags(metrics: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    """Adds factors, cheats, pills (arrays in rule order) and rage.
-
-    The reference's guard against a second text of the same kind never meets another rule, so every hit
-    contributes its text.
-    """
+    """Adds factors, cheats, pills (arrays in rule order) and rage. Every rule that fires contributes its texts."""
     hits = F.filter(F.array(*[r.column() for r in rules(cfg)]), lambda x: x.isNotNull())
     return metrics.withColumn("_hits", hits).withColumns({
         "factors": F.transform("_hits", lambda h: h["factor"]),
@@ -261,11 +257,9 @@ def verdict_summary(flags: str = "factors") -> Column:
         reason(c("aim_p99") > 25.0, "Snap robotique violent de ", fixed("aim_p99"), "°/tick"),
         reason(strict > 10.0, "Tracking occlus (", fixed(strict), "% locks à travers les murs)"),
         reason(ratio > 60.0, "Script de BunnyHop (", fixed(ratio, 0), "% sauts parfaits en 1 tick)"))
-    locks = c("wh_nb_locks") if False else F.lit(0)
     soft = F.concat_ws(
         ", ",
         reason(c("aim_p99") > 15.0, "Flick angulaire de ", fixed("aim_p99"), "°/tick à la limite humaine"),
-        reason(locks > 3, locks.cast("string"), " visées suspectes à travers des surfaces opaques"),
         reason(c("bhop_chaine_max") >= 3, "Chaîne de ", _n("bhop_chaine_max"), " sauts synchronisés"))
     first_two = F.array_join(F.slice(F.col(flags), 1, 2), " | ")
     return (F.when(c("verdict") == "CHEATER",
