@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tickscope.operators.blocks import prefix_sums
 
-THRESHOLD_STEPS = 19  # 0.05, 0.10 ... 0.95
+THRESHOLD_STEPS = 19
+THRESHOLDS = tuple(0.05 + 0.05 * k for k in range(THRESHOLD_STEPS))  # compared unrounded, reported rounded
 
 
 def _rate(a: Column, b: Column) -> Column:
@@ -37,21 +38,21 @@ def roc_auc(scored: DataFrame, label="label", score="score", digits: int = 4) ->
     neither the scores nor their ranks meet in one task.
     """
     pos = F.col(label) == 1
-    g = scored.groupBy(F.col(score).alias("_s")).agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("n"))
-    # finer blocks for small values, bounded number of blocks: 2^20 of them over [0, 1]
-    g = g.withColumn("_blk", F.floor(F.least(F.greatest("_s", F.lit(0.0)), F.lit(1.0)) * float(1 << 20))).withColumn("_one", F.lit(1))
-    sizes = g.groupBy("_one", F.floor(F.col("_blk") / 1024).alias("_sup")).agg(F.sum("n").alias("n"))
-    top = prefix_sums(sizes, ["_one"], ["n"], block="_sup").select("_sup", F.col("n_before").alias("_top"))
-    w = Window.partitionBy("_sup").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    d = g.withColumn("_sup", F.floor(F.col("_blk") / 1024)).join(top, "_sup").withColumn(
-        "_below", F.col("_top") + F.coalesce(F.sum("n").over(w), F.lit(0)))
+    block = F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * 4096.0)
+    g = scored.groupBy(block.alias("_blk"), F.col(score).alias("_s")).agg(
+        F.count_if(pos).alias("p"), F.count_if(~pos).alias("n"))
+    sizes = g.groupBy(F.lit(1).alias("_one"), "_blk").agg(F.sum("n").alias("n"))  # 4097 rows at most
+    below = prefix_sums(sizes, ["_one"], ["n"]).select("_blk", F.col("n_before").alias("_before"))
+    w = Window.partitionBy("_blk").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    d = g.join(F.broadcast(below), "_blk").withColumn(
+        "_below", F.col("_before") + F.coalesce(F.sum("n").over(w), F.lit(0)))
     wins = F.sum(F.col("p") * (F.col("_below") + F.col("n") / 2.0))
     return d.agg(F.round(F.try_divide(wins, F.sum("p") * F.sum("n")), digits).alias("roc_auc"))
 
 
 def threshold_sweep(scored: DataFrame, label="label", score="score") -> DataFrame:
     """Metrics at 0.05 ... 0.95. Each row falls into one of twenty bins; suffix sums over the bins do the rest."""
-    passed = F.size(F.filter(F.array(*[F.lit(round(0.05 * k, 2)) for k in range(1, THRESHOLD_STEPS + 1)]),
+    passed = F.size(F.filter(F.array(*[F.lit(t) for t in THRESHOLDS]),
                              lambda t: F.col(score) >= t))
     pos = F.col(label) == 1
     bins = scored.groupBy(passed.alias("step")).agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("n"))
@@ -88,6 +89,8 @@ def compare_models(test: DataFrame, score_a: str, score_b: str, thr_a: float, th
     """Both models on the same rows, one metrics row each."""
     def one(name, score, thr):
         auc = roc_auc(test, label, score)
-        return binary_metrics(test, thr, label, score).join(F.broadcast(auc)).select(F.lit(name).alias("model"), "*")
+        k = F.lit(1).alias("_k")
+        both = binary_metrics(test, thr, label, score).select("*", k).join(F.broadcast(auc.select("*", k)), "_k")  # one row each
+        return both.drop("_k").select(F.lit(name).alias("model"), "*")
 
     return one("a", score_a, thr_a).unionByName(one("b", score_b, thr_b))
