@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickscope.config import DEFAULT, AnalysisConfig
+from tickscope.functions.numbers import stable_round
 from tickscope.operators.blocks import PLAYER, block_window, exact_percentile, row_blocks
 from tickscope.operators.timeline import kinematics, mark_shots, timeline
 
@@ -82,7 +83,7 @@ def aim_metrics_of(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     p99 = exact_percentile(src, "speed", 0.99, "aim_p99")
     full = F.col("rows") >= cfg.aim_min_rows
     return base.join(p99, [*PLAYER]).select(
-        *PLAYER, *[F.when(full, F.round(m, 4)).otherwise(0.0).alias(m) for m in METRICS])
+        *PLAYER, *[F.when(full, stable_round(m, 4)).otherwise(0.0).alias(m) for m in METRICS])
 
 
 def aim_metrics(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="tabular") -> DataFrame:
@@ -94,8 +95,8 @@ def snap_events_of(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     """Rows whose raw step (no contiguity test) exceeds the snap threshold, with three rows on each side."""
     return rows.where(F.col("raw_speed") > cfg.snap_threshold).select(
         *PLAYER, F.lit("aim_snap").alias("type"), "tick",
-        F.round("raw_speed", 2).alias("snap_angle"), F.round("raw_d_yaw", 2).alias("delta_yaw"),
-        F.round("raw_d_pitch", 2).alias("delta_pitch"), F.round("raw_jerk", 2).alias("jerk"),
+        stable_round("raw_speed", 2).alias("snap_angle"), stable_round("raw_d_yaw", 2).alias("delta_yaw"),
+        stable_round("raw_d_pitch", 2).alias("delta_pitch"), stable_round("raw_jerk", 2).alias("jerk"),
         F.coalesce(F.col("active_weapon_name") if "active_weapon_name" in rows.columns else F.lit(None).cast("string"),
                    F.lit("None")).alias("weapon"),
         F.col("around").alias("trajectory"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tickscope.config import DEFAULT, AnalysisConfig
 from tickscope.functions.angles import horizontal_speed
+from tickscope.functions.numbers import stable_round
 from tickscope.operators.blocks import PLAYER, block_index, block_window, consecutive_runs, row_blocks
 from tickscope.operators.timeline import kinematics, timeline
 
@@ -98,12 +99,12 @@ def bhop_metrics_of(rows: DataFrame, profile="tabular", cfg: AnalysisConfig = DE
     return out.select(
         *PLAYER,
         F.when(measured, jumps).otherwise(0).cast("double").alias("bhop_total_sauts"),
-        F.round(val(F.col("ratio"), 0.0), 4).alias("bhop_ratio_parfaits"),
-        F.round(val(F.col("ground_var"), cfg.default_ground_variance), 4).alias("bhop_variance_sol"),
+        stable_round(val(F.col("ratio"), 0.0), 4).alias("bhop_ratio_parfaits"),
+        stable_round(val(F.col("ground_var"), cfg.default_ground_variance), 4).alias("bhop_variance_sol"),
         val(F.col("chain").cast("double"), 0.0).alias("bhop_chaine_max"),
-        F.round(F.when(measured, F.col("mean_speed")).otherwise(0.0), 4).alias("bhop_vitesse_moyenne"),
-        F.round(val(F.col("strafe"), 0.0), 4).alias("bhop_autostrafe_correlation"),
-        F.round(val(F.col("gain"), 0.0), 4).alias("bhop_velocity_gain_max"))
+        stable_round(F.when(measured, F.col("mean_speed")).otherwise(0.0), 4).alias("bhop_vitesse_moyenne"),
+        stable_round(val(F.col("strafe"), 0.0), 4).alias("bhop_autostrafe_correlation"),
+        stable_round(val(F.col("gain"), 0.0), 4).alias("bhop_velocity_gain_max"))
 
 
 def bhop_metrics(ticks: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="tabular") -> DataFrame:
@@ -113,7 +114,7 @@ def bhop_metrics(ticks: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="ta
 def chain_events_of(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     """Chains of at least ``chain_event`` perfect jumps, only where the metrics are defined."""
     m = bhop_metrics_of(rows, "tabular", cfg).where(F.col("bhop_chaine_max") >= cfg.chain_event).select(
-        *PLAYER, F.round("bhop_vitesse_moyenne", 2).alias("avg_speed"))
+        *PLAYER, stable_round("bhop_vitesse_moyenne", 2).alias("avg_speed"))
     runs = perfect_runs(ground_intervals(rows, cfg)).where(F.col("run_len") >= cfg.chain_event)
     return runs.join(m, [*PLAYER]).select(
         *PLAYER, F.lit("bhop_chain").alias("type"), "start_tick", "end_tick",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickscope.config import DEFAULT, AnalysisConfig
 from tickscope.functions.angles import angular_error, bearing, planar_distance
+from tickscope.functions.numbers import stable_round
 from tickscope.operators.blocks import PLAYER, block_index, block_window, consecutive_runs, row_blocks
 from tickscope.operators.timeline import kinematics, timeline
 
@@ -132,10 +133,10 @@ def occlusion_metrics(ticks: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profil
 
     def ratio(c: str) -> Column:
         r = F.coalesce(F.try_divide(F.col(c), F.col("rows")), F.lit(0.0))
-        return F.when(full, F.round(r, 4)).otherwise(0.0)
+        return F.when(full, stable_round(r, 4)).otherwise(0.0)
 
     def val(c: str, digits: int) -> Column:
-        return F.when(full, F.round(F.coalesce(F.col(c), F.lit(0.0)), digits)).otherwise(0.0)
+        return F.when(full, stable_round(F.coalesce(F.col(c), F.lit(0.0)), digits)).otherwise(0.0)
 
     return out.select(
         *PLAYER,
@@ -161,4 +162,4 @@ def lock_events(ticks: DataFrame, metrics: DataFrame, *, cfg: AnalysisConfig = D
         *PLAYER, F.lit("wh_lock").alias("type"), "start_tick", "end_tick",
         F.col("wh_tracking_consecutif_max").cast("long").alias("duration_ticks"),
         F.col("first.target_name").alias("target_name"), F.col("first.target").alias("target_steamid"),
-        F.round("wh_distance_moyenne_verrous", 2).alias("distance"))
+        stable_round("wh_distance_moyenne_verrous", 2).alias("distance"))

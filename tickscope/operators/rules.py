@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickscope.config import DEFAULT, AnalysisConfig
 from tickscope.functions.text import fixed
+from tickscope.functions.numbers import stable_round
 
 RULE_TYPE = "struct<rule:string,factor:string,cheat:string,pills:array<string>,rage:boolean>"
 
@@ -142,7 +143,7 @@ def with_verdict(df: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     for c in ("aim_p99", "bhop_total_sauts", "wh_ratio_lock_strict"):
         known = known & F.col(c).isNotNull()
     return df.withColumns({
-        "suspicion_score": F.when(known, F.round(s, 2)).otherwise(0.0),
+        "suspicion_score": F.when(known, stable_round(s, 2)).otherwise(0.0),
         "verdict": F.when(known, verdict).otherwise("UNAVAILABLE"),
         "analysis_status": F.when(known, "ok").otherwise("insufficient_data"),
     }).drop("_raw_score")

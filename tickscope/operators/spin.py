@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickscope.config import DEFAULT, AnalysisConfig
+from tickscope.functions.numbers import stable_round
 from tickscope.operators.blocks import PLAYER, consecutive_runs
 from tickscope.operators.timeline import kinematics, timeline
 
@@ -32,9 +33,9 @@ def spin_metrics_of(kin: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
 
     return base.join(runs, [*PLAYER], "left").select(
         *PLAYER,
-        F.when(full, F.round("spin_max", 4)).otherwise(0.0).alias("spinbot_yaw_speed_max"),
+        F.when(full, stable_round("spin_max", 4)).otherwise(0.0).alias("spinbot_yaw_speed_max"),
         count("violations").alias("spinbot_pitch_violations"),
-        F.when(full, F.round("jitter", 4)).otherwise(0.0).alias("spinbot_jitter_score"),
+        F.when(full, stable_round("jitter", 4)).otherwise(0.0).alias("spinbot_jitter_score"),
         count("flips").alias("spinbot_desync_max_ticks"),
         count("windows").alias("spinbot_yaw_spin_windows"),
         count("turns").alias("spinbot_pitch_turns_max"))

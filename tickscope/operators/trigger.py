@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tickscope.config import DEFAULT, AnalysisConfig
 from tickscope.functions.angles import ray_hits_sphere, ticks_to_ms
+from tickscope.functions.numbers import stable_round
 from tickscope.operators.blocks import PLAYER, block_index, block_window, consecutive_runs, row_blocks
 
 METRICS = ("triggerbot_rt_median", "triggerbot_rt_std", "triggerbot_rt_min", "triggerbot_burst_count",
@@ -92,8 +93,8 @@ def fast_bursts(reactions: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFram
 def trigger_metrics_of(reactions: DataFrame, roster: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     """A reaction has at most 64 distinct values, so the exact median keeps a tiny buffer."""
     stats = reactions.groupBy(*PLAYER).agg(
-        F.round(F.percentile("reaction_ms", F.lit(0.5)), 2).alias("m"), F.round(F.stddev_pop("reaction_ms"), 2).alias("s"),
-        F.round(F.min("reaction_ms"), 2).alias("lo"), F.count(F.lit(1)).alias("n"))
+        stable_round(F.percentile("reaction_ms", F.lit(0.5)), 2).alias("m"), stable_round(F.stddev_pop("reaction_ms"), 2).alias("s"),
+        stable_round(F.min("reaction_ms"), 2).alias("lo"), F.count(F.lit(1)).alias("n"))
     out = roster.join(stats, [*PLAYER], "left").join(fast_bursts(reactions, cfg), [*PLAYER], "left")
     return out.select(
         *PLAYER, *[F.coalesce(F.col(c), F.lit(0.0)).alias(a) for c, a in zip(("m", "s", "lo"), METRICS)],

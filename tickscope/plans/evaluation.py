@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from tickscope.functions.numbers import stable_round
 
 from tickscope.operators.blocks import prefix_sums
 
@@ -18,9 +19,9 @@ def with_rates(counts: DataFrame, digits: int = 4) -> DataFrame:
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     precision, recall = _rate(tp, tp + fp), _rate(tp, tp + fn)
     return counts.withColumns({
-        "precision": F.round(precision, digits), "recall": F.round(recall, digits),
-        "f1": F.round(_rate(2 * precision * recall, precision + recall), digits),
-        "fpr": F.round(_rate(fp, fp + tn), digits), "fnr": F.round(_rate(fn, fn + tp), digits),
+        "precision": stable_round(precision, digits), "recall": stable_round(recall, digits),
+        "f1": stable_round(_rate(2 * precision * recall, precision + recall), digits),
+        "fpr": stable_round(_rate(fp, fp + tn), digits), "fnr": stable_round(_rate(fn, fn + tp), digits),
         "n_samples": tp + fp + tn + fn})
 
 
@@ -47,7 +48,7 @@ def roc_auc(scored: DataFrame, label="label", score="score", digits: int = 4) ->
     d = g.join(F.broadcast(below), "_blk").withColumn(
         "_below", F.col("_before") + F.coalesce(F.sum("n").over(w), F.lit(0)))
     wins = F.sum(F.col("p") * (F.col("_below") + F.col("n") / 2.0))
-    return d.agg(F.round(F.try_divide(wins, F.sum("p") * F.sum("n")), digits).alias("roc_auc"))
+    return d.agg(stable_round(F.try_divide(wins, F.sum("p") * F.sum("n")), digits).alias("roc_auc"))
 
 
 def threshold_sweep(scored: DataFrame, label="label", score="score") -> DataFrame:
@@ -64,7 +65,7 @@ def threshold_sweep(scored: DataFrame, label="label", score="score") -> DataFram
     c = all_bins.select("step", F.sum("p").over(up).alias("tp"), F.sum("n").over(up).alias("fp"),
                         F.coalesce(F.sum("n").over(down), F.lit(0)).alias("tn"),
                         F.coalesce(F.sum("p").over(down), F.lit(0)).alias("fn")).where("step > 0")
-    return with_rates(c.withColumn("threshold", F.round(F.col("step") * 0.05, 2)).drop("step"))
+    return with_rates(c.withColumn("threshold", stable_round(F.col("step") * 0.05, 2)).drop("step"))
 
 
 def best_threshold(scored: DataFrame, label="label", score="score") -> DataFrame:
@@ -72,7 +73,7 @@ def best_threshold(scored: DataFrame, label="label", score="score") -> DataFrame
     sweep = threshold_sweep(scored, label, score)
     single = (F.col("tp") + F.col("fn") == 0) | (F.col("fp") + F.col("tn") == 0)
     best = sweep.orderBy(F.when(single, F.abs(F.col("threshold") - 0.5)).otherwise(-F.col("f1")), F.desc("threshold")).limit(1)
-    suspect = F.round(F.least(F.lit(0.40), F.greatest(F.lit(0.05), F.col("threshold") - 0.10)), 2)
+    suspect = stable_round(F.least(F.lit(0.40), F.greatest(F.lit(0.05), F.col("threshold") - 0.10)), 2)
     return best.withColumn("threshold_suspect", suspect).withColumn("single_class", single)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tickscope.config import DEFAULT, AnalysisConfig
 from tickscope.functions.angles import anomaly_sigmoid
+from tickscope.functions.numbers import stable_round
 from tickscope.operators.blocks import exact_percentile
 from tickscope.plans.dataset import FEATURE_VERSION, FEATURES, canonical_features, schema_hash, supervised
 from tickscope.plans.evaluation import best_threshold, binary_metrics, require_threshold, roc_auc
@@ -162,7 +163,7 @@ def anomaly_scores(scored: DataFrame, offset: DataFrame) -> DataFrame:
     one = F.broadcast(offset.select(F.lit(1).alias("_k"), "offset"))  # one row
     d = scored.withColumn("_k", F.lit(1)).join(one, "_k")
     return d.withColumn("decision", F.col("raw_score") - F.col("offset")).withColumn(
-        "anomaly_score", F.round(anomaly_sigmoid("decision"), 4)).drop("_k", "offset", "raw_score")
+        "anomaly_score", stable_round(anomaly_sigmoid("decision"), 4)).drop("_k", "offset", "raw_score")
 
 
 # --- metadata ---------------------------------------------------------------------------------------------------
