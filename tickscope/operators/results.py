@@ -130,14 +130,14 @@ def event_timeline(*kinds: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     kind = F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("type"))
-    out = out.withColumns({"at": F.coalesce("tick", "start_tick", F.lit(0)), "_kind": kind})
-    order = ("at", "_kind", "end_tick", "reason")
+    out = out.withColumns({"at_tick": F.coalesce("tick", "start_tick", F.lit(0)), "_kind": kind})
+    order = ("at_tick", "_kind", "end_tick", "reason")
     return block_index(out, {"seq": F.lit(1)}, PLAYER, order).drop("seq_n", "_kind").withColumnRenamed("seq_i", "seq")
 
 
 def earliest_view_tick(timeline: DataFrame, lead_in: int = 350) -> DataFrame:
     """Where to start watching: the first event less a lead-in, not below zero."""
-    return timeline.groupBy(*PLAYER).agg(F.greatest(F.min("at") - lead_in, F.lit(0)).alias("view_tick"))
+    return timeline.groupBy(*PLAYER).agg(F.greatest(F.min("at_tick") - lead_in, F.lit(0)).alias("view_tick"))
 
 
 def first_events(timeline: DataFrame, n: int) -> DataFrame:
@@ -161,9 +161,14 @@ def fingerprint(*parts: Column, length: int = 32) -> Column:
 
 def match_fingerprint(df: DataFrame, model_fp: str = "default", cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     """Key of a stored result: where the input is, its size and time, and every version that shapes the output."""
+    if dict(df.dtypes)["modified_time"] == "timestamp_ntz":
+        micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', modified_time)")
+    else:
+        micros = F.unix_micros("modified_time")
+    head = [F.sha2("head", 256)] if "head" in df.columns else []  # first bytes of the file, if they were read
     return df.withColumn("fingerprint", fingerprint(
         F.lit(cfg.engine_version), F.lit(cfg.feature_schema_version), F.lit(model_fp), F.col("path"), F.col("length"),
-        F.unix_micros("modified_time")))
+        micros, *head))
 
 
 def not_yet_analysed(candidates: DataFrame, store: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ SCALED = {
     "aim_vitesse_max": "aim_vitesse_max * 0.1D", "aim_p99": "aim_p99 * 0.1D", "aim_jerk_max": "aim_jerk_max * 0.25D",
     "bhop_total_sauts": "bhop_total_sauts", "bhop_ratio_parfaits": "bhop_ratio_parfaits * 1.3D",
     "wh_ratio_lock_strict": "wh_ratio_lock_strict * 8.0D", "wh_ratio_lock_cache": "wh_ratio_lock_cache * 8.0D",
-    "wh_tracking_consecutif_max": "wh_tracking_consecutif_max * (100 + aim_jerk_moyen)",
+    "wh_tracking_consecutif_max": "wh_tracking_consecutif_max * (100 + 2 * aim_jerk_moyen)",
     "spinbot_yaw_speed_max": "spinbot_yaw_speed_max * 0.9D",
     "spinbot_yaw_spin_windows": "greatest(spinbot_yaw_spin_windows - 20, 0)",
     "spinbot_pitch_violations": "greatest(spinbot_pitch_violations - 2, 0)",
