@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickscope.operators.blocks import block_index
-from tickscope.sources.workdir import store
+from tickscope.sources.workdir import new_path, store
 
 EVENT_BLOCK = 65536
 
@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
+def stored_path(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """Like ``stored`` for any format: ``write(path)`` runs once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = new_path(spark, name)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A table derived from ``sf_dir``, written once per application, as an installation would keep it."""
     key = (spark.sparkContext.applicationId, sf_dir, name)

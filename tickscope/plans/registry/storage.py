@@ -1 +1,279 @@
+"""Queries of sources, sinks and streams. Files are written by Spark from the given tables, then read back."""
 
+from pyspark.sql import functions as F
+
+from tickscope.functions.numbers import stable_round
+from tickscope.operators import results
+from tickscope.operators.blocks import PLAYER
+from tickscope.plans import dataset
+from tickscope.plans import inputs as I
+from tickscope.plans.registry import query
+from tickscope.plans.registry.learning import LABELS_SQL, MANIFEST_SQL, cheaters, features, manifest_with_split
+from tickscope.plans.registry.relational import THR_SQL, judged, report_events
+from tickscope.plans.registry.scalar import HURT_SQL, hurt
+from tickscope.sources import files, sinks
+from tickscope.sources import ticks as readers
+from tickscope.sources.workdir import new_path
+from tickscope.streaming import arrivals
+
+K = F.expr("cast(substring(match_id, 2) as bigint)")
+K_SQL = "CAST(substr(match_id, 2) AS BIGINT)"
+READ_COLUMNS = (*PLAYER, "tick", "X", "pitch", "yaw", "health", "spotted")
+READ_SQL = I.with_sql(I.BASE_SQL, f"""SELECT match_id, steamid, tick, X, round(pitch, 6) AS pitch, round(yaw, 6) AS yaw, health, spotted
+  FROM ticks WHERE {K_SQL} % 5 <> 4""")
+
+
+def raw_ticks(spark, sf):
+    """Ticks without name and weapon, and one match in five without yaw."""
+    t = I.ticks(spark, sf).drop("event_id", "name", "active_weapon_name")
+    return t.withColumn("yaw", F.when(K % 5 != 4, F.col("yaw")))
+
+
+def parquet_path(spark, sf):
+    return I.stored_path(spark, sf, "raw_ticks", lambda p: raw_ticks(spark, sf).write.parquet(p))
+
+
+def _read_back(df):
+    return readers.clean_ticks(df).select(*[stable_round(c, 6).alias(c) if c in ("pitch", "yaw") else c for c in READ_COLUMNS])
+
+
+@query("SRC-1", READ_SQL)
+def src1(spark, sf):
+    return _read_back(readers.read_ticks(spark, parquet_path(spark, sf)))
+
+
+@query("SRC-2", READ_SQL)
+def src2(spark, sf):
+    path = I.stored_path(spark, sf, "csv_ticks", lambda p: raw_ticks(spark, sf).write.option("header", True).option(
+        "compression", "gzip").csv(p))
+    return _read_back(readers.read_ticks_csv(spark, path))
+
+
+def event_documents(spark, sf):
+    """JSON documents per match, several per match, the first of one match in six cut short."""
+    def write(path):
+        t = I.ticks(spark, sf)
+        chunk = F.expr("tick div 64").alias("chunk")
+        f = I.fires(t).groupBy("match_id", chunk).agg(F.collect_list(F.struct("tick", "user_steamid", "user_name", "weapon")).alias("weapon_fire"))
+        h = hurt(t).groupBy("match_id", chunk).agg(F.collect_list(F.struct("tick", "attacker_steamid", "user_steamid")).alias("player_hurt"))
+        # ids of a chunk: a bounded part of the match
+        c = t.where("cast(substring(name, 2) as bigint) % 7 = 0").where(K % 2 == 0).groupBy("match_id", chunk).agg(
+            F.array_sort(F.collect_set("steamid")).alias("_c"))
+        docs = f.join(h, ["match_id", "chunk"], "full").join(c, ["match_id", "chunk"], "left")
+        docs = docs.withColumn("cheaters", F.transform("_c", lambda s: F.struct(s.alias("steamid"))))
+        body = F.to_json(F.struct("weapon_fire", "player_hurt", "cheaters"))
+        cut = (K % 6 == 5) & (F.col("chunk") == 0)
+        docs.select("match_id", F.when(cut, F.substring(body, 1, 40)).otherwise(body).alias("value")).write.partitionBy(
+            "match_id").text(path)
+
+    path = I.stored_path(spark, sf, "event_docs", write)
+    return readers.read_event_documents(spark, path, multiline=False, match_column=True)
+
+
+GOOD_EVENTS = f"NOT ({K_SQL} % 6 = 5 AND tick // 64 = 0)"
+
+
+@query("SRC-3", I.with_sql(I.BASE_SQL, HURT_SQL + f"""
+  SELECT match_id, 'weapon_fire' AS event_name, tick, user_steamid AS actor, NULL AS victim, weapon FROM fires WHERE {GOOD_EVENTS}
+  UNION ALL SELECT match_id, 'player_hurt', tick, attacker_steamid, user_steamid, NULL FROM hurt WHERE {GOOD_EVENTS}"""))
+def src3(spark, sf):
+    docs = event_documents(spark, sf).where("_corrupt is null")
+    out = readers.explode_events(docs, "weapon_fire").unionByName(readers.explode_events(docs, "player_hurt"))
+    return out.select("match_id", "event_name", "tick", "actor", "victim", "weapon")
+
+
+@query("DST-2", I.with_sql(I.BASE_SQL, f"SELECT DISTINCT match_id FROM ticks WHERE {K_SQL} % 6 = 5 AND tick // 64 = 0 AND active_weapon_name IN ('purchase', 'click')"))
+def dst2(spark, sf):
+    return readers.corrupt_documents(event_documents(spark, sf))
+
+
+def manifest_file(spark, sf):
+    return I.stored_path(spark, sf, "manifest_csv", lambda p: sinks.write_manifest(manifest_with_split(spark, sf), p))
+
+
+@query("SRC-4", I.with_sql(MANIFEST_SQL, """SELECT match_id, label, len(ids) AS n, array_to_string(ids, '|') AS ids, split FROM (
+  SELECT *, CASE WHEN cheaters = '' THEN [] ELSE string_split(cheaters, ',') END AS ids FROM split_)"""))
+def src4(spark, sf):
+    m = sinks.read_manifest(spark, manifest_file(spark, sf))
+    return m.select("match_id", "label", F.size("cheaters").cast("long").alias("n"), F.array_join("cheaters", "|").alias("ids"), "split")
+
+
+@query("SNK-1", I.with_sql(MANIFEST_SQL, """SELECT match_id, match_category, data_path, metadata_path, label, label_confidence, label_source,
+  nullif(cheaters, '') AS cheaters, num_cheaters, usable_for_training, split FROM split_"""))
+def snk1(spark, sf):
+    return spark.read.schema(sinks.MANIFEST_SCHEMA).option("header", True).csv(manifest_file(spark, sf)).withColumn(
+        "cheaters", F.nullif("cheaters", F.lit("")))
+
+
+# --- listings ----------------------------------------------------------------------------------------------------
+
+def replay_listing(spark, sf):
+    p = I.table(spark, sf, "pages").select("page_id", F.length("html").cast("long").alias("length"))
+    i = F.col("page_id")
+    name = (F.when(i % 3 == 0, F.concat(F.lit("/replays/m"), i.cast("string"), F.lit("_DE_Map"), (i % 7).cast("string"), F.lit(".dem")))
+            .when(i % 3 == 1, F.concat(F.lit("/replays/m"), i.cast("string"), F.lit(".dem")))
+            .otherwise(F.concat(F.lit("/replays/m"), i.cast("string"), F.lit(".dem.info"))))
+    return p.select("page_id", name.alias("path"), F.timestamp_seconds(F.lit(1700000000) + i * 7919 % 100000).alias("modified_time"), "length")
+
+
+def info_heads(spark, sf):
+    i = F.col("page_id")
+    head = F.concat(F.lit("\x01map "), F.when(i % 2 == 0, F.concat(F.lit("cs_office"), (i % 5).cast("string"))).otherwise("none"), F.lit(" end"))
+    return I.table(spark, sf, "pages").where(i % 3 == 1).select(
+        F.concat(F.lit("/replays/m"), i.cast("string"), F.lit(".dem.info")).alias("path"), F.encode(head, "UTF-8").alias("head"))
+
+
+@query("SRC-5", """SELECT CASE WHEN page_id % 3 = 0 THEN '/replays/m' || page_id || '_DE_Map' || page_id % 7 || '.dem' ELSE '/replays/m' || page_id || '.dem' END AS path,
+  CASE WHEN page_id % 3 = 0 THEN 'm' || page_id || '_DE_Map' || page_id % 7 || '.dem' ELSE 'm' || page_id || '.dem' END AS file_name, length(html) AS length,
+  1700000000 + page_id * 7919 % 100000 AS modified_seconds,
+  CASE WHEN page_id % 3 = 0 THEN 'de_map' || page_id % 7 WHEN page_id % 2 = 0 THEN 'cs_office' || page_id % 5 END AS map_name
+  FROM pages WHERE page_id % 3 < 2""")
+def src5(spark, sf):
+    return files.replay_catalog(replay_listing(spark, sf), info_heads(spark, sf)).select(
+        "path", "file_name", "length", F.unix_seconds("modified_time").alias("modified_seconds"), "map_name")
+
+
+@query("SRC-6", "SELECT doc_id, strlen(text) + 8 AS length FROM documents WHERE doc_id % 3 = 0")
+def src6(spark, sf):
+    """Whole documents behind a right, a wrong or no magic."""
+    i = F.col("doc_id")
+    body = F.encode("text", "UTF-8")
+    head = (F.when(i % 3 == 0, F.concat(F.unhex(F.lit(files.MAGIC_HEX)), body))
+            .when(i % 3 == 1, F.concat(F.unhex(F.lit("504244454D533100")), body)).otherwise(body))
+    d = I.table(spark, sf, "documents").select("doc_id", head.alias("head")).withColumn("length", F.octet_length("head").cast("long"))
+    return files.valid_header(d).select("doc_id", "length")
+
+
+def data_listing(spark, sf):
+    i = F.col("page_id")
+    folder = F.concat(F.lit("/data/"), F.when(i % 4 < 2, dataset.WITH).otherwise(dataset.WITHOUT), F.lit("/"), i.cast("string"))
+    ext = F.filter(F.array(F.when(i % 2 == 0, F.lit(".parquet")), F.when(i % 3 != 0, F.lit(".csv.gz")), F.when(i % 5 != 0, F.lit(".json"))),
+                   lambda x: x.isNotNull())
+    return I.table(spark, sf, "pages").select(folder.alias("f"), F.explode(ext).alias("e")).select(F.concat("f", "e").alias("path"))
+
+
+PAIR_SQL = """WITH d AS (SELECT page_id, CASE WHEN page_id % 4 < 2 THEN 'with_cheater_present' ELSE 'no_cheater_present' END AS match_category,
+    page_id % 2 = 0 AS pq, page_id % 3 <> 0 AS gz, page_id % 5 <> 0 AS js FROM pages),
+  p AS (SELECT match_category, CAST(page_id AS VARCHAR) AS base, '/data/' || match_category || '/' || page_id AS f, pq, gz, js FROM d WHERE pq OR gz OR js),
+  pairs AS (SELECT match_category, base, CASE WHEN pq THEN f || '.parquet' WHEN gz THEN f || '.csv.gz' END AS data_path, CASE WHEN js THEN f || '.json' END AS metadata_path,
+    CASE WHEN NOT js THEN 'missing_json' WHEN NOT pq AND NOT gz THEN 'orphan_json' ELSE 'paired' END AS status, pq, gz FROM p)
+"""
+
+
+@query("SRC-7", PAIR_SQL + "SELECT match_category, base, data_path, metadata_path FROM pairs WHERE data_path IS NOT NULL")
+def src7(spark, sf):
+    return files.discover_pairs(data_listing(spark, sf)).where("data_path is not null").select(
+        "match_category", "base", "data_path", "metadata_path")
+
+
+@query("JOIN-6", PAIR_SQL + "SELECT match_category, base, data_path, metadata_path, status FROM pairs")
+def join6(spark, sf):
+    return files.discover_pairs(data_listing(spark, sf)).select("match_category", "base", "data_path", "metadata_path", "status")
+
+
+@query("SET-3", PAIR_SQL + "SELECT match_category, base, metadata_path FROM pairs WHERE status = 'orphan_json'")
+def set3(spark, sf):
+    return files.discover_pairs(data_listing(spark, sf)).where("status = 'orphan_json'").select("match_category", "base", "metadata_path")
+
+
+@query("AGG-6", PAIR_SQL + """, c AS (SELECT * FROM pairs WHERE status = 'paired'), v AS (SELECT * FROM c WHERE CAST(base AS BIGINT) % 10 <> 1)
+  SELECT (SELECT count(data_path) FROM pairs) AS scanned, (SELECT count(*) FILTER (pq) FROM pairs) AS parquet_files, (SELECT count(*) FILTER (gz) FROM pairs) AS csv_gz_files,
+    (SELECT count(metadata_path) FROM pairs) AS json_files, (SELECT count(*) FROM pairs WHERE status = 'missing_json') AS missing_json,
+    (SELECT count(*) FROM pairs WHERE status = 'orphan_json') AS orphan_json, (SELECT count(*) FROM v) AS valid_matches,
+    (SELECT count(*) FROM v WHERE match_category = 'with_cheater_present') AS with_cheater, (SELECT count(*) FROM v WHERE match_category <> 'with_cheater_present') AS no_cheater,
+    (SELECT count(*) FROM v WHERE match_category = 'with_cheater_present' AND CAST(base AS BIGINT) % 3 > 0) * 2 AS cheater_ids,
+    (SELECT count(*) FROM c WHERE CAST(base AS BIGINT) % 10 = 1) AS corrupt_json""")
+def agg6(spark, sf):
+    pairs = files.discover_pairs(data_listing(spark, sf))
+    b = F.expr("cast(base as bigint)")
+    corrupt = pairs.where("status = 'paired'").where(b % 10 == 1).select("match_category", "base")
+    found = pairs.where(b % 3 > 0).select("match_category", "base", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("a"))).alias("steamid"))
+    return dataset.pairing_stats(pairs, dataset.build_manifest(pairs, found, corrupt), corrupt)
+
+
+# --- sinks -------------------------------------------------------------------------------------------------------
+
+@query("SNK-2", I.with_sql(LABELS_SQL, "SELECT player_key, label, split, aim_p99, wh_distance_moyenne_verrous FROM feats"))
+def snk2(spark, sf):
+    meta = {"schema_version": dataset.FEATURE_VERSION, "schema_hash": dataset.schema_hash()}
+    path = new_path(spark, "features")
+    sinks.write_features(features(spark, sf), path, meta)
+    return sinks.read_features(spark, path, meta).select("player_key", "label", "split", "aim_p99", "wh_distance_moyenne_verrous")
+
+
+@query("SNK-3", I.with_sql(THR_SQL, """SELECT match_id, steamid, verdict, suspicion_score, len(factors) AS factors, (SELECT count(*) FROM kin k
+  WHERE k.match_id = vd.match_id AND k.steamid = vd.steamid AND raw_speed > 18 AND tick % 3 = 0) AS snaps FROM vd"""))
+def snk3(spark, sf):
+    p = judged(spark, sf)
+    m = results.match_verdict(p)
+    e = report_events(spark, sf)
+    path = new_path(spark, "results")
+    sinks.write_results(m, p, e, path, page=10)
+    _, p2, e2 = sinks.read_results(spark, path, m, p, e)
+    snaps = e2.groupBy(*PLAYER).agg(F.count_if(F.col("type") == "aim_snap").alias("snaps"))
+    return p2.join(snaps, [*PLAYER], "left").select(
+        *PLAYER, "verdict", "suspicion_score", F.size("factors").cast("long").alias("factors"), F.coalesce("snaps", F.lit(0)).alias("snaps"))
+
+
+@query("SNK-4", I.with_sql(MANIFEST_SQL, """SELECT match_id, label, 'data/raw_examples/' || match_id || '.parquet' AS data_path,
+  'data/raw_examples/' || match_id || '.json' AS metadata_path FROM split_ ORDER BY match_id LIMIT 10"""))
+def snk4(spark, sf):
+    return sinks.example_manifest(manifest_with_split(spark, sf)).select("match_id", "label", "data_path", "metadata_path")
+
+
+@query("SNK-5", I.with_sql(THR_SQL, """SELECT match_id, 'Report_' || CASE WHEN CAST(substr(name, 2) AS BIGINT) % 9 = 0 THEN 'Joueur_Inconnu' ELSE 'x' || name END AS file_name,
+  verdict || chr(10) || array_to_string(factors, chr(10)) AS text FROM vd WHERE CAST(substr(name, 2) AS BIGINT) % 10 > 0"""))
+def snk5(spark, sf):
+    who = F.expr("cast(substring(name, 2) as bigint)")
+    p = judged(spark, sf).where(who % 10 > 0).select(
+        "match_id", F.when(who % 9 == 0, ' ?*<>|"').otherwise(F.concat(F.lit("x:/"), F.col("name"))).alias("name"),
+        F.concat_ws("\n", "verdict", F.array_join("factors", "\n")).alias("report"))
+    path = new_path(spark, "reports")
+    sinks.write_reports(p, path)
+    d = spark.read.text(path, wholetext=True)
+    return d.select("match_id", "file_name", F.regexp_replace("value", r"\n\z", "").alias("text"))
+
+
+# --- streams -----------------------------------------------------------------------------------------------------
+
+@query("STR-1", I.with_sql(I.BASE_SQL, "SELECT match_id, count(*) AS rows, min(tick) AS first_tick, max(tick) AS last_tick FROM ticks GROUP BY 1"))
+def str1(spark, sf):
+    """Tick files arrive, each batch is summarised per match and appended, the summaries are merged."""
+    src, out = parquet_path(spark, sf), new_path(spark, "arrivals")
+
+    def handle(batch, batch_id):
+        batch.groupBy("match_id").agg(F.count(F.lit(1)).alias("rows"), F.min("tick").alias("first_tick"), F.max("tick").alias("last_tick")
+                                      ).write.parquet(f"{out}/batch={batch_id}", mode="overwrite")
+
+    schema = "match_id string, steamid string, tick long"
+    arrivals.on_arrival(arrivals.tick_arrivals(spark, src, schema, per_trigger=2), handle, new_path(spark, "cp")).awaitTermination()
+    return spark.read.parquet(out).groupBy("match_id").agg(
+        F.sum("rows").alias("rows"), F.min("first_tick").alias("first_tick"), F.max("last_tick").alias("last_tick"))
+
+
+@query("STR-2")
+def str2(spark, sf):
+    """Files of the tick table as arrivals, checked by their first bytes (PAR1 here)."""
+    src, out = parquet_path(spark, sf), new_path(spark, "complete")
+
+    def handle(batch, batch_id):
+        arrivals.complete_only(batch, "50415231").write.parquet(f"{out}/batch={batch_id}", mode="overwrite")
+
+    arrivals.on_arrival(arrivals.replay_arrivals(spark, src, "*.parquet"), handle, new_path(spark, "cp")).awaitTermination()
+    return spark.read.parquet(out).select("path", "length")
+
+
+@query("STR-3", "SELECT '/replays/' || event_id || '.dem' AS path, length(props) AS length FROM events")
+def str3(spark, sf):
+    """Every notice comes twice."""
+    src = I.stored_path(spark, sf, "notices", lambda p: I.table(spark, sf, "events").select(
+        F.concat(F.lit("/replays/"), F.col("event_id").cast("string"), F.lit(".dem")).alias("path"), F.length("props").cast("long").alias("length"),
+        F.col("ts").cast("timestamp").alias("modified_time"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).write.parquet(p))
+    out = new_path(spark, "unique")
+    stream = spark.readStream.schema("path string, length long, modified_time timestamp").parquet(src)
+
+    def handle(batch, batch_id):
+        batch.select("path", "length").write.parquet(f"{out}/batch={batch_id}", mode="overwrite")
+
+    arrivals.on_arrival(arrivals.without_repeats(stream), handle, new_path(spark, "cp")).awaitTermination()
+    return spark.read.parquet(out).select("path", "length")

@@ -10,6 +10,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickscope.config import DEFAULT, AnalysisConfig
 from tickscope.functions.angles import anomaly_sigmoid
@@ -149,7 +150,7 @@ def isolation_score(rows: DataFrame, nodes: DataFrame, columns: list[str], sampl
             mean = total / max(len(shipped.value), 1)
             yield b.assign(raw_score=-np.exp2(-mean / c) if c > 0 else -0.5)
 
-    return rows.mapInPandas(run, rows.schema.add("raw_score", "double"))
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("raw_score", T.DoubleType())]))
 
 
 def isolation_offset(scored_train: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:

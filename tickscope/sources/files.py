@@ -5,6 +5,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAGIC_HEX = "504244454D533200"  # fixed value: first eight bytes of a complete replay
 MAP_PATTERN = r"((?:de|cs)_[a-zA-Z0-9_]+)"
@@ -30,12 +31,13 @@ def with_head(files: DataFrame, n_bytes: int) -> DataFrame:
                     heads.append(f.read(n_bytes))
             yield b.assign(head=heads)
 
-    return files.mapInPandas(read, files.schema.add("head", "binary"))
+    return files.mapInPandas(read, T.StructType([*files.schema.fields, T.StructField("head", T.BinaryType())]))
 
 
-def valid_header(files: DataFrame, head: str = "head") -> DataFrame:
+def valid_header(files: DataFrame, head: str = "head", magic_hex: str = MAGIC_HEX) -> DataFrame:
     """Complete replays: long enough and starting with the magic bytes."""
-    return files.where((F.col("length") >= 8) & (F.substring(F.col(head), 1, 8) == F.unhex(F.lit(MAGIC_HEX))))
+    start = F.substring(F.col(head), 1, len(magic_hex) // 2)
+    return files.where((F.col("length") >= 8) & (start == F.unhex(F.lit(magic_hex))))
 
 
 def replay_catalog(replays: DataFrame, infos: DataFrame | None = None) -> DataFrame:

@@ -109,6 +109,12 @@ def explode_events(docs: DataFrame, kind: str) -> DataFrame:
     return normalize_events(docs.select("match_id", F.inline(kind)), kind)
 
 
+def corrupt_documents(docs: DataFrame) -> DataFrame:
+    """Matches with an unreadable document. The length test keeps a data column in the scan, which Spark demands."""
+    return docs.where(F.col("_corrupt").isNotNull() & (F.coalesce(F.length("cheaters"), F.lit(0)) >= 0)).select(
+        "match_id").distinct()
+
+
 def cheater_ids(docs: DataFrame) -> DataFrame:
     """(match, steamid) from a list of objects with a steamid or of plain texts."""
     one = F.from_json("cheaters", "array<string>")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickscope.sources.files import valid_header, with_head
+from tickscope.sources.files import MAGIC_HEX, valid_header, with_head
 
 
 def replay_arrivals(spark: SparkSession, folder: str, glob: str = "*.dem", per_trigger: int = 100) -> DataFrame:
@@ -18,9 +18,9 @@ def replay_arrivals(spark: SparkSession, folder: str, glob: str = "*.dem", per_t
             .select("path", F.col("modificationTime").alias("modified_time"), "length"))
 
 
-def complete_only(files: DataFrame) -> DataFrame:
+def complete_only(files: DataFrame, magic_hex: str = MAGIC_HEX) -> DataFrame:
     """Reads eight bytes of each file."""
-    return valid_header(with_head(files.where("length >= 8"), 8)).drop("head")
+    return valid_header(with_head(files.where("length >= 8"), 8), magic_hex=magic_hex).drop("head")
 
 
 def without_repeats(files: DataFrame, memory: str = "60 seconds") -> DataFrame:
