@@ -60,6 +60,11 @@ def alive(df: DataFrame) -> DataFrame:
     return df.where("health > 0")
 
 
+def not_dead(df: DataFrame) -> DataFrame:
+    """Rows of the living; a source without health says nothing, so its rows stay."""
+    return df.where("health is null or health > 0") if "health" in df.columns else df
+
+
 def player_rows(df: DataFrame, identifier: str) -> DataFrame:
     """Rows of one player given by id or by name."""
     who = F.trim(F.lit(identifier))

@@ -12,6 +12,7 @@ from tickscope.config import DEFAULT, AnalysisConfig
 from tickscope.functions.angles import angular_error, bearing, planar_distance
 from tickscope.functions.numbers import stable_round
 from tickscope.operators.blocks import PLAYER, block_index, block_window, consecutive_runs, row_blocks
+from tickscope.operators.clean import not_dead
 from tickscope.operators.timeline import kinematics, timeline
 
 TARGET = (*PLAYER, "target")
@@ -35,7 +36,7 @@ def sight_pairs(ticks: DataFrame, cfg: AnalysisConfig = DEFAULT, *, profile="tab
 
     ``crowded``: match_ids with so many players that positions must be matched by grid cell too.
     """
-    rows = ticks.where("health > 0") if alive_only else ticks
+    rows = not_dead(ticks) if alive_only else ticks
     me_team = "team_num"
     if team_mode == "first":
         rows, me_team = with_first_team(rows), "_team"
@@ -119,7 +120,7 @@ def occlusion_metrics(ticks: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profil
     if pairs is None:
         pairs = sight_pairs(ticks, cfg, profile=profile, team_mode=team_mode, alive_only=alive_only, crowded=crowded)
     replay = profile == "replay"
-    rows = (ticks.where("health > 0") if alive_only else ticks).groupBy(*PLAYER).agg(F.count(F.lit(1)).alias("rows"))
+    rows = (not_dead(ticks) if alive_only else ticks).groupBy(*PLAYER).agg(F.count(F.lit(1)).alias("rows"))
     runs = (active_runs if replay else strict_runs)(pairs, cfg).groupBy(*PLAYER).agg(F.max("run_len").alias("run"))
     roster = ticks.select(*PLAYER).distinct()
     out = roster.join(rows, [*PLAYER], "left").join(lock_counts(pairs, cfg), [*PLAYER], "left").join(

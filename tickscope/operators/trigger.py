@@ -7,6 +7,7 @@ from tickscope.config import DEFAULT, AnalysisConfig
 from tickscope.functions.angles import ray_hits_sphere, ticks_to_ms
 from tickscope.functions.numbers import stable_round
 from tickscope.operators.blocks import PLAYER, block_index, block_window, consecutive_runs, row_blocks
+from tickscope.operators.clean import not_dead
 
 METRICS = ("triggerbot_rt_median", "triggerbot_rt_std", "triggerbot_rt_min", "triggerbot_burst_count",
            "triggerbot_total_shots_analyzed")
@@ -47,7 +48,7 @@ def shot_targets(ticks: DataFrame, shots: DataFrame, *, cfg: AnalysisConfig = DE
                  team_mode="tick") -> DataFrame:
     """First living opponent (by id) whose head the view ray meets at the shot tick."""
     radius = cfg.head_radius if radius is None else radius
-    rows = ticks.where("health > 0")
+    rows = not_dead(ticks)
     me = _state(rows, "j", "steamid").join(shots, [*PLAYER, "tick"])
     if team_mode == "first":
         first = rows.groupBy(*PLAYER).agg(F.min_by("team_num", "tick").alias("team_j"))
@@ -68,7 +69,7 @@ def reaction_times(ticks: DataFrame, targets: DataFrame, *, cfg: AnalysisConfig
     The window is 64 ticks, so the range join is an equi-join on enumerated ticks and a group has at most 64 rows.
     """
     radius = cfg.head_radius if radius is None else radius
-    rows = ticks.where("health > 0")
+    rows = not_dead(ticks)
     back = targets.select("match_id", "steamid", "target", F.col("tick").alias("shot_tick"),
                           F.explode(F.sequence(F.lit(0), F.lit(cfg.lookback - 1))).alias("ago")).withColumn(
         "tick", F.col("shot_tick") - F.col("ago"))
