@@ -9,12 +9,14 @@ from pyspark.sql.streaming import StreamingQuery
 from tickscope.sources.files import MAGIC_HEX, valid_header, with_head
 
 
-def replay_arrivals(spark: SparkSession, folder: str, glob: str = "*.dem", per_trigger: int = 100) -> DataFrame:
+def replay_arrivals(spark: SparkSession, folder: str, glob: str = "*.dem", per_trigger: int = 100,
+                    max_age: str = "3650d") -> DataFrame:
     """Stream of new files (path, modified_time, length). A file must appear complete, by an atomic rename into the
-    folder; the size check and the magic bytes catch what does not."""
+    folder; the size check and the magic bytes catch what does not. Copies keep old times, so ``max_age`` is long."""
     return (spark.readStream.format("binaryFile")
             .schema("path string, modificationTime timestamp, length long, content binary")
-            .option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_trigger).load(folder)
+            .option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_trigger)
+            .option("maxFileAge", max_age).load(folder)
             .select("path", F.col("modificationTime").alias("modified_time"), "length"))
 
 
@@ -28,8 +30,10 @@ def without_repeats(files: DataFrame, memory: str = "60 seconds") -> DataFrame:
     return files.withWatermark("modified_time", memory).dropDuplicatesWithinWatermark(["path", "length", "modified_time"])
 
 
-def tick_arrivals(spark: SparkSession, folder: str, schema: str, per_trigger: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+def tick_arrivals(spark: SparkSession, folder: str, schema: str, per_trigger: int = 100,
+                  max_age: str = "3650d") -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option(
+        "maxFileAge", max_age).parquet(folder)
 
 
 def on_arrival(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
