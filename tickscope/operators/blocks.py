@@ -40,20 +40,23 @@ def block_index(df: DataFrame, counters: Mapping[str, Column], keys: Sequence[st
                 order: Sequence[str] = ("tick",), width: int = BLOCK, block: Column | None = None) -> DataFrame:
     """Add ``<c>_i`` (running count including this row) and ``<c>_n`` (total) for each counter.
 
+    An existing ``_blk`` column (the same division) is used as it is.
     ``counters`` maps a name to a boolean (counted) or integer (summed) column. The first order column is an
     integer that is unique per key, or ``block`` maps rows to ascending blocks of bounded size.
     """
     keys = list(keys)
     names = list(counters)
-    blk = block if block is not None else F.floor(F.col(order[0]) / width)
-    d = df.select("*", blk.alias("_blk"),
-                  *[F.coalesce(c.cast("long"), F.lit(0)).alias(f"_v_{n}") for n, c in counters.items()])
+    if "_blk" not in df.columns:
+        df = df.withColumn("_blk", block if block is not None else F.floor(F.col(order[0]) / width))
+    d = df.select("*", *[F.coalesce(c.cast("long"), F.lit(0)).alias(f"_v_{n}") for n, c in counters.items()])
     sizes = d.groupBy(*keys, "_blk").agg(*[F.sum(f"_v_{n}").alias(n) for n in names])
     offsets = prefix_sums(sizes, keys, names)
     w = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(BEFORE, 0)
-    return d.join(offsets, [*keys, "_blk"]).select(
-        *df.columns,
-        *[(F.col(f"{n}_before") + F.sum(f"_v_{n}").over(w)).alias(f"{n}_i") for n in names],
+    # window first: its sort by (key, block, order) also serves the merge join with the block offsets
+    local = d.select(*d.columns, *[F.sum(f"_v_{n}").over(w).alias(f"_r_{n}") for n in names])
+    return local.join(offsets.hint("merge"), [*keys, "_blk"]).select(
+        *[c for c in df.columns if c != "_blk"],
+        *[(F.col(f"{n}_before") + F.col(f"_r_{n}")).alias(f"{n}_i") for n in names],
         *[F.col(f"{n}_n") for n in names],
     )
 

@@ -1,6 +1,6 @@
 """The per-player timeline: which rows count, their dense positions, and all tick-to-tick kinematics."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickscope.config import DEFAULT, AnalysisConfig
@@ -25,9 +25,20 @@ def shot_ticks(fires: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
 
 
 def mark_shots(ticks: DataFrame, fires: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    marks = shot_ticks(fires, cfg).withColumn("_hit", F.lit(True))
-    return ticks.join(marks, ["match_id", "steamid", "tick"], "left").withColumn(
-        "in_shot", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    """Adds ``in_shot``: an own shot lies within [tick - after, tick + before].
+
+    Shots travel with the ticks of their block (and of the next block when their window crosses the edge), so one
+    exchange by (player, tick block) serves this window and the dense index that follows.
+    """
+    block = F.floor(F.col("tick") / cfg.tick_block).alias("_blk")
+    edges = F.array_distinct(F.array(F.floor((F.col("tick") - cfg.shot_before) / cfg.tick_block),
+                                     F.floor((F.col("tick") + cfg.shot_after) / cfg.tick_block)))
+    shots = fires.where("tick is not null").select(
+        "match_id", F.col("user_steamid").alias("steamid"), "tick", F.lit(True).alias("_shot"),
+        F.explode(edges).alias("_blk"))
+    both = ticks.select("*", F.lit(False).alias("_shot"), block).unionByName(shots, allowMissingColumns=True)
+    w = Window.partitionBy(*PLAYER, "_blk").orderBy("tick").rangeBetween(-cfg.shot_after, cfg.shot_before)
+    return both.withColumn("in_shot", F.max("_shot").over(w)).where("not _shot").drop("_shot")
 
 
 def timeline(ticks: DataFrame, profile: str = "tabular", cfg: AnalysisConfig = DEFAULT) -> DataFrame:
@@ -55,7 +66,7 @@ def timeline(ticks: DataFrame, profile: str = "tabular", cfg: AnalysisConfig = D
             "src_i": F.when(F.col("use_shot"), F.col("_shot_i")).otherwise(F.col("row_i")),
             "src_n": F.when(F.col("use_shot"), F.col("_shot_n")).otherwise(F.col("row_n")),
         })
-    return d.drop("all_i", "all_n", "alive_i", "alive_n", "shot_all_i", "shot_all_n", "shot_alive_i", "shot_alive_n",
+    return d.drop("_blk", "all_i", "all_n", "alive_i", "alive_n", "shot_all_i", "shot_all_n", "shot_alive_i", "shot_alive_n",
                   "_shot_i", "_shot_n")
 
 
