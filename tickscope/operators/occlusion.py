@@ -81,6 +81,12 @@ def crowded_matches(ticks: DataFrame, crowd: int = 64) -> DataFrame:
     return ticks.select(*PLAYER).distinct().groupBy("match_id").count().where(F.col("count") > crowd)
 
 
+def crowd_or_none(ticks: DataFrame, crowd: int = 64) -> DataFrame | None:
+    """``crowded_matches``, or nothing if no match is crowded: a look at two columns saves the cells for all others."""
+    found = crowded_matches(ticks, crowd)
+    return None if found.isEmpty() else found
+
+
 def lock_counts(pairs: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     wide = F.col("error") < cfg.wide_angle
     return pairs.groupBy(*PLAYER).agg(
@@ -120,17 +126,16 @@ def occlusion_metrics(ticks: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profil
     if pairs is None:
         pairs = sight_pairs(ticks, cfg, profile=profile, team_mode=team_mode, alive_only=alive_only, crowded=crowded)
     replay = profile == "replay"
-    rows = (not_dead(ticks) if alive_only else ticks).groupBy(*PLAYER).agg(F.count(F.lit(1)).alias("rows"))
+    counted = F.coalesce(F.col("health") > 0, F.lit(True)) if alive_only and "health" in ticks.columns else F.lit(True)
+    rows = ticks.groupBy(*PLAYER).agg(F.count_if(counted).alias("rows"))
     runs = (active_runs if replay else strict_runs)(pairs, cfg).groupBy(*PLAYER).agg(F.max("run_len").alias("run"))
-    roster = ticks.select(*PLAYER).distinct()
-    out = roster.join(rows, [*PLAYER], "left").join(lock_counts(pairs, cfg), [*PLAYER], "left").join(
-        runs, [*PLAYER], "left")
+    out = rows.join(lock_counts(pairs, cfg), [*PLAYER], "left").join(runs, [*PLAYER], "left")
     if replay:
         kin = kinematics(timeline(ticks, "replay", cfg), cfg)
         out = out.join(info_timing(kin, pairs, cfg), [*PLAYER], "left")
     else:
         out = out.withColumn("info_timing", F.lit(0.0))
-    full = F.coalesce(F.col("rows") >= (cfg.occlusion_min_rows_replay if replay else 1), F.lit(False))
+    full = F.col("rows") >= (cfg.occlusion_min_rows_replay if replay else 1)
 
     def ratio(c: str) -> Column:
         r = F.coalesce(F.try_divide(F.col(c), F.col("rows")), F.lit(0.0))

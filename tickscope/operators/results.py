@@ -16,17 +16,25 @@ def roster(ticks: DataFrame) -> DataFrame:
     return ticks.where(F.col("steamid").isNotNull() & ~F.col("steamid").isin(*NOT_A_PLAYER)).select(*PLAYER).distinct()
 
 
+def _by_team(ticks: DataFrame, *more: Column) -> DataFrame:
+    return ticks.where(F.col("steamid").isNotNull() & ~F.col("steamid").isin(*NOT_A_PLAYER)).groupBy(
+        *PLAYER, "team_num").agg(F.count(F.lit(1)).alias("n"), *more)
+
+
+def _best_team() -> Column:
+    seen = F.col("team_num").isNotNull()
+    best = F.max_by(F.when(seen, F.col("team_num")), F.when(seen, F.struct(F.col("n"), -F.col("team_num"))))
+    return F.coalesce(best, F.lit(0)).cast("int").alias("team_number")
+
+
 def main_team(ticks: DataFrame) -> DataFrame:
     """Most frequent side of a player, smallest on ties, 0 if unknown. Counts are aggregated before they are compared."""
-    n = ticks.groupBy(*PLAYER, "team_num").count()
-    best = F.max_by(F.col("team_num"), F.struct(F.col("count"), -F.col("team_num")))
-    return n.where("team_num is not null").groupBy(*PLAYER).agg(best.cast("int").alias("team_number"))
+    return _by_team(ticks).groupBy(*PLAYER).agg(_best_team())
 
 
 def players(ticks: DataFrame) -> DataFrame:
-    names = ticks.groupBy(*PLAYER).agg(F.min("name").alias("name"))
-    return roster(ticks).join(names, [*PLAYER]).join(main_team(ticks), [*PLAYER], "left").withColumn(
-        "team_number", F.coalesce("team_number", F.lit(0)))
+    """Roster with name and side in one pass."""
+    return _by_team(ticks, F.min("name").alias("name")).groupBy(*PLAYER).agg(F.min("name").alias("name"), _best_team())
 
 
 def match_span(ticks: DataFrame, header: DataFrame | None = None, cfg: AnalysisConfig = DEFAULT) -> DataFrame:

@@ -7,6 +7,8 @@ from tickscope.config import DEFAULT, AnalysisConfig
 from tickscope.operators import aim, bhop, occlusion, results, rules, spin, trigger
 from tickscope.operators.blocks import PLAYER
 from tickscope.operators.timeline import kinematics, mark_shots, timeline
+from tickscope.operators.clean import deduplicate_ticks
+from tickscope.sources.ticks import clean_ticks
 from tickscope.sources.workdir import materialize
 
 KIN_COLUMNS = (*PLAYER, "tick", "yaw", "velocity_X", "velocity_Y", "pitch", "row_i", "row_n", "in_shot", "use_shot",
@@ -14,6 +16,11 @@ KIN_COLUMNS = (*PLAYER, "tick", "yaw", "velocity_X", "velocity_Y", "pitch", "row
                "spin_mean", "pitch_var", "pitch_turns", "yaw_flip", "air", "air_before", "active_weapon_name")
 
 
+def prepare(raw: DataFrame) -> DataFrame:
+    """Cleaned ticks, one row per (match, tick, player): the first of its file."""
+    return deduplicate_ticks(clean_ticks(raw), ("source_file", "source_row")).drop("source_file", "source_row")
+
+
 def own_shots(fires: DataFrame) -> DataFrame:
     return fires.select("match_id", F.col("user_steamid").alias("steamid"), "tick").where("tick is not null").distinct()
 
@@ -31,7 +38,7 @@ def player_metrics(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig =
         aim.aim_metrics_of(kin, cfg),
         bhop.bhop_metrics_of(bhop.jump_rows_of(kin, profile), profile, cfg),
         spin.spin_metrics_of(kin, cfg),
-        occlusion.occlusion_metrics(ticks, cfg=cfg, profile=profile),
+        occlusion.occlusion_metrics(ticks, cfg=cfg, profile=profile, crowded=occlusion.crowd_or_none(ticks)),
         trigger.trigger_metrics(ticks, own_shots(fires), cfg=cfg, radius=radius),
     ]
     out = results.roster(ticks)

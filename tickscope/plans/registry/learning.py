@@ -12,15 +12,25 @@ from tickscope.plans.registry import query
 from tickscope.sources import files
 from tickscope.sources import ticks as readers
 
-K = F.expr("cast(substring(match_id, 2) as bigint)")
+
+def match_no():
+    """Number of the match; a function because a column needs a running session."""
+    return F.expr("cast(substring(match_id, 2) as bigint)")
+
+
 K_SQL = "CAST(substr(match_id, 2) AS BIGINT)"
-WHO = F.expr("cast(substring(name, 2) as bigint)")
+
+
+def user_no():
+    return F.expr("cast(substring(name, 2) as bigint)")
+
+
 CLASS_SQL = f"CASE WHEN {K_SQL} % 2 = 0 THEN 'with_cheater_present' ELSE 'no_cheater_present' END"
 
 
 def pairs(spark, sf):
     """One tick file and one metadata file per match of the telemetry view."""
-    folder = F.concat(F.lit("/data/"), F.when(K % 2 == 0, dataset.WITH).otherwise(dataset.WITHOUT), F.lit("/"), F.col("match_id"))
+    folder = F.concat(F.lit("/data/"), F.when(match_no() % 2 == 0, dataset.WITH).otherwise(dataset.WITHOUT), F.lit("/"), F.col("match_id"))
     listing = I.ticks(spark, sf).select("match_id").distinct().select(folder.alias("f")).select(
         F.explode(F.array(F.concat("f", F.lit(".parquet")), F.concat("f", F.lit(".json")))).alias("path"))
     return files.discover_pairs(listing)
@@ -28,7 +38,7 @@ def pairs(spark, sf):
 
 def verified(spark, sf):
     """Every seventh user of a match with cheaters."""
-    return I.ticks(spark, sf).where(WHO % 7 == 0).where(K % 2 == 0).select("match_id", "steamid").distinct()
+    return I.ticks(spark, sf).where(user_no() % 7 == 0).where(match_no() % 2 == 0).select("match_id", "steamid").distinct()
 
 
 def cheaters(spark, sf):
@@ -74,7 +84,7 @@ def features(spark, sf):
         rows = dataset.feature_rows(m.select(*PLAYER, *[c for c in m.columns if c.startswith("aim_")]),
                                     m.select(*PLAYER, *[c for c in m.columns if c.startswith("bhop_")]),
                                     m.select(*PLAYER, *[c for c in m.columns if c.startswith("wh_")]))
-        label = F.when(K % 2 == 0, dataset.WITH).otherwise(dataset.WITHOUT)
+        label = F.when(match_no() % 2 == 0, dataset.WITH).otherwise(dataset.WITHOUT)
         rows = rows.withColumn("match_id", F.concat_ws("_", label, "match_id"))
         return dataset.label_players(rows, manifest_with_split(spark, sf), cheaters(spark, sf))
 
@@ -179,14 +189,14 @@ def agg7(spark, sf):
   round(count(DISTINCT match_id) FILTER ({K_SQL} % 5 = 4) / count(DISTINCT match_id), 6) AS failure_rate,
   count(DISTINCT match_id) FILTER ({K_SQL} % 5 = 4) / count(DISTINCT match_id) > 0.30 AS too_many FROM ticks"""))
 def agg8(spark, sf):
-    t = I.ticks(spark, sf).withColumn("yaw", F.when(K % 5 != 4, F.col("yaw")))
+    t = I.ticks(spark, sf).withColumn("yaw", F.when(match_no() % 5 != 4, F.col("yaw")))
     return readers.extraction_gate(readers.match_status(t), CFG.max_failure_rate).withColumn(
         "failure_rate", stable_round("failure_rate", 6))
 
 
 @query("JOIN-7", I.with_sql(LABELS_SQL, "SELECT match_id, steamid, label, split FROM feats"))
 def join7(spark, sf):
-    label = F.when(K % 2 == 0, dataset.WITH).otherwise(dataset.WITHOUT)
+    label = F.when(match_no() % 2 == 0, dataset.WITH).otherwise(dataset.WITHOUT)
     people = results.roster(I.ticks(spark, sf)).withColumn("match_id", F.concat_ws("_", label, "match_id"))
     return dataset.label_players(people, manifest_with_split(spark, sf), cheaters(spark, sf)).select(*PLAYER, "label", "split")
 
@@ -275,7 +285,7 @@ def ml4(spark, sf):
 
 def model_rows(spark, sf):
     """One metadata row per match, some of them wrong."""
-    m = I.ticks(spark, sf).select("match_id").distinct().withColumn("k", K)
+    m = I.ticks(spark, sf).select("match_id").distinct().withColumn("k", match_no())
     names = F.array(*[F.lit(f) for f in dataset.FEATURES])
     return m.select(
         "match_id", F.when(F.col("k") % 4 == 1, F.slice(names, 1, 14)).when(F.col("k") % 4 == 2, F.concat(F.array(F.lit("x")), F.slice(names, 2, 14)))

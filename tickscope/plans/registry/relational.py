@@ -9,7 +9,6 @@ from tickscope.plans import inputs as I
 from tickscope.plans.registry import query
 
 RULE_CFG = rules.DEFAULT
-FIXED = "format('{{:.{1}f}}', {0})"
 
 
 def f1(x, digits=1):
@@ -415,7 +414,7 @@ REPORT_CTES = THR_SQL + """,
 rep_ev AS (
   SELECT match_id, steamid, 'aim_snap' AS type, tick, NULL::BIGINT AS start_tick, NULL::BIGINT AS end_tick, round(raw_speed, 2) AS snap_angle,
          round(raw_jerk, 2) AS jerk, active_weapon_name AS weapon, NULL::BIGINT AS chain_length, NULL::DOUBLE AS avg_speed, NULL::BIGINT AS duration_ticks,
-         NULL::VARCHAR AS target_name, NULL::DOUBLE AS distance FROM kin WHERE raw_speed > 18 AND tick % 3 = 0
+         NULL::VARCHAR AS target_name, NULL::DOUBLE AS distance FROM kin WHERE raw_speed > 120
   UNION ALL SELECT match_id, steamid, 'bhop_chain', NULL, start_tick, end_tick, NULL, NULL, NULL, run_len, round(m.bhop_vitesse_moyenne, 2), NULL, NULL, NULL
     FROM runs JOIN m_bhop m USING (match_id, steamid) WHERE run_len >= 2 AND m.bhop_chaine_max >= 2
   UNION ALL SELECT match_id, steamid, 'spinbot_detected', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM m_spin
@@ -426,13 +425,13 @@ rep_seq AS (SELECT *, row_number() OVER (PARTITION BY match_id, steamid ORDER BY
 
 
 def report_events(spark, sf):
-    """Snaps at every third tick, chains of two, spin events."""
+    """Wide snaps only, chains of two, spin events: every kind is among the first of some player."""
     from dataclasses import replace
 
     def build():
         t = I.ticks(spark, sf)
         return results.event_timeline(
-            aim.snap_events(t).where("tick % 3 = 0"), bhop.chain_events(t, cfg=replace(RULE_CFG, chain_event=2)),
+            aim.snap_events(t, cfg=replace(RULE_CFG, snap_threshold=120.0)), bhop.chain_events(t, cfg=replace(RULE_CFG, chain_event=2)),
             spin.spin_events(I.metrics(spark, sf)))
 
     return I.stored(spark, sf, "report_events", build)

@@ -16,7 +16,12 @@ from tickscope.sources import ticks as readers
 from tickscope.sources.workdir import new_path
 from tickscope.streaming import arrivals
 
-K = F.expr("cast(substring(match_id, 2) as bigint)")
+
+def match_no():
+    """Number of the match; a function because a column needs a running session."""
+    return F.expr("cast(substring(match_id, 2) as bigint)")
+
+
 K_SQL = "CAST(substr(match_id, 2) AS BIGINT)"
 READ_COLUMNS = (*PLAYER, "tick", "X", "pitch", "yaw", "health", "spotted")
 READ_SQL = I.with_sql(I.BASE_SQL, f"""SELECT match_id, steamid, tick, X, round(pitch, 6) AS pitch, round(yaw, 6) AS yaw, health, spotted
@@ -26,7 +31,7 @@ READ_SQL = I.with_sql(I.BASE_SQL, f"""SELECT match_id, steamid, tick, X, round(p
 def raw_ticks(spark, sf):
     """Ticks without name and weapon, and one match in five without yaw."""
     t = I.ticks(spark, sf).drop("event_id", "name", "active_weapon_name")
-    return t.withColumn("yaw", F.when(K % 5 != 4, F.col("yaw")))
+    return t.withColumn("yaw", F.when(match_no() % 5 != 4, F.col("yaw")))
 
 
 def parquet_path(spark, sf):
@@ -57,12 +62,12 @@ def event_documents(spark, sf):
         f = I.fires(t).groupBy("match_id", chunk).agg(F.collect_list(F.struct("tick", "user_steamid", "user_name", "weapon")).alias("weapon_fire"))
         h = hurt(t).groupBy("match_id", chunk).agg(F.collect_list(F.struct("tick", "attacker_steamid", "user_steamid")).alias("player_hurt"))
         # ids of a chunk: a bounded part of the match
-        c = t.where("cast(substring(name, 2) as bigint) % 7 = 0").where(K % 2 == 0).groupBy("match_id", chunk).agg(
+        c = t.where("cast(substring(name, 2) as bigint) % 7 = 0").where(match_no() % 2 == 0).groupBy("match_id", chunk).agg(
             F.array_sort(F.collect_set("steamid")).alias("_c"))
         docs = f.join(h, ["match_id", "chunk"], "full").join(c, ["match_id", "chunk"], "left")
         docs = docs.withColumn("cheaters", F.transform("_c", lambda s: F.struct(s.alias("steamid"))))
         body = F.to_json(F.struct("weapon_fire", "player_hurt", "cheaters"))
-        cut = (K % 6 == 5) & (F.col("chunk") == 0)
+        cut = (match_no() % 6 == 5) & (F.col("chunk") == 0)
         docs.select("match_id", F.when(cut, F.substring(body, 1, 40)).otherwise(body).alias("value")).write.partitionBy(
             "match_id").text(path)
 
@@ -202,7 +207,7 @@ def snk2(spark, sf):
 
 
 @query("SNK-3", I.with_sql(THR_SQL, """SELECT match_id, steamid, verdict, suspicion_score, len(factors) AS factors, (SELECT count(*) FROM kin k
-  WHERE k.match_id = vd.match_id AND k.steamid = vd.steamid AND raw_speed > 18 AND tick % 3 = 0) AS snaps FROM vd"""))
+  WHERE k.match_id = vd.match_id AND k.steamid = vd.steamid AND raw_speed > 120) AS snaps FROM vd"""))
 def snk3(spark, sf):
     p = judged(spark, sf)
     m = results.match_verdict(p)
@@ -221,12 +226,12 @@ def snk4(spark, sf):
     return sinks.example_manifest(manifest_with_split(spark, sf)).select("match_id", "label", "data_path", "metadata_path")
 
 
-@query("SNK-5", I.with_sql(THR_SQL, """SELECT match_id, 'Report_' || CASE WHEN CAST(substr(name, 2) AS BIGINT) % 9 = 0 THEN 'Joueur_Inconnu' ELSE 'x' || name END AS file_name,
-  verdict || chr(10) || array_to_string(factors, chr(10)) AS text FROM vd WHERE CAST(substr(name, 2) AS BIGINT) % 10 > 0"""))
+@query("SNK-5", I.with_sql(THR_SQL, """SELECT match_id, 'Report_' || CASE WHEN CAST(substr(name, 2) AS BIGINT) % 10 = 3 THEN 'Joueur_Inconnu' ELSE 'x' || name END AS file_name,
+  verdict || chr(10) || array_to_string(factors, chr(10)) AS text FROM vd"""))
 def snk5(spark, sf):
     who = F.expr("cast(substring(name, 2) as bigint)")
-    p = judged(spark, sf).where(who % 10 > 0).select(
-        "match_id", F.when(who % 9 == 0, ' ?*<>|"').otherwise(F.concat(F.lit("x:/"), F.col("name"))).alias("name"),
+    p = judged(spark, sf).select(
+        "match_id", F.when(who % 10 == 3, ' ?*<>|"').otherwise(F.concat(F.lit("x:/"), F.col("name"))).alias("name"),
         F.concat_ws("\n", "verdict", F.array_join("factors", "\n")).alias("report"))
     path = new_path(spark, "reports")
     sinks.write_reports(p, path)

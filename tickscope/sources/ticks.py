@@ -38,13 +38,13 @@ def _schema(match_column: bool) -> str:
 
 
 def read_ticks(spark: SparkSession, paths: str | Sequence[str], match_column: bool = True) -> DataFrame:
-    """Parquet ticks. The fixed schema makes an absent optional column null and prunes all others at the scan;
+    """Parquet ticks with their place in the file (``source_file``, ``source_row``). The fixed schema makes an absent optional column null and prunes all others at the scan;
     no footer of any other file is needed for it. Without a match_id column the file is the match."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     df = spark.read.schema(_schema(match_column)).parquet(*paths)
     if not match_column:
         df = df.withColumn("match_id", _match_from_file())
-    return tidy_ticks(df)
+    return tidy_ticks(df.withColumns({"source_file": F.col("_metadata.file_path"), "source_row": F.col("_metadata.row_index")}))
 
 
 def read_ticks_csv(spark: SparkSession, paths: str | Sequence[str], match_column: bool = True,
@@ -54,7 +54,9 @@ def read_ticks_csv(spark: SparkSession, paths: str | Sequence[str], match_column
     raw = spark.read.option("header", True).csv(paths)
     if not match_column:
         raw = raw.withColumn("match_id", _match_from_file())
-    raw = raw.select("match_id", *[(F.col(c) if c in raw.columns else F.lit(None).cast("string")).alias(c) for c in TICK_TYPES])
+    # a gzip file is one partition, so the ids follow the lines of the file
+    raw = raw.withColumns({"source_file": F.col("_metadata.file_path"), "source_row": F.monotonically_increasing_id()})
+    raw = raw.select("match_id", "source_file", "source_row", *[(F.col(c) if c in raw.columns else F.lit(None).cast("string")).alias(c) for c in TICK_TYPES])
     df = coerce_numeric(raw, {c: t for c, t in TICK_TYPES.items() if t != "string"})
     return tidy_ticks(df.repartition(F.col("match_id"), F.floor(F.col("tick") / tick_block)))
 
