@@ -7,6 +7,7 @@ from tickscope.config import DEFAULT, AnalysisConfig
 from tickscope.functions.numbers import stable_round
 from tickscope.operators.blocks import PLAYER, block_window, exact_percentile, row_blocks
 from tickscope.operators.timeline import kinematics, mark_shots, timeline
+from tickscope.sources.workdir import Keep, lazy
 
 # fixed values: orthogonal polynomials (degree 1 and 2) on eight equally spaced points, both of squared norm 168
 LINEAR8 = (-7.0, -5.0, -3.0, -1.0, 1.0, 3.0, 5.0, 7.0)
@@ -77,8 +78,8 @@ METRICS = ("aim_vitesse_max", "aim_p99", "aim_jerk_moyen", "aim_jerk_max", "aim_
            "aim_variance_vitesse", "aim_fov_lock_ratio", "aim_fit_polynomial_indicatif", "aim_vitesse_acquisition")
 
 
-def aim_metrics_of(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    src = source_rows(rows)
+def aim_metrics_of(rows: DataFrame, cfg: AnalysisConfig = DEFAULT, keep: Keep = lazy) -> DataFrame:
+    src = keep(source_rows(rows), "aim_source")
     base = path_shape(src, cfg).groupBy(*PLAYER).agg(*basic_aggregates(cfg), *shape_aggregates(cfg))
     p99 = exact_percentile(src, "speed", 0.99, "aim_p99")
     full = F.col("rows") >= cfg.aim_min_rows
@@ -86,9 +87,10 @@ def aim_metrics_of(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
         *PLAYER, *[F.when(full, stable_round(m, 4)).otherwise(0.0).alias(m) for m in METRICS])
 
 
-def aim_metrics(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="tabular") -> DataFrame:
+def aim_metrics(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="tabular",
+                keep: Keep = lazy) -> DataFrame:
     """One row per (match, player): nine metrics, all zero below the minimum number of rows."""
-    return aim_metrics_of(aim_rows(ticks, fires, profile, cfg), cfg)
+    return aim_metrics_of(aim_rows(ticks, fires, profile, cfg), cfg, keep)
 
 
 def snap_events_of(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:

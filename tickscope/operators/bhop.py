@@ -8,6 +8,7 @@ from tickscope.functions.angles import horizontal_speed
 from tickscope.functions.numbers import stable_round
 from tickscope.operators.blocks import PLAYER, block_index, block_window, consecutive_runs, row_blocks
 from tickscope.operators.timeline import kinematics, timeline
+from tickscope.sources.workdir import Keep, lazy
 
 METRICS = ("bhop_total_sauts", "bhop_ratio_parfaits", "bhop_variance_sol", "bhop_chaine_max", "bhop_vitesse_moyenne",
            "bhop_autostrafe_correlation", "bhop_velocity_gain_max")
@@ -69,14 +70,15 @@ def air_strafe(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
         F.when(enough, F.coalesce(F.max("gain"), F.lit(0.0))).otherwise(0.0).alias("gain"))
 
 
-def bhop_metrics_of(rows: DataFrame, profile="tabular", cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+def bhop_metrics_of(rows: DataFrame, profile="tabular", cfg: AnalysisConfig = DEFAULT, keep: Keep = lazy,
+                    intervals: DataFrame | None = None) -> DataFrame:
     v2 = F.col("velocity_X") * F.col("velocity_X") + F.col("velocity_Y") * F.col("velocity_Y")
     replay = profile == "replay"
     mean_speed = F.avg("speed_2d") if replay else F.sqrt(F.avg(v2))
     base = rows.groupBy(*PLAYER).agg(
         F.max("row_n").alias("rows"), F.count_if("takeoff").alias("jumps"), F.count_if("air").alias("air_rows"),
         F.coalesce(mean_speed, F.lit(0.0)).alias("mean_speed"))
-    iv = ground_intervals(rows, cfg)
+    iv = keep(ground_intervals(rows, cfg), "intervals") if intervals is None else intervals
     out = base.join(interval_stats(iv), [*PLAYER], "left").join(
         perfect_runs(iv).groupBy(*PLAYER).agg(F.max("run_len").alias("chain")), [*PLAYER], "left")
     if replay:
@@ -107,19 +109,20 @@ def bhop_metrics_of(rows: DataFrame, profile="tabular", cfg: AnalysisConfig = DE
         stable_round(val(F.col("gain"), 0.0), 4).alias("bhop_velocity_gain_max"))
 
 
-def bhop_metrics(ticks: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="tabular") -> DataFrame:
-    return bhop_metrics_of(jump_rows(ticks, profile, cfg), profile, cfg)
+def bhop_metrics(ticks: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="tabular", keep: Keep = lazy) -> DataFrame:
+    return bhop_metrics_of(keep(jump_rows(ticks, profile, cfg), "jump_rows"), profile, cfg, keep)
 
 
-def chain_events_of(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+def chain_events_of(rows: DataFrame, cfg: AnalysisConfig = DEFAULT, keep: Keep = lazy) -> DataFrame:
     """Chains of at least ``chain_event`` perfect jumps, only where the metrics are defined."""
-    m = bhop_metrics_of(rows, "tabular", cfg).where(F.col("bhop_chaine_max") >= cfg.chain_event).select(
+    iv = keep(ground_intervals(rows, cfg), "intervals")
+    m = bhop_metrics_of(rows, "tabular", cfg, intervals=iv).where(F.col("bhop_chaine_max") >= cfg.chain_event).select(
         *PLAYER, stable_round("bhop_vitesse_moyenne", 2).alias("avg_speed"))
-    runs = perfect_runs(ground_intervals(rows, cfg)).where(F.col("run_len") >= cfg.chain_event)
+    runs = perfect_runs(iv).where(F.col("run_len") >= cfg.chain_event)
     return runs.join(m, [*PLAYER]).select(
         *PLAYER, F.lit("bhop_chain").alias("type"), "start_tick", "end_tick",
         F.col("run_len").alias("chain_length"), "avg_speed")
 
 
-def chain_events(ticks: DataFrame, *, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    return chain_events_of(jump_rows(ticks, "tabular", cfg), cfg)
+def chain_events(ticks: DataFrame, *, cfg: AnalysisConfig = DEFAULT, keep: Keep = lazy) -> DataFrame:
+    return chain_events_of(keep(jump_rows(ticks, "tabular", cfg), "jump_rows"), cfg, keep)

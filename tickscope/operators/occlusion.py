@@ -14,6 +14,7 @@ from tickscope.functions.numbers import stable_round
 from tickscope.operators.blocks import PLAYER, block_index, block_window, consecutive_runs, row_blocks
 from tickscope.operators.clean import not_dead
 from tickscope.operators.timeline import kinematics, timeline
+from tickscope.sources.workdir import Keep, lazy
 
 TARGET = (*PLAYER, "target")
 METRICS = ("wh_ratio_lock_cache", "wh_ratio_lock_strict", "wh_tracking_consecutif_max", "wh_distance_moyenne_verrous",
@@ -122,9 +123,11 @@ def info_timing(kin: DataFrame, pairs: DataFrame, cfg: AnalysisConfig = DEFAULT)
 
 
 def occlusion_metrics(ticks: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="tabular", team_mode="tick",
-                      alive_only=True, pairs: DataFrame | None = None, crowded: DataFrame | None = None) -> DataFrame:
-    if pairs is None:
-        pairs = sight_pairs(ticks, cfg, profile=profile, team_mode=team_mode, alive_only=alive_only, crowded=crowded)
+                      alive_only=True, crowded: DataFrame | None = None, keep: Keep = lazy) -> DataFrame:
+    pairs = sight_pairs(ticks, cfg, profile=profile, team_mode=team_mode, alive_only=alive_only, crowded=crowded)
+    # all metrics look at small errors only: few pairs, read three times
+    pairs = keep(pairs.where(F.col("error") < max(cfg.wide_angle, cfg.strict_angle, cfg.preaim_angle)).drop(
+        "target_name", "pitch", "spotted"), "locks")
     replay = profile == "replay"
     counted = F.coalesce(F.col("health") > 0, F.lit(True)) if alive_only and "health" in ticks.columns else F.lit(True)
     rows = ticks.groupBy(*PLAYER).agg(F.count_if(counted).alias("rows"))

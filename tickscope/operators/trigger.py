@@ -8,6 +8,7 @@ from tickscope.functions.angles import ray_hits_sphere, ticks_to_ms
 from tickscope.functions.numbers import stable_round
 from tickscope.operators.blocks import PLAYER, block_index, block_window, consecutive_runs, row_blocks
 from tickscope.operators.clean import not_dead
+from tickscope.sources.workdir import Keep, lazy
 
 METRICS = ("triggerbot_rt_median", "triggerbot_rt_std", "triggerbot_rt_min", "triggerbot_burst_count",
            "triggerbot_total_shots_analyzed")
@@ -103,10 +104,10 @@ def trigger_metrics_of(reactions: DataFrame, roster: DataFrame, cfg: AnalysisCon
 
 
 def trigger_metrics(ticks: DataFrame, shots: DataFrame, *, cfg: AnalysisConfig = DEFAULT, radius: float | None = None,
-                    team_mode="tick") -> DataFrame:
+                    team_mode="tick", keep: Keep = lazy) -> DataFrame:
     hit = shot_targets(ticks, shots, cfg=cfg, radius=radius, team_mode=team_mode)
-    return trigger_metrics_of(reaction_times(ticks, hit, cfg=cfg, radius=radius),
-                              ticks.select(*PLAYER).distinct(), cfg)
+    reactions = keep(reaction_times(ticks, hit, cfg=cfg, radius=radius), "reactions")
+    return trigger_metrics_of(reactions, ticks.select(*PLAYER).distinct(), cfg)
 
 
 def trigger_flags(metrics: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:

@@ -9,7 +9,7 @@ from tickscope.operators.blocks import PLAYER
 from tickscope.operators.timeline import kinematics, mark_shots, timeline
 from tickscope.operators.clean import deduplicate_ticks
 from tickscope.sources.ticks import clean_ticks
-from tickscope.sources.workdir import materialize
+from tickscope.sources.workdir import lazy, materialize
 
 KIN_COLUMNS = (*PLAYER, "tick", "yaw", "velocity_X", "velocity_Y", "pitch", "row_i", "row_n", "in_shot", "use_shot",
                "src_i", "src_n", "speed", "jerk", "direction_change", "raw_speed", "raw_d_yaw", "raw_d_pitch", "raw_jerk",
@@ -29,17 +29,18 @@ def player_metrics(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig =
                    radius: float | None = None, stored: bool = True) -> DataFrame:
     """All five detectors, one row per (match, player).
 
-    The kinematics feed eight aggregations, so they are written once (``stored``) and scanned narrowly after that.
+    What several aggregations read (kinematics, aim rows, jump intervals, locks, reactions) is written once
+    (``stored``) and scanned narrowly after that.
     """
     kin = kinematics(timeline(mark_shots(ticks, fires, cfg), profile, cfg), cfg).select(*KIN_COLUMNS)
-    if stored:
-        kin = materialize(kin, "kinematics")
+    keep = materialize if stored else lazy
+    kin = keep(kin, "kinematics")
     parts = [
-        aim.aim_metrics_of(kin, cfg),
-        bhop.bhop_metrics_of(bhop.jump_rows_of(kin, profile), profile, cfg),
+        aim.aim_metrics_of(kin, cfg, keep),
+        bhop.bhop_metrics_of(bhop.jump_rows_of(kin, profile), profile, cfg, keep),
         spin.spin_metrics_of(kin, cfg),
-        occlusion.occlusion_metrics(ticks, cfg=cfg, profile=profile, crowded=occlusion.crowd_or_none(ticks)),
-        trigger.trigger_metrics(ticks, own_shots(fires), cfg=cfg, radius=radius),
+        occlusion.occlusion_metrics(ticks, cfg=cfg, profile=profile, crowded=occlusion.crowd_or_none(ticks), keep=keep),
+        trigger.trigger_metrics(ticks, own_shots(fires), cfg=cfg, radius=radius, keep=keep),
     ]
     out = results.roster(ticks)
     for p in parts:
@@ -58,9 +59,9 @@ def judge(metrics: DataFrame, *, cfg: AnalysisConfig = DEFAULT, model: DataFrame
 
 def combat_events(ticks: DataFrame, fires: DataFrame, metrics: DataFrame, *, cfg: AnalysisConfig = DEFAULT,
                   profile="tabular") -> DataFrame:
-    kin = kinematics(timeline(mark_shots(ticks, fires, cfg), profile, cfg), cfg)
+    kin = materialize(kinematics(timeline(mark_shots(ticks, fires, cfg), profile, cfg), cfg).select(*KIN_COLUMNS, "around"), "kinematics")
     kinds = [aim.snap_events_of(kin, cfg),
-             bhop.chain_events_of(bhop.jump_rows_of(kin, profile), cfg),
+             bhop.chain_events_of(bhop.jump_rows_of(kin, profile), cfg, materialize),
              occlusion.lock_events(ticks, metrics, cfg=cfg),
              spin.spin_events(metrics, cfg),
              trigger.trigger_flags(metrics, cfg).withColumn("type", F.lit("triggerbot_event"))]

@@ -11,6 +11,7 @@ from tickscope.operators.blocks import PLAYER, exact_percentile
 from tickscope.operators.timeline import kinematics, mark_shots, shot_ticks, timeline
 from tickscope.plans import inputs as I
 from tickscope.plans.registry import query
+from tickscope.sources.workdir import materialize
 
 RADIUS = 200.0
 
@@ -88,7 +89,7 @@ AIM8 = ("aim_vitesse_max", "aim_p99", "aim_jerk_moyen", "aim_jerk_max", "aim_rat
 
 @query("AIM-8", src_sql(", ".join(AIM8)))
 def aim8(spark, sf):
-    s = src(spark, sf)
+    s = materialize(src(spark, sf), "aim_source")
     full = F.col("rows") >= CFG.aim_min_rows
     d = s.groupBy(*PLAYER).agg(*aim.basic_aggregates()).join(exact_percentile(s, "speed", 0.99, "aim_p99"), [*PLAYER])
     return d.select(*PLAYER, *[F.when(full, stable_round(c, 4)).otherwise(0.0).alias(c) for c in AIM8])
@@ -163,24 +164,24 @@ def bhp2(spark, sf):
 
 @query("BHP-3", I.with_sql(B, "SELECT match_id, steamid, bhop_ratio_parfaits FROM m_bhop"))
 def bhp3(spark, sf):
-    return bhop.bhop_metrics_of(jumps(spark, sf)).select(*PLAYER, "bhop_ratio_parfaits")
+    return bhop.bhop_metrics_of(jumps(spark, sf), keep=materialize).select(*PLAYER, "bhop_ratio_parfaits")
 
 
 @query("BHP-4", I.with_sql(B, "SELECT match_id, steamid, bhop_chaine_max FROM m_bhop"))
 def bhp4(spark, sf):
-    return bhop.bhop_metrics_of(jumps(spark, sf)).select(*PLAYER, "bhop_chaine_max")
+    return bhop.bhop_metrics_of(jumps(spark, sf), keep=materialize).select(*PLAYER, "bhop_chaine_max")
 
 
 @query("BHP-5", I.with_sql(B, """SELECT match_id, steamid, 'bhop_chain' AS type, start_tick, end_tick, run_len AS chain_length,
   round(bhop_vitesse_moyenne, 2) AS avg_speed FROM runs JOIN m_bhop USING (match_id, steamid)
   WHERE run_len >= 4 AND bhop_chaine_max >= 4"""))
 def bhp5(spark, sf):
-    return bhop.chain_events_of(jumps(spark, sf))
+    return bhop.chain_events_of(jumps(spark, sf), keep=materialize)
 
 
 @query("BHP-6", I.with_sql(B, "SELECT match_id, steamid, bhop_variance_sol FROM m_bhop"))
 def bhp6(spark, sf):
-    return bhop.bhop_metrics_of(jumps(spark, sf)).select(*PLAYER, "bhop_variance_sol")
+    return bhop.bhop_metrics_of(jumps(spark, sf), keep=materialize).select(*PLAYER, "bhop_variance_sol")
 
 
 @query("BHP-7", I.with_sql(B, """SELECT match_id, steamid, round(avg(speed_2d), 4) AS mean_speed,
@@ -209,8 +210,8 @@ BHOP = ", ".join(bhop.METRICS)
   UNION ALL SELECT * FROM (WITH {B_REPLAY} SELECT match_id, steamid, 'replay' AS profile, {BHOP} FROM m_bhop)""")
 def bhp10(spark, sf):
     t = I.ticks(spark, sf)
-    a = bhop.bhop_metrics(t).withColumn("profile", F.lit("tabular"))
-    return a.unionByName(bhop.bhop_metrics(t, profile="replay").withColumn("profile", F.lit("replay")))
+    a = bhop.bhop_metrics(t, keep=materialize).withColumn("profile", F.lit("tabular"))
+    return a.unionByName(bhop.bhop_metrics(t, profile="replay", keep=materialize).withColumn("profile", F.lit("replay")))
 
 
 # --- spin --------------------------------------------------------------------------------------------------------
@@ -255,7 +256,7 @@ def spn6(spark, sf):
 @query("SPN-7", spin_sql(", ".join(spin.METRICS)) + """ WHERE spinbot_yaw_spin_windows > 0 OR spinbot_pitch_violations > 0
   OR spinbot_jitter_score > 2000 OR spinbot_desync_max_ticks >= 6""")
 def spn7(spark, sf):
-    return spin.spin_events(spin.spin_metrics(I.ticks(spark, sf))).select(*PLAYER, "metrics.*")
+    return spin.spin_events(spin.spin_metrics_of(materialize(kin(spark, sf).drop("around"), "kinematics"))).select(*PLAYER, "metrics.*")
 
 
 # --- occlusion ---------------------------------------------------------------------------------------------------
@@ -293,7 +294,7 @@ def occ3(spark, sf):
 
 
 def occ(spark, sf, **kw):
-    return occlusion.occlusion_metrics(I.ticks(spark, sf), **kw)
+    return occlusion.occlusion_metrics(I.ticks(spark, sf), keep=materialize, **kw)
 
 
 def occ_sql(cols, ctes=O):
@@ -417,12 +418,12 @@ TRIG = ", ".join(trigger.METRICS)
 @query("TRG-5", I.with_sql(TR, f"SELECT match_id, steamid, {TRIG} FROM m_trig"))
 def trg5(spark, sf):
     t, s = shots(spark, sf)
-    return trigger.trigger_metrics(t, s, radius=RADIUS)
+    return trigger.trigger_metrics(t, s, radius=RADIUS, keep=materialize)
 
 
 @query("TRG-6", I.with_sql(TR, "SELECT match_id, steamid, bursts FROM bursts"))
 def trg6(spark, sf):
-    return trigger.fast_bursts(reactions(spark, sf)[1])
+    return trigger.fast_bursts(materialize(reactions(spark, sf)[1], "reactions"))
 
 
 @query("TRG-7", I.with_sql(TR, """SELECT match_id, steamid, 'Anomalously fast median reaction time' AS reason, triggerbot_rt_median AS value FROM m_trig
@@ -433,4 +434,4 @@ def trg6(spark, sf):
   WHERE triggerbot_total_shots_analyzed > 0 AND triggerbot_burst_count > 0"""))
 def trg7(spark, sf):
     t, s = shots(spark, sf)
-    return trigger.trigger_flags(trigger.trigger_metrics(t, s, radius=RADIUS))
+    return trigger.trigger_flags(trigger.trigger_metrics(t, s, radius=RADIUS, keep=materialize))

@@ -47,6 +47,10 @@ def cheaters(spark, sf):
 
 
 def manifest(spark, sf):
+    return I.stored(spark, sf, "manifest", lambda: _manifest(spark, sf))
+
+
+def _manifest(spark, sf):
     v = verified(spark, sf).select(F.lit(dataset.WITH).alias("match_category"), F.col("match_id").alias("base"), "steamid")
     return dataset.build_manifest(pairs(spark, sf), v)
 

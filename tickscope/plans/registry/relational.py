@@ -7,6 +7,7 @@ from tickscope.operators import aim, bhop, occlusion, reports, results, rules, s
 from tickscope.operators.blocks import PLAYER
 from tickscope.plans import inputs as I
 from tickscope.plans.registry import query
+from tickscope.sources.workdir import materialize
 
 RULE_CFG = rules.DEFAULT
 
@@ -291,8 +292,8 @@ def event_timeline(spark, sf):
         t = I.ticks(spark, sf)
         m = I.metrics(spark, sf)
         return results.event_timeline(
-            aim.snap_events(t), bhop.chain_events(t),
-            occlusion.lock_events(t, occlusion.occlusion_metrics(t, cfg=LOOSE), cfg=LOOSE),
+            aim.snap_events(t), bhop.chain_events(t, keep=materialize),
+            occlusion.lock_events(t, occlusion.occlusion_metrics(t, cfg=LOOSE, keep=materialize), cfg=LOOSE),
             spin.spin_events(m), trigger.trigger_flags(m).withColumn("type", F.lit("triggerbot_event")))
 
     return I.stored(spark, sf, "combat_events", build)
@@ -431,7 +432,7 @@ def report_events(spark, sf):
     def build():
         t = I.ticks(spark, sf)
         return results.event_timeline(
-            aim.snap_events(t, cfg=replace(RULE_CFG, snap_threshold=120.0)), bhop.chain_events(t, cfg=replace(RULE_CFG, chain_event=2)),
+            aim.snap_events(t, cfg=replace(RULE_CFG, snap_threshold=120.0)), bhop.chain_events(t, cfg=replace(RULE_CFG, chain_event=2), keep=materialize),
             spin.spin_events(I.metrics(spark, sf)))
 
     return I.stored(spark, sf, "report_events", build)

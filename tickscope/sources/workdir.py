@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,14 @@ def store(df: DataFrame, name: str) -> str:
     return path
 
 
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def lazy(df: DataFrame, name: str) -> DataFrame:
+    """The other choice beside ``materialize``: leave the plan as it is."""
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write and read back with the same schema."""
     spark = df.sparkSession
