@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickscope.config import DEFAULT, AnalysisConfig
+from tickscope.functions.frames import one_row
 from tickscope.functions.text import fixed
 from tickscope.functions.numbers import stable_round
 
@@ -112,12 +113,9 @@ def with_thresholds(df: DataFrame, model: DataFrame | None = None, cfg: Analysis
     high, suspect = F.lit(cfg.threshold_high), F.lit(cfg.threshold_suspect)
     if model is None:
         return df.withColumns({"threshold_high": high * 100.0, "threshold_suspect": suspect * 100.0})
-    meta = model.limit(1).select(
-        F.coalesce("threshold_high", "threshold", high).alias("_h"), F.coalesce("threshold_suspect", suspect).alias("_s"))
-    one = F.broadcast(meta.withColumn("_k", F.lit(1)))  # limit 1: the bound of the broadcast
-    return df.withColumn("_k", F.lit(1)).join(one, "_k", "left").withColumns({
-        "threshold_high": F.coalesce("_h", high) * 100.0, "threshold_suspect": F.coalesce("_s", suspect) * 100.0,
-    }).drop("_k", "_h", "_s")
+    meta = one_row(model.select(F.coalesce("threshold_high", "threshold").alias("high"), F.col("threshold_suspect").alias("suspect")))
+    return df.withColumns({"threshold_high": F.coalesce(meta["high"], high) * 100.0,
+                           "threshold_suspect": F.coalesce(meta["suspect"], suspect) * 100.0})
 
 
 def with_score(df: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickscope.config import DEFAULT, AnalysisConfig
+from tickscope.functions.frames import one_row
 from tickscope.operators.blocks import PLAYER, block_index
 
 # fixed values: the ordered feature list, its version and the name it replaced
@@ -63,18 +64,17 @@ def pairing_stats(pairs: DataFrame, manifest: DataFrame, corrupt: DataFrame | No
     def n(s):
         return F.count_if(F.col("status") == s)
 
-    p = pairs.agg(F.count("data_path").alias("scanned"), F.sum("parquet_files").alias("parquet_files"),
+    counts = pairs.agg(F.count("data_path").alias("scanned"), F.sum("parquet_files").alias("parquet_files"),
                   F.sum("csv_gz_files").alias("csv_gz_files"), F.count("metadata_path").alias("json_files"),
                   n("missing_json").alias("missing_json"), n("orphan_json").alias("orphan_json"))
     with_ = F.col("label") == WITH
     m = manifest.agg(F.count(F.lit(1)).alias("valid_matches"), F.count_if(with_).alias("with_cheater"),
                      F.count_if(~with_).alias("no_cheater"), F.coalesce(F.sum("num_cheaters"), F.lit(0)).alias("cheater_ids"))
-    k = F.lit(1).alias("_k")
-    out = p.select("*", k).join(F.broadcast(m.select("*", k)), "_k")  # one row each
+    out = counts.withColumn("_m", one_row(m)).select(*counts.columns, "_m.*")
     if corrupt is not None:
-        c = corrupt.select("match_category", "base").distinct().agg(F.count(F.lit(1)).alias("corrupt_json"))
-        out = out.join(F.broadcast(c.select("*", k)), "_k")
-    return out.drop("_k")
+        c = corrupt.select("match_category", "base").distinct().agg(F.count(F.lit(1)).alias("n"))
+        out = out.withColumn("corrupt_json", one_row(c)["n"])
+    return out
 
 
 def shuffled_rank(df: DataFrame, keys: list[str], seed: int = DEFAULT.seed, key: str = "match_id") -> DataFrame:
@@ -87,9 +87,8 @@ def shuffled_rank(df: DataFrame, keys: list[str], seed: int = DEFAULT.seed, key:
 def balanced_sample(manifest: DataFrame, n: int, seed: int = DEFAULT.seed) -> DataFrame:
     """Up to n/2 matches with cheaters, the rest without."""
     d = shuffled_rank(manifest, ["label"], seed)
-    have = manifest.agg(F.count_if(F.col("label") == WITH).alias("_w"))
-    d = d.withColumn("_k", F.lit(1)).join(F.broadcast(have.withColumn("_k", F.lit(1))), "_k")  # one row
-    quota = F.least(F.lit(n // 2), F.col("_w"))
+    have = one_row(manifest.agg(F.count_if(F.col("label") == WITH).alias("with")))
+    quota = F.least(F.lit(n // 2), have["with"])
     return d.where(F.when(F.col("label") == WITH, F.col("r_i") <= quota).otherwise(F.col("r_i") <= F.lit(n) - quota)
                    ).select(*manifest.columns)
 
@@ -97,9 +96,8 @@ def balanced_sample(manifest: DataFrame, n: int, seed: int = DEFAULT.seed) -> Da
 def split_matches(manifest: DataFrame, seed: int = DEFAULT.seed) -> DataFrame:
     """70 / 15 / 15 by match, per label if every label has two matches and there are six, else over all."""
     per_label = manifest.groupBy("label").count()
-    # one row: totals over the labels
-    size = per_label.agg(F.sum("count").alias("_total"), F.min("count").alias("_least")).withColumn("_k", F.lit(1))
-    d = manifest.drop("split").withColumn("_k", F.lit(1)).join(F.broadcast(size), "_k")
+    size = one_row(per_label.agg(F.sum("count").alias("total"), F.min("count").alias("least")))
+    d = manifest.drop("split").withColumns({"_total": size["total"], "_least": size["least"]})
     d = d.withColumn("_stratum", F.when((F.col("_total") >= 6) & (F.col("_least") >= 2), F.col("label")).otherwise("all"))
     d = shuffled_rank(d, ["_stratum"], seed)
     held = F.ceil(F.col("r_n") * 0.30)

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tickscope.functions.numbers import stable_round
 
+from tickscope.functions.frames import one_row
 from tickscope.operators.blocks import prefix_sums
 
 THRESHOLD_STEPS = 19
@@ -90,8 +91,7 @@ def compare_models(test: DataFrame, score_a: str, score_b: str, thr_a: float, th
     """Both models on the same rows, one metrics row each."""
     def one(name, score, thr):
         auc = roc_auc(test, label, score)
-        k = F.lit(1).alias("_k")
-        both = binary_metrics(test, thr, label, score).select("*", k).join(F.broadcast(auc.select("*", k)), "_k")  # one row each
-        return both.drop("_k").select(F.lit(name).alias("model"), "*")
+        m = binary_metrics(test, thr, label, score).withColumn("roc_auc", one_row(auc)["roc_auc"])
+        return m.select(F.lit(name).alias("model"), "*")
 
     return one("a", score_a, thr_a).unionByName(one("b", score_b, thr_b))

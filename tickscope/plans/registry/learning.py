@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tickscope.config import DEFAULT as CFG
+from tickscope.functions.frames import one_row
 from tickscope.functions.numbers import stable_round
 from tickscope.operators import results
 from tickscope.operators.blocks import PLAYER
@@ -226,9 +227,9 @@ THR_VALUES = ", ".join(f"({t!r}::DOUBLE)" for t in evaluation.THRESHOLDS)
     round(least(0.40, greatest(0.05, (SELECT round(thr, 2) FROM best) - 0.10)), 2) AS threshold_suspect FROM m""")
 def ml5(spark, sf):
     d = scored(spark, sf)
-    best = evaluation.best_threshold(d).select(F.col("threshold").alias("_t"), "threshold_suspect", F.lit(1).alias("_k"))
-    s = evaluation.threshold_sweep(d).withColumn("_k", F.lit(1)).join(F.broadcast(best), "_k")  # one row
-    return s.select("threshold", "tp", "fp", "tn", "fn", "f1", (F.col("threshold") == F.col("_t")).alias("is_best"), "threshold_suspect")
+    best = one_row(evaluation.best_threshold(d).select("threshold", "threshold_suspect"))
+    return evaluation.threshold_sweep(d).select("threshold", "tp", "fp", "tn", "fn", "f1", (F.col("threshold") == best["threshold"]).alias("is_best"),
+                                                best["threshold_suspect"].alias("threshold_suspect"))
 
 
 @query("ML-6", SCORED_SQL + f", c AS (SELECT event_type, {counts_sql(0.5)} FROM scored GROUP BY 1) {rates_sql('c')}")

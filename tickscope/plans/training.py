@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from tickscope.config import DEFAULT, AnalysisConfig
 from tickscope.functions.angles import anomaly_sigmoid
 from tickscope.functions.numbers import stable_round
+from tickscope.functions.frames import one_row
 from tickscope.operators.blocks import exact_percentile
 from tickscope.plans.dataset import FEATURE_VERSION, FEATURES, canonical_features, schema_hash, supervised
 from tickscope.plans.evaluation import best_threshold, binary_metrics, require_threshold, roc_auc
@@ -39,10 +40,9 @@ def fit(train: DataFrame, cfg: AnalysisConfig = DEFAULT) -> PipelineModel:
 def scale(features: DataFrame) -> DataFrame:
     """Standardised copies ``<feature>_z`` by one aggregation; a constant feature becomes 0."""
     stats = features.agg(*[F.avg(f).alias(f"{f}_m") for f in FEATURES], *[F.stddev_pop(f).alias(f"{f}_s") for f in FEATURES])
-    k = F.lit(1).alias("_k")
-    d = features.select("*", k).join(F.broadcast(stats.select("*", k)), "_k")  # one row
+    d = features.withColumn("_s", one_row(stats))
     return d.select(*features.columns, *[
-        F.coalesce(F.try_divide(F.col(f) - F.col(f"{f}_m"), F.col(f"{f}_s")), F.lit(0.0)).alias(f"{f}_z") for f in FEATURES])
+        F.coalesce(F.try_divide(F.col(f) - F.col(f"_s.{f}_m"), F.col(f"_s.{f}_s")), F.lit(0.0)).alias(f"{f}_z") for f in FEATURES])
 
 
 def score(model: PipelineModel, features: DataFrame) -> DataFrame:
@@ -161,10 +161,8 @@ def isolation_offset(scored_train: DataFrame, cfg: AnalysisConfig = DEFAULT) ->
 
 def anomaly_scores(scored: DataFrame, offset: DataFrame) -> DataFrame:
     """decision = raw - offset (negative is an outlier) and its sigmoid."""
-    one = F.broadcast(offset.select(F.lit(1).alias("_k"), "offset"))  # one row
-    d = scored.withColumn("_k", F.lit(1)).join(one, "_k")
-    return d.withColumn("decision", F.col("raw_score") - F.col("offset")).withColumn(
-        "anomaly_score", stable_round(anomaly_sigmoid("decision"), 4)).drop("_k", "offset", "raw_score")
+    return scored.withColumn("decision", F.col("raw_score") - one_row(offset.select("offset"))["offset"]).withColumn(
+        "anomaly_score", stable_round(anomaly_sigmoid("decision"), 4)).drop("raw_score")
 
 
 # --- metadata ---------------------------------------------------------------------------------------------------
