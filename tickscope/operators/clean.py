@@ -31,11 +31,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(t)) for c, t in df.dtypes if t in ("double", "float")})
 
 
-def deduplicate_ticks(df: DataFrame, tie_break: Sequence[str], width: int = 4096) -> DataFrame:
+def deduplicate_ticks(df: DataFrame, tie_break: Sequence[str]) -> DataFrame:
     """First row per (match, tick, player) in the order of ``tie_break``.
 
-    The block of the tick is part of the partition key only so that later operators that cluster by
-    (match, player, block) can reuse the exchange.
+    Spark limits each key to its first row before the shuffle (window group limit), so a key with very many copies
+    sends one row per task.
     """
     w = Window.partitionBy("match_id", "steamid", "tick").orderBy(*tie_break)
     return df.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")

@@ -33,9 +33,9 @@ def mark_shots(ticks: DataFrame, fires: DataFrame, cfg: AnalysisConfig = DEFAULT
     block = F.floor(F.col("tick") / cfg.tick_block).alias("_blk")
     edges = F.array_distinct(F.array(F.floor((F.col("tick") - cfg.shot_before) / cfg.tick_block),
                                      F.floor((F.col("tick") + cfg.shot_after) / cfg.tick_block)))
-    shots = fires.where("tick is not null").select(
-        "match_id", F.col("user_steamid").alias("steamid"), "tick", F.lit(True).alias("_shot"),
-        F.explode(edges).alias("_blk"))
+    # distinct first: repeated events must not pile up in one block
+    shots = fires.where("tick is not null").select("match_id", F.col("user_steamid").alias("steamid"), "tick").distinct()
+    shots = shots.select("*", F.lit(True).alias("_shot"), F.explode(edges).alias("_blk"))
     both = ticks.select("*", F.lit(False).alias("_shot"), block).unionByName(shots, allowMissingColumns=True)
     w = Window.partitionBy(*PLAYER, "_blk").orderBy("tick").rangeBetween(-cfg.shot_after, cfg.shot_before)
     return both.withColumn("in_shot", F.max("_shot").over(w)).where("not _shot").drop("_shot")

@@ -59,8 +59,9 @@ def judge(metrics: DataFrame, *, cfg: AnalysisConfig = DEFAULT, model: DataFrame
 
 def combat_events(ticks: DataFrame, fires: DataFrame, metrics: DataFrame, *, cfg: AnalysisConfig = DEFAULT,
                   profile="tabular") -> DataFrame:
-    kin = materialize(kinematics(timeline(mark_shots(ticks, fires, cfg), profile, cfg), cfg).select(*KIN_COLUMNS, "around"), "kinematics")
-    kinds = [aim.snap_events_of(kin, cfg),
+    full = kinematics(timeline(mark_shots(ticks, fires, cfg), profile, cfg), cfg)
+    kin = materialize(full.select(*KIN_COLUMNS), "kinematics")
+    kinds = [aim.snap_events_of(full, cfg),
              bhop.chain_events_of(bhop.jump_rows_of(kin, profile), cfg, materialize),
              occlusion.lock_events(ticks, metrics, cfg=cfg),
              spin.spin_events(metrics, cfg),
