@@ -69,6 +69,17 @@ def server_label(name) -> Column:
     return F.when((_c(name) != "") & (_c(name) != "unknown"), _c(name)).otherwise("Serveur CS2")
 
 
+def replay_context(map_name, server_name, name, path) -> Column:
+    """struct(map_name, server_name, demo_filename) with the texts reports use for what is unknown."""
+    def known(x):
+        return F.when(_c(x) != "", _c(x))
+
+    return F.struct(
+        F.coalesce(known(map_name), F.lit("Inconnue")).alias("map_name"),
+        F.coalesce(known(server_name), F.lit("Serveur Inconnu")).alias("server_name"),
+        F.coalesce(known(name), file_name(known(path)), F.lit("demo_inconnue.dem")).alias("demo_filename"))
+
+
 def duration_label(seconds) -> Column:
     whole = F.floor(_c(seconds)).cast("long")
     return F.format_string("%02dm %02ds", F.expr("0L") + F.floor(whole / 60), whole % 60)

@@ -1,5 +1,7 @@
 """End-to-end analysis: ticks and shots in, metrics, verdicts and event timeline out, for all matches in one job."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +37,16 @@ def player_metrics(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig =
     kin = kinematics(timeline(mark_shots(ticks, fires, cfg), profile, cfg), cfg).select(*KIN_COLUMNS)
     keep = materialize if stored else lazy
     kin = keep(kin, "kinematics")
-    parts = [
-        aim.aim_metrics_of(kin, cfg, keep),
-        bhop.bhop_metrics_of(bhop.jump_rows_of(kin, profile), profile, cfg, keep),
-        spin.spin_metrics_of(kin, cfg),
-        occlusion.occlusion_metrics(ticks, cfg=cfg, profile=profile, crowded=occlusion.crowd_or_none(ticks), keep=keep),
-        trigger.trigger_metrics(ticks, own_shots(fires), cfg=cfg, radius=radius, keep=keep),
+    builders = [
+        lambda: aim.aim_metrics_of(kin, cfg, keep),
+        lambda: bhop.bhop_metrics_of(bhop.jump_rows_of(kin, profile), profile, cfg, keep),
+        lambda: spin.spin_metrics_of(kin, cfg),
+        lambda: occlusion.occlusion_metrics(ticks, cfg=cfg, profile=profile, crowded=occlusion.crowd_or_none(ticks), keep=keep),
+        lambda: trigger.trigger_metrics(ticks, own_shots(fires), cfg=cfg, radius=radius, keep=keep),
     ]
+    # the written intermediates of the detectors are independent jobs: submit them together
+    with ThreadPoolExecutor(len(builders)) as pool:
+        parts = list(pool.map(lambda build: build(), builders))
     out = results.roster(ticks)
     for p in parts:
         out = out.join(p, [*PLAYER], "left")

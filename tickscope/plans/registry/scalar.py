@@ -229,7 +229,9 @@ def prj4(spark, sf):
 @query("PRJ-5", I.with_sql(I.BASE_SQL, """, m AS (SELECT match_id, max(tick) - min(tick) + 1 AS n, CAST(substr(match_id, 2) AS BIGINT) AS k FROM ticks GROUP BY 1)
   SELECT match_id, CASE WHEN k % 3 = 0 THEN 'CARTE INCONNUE' ELSE 'DE_MAP' || CAST(k AS VARCHAR) END AS map,
          CASE WHEN k % 2 = 0 THEN 'Serveur CS2' ELSE 'srv' || CAST(k AS VARCHAR) END AS server,
-         printf('%02dm %02ds', n * 50 // 64 // 60, n * 50 // 64 % 60) AS duration, 'm' || CAST(k AS VARCHAR) || '.dem' AS file FROM m"""))
+         printf('%02dm %02ds', n * 50 // 64 // 60, n * 50 // 64 % 60) AS duration, 'm' || CAST(k AS VARCHAR) || '.dem' AS file,
+         CASE WHEN k % 3 = 0 THEN 'Inconnue' ELSE 'de_map' || CAST(k AS VARCHAR) END AS context_map,
+         CASE WHEN k % 4 = 0 THEN 'demo_inconnue.dem' ELSE 'm' || CAST(k AS VARCHAR) || '.dem' END AS context_file FROM m"""))
 def prj5(spark, sf):
     m = results.match_span(I.ticks(spark, sf)).withColumn("k", F.expr("cast(substring(match_id, 2) as bigint)"))
     k = F.col("k").cast("string")
@@ -237,7 +239,9 @@ def prj5(spark, sf):
                        "server_name": F.when(F.col("k") % 2 == 0, "unknown").otherwise(F.concat(F.lit("srv"), k)),
                        "path": F.concat(F.lit("/replays/"), F.col("match_id"), F.lit(".dem"))})
     return m.select("match_id", text.map_label("map_name").alias("map"), text.server_label("server_name").alias("server"),
-                    text.duration_label(F.col("duration_seconds") * 50).alias("duration"), text.file_name("path").alias("file"))
+                    text.duration_label(F.col("duration_seconds") * 50).alias("duration"), text.file_name("path").alias("file"),
+                    text.replay_context("map_name", "server_name", F.lit(""), F.when(F.col("k") % 4 != 0, F.col("path"))).alias("c")).select(
+        "match_id", "map", "server", "duration", "file", F.col("c.map_name").alias("context_map"), F.col("c.demo_filename").alias("context_file"))
 
 
 @query("PRJ-6", I.with_sql(I.BASE_SQL, "SELECT event_id, CASE event_id % 4 WHEN 2 THEN 'T' WHEN 3 THEN 'CT' ELSE 'SPEC' END AS team FROM ticks"))

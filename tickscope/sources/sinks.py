@@ -12,6 +12,12 @@ MANIFEST_SCHEMA = """match_id string, match_category string, data_path string, m
 MANIFEST_COLUMNS = [c.split()[0] for c in MANIFEST_SCHEMA.replace("\n", " ").split(",")]
 
 
+def write_ticks(ticks: DataFrame, path: str) -> None:
+    """Tick table clustered by match and tick: filters on a match or a span skip row groups, and a large match is
+    spread over many files."""
+    ticks.repartitionByRange("match_id", "tick").sortWithinPartitions("match_id", "tick").write.parquet(path)
+
+
 def write_manifest(manifest: DataFrame, path: str) -> None:
     manifest.select(*MANIFEST_COLUMNS).orderBy("match_id").write.option("header", True).csv(path)
 
