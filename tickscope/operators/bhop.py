@@ -19,7 +19,7 @@ def jump_rows_of(kin: DataFrame, profile="tabular") -> DataFrame:
     start = F.lit(False) if profile == "replay" else F.col("air")
     before = F.coalesce("air_before", start)
     return kin.select(
-        *PLAYER, "tick", "yaw", "velocity_X", "velocity_Y", "row_i", "row_n", "air",
+        *PLAYER, "tick", "yaw", "velocity_X", "velocity_Y", "row_i", "row_n", "air", "air_known",
         (F.col("air") & ~before).alias("takeoff"), (~F.col("air") & before).alias("landing"),
         horizontal_speed("velocity_X", "velocity_Y").alias("speed_2d"))
 
@@ -77,6 +77,7 @@ def bhop_metrics_of(rows: DataFrame, profile="tabular", cfg: AnalysisConfig = DE
     mean_speed = F.avg("speed_2d") if replay else F.sqrt(F.avg(v2))
     base = rows.groupBy(*PLAYER).agg(
         F.max("row_n").alias("rows"), F.count_if("takeoff").alias("jumps"), F.count_if("air").alias("air_rows"),
+        F.count_if("air_known").alias("known_rows"),
         F.coalesce(mean_speed, F.lit(0.0)).alias("mean_speed"))
     iv = keep(ground_intervals(rows, cfg), "intervals") if intervals is None else intervals
     out = base.join(interval_stats(iv), [*PLAYER], "left").join(
@@ -87,7 +88,7 @@ def bhop_metrics_of(rows: DataFrame, profile="tabular", cfg: AnalysisConfig = DE
         out = out.withColumns({"strafe": F.lit(0.0), "gain": F.lit(0.0)})
     min_rows = cfg.bhop_min_rows_replay if replay else cfg.bhop_min_rows_tabular
     min_jumps = cfg.bhop_min_jumps_replay if replay else cfg.bhop_min_jumps_tabular
-    measured = F.col("rows") >= min_rows
+    measured = (F.col("rows") >= min_rows) & (F.col("known_rows") > 0)  # a source without the flag has no profile
     if replay:
         jumps = F.col("jumps")
     else:

@@ -101,41 +101,34 @@ def exact_percentile(df: DataFrame, value: str, p: float, out: str, keys: Sequen
                      widths: Sequence[float] = (1.0 / 64,), limit: int = 65536) -> DataFrame:
     """Linear-interpolated percentile per key.
 
-    Each round counts values in buckets (partial aggregation, at most 2*limit buckets per key), finds the
-    bucket(s) that hold the two wanted ranks and keeps only the rows in them. Equal values are
-    pre-aggregated before the last ranking.
+    Equal values are counted first, before any shuffle, so a value that fills a third of the rows is one row after
+    that. Each round counts in buckets (at most 2*limit per key), finds the bucket(s) that hold the two wanted ranks
+    and keeps only the values in them.
     """
     keys = list(keys)
-    rows = df.select(*keys, F.col(value).cast("double").alias("_x")).where("_x is not null")
+    x = F.col(value).cast("double").alias("_x")
+    rows = df.select(*keys, x).where("_x is not null").groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
     rows = rows.withColumns({"_below": F.lit(0).cast("long"), "_lo": F.lit(None).cast("long"),
-                             "_hi": F.lit(None).cast("long"), "_frac": F.lit(None).cast("double"),
-                             "_base": F.lit(0.0)})
+                             "_hi": F.lit(None).cast("long"), "_frac": F.lit(None).cast("double"), "_base": F.lit(0.0)})
+    state = ("_below", "_lo", "_hi", "_frac", "_base")
     grp: list[str] = []
     for level, width in enumerate(widths):
-        bucket = F.floor(F.least(F.greatest((F.col("_x") - F.col("_base")) / width, F.lit(-float(limit))),
-                                 F.lit(float(limit))))
-        rows = rows.withColumn(f"_b{level}", bucket)
+        b = f"_b{level}"
+        offset = (F.col("_x") - F.col("_base")) / width
+        rows = rows.withColumn(b, F.floor(F.least(F.greatest(offset, F.lit(-float(limit))), F.lit(float(limit)))))
         part = [*keys, *grp]
-        w = Window.partitionBy(*part).orderBy(f"_b{level}").rowsBetween(BEFORE, 0)
-        hist = rows.groupBy(*part, f"_b{level}").agg(
-            F.count(F.lit(1)).alias("_c"), F.first("_below").alias("_below"), F.first("_lo").alias("_lo"),
-            F.first("_hi").alias("_hi"), F.first("_frac").alias("_frac"))
+        w = Window.partitionBy(*part).orderBy(b).rowsBetween(BEFORE, 0)
+        hist = rows.groupBy(*part, b).agg(F.sum("_c").alias("_c"), *[F.first(c).alias(c) for c in state])
         if level == 0:
             hist = hist.withColumn("_pos", F.lit(float(p)) * (F.sum("_c").over(Window.partitionBy(*part)) - 1))
-            hist = hist.withColumns({"_lo": F.floor("_pos"), "_hi": F.ceil("_pos"),
-                                     "_frac": F.col("_pos") - F.floor("_pos")})
-        hist = hist.withColumn("_cum", F.col("_below") + F.sum("_c").over(w)).where(
-            "_cum > _lo and _cum - _c <= _hi")
-        picks = hist.select(*part, f"_b{level}", (F.col("_cum") - F.col("_c")).alias("_nbelow"),
-                            F.col("_lo").alias("_nlo"), F.col("_hi").alias("_nhi"), F.col("_frac").alias("_nfrac"))
-        grp.append(f"_b{level}")
-        rows = rows.join(picks, [*keys, *grp]).select(
-            *keys, *grp, "_x", F.col("_nbelow").alias("_below"), F.col("_nlo").alias("_lo"),
-            F.col("_nhi").alias("_hi"), F.col("_nfrac").alias("_frac"),
-            (F.col("_base") + F.col(f"_b{level}") * width).alias("_base"))
+            hist = hist.withColumns({"_lo": F.floor("_pos"), "_hi": F.ceil("_pos"), "_frac": F.col("_pos") - F.floor("_pos")})
+        picks = hist.withColumn("_cum", F.col("_below") + F.sum("_c").over(w)).where("_cum > _lo and _cum - _c <= _hi").select(
+            *part, b, (F.col("_cum") - F.col("_c")).alias("_below"), "_lo", "_hi", "_frac",
+            (F.col("_base") + F.col(b) * width).alias("_base"))
+        grp.append(b)
+        rows = rows.drop(*state).join(picks, [*keys, *grp])
     w = Window.partitionBy(*keys, *grp).orderBy("_x").rowsBetween(BEFORE, 0)
-    ranked = rows.groupBy(*keys, *grp, "_below", "_lo", "_hi", "_frac", "_x").agg(
-        F.count(F.lit(1)).alias("_c")).withColumn("_cum", F.col("_below") + F.sum("_c").over(w))
+    ranked = rows.withColumn("_cum", F.col("_below") + F.sum("_c").over(w))
     lo = F.min(F.when(F.col("_cum") > F.col("_lo"), F.col("_x")))
     hi = F.min(F.when(F.col("_cum") > F.col("_hi"), F.col("_x")))
     return ranked.groupBy(*keys).agg((lo + (hi - lo) * F.first("_frac")).alias(out))

@@ -162,8 +162,8 @@ def lock_events(ticks: DataFrame, metrics: DataFrame, *, cfg: AnalysisConfig = D
     flagged = metrics.where((F.col("wh_ratio_lock_strict") > cfg.lock_event_ratio)
                             | (F.col("wh_tracking_consecutif_max") >= cfg.lock_event_run))
     pairs = sight_pairs(ticks, cfg, team_mode=team_mode, alive_only=alive_only, in_range=False, occluded=False)
-    pairs = pairs.join(flagged.select(*PLAYER), [*PLAYER], "left_semi")
     hidden = ~F.col("spotted")
+    # spans of all players are partially aggregated where the pairs arise; only one row per player meets the flags
     span = pairs.groupBy(*PLAYER).agg(
         F.min(F.when(hidden, F.col("tick"))).alias("start_tick"), F.max(F.when(hidden, F.col("tick"))).alias("end_tick"),
         F.min(F.struct("tick", "target", "target_name")).alias("first")).where("start_tick is not null")

@@ -217,11 +217,11 @@ def _ticket(players, events, template, lines, head, empty, flag_bullet, generato
     return d.withColumn("report", render(template, v)).drop("_events")
 
 
-def ticket_fr(players: DataFrame, events: DataFrame, generator="Telemetry Replay Auditor") -> DataFrame:
+def ticket_fr(players: DataFrame, events: DataFrame, generator="tickscope") -> DataFrame:
     return _ticket(players, events, TICKET_FR, TICKET_FR_LINES, TICKET_FR_EVENTS, TICKET_FR_EMPTY, "  • ", generator)
 
 
-def ticket_en(players: DataFrame, events: DataFrame, generator="Telemetry Replay Auditor") -> DataFrame:
+def ticket_en(players: DataFrame, events: DataFrame, generator="tickscope") -> DataFrame:
     return _ticket(players, events, TICKET_EN, TICKET_EN_LINES, TICKET_EN_EVENTS, TICKET_EN_EMPTY, "• ", generator)
 
 

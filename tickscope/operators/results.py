@@ -153,14 +153,16 @@ def first_events(timeline: DataFrame, n: int) -> DataFrame:
 
 
 def resolve_players(refs: DataFrame, roster_: DataFrame, column: str = "identifier") -> DataFrame:
-    """Identifier (id or name) to player: two equi-joins instead of an OR condition."""
-    by_id = roster_.select("match_id", F.col("steamid").alias(column), F.col("name").alias("_by_id"))
-    # several players may share a name: the smallest id stands for it
-    by_name = roster_.groupBy("match_id", F.col("name").alias(column)).agg(F.min("steamid").alias("_sid"))
-    return refs.join(by_id, ["match_id", column], "left").join(by_name, ["match_id", column], "left").select(
-        *refs.columns,
-        F.coalesce("_by_id", F.when(F.col("_sid").isNotNull(), F.col(column)), F.col(column)).alias("resolved_name"),
-        F.coalesce(F.when(F.col("_by_id").isNotNull(), F.col(column)), F.col("_sid")).alias("resolved_steamid"))
+    """Identifier (id or name) to player: one equi-join with a map of both instead of an OR condition.
+
+    Ids come before names; of players who share a name the smallest id stands for it.
+    """
+    keys = F.array(F.struct(F.col("steamid").alias("k"), F.lit(0).alias("by")), F.struct(F.col("name").alias("k"), F.lit(1).alias("by")))
+    known = roster_.select("match_id", "steamid", "name", F.inline(keys)).where("k is not null")
+    best = F.min(F.struct("by", "steamid", "name"))
+    known = known.groupBy("match_id", F.col("k").alias(column)).agg(best.alias("_p"))
+    return refs.join(known, ["match_id", column], "left").select(
+        *refs.columns, F.coalesce("_p.name", F.col(column)).alias("resolved_name"), F.col("_p.steamid").alias("resolved_steamid"))
 
 
 def fingerprint(*parts: Column, length: int = 32) -> Column:

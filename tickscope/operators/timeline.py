@@ -122,5 +122,6 @@ def kinematics(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
         "around": F.collect_list(F.struct("tick", "yaw", "pitch")).over(w.rowsBetween(-3, 3)),
     })
     if "is_airborne" in rows.columns:
-        d = d.withColumn("air", F.coalesce("is_airborne", F.lit(False))).withColumn("air_before", lag("air"))
+        d = d.withColumns({"air": F.coalesce("is_airborne", F.lit(False)), "air_known": F.col("is_airborne").isNotNull()})
+        d = d.withColumn("air_before", lag("air"))
     return d.where("_own").drop("_own", "_rb", "_yaw_turn", "_pitch_turn")

@@ -15,7 +15,7 @@ from tickscope.sources.workdir import lazy, materialize
 
 KIN_COLUMNS = (*PLAYER, "tick", "yaw", "velocity_X", "velocity_Y", "pitch", "row_i", "row_n", "in_shot", "use_shot",
                "src_i", "src_n", "speed", "jerk", "direction_change", "raw_speed", "raw_d_yaw", "raw_d_pitch", "raw_jerk",
-               "spin_mean", "pitch_var", "pitch_turns", "yaw_flip", "air", "air_before", "active_weapon_name")
+               "spin_mean", "pitch_var", "pitch_turns", "yaw_flip", "air", "air_known", "air_before", "active_weapon_name")
 
 
 def prepare(raw: DataFrame) -> DataFrame:

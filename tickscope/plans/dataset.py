@@ -41,7 +41,7 @@ def canonical_features(df: DataFrame) -> DataFrame:
 
 def build_manifest(pairs: DataFrame, cheaters: DataFrame, corrupt: DataFrame | None = None) -> DataFrame:
     """Paired files with labels. ``cheaters``: (match_category, base, steamid); ``corrupt``: (match_category, base)."""
-    m = pairs.where("status = 'paired'")
+    m = pairs.where("status = 'paired'").where(F.col("match_category").isin(WITH, WITHOUT))
     if corrupt is not None:
         m = m.join(corrupt.select("match_category", "base").distinct(), ["match_category", "base"], "left_anti")
     # the manifest format holds the verified players of a match in one text field

@@ -452,7 +452,7 @@ def rpt1(spark, sf):
 
 def _ticket_extra(empty, bullet):
     return {"flags": _bullets_sql("factors", bullet, empty["flags"]), "observations": _quote("• " + reports.OBSERVATIONS[0]),
-            "comment": f"CASE WHEN ml_score > 50 THEN 'vu en direct' ELSE {_quote(empty['comment'])} END", "generator": "'Telemetry Replay Auditor'"}
+            "comment": f"CASE WHEN ml_score > 50 THEN 'vu en direct' ELSE {_quote(empty['comment'])} END", "generator": "'tickscope'"}
 
 
 def _ticket_players(spark, sf):

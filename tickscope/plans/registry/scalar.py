@@ -173,8 +173,8 @@ def flt3(spark, sf):
 def flt4(spark, sf):
     t = I.ticks(spark, sf)
     people = clean.events_by_player(hurt(t)).withColumnRenamed("person", "steamid")
-    return people.join(results.roster(t), [*PLAYER], "left_semi").groupBy(*PLAYER).agg(
-        F.count(F.lit(1)).alias("events"), F.min("tick").alias("first_tick"))
+    counts = people.groupBy(*PLAYER).agg(F.count(F.lit(1)).alias("events"), F.min("tick").alias("first_tick"))
+    return counts.join(results.roster(t), [*PLAYER], "left_semi")
 
 
 @query("FLT-5", I.with_sql(I.BASE_SQL, """, p AS (SELECT match_id, steamid, min(team_num) AS team_number FROM ticks GROUP BY 1, 2)

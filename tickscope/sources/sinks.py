@@ -51,13 +51,14 @@ def read_features(spark: SparkSession, path: str, expected: dict[str, str] | Non
 def write_results(matches: DataFrame, players: DataFrame, events: DataFrame, path: str, page: int = 1000) -> None:
     """Nested results as gzip JSON lines.
 
-    A player document carries at most ``page`` events; further events go to further documents of the same
+    A player document carries at most ``page`` events; further events go to further documents that name only the
     player, so no group grows with the data. ``events`` has ``seq``.
     """
     cols = [c for c in events.columns if c not in PLAYER]
     pages = events.withColumn("page", F.floor((F.col("seq") - 1) / page)).groupBy(*PLAYER, "page").agg(
         F.array_sort(F.collect_list(F.struct("seq", *[c for c in cols if c != "seq"]))).alias("combat_events"))
-    docs = players.join(pages, [*PLAYER], "left").withColumn("page", F.coalesce("page", F.lit(0)))
+    first = players.join(pages.where("page = 0"), [*PLAYER], "left").withColumn("page", F.coalesce("page", F.lit(0)))
+    docs = first.unionByName(pages.where("page > 0"), allowMissingColumns=True)
     docs.write.option("compression", "gzip").json(f"{path}/players")
     matches.write.option("compression", "gzip").json(f"{path}/matches")
 
