@@ -60,3 +60,20 @@ def test_from_files(spark, make, tmp_path):
     fires = readers.explode_events(readers.read_event_documents(spark, str(tmp_path / "ev")), "weapon_fire").withColumnRenamed("actor", "user_steamid")
     players, _ = analyze.analyse_matches(ticks, fires.select("match_id", "tick", "user_steamid"))
     assert {r.steamid[-1]: r.verdict for r in players.collect()}["1"] == "CHEATER"
+
+
+def test_matches_arrive(spark, make, tmp_path):
+    from tickscope.streaming import arrivals
+    src, out, cp = (str(tmp_path / d) for d in ("in", "out", "cp"))
+
+    def arrive(match):
+        scene(make).withColumn("match_id", F.lit(match)).drop("name").coalesce(1).write.mode("append").parquet(src)
+        stream = readers.read_tick_stream(spark, src)
+        none = lambda t: t.select("match_id", "tick", F.col("steamid").alias("user_steamid")).where("false")
+        arrivals.analyse_on_arrival(stream, none, out, cp).awaitTermination()
+        return spark.read.parquet(f"{out}/players")
+
+    first = arrive("one")
+    assert first.count() == 4
+    both = arrive("two").orderBy("match_id", "steamid").select("match_id", "batch", "verdict").collect()
+    assert [(r.match_id, r.batch) for r in both] == [("one", 0)] * 4 + [("two", 1)] * 4 and both[0].verdict == both[4].verdict == "CHEATER"

@@ -41,7 +41,17 @@ def read_ticks(spark: SparkSession, paths: str | Sequence[str], match_column: bo
     """Parquet ticks with their place in the file (``source_file``, ``source_row``). The fixed schema makes an absent optional column null and prunes all others at the scan;
     no footer of any other file is needed for it. Without a match_id column the file is the match."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.schema(_schema(match_column)).parquet(*paths)
+    return _placed(spark.read.schema(_schema(match_column)).parquet(*paths), match_column)
+
+
+def read_tick_stream(spark: SparkSession, folder: str, match_column: bool = True, per_trigger: int = 100,
+                     max_age: str = "3650d") -> DataFrame:
+    """The same for files as they arrive. A match must arrive within one file or one folder move."""
+    reader = spark.readStream.schema(_schema(match_column)).option("maxFilesPerTrigger", per_trigger).option("maxFileAge", max_age)
+    return _placed(reader.parquet(folder), match_column)
+
+
+def _placed(df: DataFrame, match_column: bool) -> DataFrame:
     if not match_column:
         df = df.withColumn("match_id", _match_from_file())
     return tidy_ticks(df.withColumns({"source_file": F.col("_metadata.file_path"), "source_row": F.col("_metadata.row_index")}))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tickscope.plans.analyze import analyse_matches, prepare
+from tickscope.sources.workdir import materialize
 from tickscope.sources.files import MAGIC_HEX, valid_header, with_head
 
 
@@ -36,6 +38,22 @@ def tick_arrivals(spark: SparkSession, folder: str, schema: str, per_trigger: in
         "maxFileAge", max_age).parquet(folder)
 
 
+def analyse_on_arrival(ticks: DataFrame, fires_of: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
+                       **options) -> StreamingQuery:
+    """Verdicts of every match that arrives (``read_tick_stream``), under ``out``/players and ``out``/matches.
+
+    ``fires_of`` gives the shots for a batch of ticks. A batch that is repeated after a failure overwrites its own
+    folder, so results stay exact.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        clean = materialize(prepare(batch), "arrived")
+        players, matches = analyse_matches(clean, fires_of(clean), **options)
+        players.write.mode("overwrite").parquet(f"{out}/players/batch={batch_id}")
+        matches.write.mode("overwrite").parquet(f"{out}/matches/batch={batch_id}")
+
+    return on_arrival(ticks, handle, checkpoint)
+
+
 def on_arrival(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Call ``handle`` once per batch; the checkpoint remembers which files are done."""
     return (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
