@@ -8,7 +8,7 @@ from tickscope.config import DEFAULT as CFG
 from tickscope.functions.numbers import stable_round
 from tickscope.operators import aim, bhop, occlusion, spin, trigger
 from tickscope.operators.blocks import PLAYER, exact_percentile
-from tickscope.operators.timeline import kinematics, mark_shots, shot_ticks, timeline
+from tickscope.operators.timeline import kinematics, shot_ticks, timeline
 from tickscope.plans import inputs as I
 from tickscope.plans.registry import query
 from tickscope.sources.workdir import materialize

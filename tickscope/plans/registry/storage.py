@@ -8,7 +8,7 @@ from tickscope.operators.blocks import PLAYER
 from tickscope.plans import dataset
 from tickscope.plans import inputs as I
 from tickscope.plans.registry import query
-from tickscope.plans.registry.learning import LABELS_SQL, MANIFEST_SQL, cheaters, features, manifest_with_split
+from tickscope.plans.registry.learning import LABELS_SQL, MANIFEST_SQL, features, manifest_with_split
 from tickscope.plans.registry.relational import THR_SQL, judged, report_events
 from tickscope.plans.registry.scalar import HURT_SQL, hurt
 from tickscope.sources import files, sinks

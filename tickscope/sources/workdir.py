@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary folder only where none is set, as in local tests."""
+    """The shared folder the session names. Only a local session without one gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        app = spark.sparkContext.applicationId
+        named = _LOCAL.setdefault(app, _LOCAL.get(app) or tempfile.mkdtemp(prefix="spark-"))
     return named.rstrip("/")
 
 
