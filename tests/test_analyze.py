@@ -1,6 +1,7 @@
 """End to end: raw files to verdicts."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -66,14 +67,32 @@ def test_matches_arrive(spark, make, tmp_path):
     from tickscope.streaming import arrivals
     src, out, cp = (str(tmp_path / d) for d in ("in", "out", "cp"))
 
-    def arrive(match):
-        scene(make).withColumn("match_id", F.lit(match)).drop("name").coalesce(1).write.mode("append").parquet(src)
-        stream = readers.read_tick_stream(spark, src)
+    whole = scene(make).withColumn("match_id", F.lit("two")).drop("name")
+
+    def arrive(df):
+        df.coalesce(1).write.mode("append").parquet(src)
         none = lambda t: t.select("match_id", "tick", F.col("steamid").alias("user_steamid")).where("false")
-        arrivals.analyse_on_arrival(stream, none, out, cp).awaitTermination()
-        return spark.read.parquet(f"{out}/players")
+        arrivals.analyse_on_arrival(spark, src, none, out, cp, per_trigger=1).awaitTermination()
+        return arrivals.latest_results(spark, f"{out}/players")
 
-    first = arrive("one")
+    first = arrive(scene(make).withColumn("match_id", F.lit("one")).drop("name"))
     assert first.count() == 4
-    both = arrive("two").orderBy("match_id", "steamid").select("match_id", "batch", "verdict").collect()
-    assert [(r.match_id, r.batch) for r in both] == [("one", 0)] * 4 + [("two", 1)] * 4 and both[0].verdict == both[4].verdict == "CHEATER"
+    arrive(whole.where("tick < 1060"))  # half of a match, the rest comes in a later batch
+    both = arrive(whole.where("tick >= 1060")).orderBy("match_id", "steamid").collect()
+    assert [r.match_id for r in both] == ["one"] * 4 + ["two"] * 4
+    assert [(r.steamid, r.verdict, r.suspicion_score, r.spinbot_yaw_speed_max) for r in both[:4]] == [(r.steamid, r.verdict, r.suspicion_score, r.spinbot_yaw_speed_max) for r in both[4:]]
+    assert os.listdir(out) and arrivals.latest_results(spark, f"{out}/events").count() > 0
+
+
+def test_shots_without_fire_events(spark, make, shots):
+    t = scene(make).withColumn("is_firing", (F.col("steamid") == "76561198000000003") & F.col("tick").between(1050, 1052))
+    got = analyze.shots_from(t, shots([])).collect()
+    assert [(r.steamid, r.tick) for r in got] == [("76561198000000003", 1050)]
+    assert [r.tick for r in analyze.shots_from(t, shots([1010], "76561198000000003")).collect()] == [1010]
+
+
+def test_work_is_removed(spark, make, shots, tmp_path):
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file:") + "/tickscope"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    analyze.analyse_to(str(tmp_path / "out"), scene(make), shots([1050], "76561198000000003"))
+    assert spark.read.parquet(str(tmp_path / "out" / "players")).count() == 4 and set(os.listdir(root)) == before

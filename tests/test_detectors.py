@@ -202,11 +202,21 @@ def test_side_swap(make):
 
 def test_crowded_match_uses_cells(make, spark):
     t = duel(make)
-    crowd = spark.createDataFrame([("m",)], "match_id string")
-    plain = occlusion.sight_pairs(t).select("tick", "steamid", "target", "error").collect()
-    cells = occlusion.sight_pairs(t, crowded=crowd).select("tick", "steamid", "target", "error").collect()
+    plain, cells = (occlusion.sight_pairs(t, replace(DEFAULT, crowd=c)).select("tick", "steamid", "target", "error").collect() for c in (10**9, 1))
     assert sorted(plain) == sorted(cells) and len(plain) > 0
-    assert occlusion.crowded_matches(t, crowd=1).count() == 1
+
+
+def test_two_thousand_players_on_one_tick(spark):
+    rows = spark.range(2000).selectExpr("'m' as match_id", "cast(id as string) as steamid", "cast(id as string) as name", "1L as tick", "cast(id * 700 as double) as X",
+                                        "0.0D as Y", "0.0D as Z", "0.0D as pitch", "0.0D as yaw", "cast(2 + id % 2 as int) as team_num", "100 as health", "false as spotted")
+    plain, cells = (occlusion.sight_pairs(rows, replace(DEFAULT, crowd=c)).select("steamid", "target", "distance", "error").collect() for c in (10**9, 64))
+    assert sorted(plain) == sorted(cells) and len(plain) == 2 * (1999)
+
+
+def test_first_opponent_is_that_of_the_match(make):
+    t = make(dict(n=80, steamid="z", X=9000.0, start=900), dict(n=80, steamid="a", team_num=3), dict(n=80, steamid="b", X=500.0, Z=2.0))
+    ev = occlusion.lock_events(t, occlusion.occlusion_metrics(t)).where("steamid = 'a'").collect()
+    assert [(r.target_steamid, r.start_tick, r.end_tick) for r in ev] == [("z", 1000, 1079)]
 
 
 def test_active_tracking_needs_movement(make):

@@ -38,6 +38,8 @@ def test_split(spark, a, b):
 def test_balanced_sample(spark):
     n = dataset.balanced_sample(matches(spark, 3, 20), 10).groupBy("label").count().toPandas().set_index("label")["count"].to_dict()
     assert n == {dataset.WITH: 3, dataset.WITHOUT: 7}
+    for asked in (23, 40):
+        assert dataset.balanced_sample(matches(spark, 3, 20), asked).count() == 23
 
 
 def test_unknown_is_not_clean(spark):
@@ -95,16 +97,36 @@ def feature_table(spark):
     pdf = pd.DataFrame({f: rng.normal(size=n) + 3.0 * label * (i < 4) for i, f in enumerate(dataset.FEATURES)})
     pdf["label"], pdf["player_key"], pdf["usable_for_training"] = label, [f"k{i}" for i in range(n)], True
     pdf["split"] = np.where(np.arange(n) % 10 < 6, "train", np.where(np.arange(n) % 10 < 8, "validation", "test"))
+    pdf["match_id"] = [f"m{i % 10}" for i in range(n)]
     return spark.createDataFrame(pdf).cache()
 
 
-def test_training(spark, feature_table):
-    out = training.train(feature_table, replace(DEFAULT, n_trees=20))
+def test_training(spark, feature_table, tmp_path):
+    cfg = replace(DEFAULT, n_trees=20, iforest_trees=20)
+    out = training.train(feature_table, cfg, path=str(tmp_path / "bundle"))
+    again = training.load_bundle(spark, str(tmp_path / "bundle"))
+    a, b = (training.score_players(x, feature_table, cfg).orderBy("player_key").select("ml_score", "anomaly_score").collect() for x in (out, again))
+    assert a == b and all(0 <= r.ml_score <= 100 for r in a)
+    assert out["counts"]["train_0"] + out["counts"]["train_1"] == 144
+    broken = feature_table.withColumn("aim_p99", F.when(F.col("player_key") != "k3", F.col("aim_p99")))
+    odd = {r.player_key: r for r in training.score_players(again, broken, cfg).collect()}
+    assert odd["k3"].ml_score is None and odd["k3"].anomaly_score is None and odd["k4"].ml_score is not None
+    with pytest.raises(RuntimeError):
+        training.train(feature_table.withColumn("match_id", F.lit("one")), cfg)
+    rejected = spark.createDataFrame([("a", "rejected")], "match_id string, status string")
+    with pytest.raises(RuntimeError):
+        training.train(feature_table, cfg, status=rejected)
     assert out["test"]["f1"] > 0.8 and out["test_auc"] > 0.9
     meta = training.check_metadata(out["meta"]).first()
     assert meta.problems == [] and 0 < meta.threshold_suspect < meta.threshold_high <= 1
 
 
+def test_scaling_knows_the_training_rows_only(spark, feature_table):
+    far = feature_table.withColumn("aim_p99", F.when(F.col("split") == "train", F.col("aim_p99")).otherwise(1e6))
+    z = training.scale(far).where("split = 'train'").agg(F.avg("aim_p99_z"), F.stddev_pop("aim_p99_z")).first()
+    assert abs(z[0]) < 1e-9 and abs(z[1] - 1) < 1e-9
+
+
 def test_missing_feature_is_an_error(spark, feature_table):
     broken = feature_table.withColumn("aim_p99", F.lit(None).cast("double"))
     with pytest.raises(Exception, match="null while assembling|Encountered null|FAILED_EXECUTE_UDF|fit"):

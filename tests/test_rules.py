@@ -64,6 +64,14 @@ def test_model_thresholds(spark):
     assert r["verdict"] == "CHEATER" and r["threshold_high"] == 50.0 and r["threshold_suspect"] == 30.0
 
 
+def test_unknown_score_is_never_clean(spark):
+    base = dict(aim_vitesse_max=1.0, aim_p99=1.0, bhop_total_sauts=0, wh_ratio_lock_strict=0.0, rage=False, threshold_high=80.0, threshold_suspect=60.0)
+    rows = [(i, s, f, *base.values()) for i, (s, f) in enumerate([(None, []), (float("nan"), []), (None, ["x"]), (10.0, [])])]
+    d = spark.createDataFrame(rows, "i int, ml_score double, factors array<string>, aim_vitesse_max double, aim_p99 double, bhop_total_sauts int, wh_ratio_lock_strict double, rage boolean, threshold_high double, threshold_suspect double")
+    got = {r.i: r.verdict for r in rules.normalize_result(rules.with_verdict(rules.with_score(d))).collect()}
+    assert got == {0: "INSUFFICIENT_DATA", 1: "INSUFFICIENT_DATA", 2: "SUSPECT", 3: "CLEAN"}
+
+
 def test_missing_profile_is_never_clean(spark):
     r = one(judge(spark, aim_p99=None))
     assert (r["verdict"], r["analysis_status"], r["data_quality"]) == ("INSUFFICIENT_DATA", "insufficient_data", "insufficient")

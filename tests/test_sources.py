@@ -28,7 +28,7 @@ def test_parquet_ticks(spark, tmp_path):
     full.write.parquet(str(tmp_path / "cls" / "ok.parquet"))
     full.select("tick", "steamid").write.parquet(str(tmp_path / "cls" / "bad.parquet"))
     d = readers.read_ticks(spark, [str(tmp_path / "cls" / "ok.parquet"), str(tmp_path / "cls" / "bad.parquet")], match_column=False)
-    d = d.withColumn("match_id", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    d = d.withColumn("match_id", F.element_at(F.split("source_file", "/"), -2))
     assert "extra" not in d.columns and [r.tick for r in readers.clean_ticks(d).collect()] == [2]
     st = {r.match_id: r for r in readers.match_status(d).collect()}
     assert st["ok.parquet"].status == "accepted" and st["bad.parquet"].status == "rejected"
@@ -37,6 +37,62 @@ def test_parquet_ticks(spark, tmp_path):
         readers.require_coverage(readers.match_status(d))
 
 
+def _typed(spark, path, select):
+    base = spark.createDataFrame([(5, "76561198000000001", 1.0, 2.0, 3.0, 4.0, 5.0, 3, 90, True)],
+                                 "tick long, steamid string, X double, Y double, Z double, pitch double, yaw double, team_num int, health int, spotted boolean")
+    base.selectExpr(*select).coalesce(1).write.parquet(str(path))
+
+
+@pytest.mark.parametrize("changed", [
+    {"team_num": "cast(team_num as long)", "health": "cast(health as long)"}, {"health": "cast(health as double)"}, {"tick": "cast(tick as double)"},
+    {"steamid": "cast(steamid as long)"}, {"spotted": "cast(spotted as int)"}, {"X": "cast(X as float)", "tick": "cast(tick as int)"}, {"X": "cast(X as string)"}])
+def test_parquet_types(spark, tmp_path, changed):
+    cols = ("tick", "steamid", "X", "Y", "Z", "pitch", "yaw", "team_num", "health", "spotted")
+    _typed(spark, tmp_path / "in" / "odd", [f"{changed.get(c, c)} as {c}" for c in cols])
+    _typed(spark, tmp_path / "in" / "plain", [*reversed(cols)])
+    rows = readers.clean_ticks(readers.read_ticks(spark, str(tmp_path / "in"), match_column=False)).select(*cols).collect()
+    assert [tuple(r) for r in rows] == [(5, "76561198000000001", 1.0, 2.0, 3.0, 4.0, 5.0, 3, 90, True)] * 2
+
+
+def test_unreadable_file_is_a_rejected_match(spark, tmp_path):
+    _typed(spark, tmp_path / "in" / "good", ["*"])
+    put(str(tmp_path / "in" / "junk.parquet"), b"this is no table")
+    st = {r.match_id: r.status for r in readers.match_status(readers.read_ticks(spark, str(tmp_path / "in"), match_column=False)).collect()}
+    assert st["in_junk"] == "rejected" and list(st.values()).count("accepted") == 1
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    put(str(tmp_path / "c" / "one.csv"), b"tick,steamid,X,Y,Z,pitch,yaw,health\n7,76561198000000001,1,2,3,4,5,100\n")
+    put(str(tmp_path / "c" / "two.csv.gz"), gzip.compress(b"yaw,steamid,tick,pitch,Z,Y,X\n5,76561198000000002,8.0,4,3,2,1\n"))
+    put(str(tmp_path / "c" / "none.csv.gz"), b"no gzip")
+    d = readers.read_ticks_csv(spark, str(tmp_path / "c"), match_column=False)
+    got = {(r.match_id, r.tick, r.steamid, r.X, r.yaw, r.health) for r in readers.clean_ticks(d).collect()}
+    assert got == {("c_one", 7, "76561198000000001", 1.0, 5.0, 100), ("c_two", 8, "76561198000000002", 1.0, 5.0, None)}
+    assert {r.match_id: r.status for r in readers.match_status(d).collect()}["c_none"] == "rejected"
+
+
+def test_path_schemes():
+    from tickscope.sources.paths import normalize
+
+    assert normalize("file:/a/b") == "file:///a/b" and normalize("s3a://k/x") == "s3://k/x" and normalize("dbfs:/x/y") == "/dbfs/x/y"
+    assert normalize("/a:b/c") == "/a:b/c" and normalize("hdfs://n:1/x") == "hdfs://n:1/x"
+
+
+def test_settled_files(spark):
+    polls = spark.createDataFrame([("a", 9, 1), ("a", 9, 2), ("b", 5, 1), ("b", 9, 2), ("c", 9, 2), ("d", 1, 1), ("d", 9, 2), ("d", 9, 3)], "path string, length long, polled int")
+    assert {tuple(r) for r in arrivals.settled(polls).collect()} == {("a", 9), ("d", 9)}
+
+
+def test_old_notices_are_not_lost(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for path, s in (("new", 2_000_000_000), ("newer", 2_000_000_100), ("year old", 1_960_000_000), ("new", 2_000_000_000)):
+        spark.createDataFrame([(path, 10, s)], "path string, length long, s long").select(
+            "path", "length", F.timestamp_seconds("s").alias("modified_time")).coalesce(1).write.mode("append").parquet(src)
+    s = spark.readStream.schema("path string, length long, modified_time timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    arrivals.on_arrival(arrivals.without_repeats(s, "1 hour"), lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.path for r in spark.read.parquet(out).collect()) == ["new", "newer", "year old"]
+
+
 def test_csv_ticks(spark, tmp_path):
     text = "tick,steamid,X,Y,Z,pitch,yaw,health,junk\n1,a,1,2,3,4,5,100,z\nbad,a,1,2,3,4,5,100,z\n2,a,1,2,3,4,n/a,0,z\n"
     put(str(tmp_path / "cls" / "game.csv.gz"), gzip.compress(text.encode()))

@@ -42,6 +42,7 @@ class AnalysisConfig:
     strict_angle: float = 2.5
     wide_angle: float = 5.0
     range_min: float = 200.0
+    crowd: int = 64  # rows of a tick beyond which positions are matched by grid cell; layout only
     range_max: float = 2000.0
     preaim_range: float = 1000.0
     preaim_angle: float = 10.0

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tickscope.config import DEFAULT, AnalysisConfig
 from tickscope.functions.numbers import stable_round
 from tickscope.operators.blocks import PLAYER, block_window, exact_percentile, row_blocks
-from tickscope.operators.timeline import kinematics, mark_shots, timeline
+from tickscope.operators.timeline import TRAJECTORY, kinematics, mark_shots, timeline
 from tickscope.sources.workdir import Keep, lazy
 
 # fixed values: orthogonal polynomials (degree 1 and 2) on eight equally spaced points, both of squared norm 168
@@ -30,6 +30,8 @@ def source_rows(rows: DataFrame) -> DataFrame:
 def path_shape(src: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     """Adds per row: mean of the next five speeds, and at the end of each block of eight rows the R2 of a
     quadratic fit of yaw (closed form over an orthogonal basis) with the range of the block."""
+    if cfg.row_block % 8:
+        raise ValueError("row_block must be a multiple of eight: blocks of eight rows are fitted inside it")
     w = block_window("src_i")
     eight = w.rowsBetween(-7, 0)
     pos = F.col("_pos")
@@ -94,12 +96,23 @@ def aim_metrics(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig = DEF
 
 
 def snap_events_of(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    """Rows whose raw step (no contiguity test) exceeds the snap threshold, with three rows on each side."""
-    return rows.where(F.col("raw_speed") > cfg.snap_threshold).select(
+    """Rows whose raw step (no contiguity test) exceeds the snap threshold, with three rows on each side.
+
+    Stored rows have no ``around``: the few rows near a snap are then looked up by position.
+    """
+    snaps = rows.where(F.col("raw_speed") > cfg.snap_threshold)
+    if "around" not in rows.columns:
+        near = snaps.select(*PLAYER, F.col("row_i").alias("_snap"), F.explode(F.sequence(
+            F.col("row_i") - TRAJECTORY, F.col("row_i") + TRAJECTORY)).alias("row_i"))
+        seen = near.join(rows.select(*PLAYER, "row_i", "tick", "yaw", "pitch"), [*PLAYER, "row_i"]).groupBy(*PLAYER, "_snap").agg(
+            F.sort_array(F.collect_list(F.struct("row_i", "tick", "yaw", "pitch"))).alias("_near"))
+        snaps = snaps.join(seen.withColumnRenamed("_snap", "row_i"), [*PLAYER, "row_i"]).withColumn(
+            "around", F.transform("_near", lambda x: F.struct(x["tick"].alias("tick"), x["yaw"].alias("yaw"), x["pitch"].alias("pitch"))))
+    return snaps.select(
         *PLAYER, F.lit("aim_snap").alias("type"), "tick",
         stable_round("raw_speed", 2).alias("snap_angle"), stable_round("raw_d_yaw", 2).alias("delta_yaw"),
         stable_round("raw_d_pitch", 2).alias("delta_pitch"), stable_round("raw_jerk", 2).alias("jerk"),
-        F.coalesce(F.col("active_weapon_name") if "active_weapon_name" in rows.columns else F.lit(None).cast("string"),
+        F.coalesce(F.col("active_weapon_name") if "active_weapon_name" in snaps.columns else F.lit(None).cast("string"),
                    F.lit("None")).alias("weapon"),
         F.col("around").alias("trajectory"))
 

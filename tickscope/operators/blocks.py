@@ -98,12 +98,13 @@ def consecutive_runs(df: DataFrame, seq: str, keys: Sequence[str] = PLAYER, aggs
 
 
 def exact_percentile(df: DataFrame, value: str, p: float, out: str, keys: Sequence[str] = PLAYER,
-                     widths: Sequence[float] = (1.0 / 64,), limit: int = 65536) -> DataFrame:
+                     widths: Sequence[float] = ()) -> DataFrame:
     """Linear-interpolated percentile per key.
 
     Equal values are counted first, before any shuffle, so a value that fills a third of the rows is one row after
-    that. Each round counts in buckets (at most 2*limit per key), finds the bucket(s) that hold the two wanted ranks
-    and keeps only the values in them.
+    that. Each round counts in buckets, finds the bucket(s) that hold the two wanted ranks and keeps only the values in them. The first
+    buckets are logarithmic, 512 per factor e beyond 1/64, so that doubles of any size fall into some hundred thousand at
+    most and none holds all that is large; ``widths`` adds rounds of equal buckets inside those.
     """
     keys = list(keys)
     x = F.col(value).cast("double").alias("_x")
@@ -112,10 +113,13 @@ def exact_percentile(df: DataFrame, value: str, p: float, out: str, keys: Sequen
                              "_hi": F.lit(None).cast("long"), "_frac": F.lit(None).cast("double"), "_base": F.lit(0.0)})
     state = ("_below", "_lo", "_hi", "_frac", "_base")
     grp: list[str] = []
-    for level, width in enumerate(widths):
+    for level, width in enumerate((None, *widths)):
         b = f"_b{level}"
-        offset = (F.col("_x") - F.col("_base")) / width
-        rows = rows.withColumn(b, F.floor(F.least(F.greatest(offset, F.lit(-float(limit))), F.lit(float(limit)))))
+        if level == 0:
+            offset = F.signum("_x") * F.log1p(F.abs("_x") * 64.0) * 512.0
+        else:
+            offset = F.least(F.greatest((F.col("_x") - F.col("_base")) / width, F.lit(-1e6)), F.lit(1e6))
+        rows = rows.withColumn(b, F.floor(offset))
         part = [*keys, *grp]
         w = Window.partitionBy(*part).orderBy(b).rowsBetween(BEFORE, 0)
         hist = rows.groupBy(*part, b).agg(F.sum("_c").alias("_c"), *[F.first(c).alias(c) for c in state])
@@ -124,7 +128,7 @@ def exact_percentile(df: DataFrame, value: str, p: float, out: str, keys: Sequen
             hist = hist.withColumns({"_lo": F.floor("_pos"), "_hi": F.ceil("_pos"), "_frac": F.col("_pos") - F.floor("_pos")})
         picks = hist.withColumn("_cum", F.col("_below") + F.sum("_c").over(w)).where("_cum > _lo and _cum - _c <= _hi").select(
             *part, b, (F.col("_cum") - F.col("_c")).alias("_below"), "_lo", "_hi", "_frac",
-            (F.col("_base") + F.col(b) * width).alias("_base"))
+            ((F.signum(b) * F.expm1(F.abs(b) / 512.0) / 64.0) if level == 0 else F.col("_base") + F.col(b) * width).alias("_base"))
         grp.append(b)
         rows = rows.drop(*state).join(picks, [*keys, *grp])
     w = Window.partitionBy(*keys, *grp).orderBy("_x").rowsBetween(BEFORE, 0)

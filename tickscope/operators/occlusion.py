@@ -2,7 +2,7 @@
 
 One equi-join on (match, tick) serves all players. Team, visibility and range are part of the join
 condition, so pairs outside of them are never produced; the key holds one row per player of the lobby.
-Matches whose roster exceeds ``crowd`` players also join on a grid cell (side = maximal range).
+Ticks with more than ``crowd`` rows also join on a grid cell (side = maximal range).
 """
 
 from pyspark.sql import Column, DataFrame
@@ -32,19 +32,21 @@ def with_first_team(ticks: DataFrame) -> DataFrame:
 
 
 def sight_pairs(ticks: DataFrame, cfg: AnalysisConfig = DEFAULT, *, profile="tabular", team_mode="tick",
-                alive_only=True, in_range=True, occluded=True, crowded: DataFrame | None = None) -> DataFrame:
+                alive_only=True, in_range=True, occluded=True) -> DataFrame:
     """(player, opponent) of the same tick with distances and angular error.
 
-    ``crowded``: match_ids with so many players that positions must be matched by grid cell too.
+    Ticks with more than ``cfg.crowd`` rows are matched by grid cell too; the rows do not depend on it.
     """
     rows = not_dead(ticks) if alive_only else ticks
     me_team = "team_num"
     if team_mode == "first":
         rows, me_team = with_first_team(rows), "_team"
     side = cfg.range_max
-    if crowded is not None and in_range:
-        rows = rows.join(crowded.select("match_id", F.lit(True).alias("_crowd")), "match_id", "left")
-        grid = F.col("_crowd").isNotNull()
+    if in_range:
+        # few ticks or none: counted before the shuffle, and the table of crowded ticks is empty for ordinary matches
+        crowded = rows.groupBy("match_id", "tick").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > cfg.crowd)
+        rows = rows.join(crowded, ["match_id", "tick"], "left")
+        grid = F.col("_rows").isNotNull()
         around = F.array(*[F.struct(_cell("X", side, i).alias("cx"), _cell("Y", side, j).alias("cy"))
                            for i in (-1, 0, 1) for j in (-1, 0, 1)])
         none = F.array(F.struct(F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy")))
@@ -77,17 +79,6 @@ def sight_pairs(ticks: DataFrame, cfg: AnalysisConfig = DEFAULT, *, profile="tab
     return p.where(F.col("distance" if profile == "replay" else "distance_2d").between(cfg.range_min, cfg.range_max))
 
 
-def crowded_matches(ticks: DataFrame, crowd: int = 64) -> DataFrame:
-    """Matches with more players than any game server seats."""
-    return ticks.select(*PLAYER).distinct().groupBy("match_id").count().where(F.col("count") > crowd)
-
-
-def crowd_or_none(ticks: DataFrame, crowd: int = 64) -> DataFrame | None:
-    """``crowded_matches``, or nothing if no match is crowded: a look at two columns saves the cells for all others."""
-    found = crowded_matches(ticks, crowd)
-    return None if found.isEmpty() else found
-
-
 def lock_counts(pairs: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     wide = F.col("error") < cfg.wide_angle
     return pairs.groupBy(*PLAYER).agg(
@@ -123,8 +114,9 @@ def info_timing(kin: DataFrame, pairs: DataFrame, cfg: AnalysisConfig = DEFAULT)
 
 
 def occlusion_metrics(ticks: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="tabular", team_mode="tick",
-                      alive_only=True, crowded: DataFrame | None = None, keep: Keep = lazy) -> DataFrame:
-    pairs = sight_pairs(ticks, cfg, profile=profile, team_mode=team_mode, alive_only=alive_only, crowded=crowded)
+                      alive_only=True, kin: DataFrame | None = None, keep: Keep = lazy) -> DataFrame:
+    """``kin``: kinematics of the same ticks, if they are at hand (replay profile)."""
+    pairs = sight_pairs(ticks, cfg, profile=profile, team_mode=team_mode, alive_only=alive_only)
     # all metrics look at small errors only: few pairs, read three times
     pairs = keep(pairs.where(F.col("error") < max(cfg.wide_angle, cfg.strict_angle, cfg.preaim_angle)).drop(
         "target_name", "pitch", "spotted"), "locks")
@@ -134,7 +126,7 @@ def occlusion_metrics(ticks: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profil
     runs = (active_runs if replay else strict_runs)(pairs, cfg).groupBy(*PLAYER).agg(F.max("run_len").alias("run"))
     out = rows.join(lock_counts(pairs, cfg), [*PLAYER], "left").join(runs, [*PLAYER], "left")
     if replay:
-        kin = kinematics(timeline(ticks, "replay", cfg), cfg)
+        kin = kinematics(timeline(ticks, "replay", cfg), cfg) if kin is None else kin
         out = out.join(info_timing(kin, pairs, cfg), [*PLAYER], "left")
     else:
         out = out.withColumn("info_timing", F.lit(0.0))
@@ -158,16 +150,25 @@ def occlusion_metrics(ticks: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profil
 
 def lock_events(ticks: DataFrame, metrics: DataFrame, *, cfg: AnalysisConfig = DEFAULT, team_mode="tick",
                 alive_only=True) -> DataFrame:
-    """One event per flagged player: span of all hidden opponents, longest run, first opponent of the table."""
+    """One event per flagged player: span of all hidden opponents, longest run, first opponent of the match.
+
+    No pairs: hidden players are counted per tick and side, and only flagged players' rows meet the counts. The first opponent is
+    that of the earliest row whose side is not the player's first one.
+    """
     flagged = metrics.where((F.col("wh_ratio_lock_strict") > cfg.lock_event_ratio)
                             | (F.col("wh_tracking_consecutif_max") >= cfg.lock_event_run))
-    pairs = sight_pairs(ticks, cfg, team_mode=team_mode, alive_only=alive_only, in_range=False, occluded=False)
-    hidden = ~F.col("spotted")
-    # spans of all players are partially aggregated where the pairs arise; only one row per player meets the flags
-    span = pairs.groupBy(*PLAYER).agg(
-        F.min(F.when(hidden, F.col("tick"))).alias("start_tick"), F.max(F.when(hidden, F.col("tick"))).alias("end_tick"),
-        F.min(F.struct("tick", "target", "target_name")).alias("first")).where("start_tick is not null")
-    return flagged.join(span, [*PLAYER]).select(
+    rows = not_dead(ticks) if alive_only else ticks
+    hidden = rows.where("spotted = false").groupBy("match_id", "tick", F.col("team_num").alias("_side")).agg(F.count(F.lit(1)).alias("_n"))
+    mine = (with_first_team(rows) if team_mode == "first" else rows.withColumn("_team", F.col("team_num"))).join(
+        flagged.select(*PLAYER), [*PLAYER], "left_semi").select(*PLAYER, "tick", "_team", "team_num", F.coalesce(~F.col("spotted"), F.lit(False)).alias("_self"))
+    others = F.col("_n") - F.when(F.col("_self") & F.col("team_num").eqNullSafe(F.col("_side")), 1).otherwise(0)
+    span = mine.join(hidden, ["match_id", "tick"]).where(F.coalesce(F.col("_team") != F.col("_side"), F.lit(True)) & (others > 0)).groupBy(
+        *PLAYER).agg(F.min("tick").alias("start_tick"), F.max("tick").alias("end_tick"))
+    own = rows.groupBy(*PLAYER).agg(F.min_by("team_num", "tick").alias("_first_side"))
+    sides = rows.groupBy("match_id", F.col("team_num").alias("_side")).agg(F.min(F.struct("tick", F.col("steamid").alias("target"), F.col("name").alias("target_name"))).alias("_f"))
+    first = flagged.select(*PLAYER).join(own, [*PLAYER]).join(sides, "match_id").where(
+        F.coalesce(F.col("_first_side") != F.col("_side"), F.lit(True)) & (F.col("_f.target") != F.col("steamid"))).groupBy(*PLAYER).agg(F.min("_f").alias("first"))
+    return flagged.join(span, [*PLAYER]).join(first, [*PLAYER], "left").select(
         *PLAYER, F.lit("wh_lock").alias("type"), "start_tick", "end_tick",
         F.col("wh_tracking_consecutif_max").cast("long").alias("duration_ticks"),
         F.col("first.target_name").alias("target_name"), F.col("first.target").alias("target_steamid"),

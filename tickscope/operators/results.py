@@ -94,6 +94,13 @@ def rank_players(results: DataFrame, other: int = 3) -> DataFrame:
         "verdict_rank", F.desc("suspicion_score"), *PLAYER)
 
 
+def with_position(ranked: DataFrame, other: int = 3, name: str = "position") -> DataFrame:
+    """Place of every player in the order of ``rank_players``. Equal ranks and scores form blocks, counted before they are ordered."""
+    order = F.struct(verdict_rank(other), -F.round(F.col("suspicion_score") * 100).cast("long"))
+    d = block_index(ranked.withColumns({"_all": F.lit(1)}), {"_p": F.lit(1)}, ["_all"], PLAYER, block=order)
+    return d.withColumn(name, F.col("_p_i")).drop("_all", "_p_i", "_p_n", "_blk")
+
+
 def newest(df: DataFrame, n: int = 50, by: str = "modified_time", tie: str = "path") -> DataFrame:
     return df.orderBy(F.desc(by), tie).limit(n)
 

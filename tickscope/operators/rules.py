@@ -119,25 +119,26 @@ def with_thresholds(df: DataFrame, model: DataFrame | None = None, cfg: Analysis
 
 
 def with_score(df: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    """Needs ml_score (0..100), factors, rage and thresholds."""
+    """Needs ml_score (0..100), factors, rage and thresholds. A null or NaN score is not known: rules may still decide, else there is no
+    score."""
     n = F.size("factors")
     zero = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) == 0.0
             for c in ("aim_vitesse_max", "aim_p99", "bhop_total_sauts", "wh_ratio_lock_strict")]
     inactive = zero[0] & zero[1] & zero[2] & zero[3]
-    high, suspect, ml = F.col("threshold_high"), F.col("threshold_suspect"), F.col("ml_score")
+    high, suspect, ml = F.col("threshold_high"), F.col("threshold_suspect"), F.nanvl(F.col("ml_score").cast("double"), F.lit(None).cast("double"))
     raw = (F.when(F.col("rage"), F.greatest(ml, F.lit(90.0), high))
            .when(n >= cfg.factors_cheater, F.greatest(ml, F.lit(75.0), high))
            .when(n >= cfg.factors_suspect, F.greatest(ml, F.lit(45.0), suspect))
-           .when(inactive, F.least(ml, F.lit(5.0))).otherwise(ml))
+           .when(inactive & ml.isNotNull(), F.least(ml, F.lit(5.0))).otherwise(ml))
     return df.withColumn("_raw_score", raw)
 
 
 def with_verdict(df: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    """Score rounded to two digits and verdict; a player without all three core profiles gets UNAVAILABLE."""
+    """Score rounded to two digits and verdict; a player without a score or without all three core profiles gets UNAVAILABLE."""
     n, s = F.size("factors"), F.col("_raw_score")
     verdict = (F.when(F.col("rage") | (s >= F.col("threshold_high")) | (n >= cfg.factors_cheater), "CHEATER")
                .when((n >= cfg.factors_suspect) | (s >= F.col("threshold_suspect")), "SUSPECT").otherwise("CLEAN"))
-    known = F.lit(True)
+    known = s.isNotNull()
     for c in ("aim_p99", "bhop_total_sauts", "wh_ratio_lock_strict"):
         known = known & F.col(c).isNotNull()
     return df.withColumns({

@@ -7,8 +7,14 @@ from tickscope.config import DEFAULT, AnalysisConfig
 from tickscope.functions.angles import angular_delta
 from tickscope.operators.blocks import PLAYER, block_index, block_window, row_blocks
 
-HALO_BEFORE = 24   # rolling window of 16 rows over a lagged value, and jerk = three lags
-HALO_AFTER = 4     # trajectory of three rows after a snap
+LAGS = 4           # a jerk is three lags deep, a turn within a rolling window one more
+TRAJECTORY = 3     # rows before and after a snap
+
+
+def halo(cfg: AnalysisConfig = DEFAULT) -> tuple[int, int]:
+    """Rows before and after a block that its own rows look at."""
+    return max(cfg.spin_window, cfg.jitter_window, TRAJECTORY) + LAGS, TRAJECTORY + 1
+
 
 TICK_COLUMNS = ("match_id", "steamid", "name", "tick", "X", "Y", "Z", "pitch", "yaw", "team_num", "health",
                 "spotted", "is_airborne", "velocity_X", "velocity_Y", "active_weapon_name")
@@ -87,7 +93,7 @@ def kinematics(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     def if_contiguous(x):
         return F.when(contiguous, F.coalesce(x, F.lit(0.0))).otherwise(0.0)
 
-    d = row_blocks(rows, HALO_BEFORE, HALO_AFTER, "row_i", cfg.row_block)
+    d = row_blocks(rows, *halo(cfg), "row_i", cfg.row_block)
     d = d.withColumns({"gap": F.col("tick") - lag("tick"), "yaw_before": lag("yaw"), "pitch_before": lag("pitch")})
     d = d.withColumns({
         "d_yaw": if_contiguous(angular_delta("yaw_before", "yaw")),

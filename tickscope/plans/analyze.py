@@ -1,6 +1,7 @@
 """End-to-end analysis: ticks and shots in, metrics, verdicts and event timeline out, for all matches in one job."""
 
 from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,11 +12,12 @@ from tickscope.operators.blocks import PLAYER
 from tickscope.operators.clean import deduplicate_ticks
 from tickscope.operators.timeline import kinematics, mark_shots, timeline
 from tickscope.sources.ticks import clean_ticks
-from tickscope.sources.workdir import lazy, materialize
+from tickscope.plans.dataset import FEATURES
+from tickscope.sources.workdir import Keep, WorkScope, lazy, materialize
 
 KIN_COLUMNS = (*PLAYER, "tick", "yaw", "velocity_X", "velocity_Y", "pitch", "row_i", "row_n", "in_shot", "use_shot",
                "src_i", "src_n", "speed", "jerk", "direction_change", "raw_speed", "raw_d_yaw", "raw_d_pitch", "raw_jerk",
-               "spin_mean", "pitch_var", "pitch_turns", "yaw_flip", "air", "air_known", "air_before", "active_weapon_name")
+               "spin_mean", "pitch_var", "pitch_turns", "yaw_flip", "yaw_step", "air", "air_known", "air_before", "active_weapon_name")
 
 
 def prepare(raw: DataFrame) -> DataFrame:
@@ -23,26 +25,45 @@ def prepare(raw: DataFrame) -> DataFrame:
     return deduplicate_ticks(clean_ticks(raw), ("source_file", "source_row")).drop("source_file", "source_row")
 
 
+class Analysis(NamedTuple):
+    """Results of all matches: a row per player, per match, per event of the timeline."""
+
+    players: DataFrame
+    matches: DataFrame
+    events: DataFrame
+
+
 def own_shots(fires: DataFrame) -> DataFrame:
     return fires.select("match_id", F.col("user_steamid").alias("steamid"), "tick").where("tick is not null").distinct()
 
 
+def shots_from(ticks: DataFrame, fires: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+    """Shots of each player from the first source that has any: fire events, else the starts of firing runs in the ticks."""
+    events = own_shots(fires)
+    return trigger.shots_of(events, trigger.burst_starts(ticks, cfg=cfg)) if "is_firing" in ticks.columns else events
+
+
+def kinematic_rows(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="tabular") -> DataFrame:
+    return kinematics(timeline(mark_shots(ticks, fires, cfg), profile, cfg), cfg).select(*KIN_COLUMNS)
+
+
 def player_metrics(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="tabular",
-                   radius: float | None = None, stored: bool = True) -> DataFrame:
+                   radius: float | None = None, stored: bool = True, kin: DataFrame | None = None, keep: Keep | None = None) -> DataFrame:
     """All five detectors, one row per (match, player).
 
     What several aggregations read (kinematics, aim rows, jump intervals, locks, reactions) is written once
-    (``stored``) and scanned narrowly after that.
+    (``stored``, or with ``keep``) and scanned narrowly after that. ``kin``: written kinematics, if they are at hand.
     """
-    kin = kinematics(timeline(mark_shots(ticks, fires, cfg), profile, cfg), cfg).select(*KIN_COLUMNS)
-    keep = materialize if stored else lazy
-    kin = keep(kin, "kinematics")
+    keep = keep or (materialize if stored else lazy)
+    shots = shots_from(ticks, fires, cfg)
+    if kin is None:
+        kin = keep(kinematic_rows(ticks, shots.withColumnRenamed("steamid", "user_steamid"), cfg=cfg, profile=profile), "kinematics")
     builders = [
         lambda: aim.aim_metrics_of(kin, cfg, keep),
         lambda: bhop.bhop_metrics_of(bhop.jump_rows_of(kin, profile), profile, cfg, keep),
         lambda: spin.spin_metrics_of(kin, cfg),
-        lambda: occlusion.occlusion_metrics(ticks, cfg=cfg, profile=profile, crowded=occlusion.crowd_or_none(ticks), keep=keep),
-        lambda: trigger.trigger_metrics(ticks, own_shots(fires), cfg=cfg, radius=radius, keep=keep),
+        lambda: occlusion.occlusion_metrics(ticks, cfg=cfg, profile=profile, kin=kin, keep=keep),
+        lambda: trigger.trigger_metrics(ticks, shots, cfg=cfg, radius=radius, keep=keep),
     ]
     # the written intermediates of the detectors are independent jobs: submit them together
     with ThreadPoolExecutor(len(builders)) as pool:
@@ -55,7 +76,7 @@ def player_metrics(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig =
 
 def judge(metrics: DataFrame, *, cfg: AnalysisConfig = DEFAULT, model: DataFrame | None = None,
           ml_score="ml_score") -> DataFrame:
-    """Flags, score, verdict; without a model the score is 0 and the rules decide."""
+    """Flags, score, verdict; without a score column the score is 0 and the rules decide. ``model``: metadata with thresholds."""
     if ml_score not in metrics.columns:
         metrics = metrics.withColumn(ml_score, F.lit(0.0))
     d = rules.with_thresholds(rules.with_flags(metrics, cfg), model, cfg)
@@ -63,11 +84,11 @@ def judge(metrics: DataFrame, *, cfg: AnalysisConfig = DEFAULT, model: DataFrame
 
 
 def combat_events(ticks: DataFrame, fires: DataFrame, metrics: DataFrame, *, cfg: AnalysisConfig = DEFAULT,
-                  profile="tabular") -> DataFrame:
-    full = kinematics(timeline(mark_shots(ticks, fires, cfg), profile, cfg), cfg)
-    kin = materialize(full.select(*KIN_COLUMNS), "kinematics")
-    kinds = [aim.snap_events_of(full, cfg),
-             bhop.chain_events_of(bhop.jump_rows_of(kin, profile), cfg, materialize),
+                  profile="tabular", kin: DataFrame | None = None, keep: Keep = materialize) -> DataFrame:
+    if kin is None:
+        kin = keep(kinematic_rows(ticks, fires, cfg=cfg, profile=profile), "kinematics")
+    kinds = [aim.snap_events_of(kin, cfg),
+             bhop.chain_events_of(bhop.jump_rows_of(kin, profile), cfg, keep),
              occlusion.lock_events(ticks, metrics, cfg=cfg),
              spin.spin_events(metrics, cfg),
              trigger.trigger_flags(metrics, cfg).withColumn("type", F.lit("triggerbot_event"))]
@@ -76,10 +97,38 @@ def combat_events(ticks: DataFrame, fires: DataFrame, metrics: DataFrame, *, cfg
     return results.event_timeline(*kinds)
 
 
+def analyse(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="tabular", radius: float | None = None,
+            model: dict | None = None, keep: Keep = materialize) -> Analysis:
+    """Players with scores, flags and verdicts, matches, and the event timeline, from one written kinematics.
+
+    ``model``: a bundle of ``training.load_bundle``; its forest gives ``ml_score``, its isolation forest ``anomaly_score``, its metadata the
+    thresholds. A player whose features are incomplete has no score: rules may still decide, otherwise data are insufficient.
+    """
+    shots = shots_from(ticks, fires, cfg).withColumnRenamed("steamid", "user_steamid")
+    kin = keep(kinematic_rows(ticks, shots, cfg=cfg, profile=profile), "kinematics")
+    m = keep(player_metrics(ticks, fires, cfg=cfg, profile=profile, radius=radius, kin=kin, keep=keep), "metrics")
+    scored = m
+    if model is not None:
+        from tickscope.plans.training import score_players
+
+        scored = score_players(model, m.withColumns({f: F.col(f).cast("double") for f in FEATURES}), cfg)
+    judged = judge(scored, cfg=cfg, model=model["meta"] if model else None).join(results.players(ticks), [*PLAYER], "left")
+    match = results.match_verdict(judged).join(results.match_span(ticks, cfg=cfg), "match_id")
+    return Analysis(judged, match, combat_events(ticks, shots, m, cfg=cfg, profile=profile, kin=kin, keep=keep))
+
+
 def analyse_matches(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="tabular",
-                    radius: float | None = None, model: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(player results, match results)."""
+                    radius: float | None = None, model: DataFrame | dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(player results, match results); ``model`` is a bundle, or metadata that only sets thresholds."""
+    if isinstance(model, dict):
+        return analyse(ticks, fires, cfg=cfg, profile=profile, radius=radius, model=model)[:2]
     m = player_metrics(ticks, fires, cfg=cfg, profile=profile, radius=radius)
     judged = judge(m, cfg=cfg, model=model).join(results.players(ticks), [*PLAYER], "left")
-    match = results.match_verdict(judged).join(results.match_span(ticks, cfg=cfg), "match_id")
-    return judged, match
+    return judged, results.match_verdict(judged).join(results.match_span(ticks, cfg=cfg), "match_id")
+
+
+def analyse_to(path: str, ticks: DataFrame, fires: DataFrame, **options) -> None:
+    """Write ``path``/players, /matches and /events; the intermediate tables are removed afterwards."""
+    with WorkScope(ticks.sparkSession, "analysis") as work:
+        for name, df in analyse(ticks, fires, keep=work.keep, **options)._asdict().items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}")

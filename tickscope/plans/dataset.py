@@ -85,12 +85,12 @@ def shuffled_rank(df: DataFrame, keys: list[str], seed: int = DEFAULT.seed, key:
 
 
 def balanced_sample(manifest: DataFrame, n: int, seed: int = DEFAULT.seed) -> DataFrame:
-    """Up to n/2 matches with cheaters, the rest without."""
+    """Up to n/2 matches with cheaters, the rest without; everything if there are no more than ``n``."""
     d = shuffled_rank(manifest, ["label"], seed)
-    have = one_row(manifest.agg(F.count_if(F.col("label") == WITH).alias("with")))
+    have = one_row(manifest.agg(F.count_if(F.col("label") == WITH).alias("with"), F.count(F.lit(1)).alias("all")))
     quota = F.least(F.lit(n // 2), have["with"])
-    return d.where(F.when(F.col("label") == WITH, F.col("r_i") <= quota).otherwise(F.col("r_i") <= F.lit(n) - quota)
-                   ).select(*manifest.columns)
+    chosen = F.when(F.col("label") == WITH, F.col("r_i") <= quota).otherwise(F.col("r_i") <= F.lit(n) - quota)
+    return d.where((have["all"] <= n) | chosen).select(*manifest.columns)
 
 
 def split_matches(manifest: DataFrame, seed: int = DEFAULT.seed) -> DataFrame:

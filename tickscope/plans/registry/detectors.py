@@ -340,11 +340,13 @@ def occ9(spark, sf):
 
 
 @query("OCC-10", I.with_sql(loosen(O), """, flagged AS (SELECT * FROM m_occ WHERE wh_ratio_lock_strict > 0.01 OR wh_tracking_consecutif_max >= 2),
-  span AS (SELECT match_id, steamid, min(tick) FILTER (NOT spotted) AS start_tick, max(tick) FILTER (NOT spotted) AS end_tick,
-                  min((tick, target, target_name)) AS f FROM pairs GROUP BY 1, 2)
+  span AS (SELECT match_id, steamid, min(tick) AS start_tick, max(tick) AS end_tick FROM pairs WHERE NOT spotted GROUP BY 1, 2),
+  sides AS (SELECT match_id, team_num, min((tick, steamid, name)) AS f FROM occ_base GROUP BY 1, 2),
+  fe AS (SELECT p.match_id, p.steamid, min(f) AS f FROM (SELECT DISTINCT match_id, steamid, first_team FROM occ_base) p JOIN sides s
+    ON p.match_id = s.match_id AND p.first_team <> s.team_num GROUP BY 1, 2)
   SELECT match_id, steamid, 'wh_lock' AS type, start_tick, end_tick, CAST(wh_tracking_consecutif_max AS BIGINT) AS duration_ticks,
          f[3] AS target_name, f[2] AS target_steamid, round(wh_distance_moyenne_verrous, 2) AS distance
-  FROM flagged JOIN span USING (match_id, steamid) WHERE start_tick IS NOT NULL"""))
+  FROM flagged JOIN span USING (match_id, steamid) LEFT JOIN fe USING (match_id, steamid)"""))
 def occ10(spark, sf):
     return occlusion.lock_events(I.ticks(spark, sf), occ(spark, sf, cfg=LOOSE), cfg=LOOSE)
 

@@ -144,9 +144,13 @@ def dst1(spark, sf):
 
 
 @query("DST-3", I.with_sql(MANIFEST_SQL, """, q AS (SELECT least(4, (SELECT count(*) FROM man WHERE label = 'with_cheater_present')) AS w)
-  SELECT match_id, label FROM ranked, q WHERE CASE WHEN label = 'with_cheater_present' THEN r_i <= w ELSE r_i <= 9 - w END"""))
+  SELECT 9 AS asked, match_id, label FROM ranked, q WHERE a_n <= 9 OR CASE WHEN label = 'with_cheater_present' THEN r_i <= w ELSE r_i <= 9 - w END
+  UNION ALL SELECT 1000000, match_id, label FROM man"""))
 def dst3(spark, sf):
-    return dataset.balanced_sample(manifest(spark, sf), 9).select("match_id", "label")
+    """A sample smaller than the manifest, and one that is larger and keeps everything."""
+    m = manifest(spark, sf)
+    small, all_ = (dataset.balanced_sample(m, n).select(F.lit(n).alias("asked"), "match_id", "label") for n in (9, 1_000_000))
+    return small.unionByName(all_)
 
 
 @query("DST-4", I.with_sql(MANIFEST_SQL, "SELECT match_id, label, split FROM split_"))
@@ -244,8 +248,12 @@ def ml7(spark, sf):
 
 # --- models ------------------------------------------------------------------------------------------------------
 
+FIT_SQL = "(SELECT " + ", ".join(f"avg({f}) AS {f}_m, stddev_pop({f}) AS {f}_s" for f in dataset.FEATURES) + \
+    " FROM feats WHERE split = 'train' AND label IN (0, 1)) AS fitted"
+
+
 @query("ML-1", I.with_sql(LABELS_SQL, "SELECT player_key, " + ", ".join(
-    f"round(coalesce(({f} - avg({f}) OVER ()) / nullif(stddev_pop({f}) OVER (), 0), 0), 4) AS {f}_z" for f in dataset.FEATURES) + " FROM feats"))
+    f"round(coalesce(({f} - {f}_m) / nullif({f}_s, 0), 0), 4) AS {f}_z" for f in dataset.FEATURES) + f" FROM feats, {FIT_SQL}"))
 def ml1(spark, sf):
     return training.scale(features(spark, sf)).select("player_key", *[stable_round(f"{f}_z", 4).alias(f"{f}_z") for f in dataset.FEATURES])
 
@@ -253,39 +261,56 @@ def ml1(spark, sf):
 _MODELS: dict = {}
 
 
+def train_rows(spark, sf):
+    return dataset.supervised(features(spark, sf), "train")
+
+
 def forest(spark, sf):
-    """Fitted once per application."""
+    """Fitted once per application, on the training split."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
-        _MODELS[key] = training.fit(dataset.supervised(features(spark, sf)))
+        _MODELS[key] = training.fit(train_rows(spark, sf))
     return _MODELS[key]
 
 
-@query("ML-2")
+@query("ML-2", I.with_sql(LABELS_SQL, f"""SELECT label, count(*) AS trained_on, {CFG.n_trees} AS trees, {len(dataset.FEATURES)} AS features, 1.0::DOUBLE AS importance,
+  TRUE AS depth_kept FROM feats WHERE split = 'train' AND label IN (0, 1) GROUP BY label"""))
 def ml2(spark, sf):
-    """Importance of each feature in the fitted forest, per player row count it was trained on."""
-    imp = forest(spark, sf).stages[-1].featureImportances.toArray()
-    rows = [(f, float(v)) for f, v in zip(dataset.FEATURES, imp)]
-    n = dataset.supervised(features(spark, sf)).agg(F.count(F.lit(1)).alias("trained_on"))
-    values = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(v).alias("importance")) for f, v in rows])
-    return n.select("trained_on", F.inline(values))
+    """Rows that the forest was fitted on, by label, with what holds of any fitted forest."""
+    fitted = forest(spark, sf).stages[-1]
+    deep = max(t.depth for t in fitted.trees)
+    return train_rows(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("trained_on")).select(
+        "label", "trained_on", F.lit(fitted.getNumTrees).alias("trees"), F.lit(fitted.numFeatures).alias("features"),
+        F.lit(round(float(fitted.featureImportances.toArray().sum()), 6)).alias("importance"), F.lit(deep <= CFG.max_depth).alias("depth_kept"))
 
 
-@query("ML-3")
+@query("ML-3", I.with_sql(LABELS_SQL, "SELECT player_key, split, label, TRUE AS in_range FROM feats"))
 def ml3(spark, sf):
-    return training.score(forest(spark, sf), features(spark, sf)).select("player_key", "label", "ml_score")
+    """Every player has a score of 0 to 100."""
+    d = training.score(forest(spark, sf), features(spark, sf))
+    return d.select("player_key", "split", "label", F.coalesce(F.col("ml_score").between(0, 100), F.lit(False)).alias("in_range"))
 
 
-@query("ML-4")
+@query("ML-4", I.with_sql(LABELS_SQL, f"""SELECT 'tree' AS kind, CAST(t AS VARCHAR) AS name, least({CFG.iforest_sample}, (SELECT count(*) FROM feats WHERE split = 'train' AND label = 0)) AS value
+    FROM range({CFG.iforest_trees}) r(t)
+  UNION ALL SELECT 'fitted', 'rows', count(*) FROM feats WHERE split = 'train' AND label = 0
+  UNION ALL SELECT 'fitted', 'few outliers', 1
+  UNION ALL SELECT 'player', player_key, 1 FROM feats"""))
 def ml4(spark, sf):
-    f = features(spark, sf)
+    """Sample size of each tree, rows fitted on, whether no more than the contamination lies below the offset, and a score for every player."""
+    f, tr = features(spark, sf), train_rows(spark, sf)
     cols = [f"{c}_z" for c in dataset.FEATURES]
-    z = training.scale(f).select("player_key", "label", *cols)
-    clean = z.where("label = 0")
+    clean = training.scale(f).where("split = 'train' and label = 0").select("player_key", *cols)
     n = clean.count()
-    nodes = training.fit_isolation_forest(clean, cols, n)
-    offset = training.isolation_offset(training.isolation_score(clean, nodes, cols, n))
-    return training.anomaly_scores(training.isolation_score(z, nodes, cols, n), offset).select("player_key", "decision", "anomaly_score")
+    trees = training.tree_samples(clean, n).groupBy("tree").agg(F.count(F.lit(1)).alias("value")).select(
+        F.lit("tree").alias("kind"), F.col("tree").cast("string").alias("name"), "value")
+    found = training.score_outliers(training.fit_outliers(tr), f)
+    below = F.count_if((F.col("split") == "train") & (F.col("label") == 0) & (F.col("decision") < 0))
+    few = found.agg((below <= n * CFG.contamination + 1).cast("long").alias("value")).select(
+        F.lit("fitted").alias("kind"), F.lit("few outliers").alias("name"), "value")
+    rows = clean.agg(F.count(F.lit(1)).alias("value")).select(F.lit("fitted").alias("kind"), F.lit("rows").alias("name"), "value")
+    players = found.select(F.lit("player").alias("kind"), F.col("player_key").alias("name"), F.col("anomaly_score").between(0, 100).cast("long").alias("value"))
+    return trees.unionByName(rows).unionByName(few).unionByName(players)
 
 
 def model_rows(spark, sf):

@@ -6,6 +6,7 @@ from tickscope.functions.numbers import stable_round
 from tickscope.operators import aim, bhop, occlusion, reports, results, rules, spin, trigger
 from tickscope.operators.blocks import PLAYER
 from tickscope.plans import inputs as I
+from tickscope.plans.analyze import combat_events, judge
 from tickscope.plans.registry import query
 from tickscope.sources.workdir import materialize
 
@@ -73,8 +74,7 @@ def flagged(spark, sf):
 
 
 def judged(spark, sf):
-    d = rules.with_thresholds(flagged(spark, sf))
-    return rules.with_verdict(rules.with_score(d))
+    return judge(I.scaled_metrics(spark, sf))
 
 
 def _register_rule(rule_id, cond, factor, cheat, pills):
@@ -124,8 +124,7 @@ def vrd3(spark, sf):
 def vrd4(spark, sf):
     gone = F.expr("cast(substring(name, 2) as bigint)") % 7 == 0
     m = I.scaled_metrics(spark, sf).withColumn("wh_ratio_lock_strict", F.when(~gone, F.col("wh_ratio_lock_strict")))
-    d = rules.with_verdict(rules.with_score(rules.with_thresholds(rules.with_flags(m))))
-    return rules.normalize_result(d).select(*PLAYER, "verdict", "analysis_status")
+    return judge(m).select(*PLAYER, "verdict", "analysis_status")
 
 
 @query("VRD-5", I.with_sql(THR_SQL, """SELECT match_id, steamid, round(100 - ml_score, 2) AS clean, round(ml_score, 2) AS suspicion, round(100 - ml_score, 2) AS clean_score,
@@ -238,17 +237,20 @@ def agg5(spark, sf):
 
 def _rank_sql(other):
     return I.with_sql(THR_SQL, MIXED + f"""SELECT match_id, steamid, v2 AS verdict, suspicion_score,
-      CASE v2 WHEN 'CHEATER' THEN 0 WHEN 'SUSPECT' THEN 1 WHEN 'CLEAN' THEN 2 ELSE {other} END AS verdict_rank FROM mx""")
+      CASE v2 WHEN 'CHEATER' THEN 0 WHEN 'SUSPECT' THEN 1 WHEN 'CLEAN' THEN 2 ELSE {other} END AS verdict_rank,
+      row_number() OVER (ORDER BY CASE v2 WHEN 'CHEATER' THEN 0 WHEN 'SUSPECT' THEN 1 WHEN 'CLEAN' THEN 2 ELSE {other} END, suspicion_score DESC, match_id, steamid) AS position FROM mx""")
 
 
 @query("SRT-1", _rank_sql(3))
 def srt1(spark, sf):
-    return results.rank_players(mixed(spark, sf), 3).select(*PLAYER, "verdict", "suspicion_score", "verdict_rank")
+    return results.with_position(results.rank_players(mixed(spark, sf), 3), 3).select(
+        *PLAYER, "verdict", "suspicion_score", "verdict_rank", "position")
 
 
 @query("SRT-2", _rank_sql(2))
 def srt2(spark, sf):
-    return results.rank_players(mixed(spark, sf), 2).select(*PLAYER, "verdict", "suspicion_score", "verdict_rank")
+    return results.with_position(results.rank_players(mixed(spark, sf), 2), 2).select(
+        *PLAYER, "verdict", "suspicion_score", "verdict_rank", "position")
 
 
 @query("SRT-3", "SELECT CAST(event_id AS VARCHAR) AS path, ts AS modified_time FROM events ORDER BY ts DESC, path LIMIT 50")
@@ -290,11 +292,9 @@ def event_timeline(spark, sf):
 
     def build():
         t = I.ticks(spark, sf)
-        m = I.metrics(spark, sf)
-        return results.event_timeline(
-            aim.snap_events(t), bhop.chain_events(t, keep=materialize),
-            occlusion.lock_events(t, occlusion.occlusion_metrics(t, cfg=LOOSE, keep=materialize), cfg=LOOSE),
-            spin.spin_events(m), trigger.trigger_flags(m).withColumn("type", F.lit("triggerbot_event")))
+        locks = occlusion.occlusion_metrics(t, cfg=LOOSE, keep=materialize)
+        m = I.metrics(spark, sf).drop(*occlusion.METRICS).join(locks, [*PLAYER])
+        return combat_events(t, I.fires(t), m, cfg=LOOSE)
 
     return I.stored(spark, sf, "combat_events", build)
 
@@ -450,14 +450,17 @@ def rpt1(spark, sf):
     return reports.telemetry_proof(judged(spark, sf), report_events(spark, sf)).select(*PLAYER, "report")
 
 
+SEEN = "Followed opponents through the smoke twice"
+
+
 def _ticket_extra(empty, bullet):
-    return {"flags": _bullets_sql("factors", bullet, empty["flags"]), "observations": _quote("• " + reports.OBSERVATIONS[0]),
+    return {"flags": _bullets_sql("factors", bullet, empty["flags"]), "observations": _quote("• " + SEEN),
             "comment": f"CASE WHEN ml_score > 50 THEN 'vu en direct' ELSE {_quote(empty['comment'])} END", "generator": "'tickscope'"}
 
 
 def _ticket_players(spark, sf):
     return judged(spark, sf).withColumns({
-        "observations": F.array(F.lit(reports.OBSERVATIONS[0])), "comment": F.when(F.col("ml_score") > 50, " vu en direct ").otherwise("")})
+        "observations": F.array(F.lit(SEEN)), "comment": F.when(F.col("ml_score") > 50, " vu en direct ").otherwise("")})
 
 
 @query("RPT-2", _report_sql(reports.TICKET_FR, 5, reports.TICKET_FR_LINES, reports.TICKET_FR_EVENTS, "", _ticket_extra(reports.TICKET_FR_EMPTY, "  • ")))

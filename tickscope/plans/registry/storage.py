@@ -8,7 +8,7 @@ from tickscope.operators.blocks import PLAYER
 from tickscope.plans import dataset
 from tickscope.plans import inputs as I
 from tickscope.plans.registry import query
-from tickscope.plans.registry.learning import LABELS_SQL, MANIFEST_SQL, features, manifest_with_split
+from tickscope.plans.registry.learning import K_SQL, LABELS_SQL, MANIFEST_SQL, features, manifest_with_split, match_no
 from tickscope.plans.registry.relational import THR_SQL, judged, report_events
 from tickscope.plans.registry.scalar import HURT_SQL, hurt
 from tickscope.sources import files, sinks
@@ -17,29 +17,53 @@ from tickscope.sources.workdir import new_path
 from tickscope.streaming import arrivals
 
 
-def match_no():
-    """Number of the match; a function because a column needs a running session."""
-    return F.expr("cast(substring(match_id, 2) as bigint)")
+READ_COLUMNS = ("match_id", "status", "missing", *readers.TICK_TYPES)
+READ_SQL = I.with_sql(I.BASE_SQL, f"""SELECT match_id, 'accepted' AS status, '' AS missing, tick, steamid, X, Y, Z, round(pitch, 6) AS pitch, round(yaw, 6) AS yaw,
+    steamid AS name, team_num, health, CASE WHEN {K_SQL} % 5 <> 3 THEN spotted END AS spotted, is_airborne, velocity_X, velocity_Y,
+    CAST(NULL AS DOUBLE) AS velocity_Z, CAST(NULL AS VARCHAR) AS active_weapon_name, CAST(NULL AS INTEGER) AS shots_fired, CAST(NULL AS BOOLEAN) AS is_firing FROM ticks WHERE {K_SQL} % 5 <> 4
+  UNION ALL SELECT DISTINCT match_id, 'rejected', 'yaw', CAST(NULL AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+    FROM ticks WHERE {K_SQL} % 5 = 4""")
 
 
-K_SQL = "CAST(substr(match_id, 2) AS BIGINT)"
-READ_COLUMNS = (*PLAYER, "tick", "X", "pitch", "yaw", "health", "spotted")
-READ_SQL = I.with_sql(I.BASE_SQL, f"""SELECT match_id, steamid, tick, X, round(pitch, 6) AS pitch, round(yaw, 6) AS yaw, health, spotted
-  FROM ticks WHERE {K_SQL} % 5 <> 4""")
+def raw_ticks(spark, sf):
+    return I.ticks(spark, sf).drop("event_id", "name", "active_weapon_name")
 
 
-def raw_ticks(spark, sf):
-    """Ticks without name and weapon, and one match in five without yaw."""
-    t = I.ticks(spark, sf).drop("event_id", "name", "active_weapon_name")
-    return t.withColumn("yaw", F.when(match_no() % 5 != 4, F.col("yaw")))
+def write_variants(spark, sf, path):
+    """Parquet as it occurs: 64-bit integers and ids stored as numbers, doubles for whole numbers, an absent optional column with a
+    foreign one, and matches without yaw, each kind in files of its own."""
+    t, k = raw_ticks(spark, sf), match_no() % 5
+    number = F.col("steamid").rlike("^[0-9]+$")
+    wide = t.where(k == 0).withColumns({c: F.col(c).cast("long") for c in ("team_num", "health")})
+    wide.where(number).withColumn("steamid", F.col("steamid").cast("long")).write.parquet(path + "/a")
+    wide.where(~number).write.parquet(path + "/b")
+    t.where(k == 1).withColumns({c: F.col(c).cast("double") for c in ("tick", "health")}).write.parquet(path + "/c")
+    t.where(k == 2).write.parquet(path + "/d")
+    t.where(k == 3).drop("spotted").withColumn("ping", F.lit(7)).write.parquet(path + "/e")
+    t.where(k == 4).drop("yaw").write.parquet(path + "/f")
+
+
+def write_csv_variants(spark, sf, path):
+    """Two orders of the header, an absent optional column, matches without yaw."""
+    t, k = raw_ticks(spark, sf), match_no() % 5
+
+    def put(df, name):
+        df.write.option("header", True).option("compression", "gzip").csv(f"{path}/{name}")
+
+    put(t.where(k < 2), "a")
+    put(t.where(k == 2).select(*reversed(t.columns)), "b")
+    put(t.where(k == 3).drop("spotted").select("yaw", *[c for c in t.columns if c not in ("yaw", "spotted")]), "c")
+    put(t.where(k == 4).drop("yaw"), "d")
 
 
 def parquet_path(spark, sf):
-    return I.stored_path(spark, sf, "raw_ticks", lambda p: raw_ticks(spark, sf).write.parquet(p))
+    return I.stored_path(spark, sf, "raw_ticks", lambda p: write_variants(spark, sf, p))
 
 
 def _read_back(df):
-    return readers.clean_ticks(df).select(*[stable_round(c, 6).alias(c) if c in ("pitch", "yaw") else c for c in READ_COLUMNS])
+    """Status of every match with its clean rows; a rejected match is one row without values."""
+    clean = readers.clean_ticks(df).drop("source_file", "source_row").withColumns({c: stable_round(c, 6) for c in ("pitch", "yaw")})
+    return readers.match_status(df).join(clean, "match_id", "left").select(*READ_COLUMNS)
 
 
 @query("SRC-1", READ_SQL)
@@ -49,9 +73,7 @@ def src1(spark, sf):
 
 @query("SRC-2", READ_SQL)
 def src2(spark, sf):
-    path = I.stored_path(spark, sf, "csv_ticks", lambda p: raw_ticks(spark, sf).write.option("header", True).option(
-        "compression", "gzip").csv(p))
-    return _read_back(readers.read_ticks_csv(spark, path))
+    return _read_back(readers.read_ticks_csv(spark, I.stored_path(spark, sf, "csv_ticks", lambda p: write_csv_variants(spark, sf, p))))
 
 
 def event_documents(spark, sf):
@@ -131,11 +153,12 @@ def info_heads(spark, sf):
 @query("SRC-5", """SELECT CASE WHEN page_id % 3 = 0 THEN '/replays/m' || page_id || '_DE_Map' || page_id % 7 || '.dem' ELSE '/replays/m' || page_id || '.dem' END AS path,
   CASE WHEN page_id % 3 = 0 THEN 'm' || page_id || '_DE_Map' || page_id % 7 || '.dem' ELSE 'm' || page_id || '.dem' END AS file_name, length(html) AS length,
   1700000000 + page_id * 7919 % 100000 AS modified_seconds,
-  CASE WHEN page_id % 3 = 0 THEN 'de_map' || page_id % 7 WHEN page_id % 2 = 0 THEN 'cs_office' || page_id % 5 END AS map_name
+  CASE WHEN page_id % 3 = 0 THEN 'de_map' || page_id % 7 WHEN page_id % 2 = 0 THEN 'cs_office' || page_id % 5 END AS map_name,
+  row_number() OVER (ORDER BY 1700000000 + page_id * 7919 % 100000 DESC, path) AS position
   FROM pages WHERE page_id % 3 < 2""")
 def src5(spark, sf):
-    return files.replay_catalog(replay_listing(spark, sf), info_heads(spark, sf)).select(
-        "path", "file_name", "length", F.unix_seconds("modified_time").alias("modified_seconds"), "map_name")
+    catalog = files.with_position(files.replay_catalog(replay_listing(spark, sf), info_heads(spark, sf)))
+    return catalog.select("path", "file_name", "length", F.unix_seconds("modified_time").alias("modified_seconds"), "map_name", "position")
 
 
 @query("SRC-6", "SELECT doc_id, strlen(text) + 8 AS length FROM documents WHERE doc_id % 3 = 0")
@@ -198,12 +221,17 @@ def agg6(spark, sf):
 
 # --- sinks -------------------------------------------------------------------------------------------------------
 
-@query("SNK-2", I.with_sql(LABELS_SQL, "SELECT player_key, label, split, aim_p99, wh_distance_moyenne_verrous FROM feats"))
+@query("SNK-2", I.with_sql(LABELS_SQL, """SELECT player_key, match_id, steamid, split, match_category, label,
+  CASE label WHEN 1 THEN 'verified_cheater' WHEN 0 THEN 'probable_non_cheater' ELSE 'unknown' END AS label_text,
+  CASE label WHEN 1 THEN 'high' WHEN 0 THEN 'medium' ELSE 'low' END AS label_confidence, label IN (0, 1) AS usable_for_training, """ + ", ".join(
+    f"round({f}, 6) AS {f}" for f in dataset.FEATURES) + " FROM feats"))
 def snk2(spark, sf):
     meta = {"schema_version": dataset.FEATURE_VERSION, "schema_hash": dataset.schema_hash()}
     path = new_path(spark, "features")
     sinks.write_features(features(spark, sf), path, meta)
-    return sinks.read_features(spark, path, meta).select("player_key", "label", "split", "aim_p99", "wh_distance_moyenne_verrous")
+    return sinks.read_features(spark, path, meta).select(
+        "player_key", "match_id", "steamid", "split", "match_category", "label", "label_text", "label_confidence", "usable_for_training",
+        *[stable_round(f, 6).alias(f) for f in dataset.FEATURES])
 
 
 @query("SNK-3", I.with_sql(THR_SQL, """SELECT match_id, steamid, verdict, suspicion_score, len(factors) AS factors, (SELECT count(*) FROM kin k
@@ -214,7 +242,7 @@ def snk3(spark, sf):
     e = report_events(spark, sf)
     path = new_path(spark, "results")
     sinks.write_results(m, p, e, path, page=10)
-    _, p2, e2 = sinks.read_results(spark, path, m, p, e)
+    m2, p2, e2 = sinks.read_results(spark, path, m, p, e)
     snaps = e2.groupBy(*PLAYER).agg(F.count_if(F.col("type") == "aim_snap").alias("snaps"))
     return p2.join(snaps, [*PLAYER], "left").select(
         *PLAYER, "verdict", "suspicion_score", F.size("factors").cast("long").alias("factors"), F.coalesce("snaps", F.lit(0)).alias("snaps"))
@@ -241,44 +269,68 @@ def snk5(spark, sf):
 
 # --- streams -----------------------------------------------------------------------------------------------------
 
-@query("STR-1", I.with_sql(I.BASE_SQL, "SELECT match_id, count(*) AS rows, min(tick) AS first_tick, max(tick) AS last_tick FROM ticks GROUP BY 1"))
+PLAIN_THR_SQL = I.METRICS_SQL + ",\nsm AS (SELECT * REPLACE (0.0::DOUBLE AS ml_score) FROM metrics)" + THR_SQL.removeprefix(I.SCALED_SQL)
+
+
+@query("STR-1", I.with_sql(PLAIN_THR_SQL, "SELECT match_id, steamid, verdict, suspicion_score, len(factors) AS factors FROM vd"))
 def str1(spark, sf):
-    """Tick files arrive, each batch is summarised per match and appended, the summaries are merged."""
-    src, out = parquet_path(spark, sf), new_path(spark, "arrivals")
+    """Every match arrives in two files and two batches; after the second it has the verdicts of the whole."""
+    def write(path):
+        I.ticks(spark, sf).drop("event_id").withColumn("_part", F.expr("tick % 2")).repartition(2, "_part").drop("_part").write.parquet(path)
 
-    def handle(batch, batch_id):
-        batch.groupBy("match_id").agg(F.count(F.lit(1)).alias("rows"), F.min("tick").alias("first_tick"), F.max("tick").alias("last_tick")
-                                      ).write.parquet(f"{out}/batch={batch_id}", mode="overwrite")
+    src, out = I.stored_path(spark, sf, "split_ticks", write), new_path(spark, "arrivals")
 
-    schema = "match_id string, steamid string, tick long"
-    arrivals.on_arrival(arrivals.tick_arrivals(spark, src, schema, per_trigger=2), handle, new_path(spark, "cp")).awaitTermination()
-    return spark.read.parquet(out).groupBy("match_id").agg(
-        F.sum("rows").alias("rows"), F.min("first_tick").alias("first_tick"), F.max("last_tick").alias("last_tick"))
+    def fires_of(t):
+        return t.where("active_weapon_name = 'purchase'").select("match_id", "tick", F.col("steamid").alias("user_steamid"))
 
+    arrivals.analyse_on_arrival(spark, src, fires_of, out, new_path(spark, "cp"), per_trigger=1, radius=200.0).awaitTermination()
+    return arrivals.latest_results(spark, f"{out}/players").select(
+        *PLAYER, "verdict", "suspicion_score", F.size("factors").cast("long").alias("factors"))
 
-@query("STR-2")
+
+@query("STR-2", "SELECT doc_id, strlen(text) + 9 AS length FROM documents WHERE doc_id % 4 = 0")
 def str2(spark, sf):
-    """Files of the tick table as arrivals, checked by their first bytes (PAR1 here)."""
-    src, out = parquet_path(spark, sf), new_path(spark, "complete")
+    """One file per document: complete, with a wrong start, too short, or still growing between two polls."""
+    kind = F.col("doc_id") % 4
+
+    def write(path, part):
+        magic = F.decode(F.unhex(F.lit(files.MAGIC_HEX)), "UTF-8")
+        wrong = F.decode(F.unhex(F.lit("504244454D533100")), "UTF-8")
+        text = F.when((kind == 3) & (part == 1), F.substring("text", 1, 1)).otherwise(F.col("text"))
+        value = F.when(kind == 1, F.concat(wrong, text)).when(kind == 2, F.lit("PB")).otherwise(F.concat(magic, text))
+        I.table(spark, sf, "documents").select("doc_id", value.alias("value")).repartition(8, "doc_id").write.partitionBy("doc_id").text(path)
+
+    polls = [I.stored_path(spark, sf, f"poll_{n}", lambda p, n=n: write(p, n)) for n in (1, 2)]
+    out = new_path(spark, "complete")
 
     def handle(batch, batch_id):
-        arrivals.complete_only(batch, "50415231").write.parquet(f"{out}/batch={batch_id}", mode="overwrite")
+        arrivals.complete_only(batch).select("path", "length").write.parquet(f"{out}/batch={batch_id}", mode="overwrite")
+
+    def named(df):
+        return df.withColumn("path", F.regexp_extract("path", "doc_id=([0-9]+)", 1))
 
-    arrivals.on_arrival(arrivals.replay_arrivals(spark, src, "*.parquet"), handle, new_path(spark, "cp")).awaitTermination()
-    return spark.read.parquet(out).select("path", "length")
+    arrivals.on_arrival(arrivals.replay_arrivals(spark, polls[1], "*.txt", 5000).drop("arrived"), handle, new_path(spark, "cp")).awaitTermination()
+    seen = [files.list_files(spark, p, "*.txt", recursive=True).select("path", "length", F.lit(n).alias("polled")) for n, p in enumerate(polls)]
+    whole = arrivals.settled(named(seen[0].union(seen[1])))
+    found = named(spark.read.parquet(out)).join(whole, ["path", "length"], "left_semi")
+    return found.select(F.col("path").cast("long").alias("doc_id"), "length")
 
 
-@query("STR-3", "SELECT '/replays/' || event_id || '.dem' AS path, length(props) AS length FROM events")
+@query("STR-3", "SELECT '/replays/' || event_id || '.dem' AS path, length(props) AS length, floor(epoch(ts))::BIGINT - (event_id % 2) * 31536000 AS modified_seconds FROM events")
 def str3(spark, sf):
-    """Every notice comes twice."""
-    src = I.stored_path(spark, sf, "notices", lambda p: I.table(spark, sf, "events").select(
-        F.concat(F.lit("/replays/"), F.col("event_id").cast("string"), F.lit(".dem")).alias("path"), F.length("props").cast("long").alias("length"),
-        F.col("ts").cast("timestamp").alias("modified_time"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).write.parquet(p))
-    out = new_path(spark, "unique")
-    stream = spark.readStream.schema("path string, length long, modified_time timestamp").parquet(src)
+    """Notices in three batches: some, all of them, all again; every second one is a year old."""
+    def write(path):
+        e = I.table(spark, sf, "events").select(
+            "event_id", F.concat(F.lit("/replays/"), F.col("event_id").cast("string"), F.lit(".dem")).alias("path"), F.length("props").cast("long").alias("length"),
+            F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp")) - F.col("event_id") % 2 * 31536000).alias("modified_time"))
+        for rows in (e.where("event_id % 3 = 0"), e, e):
+            rows.drop("event_id").coalesce(1).write.mode("append").parquet(path)
+
+    src, out = I.stored_path(spark, sf, "notices", write), new_path(spark, "unique")
+    stream = spark.readStream.schema("path string, length long, modified_time timestamp").option("maxFilesPerTrigger", 1).parquet(src)
 
     def handle(batch, batch_id):
-        batch.select("path", "length").write.parquet(f"{out}/batch={batch_id}", mode="overwrite")
+        batch.select("path", "length", "modified_time").write.parquet(f"{out}/batch={batch_id}", mode="overwrite")
 
-    arrivals.on_arrival(arrivals.without_repeats(stream), handle, new_path(spark, "cp")).awaitTermination()
-    return spark.read.parquet(out).select("path", "length")
+    arrivals.on_arrival(arrivals.without_repeats(stream, "1 hour"), handle, new_path(spark, "cp")).awaitTermination()
+    return spark.read.parquet(out).select("path", "length", F.unix_seconds("modified_time").alias("modified_seconds"))

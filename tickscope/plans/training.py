@@ -1,6 +1,8 @@
 """Spark ML training and scoring, isolation forest, model metadata."""
 
+import json
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -8,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,8 +19,11 @@ from tickscope.functions.angles import anomaly_sigmoid
 from tickscope.functions.numbers import stable_round
 from tickscope.functions.frames import one_row
 from tickscope.operators.blocks import exact_percentile
-from tickscope.plans.dataset import FEATURE_VERSION, FEATURES, canonical_features, schema_hash, supervised
+from tickscope.operators.results import assert_no_leakage
+from tickscope.plans.dataset import FEATURE_VERSION, FEATURES, canonical_features, population, schema_hash, supervised
 from tickscope.plans.evaluation import best_threshold, binary_metrics, require_threshold, roc_auc
+from tickscope.sources.ticks import require_coverage
+from tickscope.sources.workdir import materialize
 
 NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, path double"
 
@@ -37,18 +42,24 @@ def fit(train: DataFrame, cfg: AnalysisConfig = DEFAULT) -> PipelineModel:
     return pipeline(cfg).fit(canonical_features(train).withColumn("label", F.col("label").cast("double")))
 
 
-def scale(features: DataFrame) -> DataFrame:
-    """Standardised copies ``<feature>_z`` by one aggregation; a constant feature becomes 0."""
-    stats = features.agg(*[F.avg(f).alias(f"{f}_m") for f in FEATURES], *[F.stddev_pop(f).alias(f"{f}_s") for f in FEATURES])
+def scale(features: DataFrame, fitted_on: DataFrame | None = None) -> DataFrame:
+    """Standardised copies ``<feature>_z``; a constant feature becomes 0. Mean and deviation are those of ``fitted_on``, the training
+    rows (default: the usable rows of the training split)."""
+    stats = (supervised(features, "train") if fitted_on is None else fitted_on).agg(*[F.avg(f).alias(f"{f}_m") for f in FEATURES], *[F.stddev_pop(f).alias(f"{f}_s") for f in FEATURES])
     d = features.withColumn("_s", one_row(stats))
     return d.select(*features.columns, *[
         F.coalesce(F.try_divide(F.col(f) - F.col(f"_s.{f}_m"), F.col(f"_s.{f}_s")), F.lit(0.0)).alias(f"{f}_z") for f in FEATURES])
 
 
 def score(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """Adds ml_score, the probability of class 1 in percent."""
-    out = model.transform(canonical_features(features))
-    return out.withColumn("ml_score", vector_to_array("probability")[1] * 100.0).select(*features.columns, "ml_score")
+    """Adds ml_score, the probability of class 1 in percent; null where a feature is missing or not finite."""
+    d = canonical_features(features)
+    whole = reduce(lambda a, b: a & b, [F.coalesce(F.abs(f) < float("inf"), F.lit(False)) for f in FEATURES])
+    # the assembler takes no null, so such rows pass with zeros and get their values and a null score afterwards
+    filled = {f: F.when(F.col("_whole"), F.col(f)).otherwise(0.0) for f in FEATURES}
+    out = model.transform(d.withColumn("_whole", whole).withColumns({f"_kept_{f}": F.col(f) for f in FEATURES}).withColumns(filled))
+    probability = F.when(F.col("_whole"), vector_to_array("probability")[1] * 100.0)
+    return out.select(*[F.col(f"_kept_{c}").alias(c) if c in FEATURES else F.col(c) for c in d.columns], probability.alias("ml_score"))
 
 
 # --- isolation forest -------------------------------------------------------------------------------------------
@@ -156,7 +167,7 @@ def isolation_score(rows: DataFrame, nodes: DataFrame, columns: list[str], sampl
 def isolation_offset(scored_train: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     """One row: the contamination percentile of the training scores."""
     return exact_percentile(scored_train.withColumn("_k", F.lit(1)), "raw_score", cfg.contamination, "offset", ("_k",),
-                            widths=(1.0 / 4096,))
+                            widths=(1e-6, 1e-9))
 
 
 def anomaly_scores(scored: DataFrame, offset: DataFrame) -> DataFrame:
@@ -195,11 +206,39 @@ def model_fingerprint(meta: DataFrame, content: str = "") -> DataFrame:
         F.concat_ws("|", *parts, F.lit(schema_hash()), F.lit(content)), 256), 1, 16))
 
 
-def train(features: DataFrame, cfg: AnalysisConfig = DEFAULT) -> dict:
+def fit_outliers(train: DataFrame, cfg: AnalysisConfig = DEFAULT) -> dict:
+    """Isolation forest on the clean rows of the training split: nodes, offset, number of rows, and the scaling that goes with them."""
+    cols = [f"{c}_z" for c in FEATURES]
+    clean = scale(train, train).where("label = 0").select("player_key", *cols)
+    n = clean.count()
+    nodes = materialize(fit_isolation_forest(clean, cols, n, cfg=cfg), "nodes")
+    offset = isolation_offset(isolation_score(clean, nodes, cols, n, cfg), cfg).select("offset")
+    stats = train.agg(*[F.avg(f).alias(f"{f}_m") for f in FEATURES], *[F.stddev_pop(f).alias(f"{f}_s") for f in FEATURES])
+    return {"nodes": nodes, "offset": materialize(offset, "offset"), "stats": materialize(stats, "scaling"), "rows": n}
+
+
+def score_outliers(outliers: dict, features: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+    """Adds ``decision`` and ``anomaly_score``; null where a feature is missing or not finite."""
+    d = features.withColumn("_s", one_row(outliers["stats"]))
+    whole = reduce(lambda a, b: a & b, [F.coalesce(F.abs(f) < float("inf"), F.lit(False)) for f in FEATURES])
+    z = d.select(*features.columns, whole.alias("_whole"), *[F.when(whole, F.coalesce(
+        F.try_divide(F.col(f) - F.col(f"_s.{f}_m"), F.col(f"_s.{f}_s")), F.lit(0.0))).otherwise(0.0).alias(f"{f}_z") for f in FEATURES])
+    raw = isolation_score(z, outliers["nodes"], [f"{f}_z" for f in FEATURES], outliers["rows"], cfg)
+    out = anomaly_scores(raw, outliers["offset"])
+    return out.select(*features.columns, *[F.when(F.col("_whole"), F.col(c)).alias(c) for c in ("decision", "anomaly_score")])
+
+
+def train(features: DataFrame, cfg: AnalysisConfig = DEFAULT, status: DataFrame | None = None, path: str | None = None) -> dict:
     """Fit on train, choose the threshold on validation, measure on test. Features are read several times:
-    give a written table."""
+    give a written table.
+
+    Fails before any fit if too many matches of ``status`` were rejected or a match is in two splits. ``path`` stores the bundle.
+    """
+    if status is not None:
+        require_coverage(status, cfg.max_failure_rate)
+    assert_no_leakage(features, ("match_id",))
     tr, va, te = (supervised(features, s) for s in ("train", "validation", "test"))
-    model = fit(tr, cfg)
+    model, outliers = fit(tr, cfg), fit_outliers(tr, cfg)
 
     def scored(d):
         return score(model, d).withColumn("score", F.col("ml_score") / 100.0)
@@ -207,6 +246,38 @@ def train(features: DataFrame, cfg: AnalysisConfig = DEFAULT) -> dict:
     chosen = best_threshold(scored(va)).first()
     thr = require_threshold(chosen)
     test = scored(te)
-    meta = metadata_row(features.sparkSession, thr, float(chosen["threshold_suspect"]), seed=cfg.seed)
-    return {"model": model, "meta": meta, "threshold": thr, "validation": chosen.asDict(),
-            "test": binary_metrics(test, thr).first().asDict(), "test_auc": roc_auc(test).first()["roc_auc"]}
+    counts = {f"{r['split']}_{r['label']}": r["count"] for r in population(supervised(features)).collect()}
+    measured = binary_metrics(test, thr).first().asDict()
+    auc = roc_auc(test).first()["roc_auc"]
+    meta = metadata_row(features.sparkSession, thr, float(chosen["threshold_suspect"]), seed=cfg.seed, outlier_rows=outliers["rows"],
+                        counts=json.dumps(counts, sort_keys=True), test_metrics=json.dumps({**measured, "roc_auc": auc}, sort_keys=True))
+    bundle = {"model": model, "outliers": outliers, "meta": meta, "threshold": thr, "validation": chosen.asDict(), "counts": counts,
+              "test": measured, "test_auc": auc}
+    if path:
+        save_bundle(bundle, path)
+    return bundle
+
+
+def save_bundle(bundle: dict, path: str) -> None:
+    bundle["model"].write().save(f"{path}/forest")
+    for name in ("nodes", "offset", "stats"):
+        bundle["outliers"][name].write.parquet(f"{path}/{name}")
+    bundle["meta"].write.json(f"{path}/meta")
+
+
+def load_bundle(spark: SparkSession, path: str) -> dict:
+    """Model, outlier forest and metadata again; metadata that does not fit this schema is an error."""
+    meta = spark.read.json(f"{path}/meta")
+    for c in ("threshold", "threshold_high", "threshold_suspect"):
+        meta = meta.withColumn(c, F.col(c).cast("double"))
+    meta = meta.withColumn("classes", F.col("classes").cast("array<int>"))
+    problems = check_metadata(meta).first()["problems"]
+    if problems:
+        raise ValueError(f"unusable model: {', '.join(problems)}")
+    parts = {name: spark.read.parquet(f"{path}/{name}") for name in ("nodes", "offset", "stats")}
+    return {"model": PipelineModel.load(f"{path}/forest"), "outliers": parts | {"rows": meta.first()["outlier_rows"]}, "meta": meta}
+
+
+def score_players(bundle: dict, players: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+    """Adds ``ml_score`` and ``anomaly_score`` to rows with the fifteen features."""
+    return score_outliers(bundle["outliers"], score(bundle["model"], players), cfg).drop("decision")

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickscope.operators.blocks import block_index
+from tickscope.sources.paths import open_file
+
 MAGIC_HEX = "504244454D533200"  # fixed value: first eight bytes of a complete replay
 MAP_PATTERN = r"((?:de|cs)_[a-zA-Z0-9_]+)"
 INFO_BYTES = 8192
@@ -22,12 +25,10 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*", recursive: boo
 def with_head(files: DataFrame, n_bytes: int) -> DataFrame:
     """Adds ``head``, the first bytes of each file, reading no more than those."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
         for b in batches:
             heads = []
             for p in b["path"]:
-                system, local = fs.FileSystem.from_uri(p if "://" in p else p.replace("file:/", "file:///", 1))
-                with system.open_input_stream(local) as f:
+                with open_file(p) as f:
                     heads.append(f.read(n_bytes))
             yield b.assign(head=heads)
 
@@ -57,6 +58,14 @@ def replay_catalog(replays: DataFrame, infos: DataFrame | None = None) -> DataFr
                     F.coalesce("_info_map", from_name).alias("map_name")).orderBy(F.desc("modified_time"), "path")
 
 
+def with_position(catalog: DataFrame, name: str = "position") -> DataFrame:
+    """Adds the place in the catalog's order, newest first: ranked day by day, so no task holds the whole catalog."""
+    day = -F.floor(F.unix_seconds("modified_time") / 86400)
+    order = -F.unix_micros("modified_time")
+    d = block_index(catalog.withColumns({"_all": F.lit(1), "_order": order}), {"_p": F.lit(1)}, ["_all"], ("_order", "path"), block=day)
+    return d.withColumn(name, F.col("_p_i")).drop("_all", "_order", "_p_i", "_p_n", "_blk")
+
+
 def discover_pairs(files: DataFrame) -> DataFrame:
     """Tick file and metadata file per (class folder, base name), Parquet before CSV.GZ, with a status.
 

@@ -1,17 +1,23 @@
 """Tick and event readers."""
 
-from collections.abc import Sequence
+import csv
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tickscope.operators.clean import CRITICAL, coerce_numeric, drop_non_finite, nan_to_null, normalize_events
+from tickscope.operators.clean import CRITICAL, drop_non_finite, nan_to_null, normalize_events
+from tickscope.sources.files import list_files
+from tickscope.sources.paths import open_file
 
 TICK_TYPES = {
     "tick": "long", "steamid": "string", "X": "double", "Y": "double", "Z": "double", "pitch": "double", "yaw": "double",
     "name": "string", "team_num": "int", "health": "int", "spotted": "boolean", "is_airborne": "boolean",
     "velocity_X": "double", "velocity_Y": "double", "velocity_Z": "double", "active_weapon_name": "string",
-    "shots_fired": "int",
+    "shots_fired": "int", "is_firing": "boolean",
 }
 EVENTS_SCHEMA = """
   match_id string,
@@ -25,49 +31,133 @@ EVENTS_SCHEMA = """
 EVENT_KINDS = ("weapon_fire", "player_hurt", "player_death")
 
 
-def _match_from_file():
+def match_of_path(path: Column) -> Column:
     """class directory + base name of the file."""
-    parts = F.split(F.col("_metadata.file_path"), "/")
+    parts = F.split(path, "/")
     base = F.regexp_replace(F.element_at(parts, -1), r"\.(parquet|csv\.gz|csv|json)$", "")
     return F.concat_ws("_", F.element_at(parts, -2), base)
 
 
-def _schema(match_column: bool) -> str:
-    cols = [f"{c} {t}" for c, t in TICK_TYPES.items()]
-    return ", ".join((["match_id string"] if match_column else []) + cols)
+def _contract(df: DataFrame) -> list:
+    """Every tick column in its contract type, null where ``df`` has none. Text and odd numbers never fail the job."""
+    have, out = dict(df.dtypes), []
+    for c, t in TICK_TYPES.items():
+        x = F.col(c) if c in have else F.lit(None).cast("string")
+        if t == "string" and have.get(c) in ("double", "float") or have.get(c, "").startswith("decimal"):
+            x = x.try_cast("bigint")  # an id stored as a number; never printed as 7.6E16
+        if t in ("long", "int") and have.get(c) == "string":
+            x = x.try_cast("double")  # "12.0" is a whole number
+        if t in ("long", "int") and have.get(c) in ("double", "float", "string"):
+            x = F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
+        out.append(x.try_cast(t).alias(c))
+    return out
 
 
-def read_ticks(spark: SparkSession, paths: str | Sequence[str], match_column: bool = True) -> DataFrame:
-    """Parquet ticks with their place in the file (``source_file``, ``source_row``). The fixed schema makes an absent optional column null and prunes all others at the scan;
-    no footer of any other file is needed for it. Without a match_id column the file is the match."""
+def file_schemas(files: DataFrame) -> DataFrame:
+    """(path, columns) of Parquet files: names and types as one text, from the footers, read by the tasks; null if there is none."""
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.parquet as pq
+
+        for b in batches:
+            found = []
+            for p in b["path"]:
+                try:
+                    with open_file(p) as f:
+                        schema = pq.read_schema(f)
+                    found.append(";".join(sorted(f"{c.name}:{c.type}" for c in schema)))
+                except (OSError, ValueError):  # no Parquet file; pyarrow's errors are kinds of these
+                    found.append(None)
+            yield pd.DataFrame({"path": b["path"], "columns": found})
+
+    return files.select("path").mapInPandas(read, "path string, columns string")
+
+
+def _grouped(files: DataFrame, kind: str) -> list:
+    """(kind, paths): files that can be read by one scan. Few kinds, and paths that any scan lists on the driver too."""
+    return files.groupBy(kind).agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy(kind).collect()
+
+
+def _listed(spark: SparkSession, paths: str | Sequence[str], glob: str) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return _placed(spark.read.schema(_schema(match_column)).parquet(*paths), match_column)
+    return reduce(DataFrame.union, [list_files(spark, p, glob, recursive=True).select("path") for p in paths])
+
 
+def _unreadable(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One empty row per file that cannot be read, so that ``match_status`` rejects it under its own name."""
+    rows = spark.createDataFrame([(p,) for p in paths], "source_file string")
+    empty = rows.select(match_of_path(F.col("source_file")).alias("match_id"), "source_file", F.lit(0).cast("long").alias("source_row"))
+    return empty.select("*", *[F.lit(None).cast(t).alias(c) for c, t in TICK_TYPES.items()])
 
-def read_tick_stream(spark: SparkSession, folder: str, match_column: bool = True, per_trigger: int = 100,
-                     max_age: str = "3650d") -> DataFrame:
-    """The same for files as they arrive. A match must arrive within one file or one folder move."""
-    reader = spark.readStream.schema(_schema(match_column)).option("maxFilesPerTrigger", per_trigger).option("maxFileAge", max_age)
-    return _placed(reader.parquet(folder), match_column)
 
+def _one_scan(df: DataFrame, match_column: bool) -> DataFrame:
+    """Contract columns of one scan. Columns the contract does not name are not read."""
+    named = F.col("match_id").cast("string") if match_column and "match_id" in df.columns else match_of_path(F.col("_metadata.file_path"))
+    return df.select(named.alias("match_id"), F.col("_metadata.file_path").alias("source_file"),
+                     F.col("_metadata.row_index").alias("source_row"), *_contract(df))
 
-def _placed(df: DataFrame, match_column: bool) -> DataFrame:
-    if not match_column:
-        df = df.withColumn("match_id", _match_from_file())
-    return tidy_ticks(df.withColumns({"source_file": F.col("_metadata.file_path"), "source_row": F.col("_metadata.row_index")}))
+
+def read_ticks(spark: SparkSession, paths: str | Sequence[str], match_column: bool = True) -> DataFrame:
+    """Parquet ticks with their place in the file (``source_file``, ``source_row``).
+
+    Files are grouped by their own columns and types, one scan per distinct schema, and each is cast to the contract. An absent
+    column is null; a file that is no Parquet file is one row without values, hence a rejected match (Spark does not list files of no bytes). Without a match_id
+    column the file is the match.
+    """
+    parts, bad = [], []
+    for kind, found in _grouped(file_schemas(_listed(spark, paths, "*.parquet")), "columns"):
+        if kind is None:
+            bad += found
+        else:
+            parts.append(_one_scan(spark.read.parquet(*found), match_column))
+    if bad or not parts:
+        parts.append(_unreadable(spark, bad))
+    return tidy_ticks(reduce(DataFrame.unionByName, parts))
+
+
+def file_headers(files: DataFrame, n_bytes: int = 65536) -> DataFrame:
+    """(path, header) of CSV and CSV.GZ files: the first line, null if there is none."""
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zlib
+
+        for b in batches:
+            found = []
+            for p in b["path"]:
+                try:
+                    with open_file(p) as f:
+                        head = f.read(n_bytes)
+                    if p.endswith(".gz"):
+                        head = zlib.decompressobj(31).decompress(head, n_bytes)
+                    line = head.decode("utf-8-sig").split("\n")[0].strip("\r")
+                    found.append(line or None)
+                except (OSError, ValueError, zlib.error):
+                    found.append(None)
+            yield pd.DataFrame({"path": b["path"], "header": found})
+
+    return files.select("path").mapInPandas(read, "path string, header string")
 
 
 def read_ticks_csv(spark: SparkSession, paths: str | Sequence[str], match_column: bool = True,
                    tick_block: int = 65536) -> DataFrame:
-    """CSV / CSV.GZ with a header. A gzip file is read by one task, so rows are spread again by match and tick block."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = spark.read.option("header", True).csv(paths)
-    if not match_column:
-        raw = raw.withColumn("match_id", _match_from_file())
-    # a gzip file is one partition, so the ids follow the lines of the file
-    raw = raw.withColumns({"source_file": F.col("_metadata.file_path"), "source_row": F.monotonically_increasing_id()})
-    raw = raw.select("match_id", "source_file", "source_row", *[(F.col(c) if c in raw.columns else F.lit(None).cast("string")).alias(c) for c in TICK_TYPES])
-    df = coerce_numeric(raw, {c: t for c, t in TICK_TYPES.items() if t != "string"})
+    """CSV / CSV.GZ with a header. Files are grouped by their header line, so columns are found by name in any order.
+
+    A gzip file is read by one task, so rows are spread again by match and tick block. ``source_row`` follows the lines of a gzip file; a
+    large plain file is read in pieces, whose numbers only rise inside a piece.
+    """
+    parts, bad = [], []
+    listed = _listed(spark, paths, "*.{csv,csv.gz}")
+    for header, found in _grouped(file_headers(listed), "header"):
+        if header is None:
+            bad += found
+            continue
+        columns = next(csv.reader([header]))
+        schema = T.StructType([T.StructField(c if c and c not in columns[:i] else f"_{i}", T.StringType()) for i, c in enumerate(columns)])
+        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(found)
+        named = F.col("match_id") if match_column and "match_id" in columns else match_of_path(F.col("_metadata.file_path"))
+        parts.append(raw.select(named.alias("match_id"), F.col("_metadata.file_path").alias("source_file"),
+                                F.monotonically_increasing_id().alias("source_row"), *_contract(raw)))
+    if bad or not parts:
+        parts.append(_unreadable(spark, bad))
+    df = reduce(DataFrame.unionByName, parts)
     return tidy_ticks(df.repartition(F.col("match_id"), F.floor(F.col("tick") / tick_block)))
 
 
@@ -112,7 +202,7 @@ def read_event_documents(spark: SparkSession, paths: str | Sequence[str], multil
     paths = [paths] if isinstance(paths, str) else list(paths)
     df = spark.read.schema(EVENTS_SCHEMA).option("multiLine", multiline).option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", "_corrupt").json(paths)
-    return df if match_column else df.withColumn("match_id", _match_from_file())
+    return df if match_column else df.withColumn("match_id", match_of_path(F.col("_metadata.file_path")))
 
 
 def explode_events(docs: DataFrame, kind: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,30 @@ def store(df: DataFrame, name: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table through the file system that holds it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class WorkScope:
+    """Intermediate tables of one computation in one folder, removed together when its results are written."""
+
+    def __init__(self, spark: SparkSession, name: str = "work"):
+        self.spark, self.path, self._n = spark, new_path(spark, name), count()
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{next(self._n)}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> "WorkScope":
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.path)
+
+
 Keep = Callable[[DataFrame, str], DataFrame]
 
 

@@ -6,52 +6,81 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickscope.plans.analyze import analyse_matches, prepare
+from tickscope.plans.analyze import analyse, prepare
 from tickscope.sources.files import MAGIC_HEX, valid_header, with_head
-from tickscope.sources.workdir import materialize
+from tickscope.sources.ticks import read_ticks
+from tickscope.sources.workdir import WorkScope
 
 
-def replay_arrivals(spark: SparkSession, folder: str, glob: str = "*.dem", per_trigger: int = 100,
-                    max_age: str = "3650d") -> DataFrame:
-    """Stream of new files (path, modified_time, length). A file must appear complete, by an atomic rename into the
-    folder; the size check and the magic bytes catch what does not. Copies keep old times, so ``max_age`` is long."""
+def file_arrivals(spark: SparkSession, folder: str, glob: str = "*", per_trigger: int = 100) -> DataFrame:
+    """Stream of new files (path, modified_time, length, arrived), none of them opened.
+
+    Spark forgets files older than ``maxFileAge`` unless it takes the latest first with a limit per trigger; then it remembers every file in the
+    checkpoint and a file's own time never matters. Copies keep old times, so that is what is wanted here.
+    """
     return (spark.readStream.format("binaryFile")
             .schema("path string, modificationTime timestamp, length long, content binary")
-            .option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_trigger)
-            .option("maxFileAge", max_age).load(folder)
-            .select("path", F.col("modificationTime").alias("modified_time"), "length"))
+            .option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+            .option("maxFilesPerTrigger", per_trigger).option("latestFirst", True).load(folder)
+            .select("path", F.col("modificationTime").alias("modified_time"), "length", F.current_timestamp().alias("arrived")))
+
+
+def replay_arrivals(spark: SparkSession, folder: str, glob: str = "*.dem", per_trigger: int = 100) -> DataFrame:
+    return file_arrivals(spark, folder, glob, per_trigger)
 
 
 def complete_only(files: DataFrame, magic_hex: str = MAGIC_HEX) -> DataFrame:
-    """Reads eight bytes of each file."""
+    """Files of eight bytes or more with the right first eight bytes; no more of a file is read."""
     return valid_header(with_head(files.where("length >= 8"), 8), magic_hex=magic_hex).drop("head")
 
 
-def without_repeats(files: DataFrame, memory: str = "60 seconds") -> DataFrame:
-    """One notice per (path, size, time); the state of older files is dropped behind the watermark."""
-    return files.withWatermark("modified_time", memory).dropDuplicatesWithinWatermark(["path", "length", "modified_time"])
+def settled(polls: DataFrame, times: int = 2) -> DataFrame:
+    """(path, length) of files whose last ``times`` polls (path, length, polled) found the same size: they are written to the end.
 
+    A file that still grows, or was seen too seldom, is left for a later look; a caller's timeout is a bound on ``polled``.
+    """
+    last = F.slice(F.sort_array(F.collect_set(F.struct(F.col("polled"), F.col("length"))), asc=False), 1, times)
+    seen = polls.groupBy("path").agg(last.alias("_last"))
+    return seen.where((F.size("_last") >= times) & (F.size(F.array_distinct(F.col("_last.length"))) == 1)).select(
+        "path", F.element_at(F.col("_last.length"), 1).alias("length"))
 
-def tick_arrivals(spark: SparkSession, folder: str, schema: str, per_trigger: int = 100,
-                  max_age: str = "3650d") -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option(
-        "maxFileAge", max_age).parquet(folder)
 
+def without_repeats(files: DataFrame, memory: str = "60 seconds") -> DataFrame:
+    """One notice per (path, size, time) within ``memory`` of its arrival.
+
+    The clock is the time of arrival, never a file's own time, so a file that was not seen before passes however old it is.
+    """
+    if "arrived" not in files.columns:
+        files = files.withColumn("arrived", F.current_timestamp())
+    return files.withWatermark("arrived", memory).dropDuplicatesWithinWatermark(["path", "length", "modified_time"])
 
-def analyse_on_arrival(ticks: DataFrame, fires_of: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
-                       **options) -> StreamingQuery:
-    """Verdicts of every match that arrives (``read_tick_stream``), under ``out``/players and ``out``/matches.
 
-    ``fires_of`` gives the shots for a batch of ticks. A batch that is repeated after a failure overwrites its own
-    folder, so results stay exact.
+def analyse_on_arrival(spark: SparkSession, folder: str, fires_of: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
+                       match_column: bool = True, per_trigger: int = 100, **options) -> StreamingQuery:
+    """Verdicts of every match that has new tick files, under ``out``/players, /matches and /events; read them with ``latest_results``.
+
+    A batch only says which matches have changed. Each of them is analysed anew from all its files in ``folder``, those of earlier batches included, so a match
+    may arrive in any number of files and batches. ``fires_of`` gives the shots for a frame of ticks. A batch that is repeated after a
+    failure overwrites its own folder.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        clean = materialize(prepare(batch), "arrived")
-        players, matches = analyse_matches(clean, fires_of(clean), **options)
-        players.write.mode("overwrite").parquet(f"{out}/players/batch={batch_id}")
-        matches.write.mode("overwrite").parquet(f"{out}/matches/batch={batch_id}")
-
-    return on_arrival(ticks, handle, checkpoint)
+        paths = [r["path"] for r in batch.select("path").collect()]  # per_trigger at most
+        if not paths:
+            return
+        with WorkScope(spark, "arrival") as work:
+            changed = work.keep(read_ticks(spark, paths, match_column).select("match_id").distinct(), "changed")
+            clean = work.keep(prepare(read_ticks(spark, folder, match_column).join(changed, "match_id", "left_semi")), "ticks")
+            for name, df in analyse(clean, fires_of(clean), keep=work.keep, **options)._asdict().items():
+                df.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+
+    return on_arrival(file_arrivals(spark, folder, "*.parquet", per_trigger).drop("arrived"), handle, checkpoint)
+
+
+def latest_results(spark: SparkSession, path: str) -> DataFrame:
+    """Results of each match from the last batch that analysed it."""
+    every = spark.read.parquet(path)
+    last = every.groupBy("match_id").agg(F.max("batch").alias("batch"))
+    return every.join(last, ["match_id", "batch"], "left_semi").drop("batch")
 
 
 def on_arrival(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
