@@ -4,7 +4,7 @@ Documents go to range partitions in the order of their ids. Each task cuts its d
 compressed by Re-Pair: in each round the most frequent pairs of neighbouring symbols that do not cross a document's end become
 nonterminals, replaced from left to right. A row of the file table holds one shard:
 
-* ``part, shard``: place in the order of all shards; ``n_ids``: ids of the shard;
+* ``part, shard``: place in the order of all shards; ``before``: ids of the part's earlier shards; ``n_ids``: ids of the shard;
 * ``doc_id``: its documents in order; ``counts``: their ids, each 32 bits; ``firsts``: the place of each document's first symbol;
 * ``rules``: pairs of 32-bit symbols, rule r being symbol ``base + r``; ``lengths``: ids that each rule expands to;
 * ``body``: symbols, 16 bits each if all fit, else 32 (``wide``).
@@ -36,12 +36,21 @@ LEAST = 16  # a rarer pair costs more than it saves
 _BUCKETS = 20
 
 
-def _frequent_pairs(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Keys (a << 32 | b) of the most frequent pairs, sorted; exact counts among pairs whose hash bucket is frequent."""
-    h = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(32 - _BUCKETS)
-    full = np.bincount(h, minlength=1 << _BUCKETS) >= LEAST
-    some = full[h]
-    keys, n = np.unique((a[some].astype(np.uint64) << np.uint64(32)) | b[some], return_counts=True)
+def _buckets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(32 - _BUCKETS)
+
+
+def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.uint64) << np.uint64(32)) | b
+
+
+def _frequent_pairs(a: np.ndarray, b: np.ndarray, bucket: np.ndarray, free: np.ndarray, most: int) -> np.ndarray:
+    """Keys of the most frequent pairs, sorted; exact counts among pairs whose hash bucket is frequent."""
+    some = np.flatnonzero((np.bincount(bucket, minlength=1 << _BUCKETS) >= LEAST)[bucket] & free)
+    keys = _keys(a[some], b[some])
+    keys.sort()
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+    keys, n = keys[edge[:-1]], np.diff(edge)
     keys, n = keys[n >= LEAST], n[n >= LEAST]
     return np.sort(keys[np.lexsort((keys, -n))[:most]])
 
@@ -56,16 +65,14 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, m
         if len(symbols) < 2:
             break
         a, b, free = symbols[:-1], symbols[1:], ~last[:-1]
-        keys = _frequent_pairs(a[free], b[free], most)
+        bucket = _buckets(a, b)
+        keys = _frequent_pairs(a, b, bucket, free, most)
         if not len(keys):
             break
-        # only symbols that begin and end some frequent pair are looked up
-        top = int(symbols.max()) + 1
-        left, right = np.zeros(top, dtype=bool), np.zeros(top, dtype=bool)
-        left[(keys >> np.uint64(32)).astype(np.int64)] = True
-        right[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
-        at = np.flatnonzero(left[a] & right[b] & free)
-        mine = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
+        wanted = np.zeros(1 << _BUCKETS, dtype=bool)
+        wanted[_buckets((keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32))] = True
+        at = np.flatnonzero(wanted[bucket] & free)
+        mine = _keys(a[at], b[at])
         which = np.searchsorted(keys, mine)
         hit = keys[np.minimum(which, len(keys) - 1)] == mine
         at, which = at[hit], which[hit]
@@ -121,16 +128,16 @@ def expand_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, ba
     return expand(symbols[i:j + 1], rules, lengths, base)[start - before:start - before + n]
 
 
-FILE = ("part int, shard int, n_ids long, base int, doc_id array<{id}>, counts binary, firsts binary, rules binary, lengths binary, "
+FILE = ("part int, shard int, before long, n_ids long, base int, doc_id array<{id}>, counts binary, firsts binary, rules binary, lengths binary, "
         "wide boolean, body binary")
 
 
-def _shard_row(part: int, shard: int, docs: list, texts: list[bytes], base: int) -> list:
+def _shard_row(part: int, shard: int, before: int, docs: list, texts: list[bytes], base: int) -> list:
     ids = np.frombuffer(b"".join(texts), dtype="<u4")
     counts = np.array([len(t) // 4 for t in texts], dtype="<u4")
     symbols, rules, firsts = repair(ids, np.cumsum(counts, dtype=np.int64), base)
     wide = bool(len(symbols)) and int(symbols.max()) >= 1 << 16
-    return [part, shard, len(ids), base, docs, counts.tobytes(), firsts.astype("<u4").tobytes(), rules.astype("<u4").tobytes(),
+    return [part, shard, before, len(ids), base, docs, counts.tobytes(), firsts.astype("<u4").tobytes(), rules.astype("<u4").tobytes(),
             rule_lengths(rules, base).astype("<u4").tobytes(), wide, symbols.astype("<u4" if wide else "<u2").tobytes()]
 
 
@@ -146,12 +153,12 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         base = max(enc.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
-        part, shard = TaskContext.get().partitionId(), 0
+        part, shard, before = TaskContext.get().partitionId(), 0, 0
         ids, texts, held, kind = [], [], 0, None
 
         def row() -> pa.RecordBatch:
-            values = _shard_row(part, shard, ids, texts, base)
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(kind), *[pa.binary()] * 4, pa.bool_(), pa.binary()]
+            values = _shard_row(part, shard, before, ids, texts, base)
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(kind), *[pa.binary()] * 4, pa.bool_(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], schema.names)
 
         for batch in batches:
@@ -160,7 +167,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
                 coded = enc.encode(text) + end
                 if texts and held + len(coded) // 4 > shard_ids:
                     yield row()
-                    ids, texts, held, shard = [], [], 0, shard + 1
+                    ids, texts, held, shard, before = [], [], 0, shard + 1, before + held
                 ids.append(doc)
                 texts.append(coded)
                 held += len(coded) // 4
@@ -173,12 +180,9 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` from the files: every document is decoded. ``start`` counts ids over all shards before."""
     files = spark.read.parquet(path)
-    in_part = files.groupBy("part", "shard").agg(F.sum("n_ids").alias("n"))
-    # one row per part, that is per writing task, is ordered as a whole; shards only inside their part
-    parts = in_part.groupBy("part").agg(F.sum("n").alias("n"))
-    of_part = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
-    starts = (in_part.select("part", "shard", (F.sum("n").over(Window.partitionBy("part").orderBy("shard")) - F.col("n")).alias("inside"))
-              .join(of_part, "part").select("part", "shard", (F.col("part_start") + F.col("inside")).alias("first_id")))
+    # one row per part, that is per writing task
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    starts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
     kind = dict(files.dtypes)["doc_id"][6:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +199,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([get("doc_id").values, pa.array(first + ends - counts), pa.array(counts), pa.array(crc, pa.int64())],
                                                  ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.join(starts, ["part", "shard"]).select(
-        "doc_id", "counts", "firsts", "lengths", "rules", "body", "wide", "base", "first_id").mapInArrow(
+    return files.join(F.broadcast(starts), "part").select(
+        "doc_id", "counts", "firsts", "lengths", "rules", "body", "wide", "base", (F.col("part_start") + F.col("before")).alias("first_id")).mapInArrow(
         run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 

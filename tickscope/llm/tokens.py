@@ -1,12 +1,14 @@
-"""Byte-level BPE ids of whole texts inside tasks, with a bounded memo of words."""
+"""Byte-level BPE ids of whole texts inside tasks, with a bounded memo of words.
+
+Ids are 32 bits and in the byte order of the machine, which is little-endian on every platform that Spark's native parts support.
+"""
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
-#: Words kept in a worker's memo before it starts anew; about 250 bytes each.
+#: Words kept in each of the two generations of a worker's memo; about 250 bytes each.
 MEMO_WORDS = 400_000
 
 
@@ -23,6 +25,28 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(others)}}
 
 
+class _NotAlone(Exception):
+    """A word that cannot be encoded apart from its neighbours."""
+
+
+class _Memo(dict):
+    """Word to ids, filled on demand. When a generation is full it becomes the old one, from which words in use come back."""
+
+    def __init__(self, encode, room: int):
+        super().__init__()
+        self.encode, self.room, self.old = encode, room, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(word, self)
+        if len(self) >= self.room:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes, the same as encoding the text whole.
 
@@ -37,72 +61,41 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.room = memo_words
-        self.first: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        letters = _byte_letters()
+        self.letters = str.maketrans({chr(b): c for b, c in letters.items()})
+        self.space = letters[32]
+        self.first = _Memo(lambda word, memo: self._word(word, "", "", memo), max(1, memo_words // 8))
+        self.after = _Memo(lambda word, memo: self._word(word, " ", self.space, memo), memo_words)
         self.newline = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _letters_only(self, piece: str) -> bytes:
-        """One run of letters, perhaps after a space, is one pre-token: the model alone decides."""
-        mapped = piece.encode().decode("latin-1").translate(self.letters)
-        return np.asarray([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str, lead: str) -> bytes:
+    def _word(self, word: str, lead: str, mapped_lead: str, memo: _Memo) -> bytes:
         if word.isalpha():
-            return self._letters_only(lead + word)
-        core = word[:-1]
-        if core.isalpha() and word[-1] in ",.;:!?":
-            memo = self.after if lead else self.first
-            known = memo.get(core) or self._letters_only(lead + core)
-            tail = self.first.get(word[-1]) or self._whole(word[-1])
-            return known + tail
+            # one run of letters, perhaps after a space, is one pre-token: the model alone decides
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            return array("I", [t.id for t in self.tokenize(mapped_lead + mapped)]).tobytes()
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _NotAlone
+        core, tail = word[:-1], word[-1]
+        if tail in ",.;:!?" and core.isalpha():
+            return memo[core] + self.first[tail]
         return self._whole(lead + word)
 
-    def _learn(self, words: set[str], memo: dict[str, bytes], lead: str) -> bool:
-        new = [w for w in words if w not in memo]
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in new):
-            return False
-        if len(self.first) + len(self.after) + len(new) > self.room:
-            self.first.clear()
-            self.after.clear()
-            new = list(words)
-        for w in new:
-            memo[w] = self._word(w, lead)
-        return True
-
-    def _line(self, words: list[str]) -> bytes | None:
-        after = self.after
-        try:
-            return self.first[words[0]] + b"".join([after[w] for w in words[1:]])
-        except KeyError:
-            pass
-        out = []
-        for i in range(0, len(words), 50_000):  # a line of any length passes the memo in bounded parts
-            part = words[i:i + 50_000]
-            if i == 0:
-                if not self._learn({part[0]}, self.first, ""):
-                    return None
-                out.append(self.first[part[0]])
-                part = part[1:]
-            if not self._learn(set(part), self.after, " "):
-                return None
-            out += [self.after[w] for w in part]
-        return b"".join(out)
-
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        lines = []
-        for line in text.split("\n"):
-            ids = self._line(line.split(" "))
-            if ids is None:
-                return self._whole(text)
-            lines.append(ids)
+        first, after, lines = self.first, self.after, []
+        try:
+            for line in text.split("\n"):
+                words = line.split(" ")
+                head = first[words[0]]
+                del words[0]
+                lines.append(head + b"".join([after[w] for w in words]))
+        except _NotAlone:
+            return self._whole(text)
         return self.newline.join(lines)
 
 
