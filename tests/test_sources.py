@@ -173,6 +173,21 @@ def test_feature_metadata_is_checked(spark, tmp_path):
         sinks.read_features(spark, str(tmp_path / "f"), {"schema_hash": "y"})
 
 
+def test_features_are_reused_for_the_same_manifest_and_schema(spark, tmp_path):
+    path, built = str(tmp_path / "f"), []
+
+    def build(n):
+        built.append(n)
+        return spark.range(n)
+
+    meta = {"schema_hash": "x", "manifest": sinks.manifest_hash(spark.createDataFrame([("m", "a")], "match_id string, label string"))}
+    assert [sinks.features_for(spark, path, meta, lambda: build(3))[1] for _ in range(2)] == [False, True]
+    other = meta | {"manifest": sinks.manifest_hash(spark.createDataFrame([("m", "b")], "match_id string, label string"))}
+    got = [sinks.features_for(spark, path, other, lambda: build(4)) for _ in range(2)]
+    assert [(d.count(), reused) for d, reused in got] == [(4, False), (4, True)] and built == [3, 4]
+    assert sinks.read_features(spark, path, meta).count() == 3
+
+
 def test_results_are_paged(spark, tmp_path):
     m = spark.createDataFrame([("m", "none")], "match_id string, global_verdict string")
     p = spark.createDataFrame([("m", "a", "CLEAN"), ("m", "b", "CLEAN")], "match_id string, steamid string, verdict string")

@@ -235,7 +235,8 @@ def snk2(spark, sf):
 
 
 @query("SNK-3", I.with_sql(THR_SQL, """SELECT match_id, steamid, verdict, suspicion_score, len(factors) AS factors, (SELECT count(*) FROM kin k
-  WHERE k.match_id = vd.match_id AND k.steamid = vd.steamid AND raw_speed > 120) AS snaps FROM vd"""))
+  WHERE k.match_id = vd.match_id AND k.steamid = vd.steamid AND raw_speed > 120) AS snaps,
+  count(*) OVER (PARTITION BY match_id) AS match_players, count(*) FILTER (verdict = 'CHEATER') OVER (PARTITION BY match_id) AS match_cheaters FROM vd"""))
 def snk3(spark, sf):
     p = judged(spark, sf)
     m = results.match_verdict(p)
@@ -244,8 +245,10 @@ def snk3(spark, sf):
     sinks.write_results(m, p, e, path, page=10)
     m2, p2, e2 = sinks.read_results(spark, path, m, p, e)
     snaps = e2.groupBy(*PLAYER).agg(F.count_if(F.col("type") == "aim_snap").alias("snaps"))
-    return p2.join(snaps, [*PLAYER], "left").select(
-        *PLAYER, "verdict", "suspicion_score", F.size("factors").cast("long").alias("factors"), F.coalesce("snaps", F.lit(0)).alias("snaps"))
+    heads = m2.select("match_id", F.col("players").alias("match_players"), F.col("cheaters").alias("match_cheaters"))
+    return p2.join(snaps, [*PLAYER], "left").join(heads, "match_id").select(
+        *PLAYER, "verdict", "suspicion_score", F.size("factors").cast("long").alias("factors"), F.coalesce("snaps", F.lit(0)).alias("snaps"),
+        "match_players", "match_cheaters")
 
 
 @query("SNK-4", I.with_sql(MANIFEST_SQL, """SELECT match_id, label, 'data/raw_examples/' || match_id || '.parquet' AS data_path,
@@ -254,12 +257,12 @@ def snk4(spark, sf):
     return sinks.example_manifest(manifest_with_split(spark, sf)).select("match_id", "label", "data_path", "metadata_path")
 
 
-@query("SNK-5", I.with_sql(THR_SQL, """SELECT match_id, 'Report_' || CASE WHEN CAST(substr(name, 2) AS BIGINT) % 10 = 3 THEN 'Joueur_Inconnu' ELSE 'x' || name END AS file_name,
+@query("SNK-5", I.with_sql(THR_SQL, """SELECT match_id, 'Report_' || CASE WHEN CAST(substr(name, 2) AS BIGINT) % 10 = 3 THEN 'Joueur_Inconnu' ELSE 'x' || name END || '_' || steamid AS file_name,
   verdict || chr(10) || array_to_string(factors, chr(10)) AS text FROM vd"""))
 def snk5(spark, sf):
     who = F.expr("cast(substring(name, 2) as bigint)")
     p = judged(spark, sf).select(
-        "match_id", F.when(who % 10 == 3, ' ?*<>|"').otherwise(F.concat(F.lit("x:/"), F.col("name"))).alias("name"),
+        "match_id", "steamid", F.when(who % 10 == 3, ' ?*<>|"').otherwise(F.concat(F.lit("x:/"), F.col("name"))).alias("name"),
         F.concat_ws("\n", "verdict", F.array_join("factors", "\n")).alias("report"))
     path = new_path(spark, "reports")
     sinks.write_reports(p, path)

@@ -1,5 +1,9 @@
 """Writers and their readers. Spark's commit protocol makes each write atomic."""
 
+from collections.abc import Callable
+from hashlib import sha256
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +52,32 @@ def read_features(spark: SparkSession, path: str, expected: dict[str, str] | Non
     return spark.read.parquet(f"{path}/features")
 
 
+def features_for(spark: SparkSession, path: str, expected: dict[str, str], build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """(features, reused): the table at ``path`` if it was written for the same manifest and schema, else a new one from ``build``.
+
+    The table of other metadata stays as it is; the new one goes into a folder named by its own metadata.
+    """
+    name = sha256("|".join(f"{k}={v}" for k, v in sorted(expected.items())).encode()).hexdigest()[:16]
+    for place in (path, f"{path}-{name}"):
+        try:
+            return read_features(spark, place, expected), True
+        except ValueError:
+            continue
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            write_features(build(), place, expected)
+            return read_features(spark, place, expected), False
+    raise ValueError(f"{path}-{name} holds features of other metadata")
+
+
+def manifest_hash(manifest: DataFrame) -> str:
+    """One text for the content of a manifest, whatever the order of its rows."""
+    rows = manifest.select(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in MANIFEST_COLUMNS if c in manifest.columns]).alias("h"))
+    n, total = rows.agg(F.count(F.lit(1)), F.sum(F.col("h").cast("decimal(38,0)"))).first()
+    return f"{n}:{total}"
+
+
 def write_results(matches: DataFrame, players: DataFrame, events: DataFrame, path: str, page: int = 1000) -> None:
     """Nested results as gzip JSON lines.
 
@@ -83,8 +113,8 @@ def example_manifest(manifest: DataFrame, n: int = 10, folder: str = "data/raw_e
 
 
 def report_files(reports: DataFrame, text: str = "report", name: str = "name") -> DataFrame:
-    """(match_id, file_name, value): what ``write_reports`` writes, one folder per match and player."""
-    return reports.select("match_id", F.concat(F.lit("Report_"), safe_file_name(name)).alias("file_name"),
+    """(match_id, file_name, value): what ``write_reports`` writes, one folder per match and player; the id keeps namesakes apart."""
+    return reports.select("match_id", F.concat(F.lit("Report_"), safe_file_name(name), F.lit("_"), "steamid").alias("file_name"),
                           F.col(text).alias("value"))
 
 
