@@ -27,8 +27,9 @@ PASSAGE = 80
 ERROR_RATE = 0.1
 #: Characters of passages that are searched for in one pass over the documents: the bound of what tasks are sent.
 PASS_CHARS = 4_000_000
-#: Characters of documents that a task looks at together.
+#: Characters of a document that a task looks at together, and regions that it aligns together.
 CHARS_AT_ONCE = 2_000_000
+ALIGNED_AT_ONCE = 1024
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,7 +95,7 @@ class PassageIndex:
         h = [gram_hashes(p) for p in passages]
         hashes = np.concatenate([*h, np.zeros(0, np.uint64)])
         order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
+        self.hashes, self.first, self.times = np.unique(hashes[order], return_index=True, return_counts=True)
         self.owner = np.repeat(np.arange(len(h)), [len(x) for x in h])[order]
         self.place = np.concatenate([np.arange(len(x)) for x in h] or [np.zeros(0, np.int64)])[order]
         self.maybe = np.zeros(1 << self.BITS, dtype=bool)
@@ -104,63 +105,79 @@ class PassageIndex:
         """Place in the text, passage, place in the passage of every shared q-gram."""
         h = gram_hashes(c)
         at = np.flatnonzero(self.maybe[(h >> np.uint64(64 - self.BITS)).view(np.int64)])
-        low = np.searchsorted(self.hashes, h[at], side="left")
-        n = np.searchsorted(self.hashes, h[at], side="right") - low
-        at, low, n = at[n > 0], low[n > 0], n[n > 0]
-        index = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+        spot = np.searchsorted(self.hashes, h[at])
+        hit = self.hashes[np.minimum(spot, len(self.hashes) - 1)] == h[at]
+        at, spot = at[hit], spot[hit]
+        n = self.times[spot]
+        ends = np.cumsum(n)
+        index = np.repeat(self.first[spot] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
         return np.repeat(at, n), self.owner[index], self.place[index]
 
     def find(self, c: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(passage, distance, start, end) of the best region of each band that holds a passage; places in the normalized text."""
-        text, owner, place = self._hits(c)
-        if not len(text):
+        if not len(self.hashes) or len(c) < Q:
             return []
+        text, owner, place = self._hits(c)
         shift = int(self.length.max()) + 1
         width = self.budget[owner] + 1
         band = (text - place + shift) // width
         span = (len(c) + shift) + 2
-        key = owner * span + band
-        key, n = np.unique(np.concatenate([key, owner * span + band - 1]), return_counts=True)
-        good = n >= self.needed[key // span]
+        # bands counted by hash first: most q-grams are in none that could reach its bound
+        size = 1 << int(np.clip(4 * len(band), 256, 1 << 20) - 1).bit_length()
+        slot = (owner * 7919 + band) & (size - 1)
+        many = np.bincount(slot, minlength=size)
+        many[1:] += many[:-1].copy()  # a band and the next one share a slot's rows: band b holds what falls to b and b + 1
+        many[0] += many[-1]
+        need = self.needed[owner]
+        some = (many[slot] >= need) | (many[(slot + 1) & (size - 1)] >= need)
+        owner, band, place = owner[some], band[some], place[some]
+        # every q-gram of a passage counts once per band, however often a repetitive text has it
+        both = np.concatenate([owner * span + band, owner * span + band - 1])
+        counted = np.unique(both * shift + np.concatenate([place, place])) // shift
+        key, n = np.unique(counted, return_counts=True)
+        key = key[n >= self.needed[key // span]]
+        owner, band = key // span, key % span
         out = []
-        for k in key[good]:
-            owner_k, band_k = int(k // span), int(k % span)
-            budget = int(self.budget[owner_k])
-            low = band_k * (budget + 1) - shift
-            best = banded(self.passages[owner_k], c, low - budget, low + 2 * (budget + 1) + budget)
-            if best and best[0] <= budget:
-                out.append((owner_k, *best))
+        for m in np.unique(self.length[owner]):  # passages of one length have one budget and one band width
+            mine = owner[self.length[owner] == m]
+            k = int(self.budget[mine[0]])
+            low = band[self.length[owner] == m] * (k + 1) - shift - k
+            for at in range(0, len(mine), ALIGNED_AT_ONCE):
+                who = mine[at:at + ALIGNED_AT_ONCE]
+                edits, start, end = banded(np.stack([self.passages[o] for o in who]), c, low[at:at + ALIGNED_AT_ONCE], 2 * (k + 1) + 2 * k)
+                out += [(int(who[i]), int(edits[i]), int(start[i]), int(end[i])) for i in np.flatnonzero(edits <= k)]
         return out
 
 
-def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
-    """Fewest edits that turn a region of ``text`` into ``pattern`` with text place less pattern place in [low, high); (edits, start, end)."""
-    m, n = len(pattern), len(text)
-    diagonals = np.arange(low, high)
-    far = m + n + 1
-    ok = (diagonals >= 0) & (diagonals <= n)
-    cost, origin = np.where(ok, 0, far), diagonals.copy()
+def banded(patterns: np.ndarray, text: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ``patterns``: fewest edits that turn a region of ``text`` into it on the ``width`` diagonals (text place less pattern
+    place) from ``low``, and the region's start and end. All rows are aligned together."""
+    rows, m = patterns.shape
+    n, far = len(text), m + len(text) + 1
+    across = np.arange(width)
+    diagonals = low[:, None] + across
+    places = low[:, None] + np.arange(width + m)
+    window = np.where((places >= 0) & (places < n), text[np.clip(places, 0, max(n - 1, 0))].astype(np.int64), -1)
+    cost = np.where((diagonals >= 0) & (diagonals <= n), 0, far)
+    origin = diagonals.copy()
+    beyond = np.full((rows, 1), far)
+    nowhere = np.zeros((rows, 1), dtype=origin.dtype)
     for i in range(1, m + 1):
-        j = diagonals + i  # text characters used so far
-        inside = (j >= 1) & (j <= n)
-        same = np.zeros(len(j), dtype=np.int64)
-        same[inside] = text[j[inside] - 1] == pattern[i - 1]
-        step = np.where(inside, cost + 1 - same, far)
-        up = np.append(cost[1:], far) + 1
-        up[(j < 0) | (j > n)] = far
-        best = np.where(up < step, up, step)
-        source = np.where(up < step, np.append(origin[1:], 0), origin)
+        used = diagonals + i  # text characters before the end of the row's cells
+        step = np.where((used >= 1) & (used <= n), cost + (window[:, i - 1:i - 1 + width] != patterns[:, i - 1:i]), far)
+        outside = (used < 0) | (used > n)
+        up = np.where(outside, far, np.hstack([cost[:, 1:], beyond]) + 1)
+        best = np.minimum(up, step)
+        source = np.where(up < step, np.hstack([origin[:, 1:], nowhere]), origin)
         # insertions run along the row: a prefix minimum of cost less column
-        level = best - np.arange(len(best))
-        lowest = np.minimum.accumulate(level)
-        first = np.maximum.accumulate(np.where(level == lowest, np.arange(len(best)), 0))
-        grown = lowest + np.arange(len(best))
-        grown[(j < 0) | (j > n)] = far
-        cost, origin = np.minimum(grown, far), source[first]
-    at = int(cost.argmin())
-    if cost[at] >= far:
-        return None
-    return int(cost[at]), int(origin[at]), int(diagonals[at] + m)
+        level = best - across
+        lowest = np.minimum.accumulate(level, axis=1)
+        first = np.maximum.accumulate(np.where(level == lowest, across, 0), axis=1)
+        cost = np.where(outside, far, np.minimum(lowest + across, far))
+        origin = np.take_along_axis(source, first, axis=1)
+    at = cost.argmin(axis=1)
+    row = np.arange(rows)
+    return cost[row, at], origin[row, at], diagonals[row, at] + m
 
 
 def _search(index: PassageIndex):
