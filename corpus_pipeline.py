@@ -18,9 +18,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tickscope.llm import decontaminate, language_id, line_dedup, packing, simhash  # noqa: E402
 from tickscope.sources.workdir import materialize  # noqa: E402
 
-#: A text is rejected as no language when it has this many trigrams and is less similar than this to every prototype.
+#: A text is rejected as no language when it has this many trigrams and is less similar than this to every prototype: three standard
+#: deviations of the cosine of unrelated vectors with 1,024 dimensions.
 ENOUGH_TRIGRAMS = 50
-LEAST_SCORE = 0.2
+LEAST_SCORE = 0.1
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +33,14 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that stand in ten or more; ``n_chars`` follows the text."""
-    return line_dedup.without_repeated_lines(docs).select(
-        "doc_id", F.col("kept_text").alias("text"), "lang", "source",
-        F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    """Every document, without the lines that stand in ten or more; ``n_chars`` follows the text, other columns stay."""
+    changed = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    return line_dedup.without_repeated_lines(docs).select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id. Rows without an id stay, rows that repeat an id go or
+    stay together."""
     found = simhash.near_duplicates(docs)
     others = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "others")
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)

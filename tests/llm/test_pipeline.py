@@ -4,6 +4,8 @@ from test_texts import brute_lines, edits
 from test_tokens_and_packing import check_packing, plain  # noqa: F401
 from test_vectors_and_prints import brute_fingerprint, smallest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tickscope.llm import decontaminate
 from tickscope.sources.workdir import materialize
@@ -47,3 +49,17 @@ def test_stages(spark, plain):  # noqa: F811
 def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0 and rows.columns[:4] == ["doc_id", "piece", "start", "length"]
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty texts, repeated rows, extra columns with names of results; and no rows at all."""
+    real = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    rows = [(None, "words of no id at all", None, None, None), (9000, None, None, None, None), (9001, "", "en", "s", 0), (9002, "12 34", "en", None, 5),
+            (9003, "said twice in full here", "en", "s", 5), (9003, "said twice in full here", "en", "s", 5)]
+    docs = real.union(spark.createDataFrame(rows, real.schema)).withColumn("score", real.sparkSession.range(1).select().count() * F.lit("x"))
+    for kept in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            before, columns = kept.count(), kept.columns
+            kept = materialize(stage(spark, kept, SF), f"odd_{name}")
+            assert name == "packing" or (kept.columns == columns and kept.count() <= before)
+        assert (kept.count() > 0) == (before > 0)

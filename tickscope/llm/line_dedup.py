@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickscope.llm.salted import salted_join
 from tickscope.sources.workdir import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,7 +52,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = materialize(line_rows(docs, id_col, text_col), "lines")
     place = F.struct("_id", "_mark", "pos")
     keys = rows.groupBy("hash").agg(F.sum(F.col("first").cast("long")).alias("docs"), F.min(place).alias("origin")).where(F.col("docs") >= min_docs)
-    lost = rows.join(keys.select("hash", "origin"), "hash")
+    lost = salted_join(rows, keys.select("hash", "origin"), "hash", ["_id", "_mark"])
     if keep_first:
         lost = lost.where(~place.eqNullSafe(F.col("origin")))
     words = lost.groupBy("_id", "_mark", F.floor(F.col("pos") / WORD).cast("int").alias("word")).agg(

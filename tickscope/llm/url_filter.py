@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickscope.functions.frames import one_row
+from tickscope.llm.salted import salted_join
 from tickscope.sources.workdir import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,8 +84,7 @@ def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
     pieces = labels.where(F.length("label") > 0).select("label", F.inline(spots))
     matched = (pieces.join(counts, "word").groupBy("label")
                .agg(F.collect_list(F.struct("start", "n_letters", F.col("n").cast("double").alias("n"))).alias("found")))
-    # one row, the total, goes to every label
-    ready = labels.join(matched, "label", "left").join(F.broadcast(total))
+    ready = labels.join(matched, "label", "left").withColumn("total", one_row(total)["total"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -142,7 +142,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                  .groupBy("host").agg(F.sum("odds").alias("host_odds")))
     shape_odds = (shape_words.select("shape", F.concat(F.lit("p:"), "word").alias("word")).join(odds, "word")
                   .groupBy("shape").agg(F.sum("odds").alias("shape_odds")))
-    scored = reduce(lambda d, x: d.join(x[0], x[1], "left"), [(host_odds, "host"), (shape_odds, "shape")], shaped)
+    scored = salted_join(salted_join(shaped, host_odds, "host", ["page_id"], "left"), shape_odds, "shape", ["page_id"], "left")
     score = F.lit(prior) + F.coalesce("host_odds", F.lit(0.0)) + F.coalesce("shape_odds", F.lit(0.0))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(score > 0, "block").otherwise("allow")).alias("verdict"),
                          F.round(score, 9).alias("block_odds"))
