@@ -20,13 +20,14 @@ from tickscope.streaming import arrivals
 READ_COLUMNS = ("match_id", "status", "missing", *readers.TICK_TYPES)
 READ_SQL = I.with_sql(I.BASE_SQL, f"""SELECT match_id, 'accepted' AS status, '' AS missing, tick, steamid, X, Y, Z, round(pitch, 6) AS pitch, round(yaw, 6) AS yaw,
     steamid AS name, team_num, health, CASE WHEN {K_SQL} % 5 <> 3 THEN spotted END AS spotted, is_airborne, velocity_X, velocity_Y,
-    CAST(NULL AS DOUBLE) AS velocity_Z, CAST(NULL AS VARCHAR) AS active_weapon_name, CAST(NULL AS INTEGER) AS shots_fired, CAST(NULL AS BOOLEAN) AS is_firing FROM ticks WHERE {K_SQL} % 5 <> 4
+    CAST(NULL AS DOUBLE) AS velocity_Z, CAST(NULL AS VARCHAR) AS active_weapon_name, CAST(event_id % 4 AS INTEGER) AS shots_fired, event_id % 6 = 0 AS is_firing FROM ticks WHERE {K_SQL} % 5 <> 4
   UNION ALL SELECT DISTINCT match_id, 'rejected', 'yaw', CAST(NULL AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
     FROM ticks WHERE {K_SQL} % 5 = 4""")
 
 
 def raw_ticks(spark, sf):
-    return I.ticks(spark, sf).drop("event_id", "name", "active_weapon_name")
+    t = I.ticks(spark, sf).withColumns({"shots_fired": F.expr("cast(event_id % 4 as int)"), "is_firing": F.col("event_id") % 6 == 0})
+    return t.drop("event_id", "name", "active_weapon_name")
 
 
 def write_variants(spark, sf, path):
