@@ -9,7 +9,7 @@ from array import array
 from functools import lru_cache
 
 #: Words kept in each of the two generations of a worker's memo; about 250 bytes each.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 
 
 def default_path() -> str:
