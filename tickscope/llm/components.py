@@ -12,7 +12,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Links of each node to larger neighbours go over to the smallest neighbour."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root and no root hangs on another: then links run to the smallest node of each component."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    each = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not each.agg(F.coalesce(F.bool_or((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))), F.lit(False))).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the component is its smallest node.
 
@@ -31,11 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = materialize(edges.where("a is not null and b is not null and a <> b")
                       .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen or not mark[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-        seen = tuple(mark)
+    while not _settled(now):
         now = materialize(_small_star(_large_star(now)), "links")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+        now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
