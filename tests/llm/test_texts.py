@@ -218,6 +218,37 @@ def test_tightest_bin_like_linear_search():
         assert sharding.best_fit_decreasing(sizes, 100) == want
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_counts_fit_like_groups_one_by_one(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(20, 300))
+    counts = {int(s): int(n) for s, n in zip(rng.integers(1, 100, 25), rng.integers(1, 40, 25))}
+    places, bins = sharding.fit_counts(counts, capacity)
+    sizes = {(s, k): s for s, n in counts.items() for k in range(n)}
+    one_by_one = sharding.best_fit_decreasing(sizes, capacity)
+    loads, want = {}, {}
+    for s, n in counts.items():
+        mine = [p for p in places if p[0] == s]
+        for k in range(n):
+            _, first, each, at = [p for p in mine if p[1] <= k][-1]
+            loads.setdefault(at + (k - first) // each, []).append(s)
+            want.setdefault(one_by_one[s, k], []).append(s)
+    assert sorted(map(sorted, loads.values())) == sorted(map(sorted, want.values())) and set(loads) == set(range(bins))
+    assert max(at for *_, at in sharding.into_shards(counts, 5)) < 5
+
+
+def test_every_group_is_packed_by_itself(spark):
+    """One part in 4,096 of all bytes is five times the capacity, and more than every group."""
+    texts = spark.range(60_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 91).cast("int")).alias("pad"))
+    texts = texts.select("doc_id", F.concat(F.col("doc_id").cast("string"), "pad").alias("text"))
+    total = texts.agg(F.sum(F.length("text") + 1)).first()[0]
+    got = sharding.assign_shards(texts, shards=None, capacity=128).groupBy("shard").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    got = got.collect()
+    assert total / 4096 > 5 * 128 and sum(r.n for r in got) == 60_000
+    assert max(r.size for r in got) <= 128 and len(got) <= -(-total // 128) * 1.2
+    assert sorted(r.shard for r in got) == list(range(len(got)))
+
+
 # ---- benchmark
 def edits(pattern, text):
     """Fewest edits between the pattern and any region of the text."""

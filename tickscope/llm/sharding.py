@@ -1,26 +1,34 @@
 """Sharding: indivisible groups into shards of equal bytes by best-fit decreasing.
 
-Groups are rows of equal text. A group that is large against a shard is an item of its own; there are few of those, as each
-is at least a fixed share of all bytes. Smaller groups are collected by hash into a fixed number of bundles, which are items
-too. So the driver packs a bounded number of items, whatever the number of groups: sorted by size, each enters the bin with the
-tightest remaining capacity, found in a balanced tree. For a given number of shards the smallest capacity is searched
+Groups are rows of equal text, and each is packed by itself. Groups of one size are alike, so what is packed is the histogram of
+group sizes: the largest size first, each group into the bin with the tightest remaining room, found in a balanced tree. Bins of
+equal room that follow each other are one entry of the tree and move together, which gives the bins that group by group gives. A
+group finds its bin from its number among the groups of its size. For a given number of shards the smallest capacity is searched
 for which they suffice.
 
+The driver holds the distinct sizes, at most the root of twice all bytes (245,000 at 30 GB), and with a fixed capacity the bins.
+
 Defined cases: a null text has no bytes and is a group with other nulls, apart from empty texts only by chance; every row counts one byte
-more than its text. Repeated rows are rows. Empty input gives no rows.
+more than its text. Repeated rows are rows. A group above the capacity has a shard of its own. Empty input gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickscope.llm.ranks import numbered
 from tickscope.sources.workdir import materialize
 
-#: Smaller groups share so many bundles; a group of more than this part of all bytes is an item of its own.
-BUNDLES = 4096
-LARGE = 1 / 4096
+#: Groups with more than this part of all rows, at most 4,096, meet their shards in a broadcast join.
+HOT = 1 / 4096
+
+#: (size, number of the first group among those of its size, groups per bin, first bin)
+Place = tuple[int, int, int, int]
 
 
 class RoomTree:
@@ -102,24 +110,79 @@ def best_fit_decreasing(sizes: dict, capacity: int) -> dict:
     return out
 
 
-def into_shards(sizes: dict, shards: int) -> dict:
-    """The smallest capacity for which best fit needs at most ``shards`` bins, by bisection; one bin per item is the upper end."""
-    total = sum(sizes.values())
-    low = max(-(-total // shards), max(sizes.values(), default=0))
-    high = max(low, -(-total // shards) + max(sizes.values(), default=0))
-    while True:
-        best = best_fit_decreasing(sizes, high)
-        if len(set(best.values())) <= shards:
-            break
-        low, high = high + 1, high * 2
+def fit_counts(counts: dict[int, int], capacity: int, most: int | None = None) -> tuple[list[Place], int] | None:
+    """Best fit decreasing over the number of groups of each size: places and the number of bins; None if it takes more than ``most``."""
+    tree, times_of, places, bins = RoomTree(), {}, [], 0
+
+    def put(first: int, times: int, room: int) -> None:
+        if times and room:
+            times_of[first] = times
+            tree.insert((room, first))
+
+    for size in sorted(counts, reverse=True):
+        left, number = counts[size], 0
+        while left:
+            at = tree.tightest(size)
+            if at is None:
+                room, first = max(capacity, size), bins
+                times = -(-left // (room // size))
+                bins += times
+                if most is not None and bins > most:
+                    return None
+            else:
+                tree.remove(at)
+                room, first = at
+                times = times_of.pop(first)
+            each = room // size
+            full, rest = divmod(min(left, each * times), each)
+            places.append((size, number, each, first))
+            put(first, full, room - each * size)
+            if rest:
+                put(first + full, 1, room - rest * size)
+            used = full + (rest > 0)
+            put(first + used, times - used, room)
+            number += each * full + rest
+            left -= each * full + rest
+    return places, bins
+
+
+def into_shards(counts: dict[int, int], shards: int) -> list[Place]:
+    """Places under the smallest capacity for which best fit needs at most ``shards`` bins: steps that double, then bisection.
+
+    An equal share and the largest size together always suffice.
+    """
+    total = sum(s * n for s, n in counts.items())
+    low, step = max(-(-total // shards), max(counts, default=0), 1), 1
+    high = low
+    while (found := fit_counts(counts, high, shards)) is None:
+        low, high, step = high + 1, high + step, step * 2
     while low < high:
         middle = (low + high) // 2
-        now = best_fit_decreasing(sizes, middle)
-        if len(set(now.values())) <= shards:
-            best, high = now, middle
-        else:
+        now = fit_counts(counts, middle, shards)
+        if now is None:
             low = middle + 1
-    return best
+        else:
+            found, high = now, middle
+    return found[0]
+
+
+def with_places(groups: DataFrame, counts: dict[int, int], places: list[Place]) -> DataFrame:
+    """``group, n, shard`` for groups with their ``number`` among those of their size."""
+    sizes = np.array(sorted(counts, reverse=True), dtype=np.int64)
+    base = np.cumsum([0, *(counts[int(s)] for s in sizes)], dtype=np.int64)[:-1]
+    table = np.array(places, dtype=np.int64).reshape(-1, 4)
+    # places come by falling size and rising number, so their first groups in order of all groups rise
+    starts = base[np.searchsorted(-sizes, -table[:, 0])] + table[:, 1]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, number = (batch.column(c).to_numpy() for c in ("size", "number"))
+            nth = base[np.searchsorted(-sizes, -size)] + number
+            at = np.searchsorted(starts, nth, side="right") - 1
+            shard = table[at, 3] + (nth - starts[at]) // table[at, 2]
+            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("n"), pa.array(shard, pa.int32())], ["group", "n", "shard"])
+
+    return groups.select("group", "n", "size", "number").mapInArrow(place, "group long, n long, shard int")
 
 
 def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = 8, capacity: int | None = None) -> DataFrame:
@@ -131,20 +194,14 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col(id_col).alias("doc_id"), (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("group")), "sizes")
     groups = materialize(rows.groupBy("group").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "groups")
-    all_ = groups.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    large = F.col("size") > F.lit(LARGE * all_["size"])
-    # at most 1 / LARGE groups are large
-    singles = groups.where(large).select("group", "size", F.lit(None).cast("int").alias("bundle"))
-    bundle = F.pmod(F.xxhash64("group", F.lit(9)), F.lit(BUNDLES)).cast("int")
-    bundles = groups.where(~large).groupBy(bundle.alias("bundle")).agg(F.sum("size").alias("size"))
-    items = singles.unionByName(bundles.select(F.lit(None).cast("long").alias("group"), "size", "bundle")).collect()
-    sizes = {(0, r["group"]) if r["bundle"] is None else (1, r["bundle"]): r["size"] for r in items}
-    put = into_shards(sizes, shards) if shards else best_fit_decreasing(sizes, capacity)
-    spark = docs.sparkSession
-    of_group = spark.createDataFrame([(k[1], s) for k, s in put.items() if k[0] == 0], "group long, single int")
-    of_bundle = spark.createDataFrame([(k[1], s) for k, s in put.items() if k[0] == 1], "bundle int, shared int")
-    # both tables have at most 4,096 rows
-    dealt = (rows.withColumn("bundle", bundle).join(F.broadcast(of_group), "group", "left").join(F.broadcast(of_bundle), "bundle", "left")
-             .select("doc_id", "size", "text_crc32", F.coalesce("single", "shared").alias("shard")))
-    return numbered(dealt, "shard", ["doc_id", "text_crc32"], "slot", all_["n"]).select(
+    sizes = groups.groupBy("size").agg(F.count("*").alias("groups"), F.sum("n").alias("rows")).toArrow()
+    counts = dict(zip(sizes["size"].to_pylist(), sizes["groups"].to_pylist()))
+    n = sum(sizes["rows"].to_pylist())
+    places = into_shards(counts, shards) if shards else fit_counts(counts, capacity)[0]
+    placed = materialize(with_places(numbered(groups, "size", ["group"], "number", sum(counts.values())), counts, places), "placed")
+    hot = F.col("n") > F.lit(HOT * n)
+    common = F.broadcast(placed.where(hot).select("group", "shard"))
+    dealt = rows.join(common, "group").unionByName(
+        rows.join(common, "group", "left_anti").join(placed.where(~hot).select("group", "shard"), "group"))
+    return numbered(dealt, "shard", ["doc_id", "text_crc32"], "slot", n).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
