@@ -55,6 +55,25 @@ def test_lexed_secrets(text, want):
     assert [text[s:e] for s, e in secret_scan.lexed_spans(text)] == want
 
 
+@pytest.mark.parametrize("text,want", [
+    ('API_KEY = (\n    "aB3dEf9hijk"\n)', ["aB3dEf9hijk"]), ('API_KEY = (  # mine\n    "aB3d"\n    "Ef9hijk"\n)\nx = "q"', ["aB3d", "Ef9hijk"]),
+    ('{"client_secret":\n  "aB3dEf9hijk", "x":\n "aB3dEf9hijl"}', ["aB3dEf9hijk"]), ('{"client_secret"\n  : "aB3dEf9hijk"}', ["aB3dEf9hijk"]),
+    ("auth:\n  api_key:\n    'aB3dEf9hijk'\n  user: 'aB3dEf9hijl'", ["aB3dEf9hijk"]),
+    ("api_key:\n  - 'aB3dEf9hijk'\n  - 'zY8xWv7uts'\nother:\n  - 'aB3dEf9hijl'", ["aB3dEf9hijk", "zY8xWv7uts"]),
+    ('auth_token = "abC1" +\n  "xyz9" + // rest\n  "Q8w"\nplain = "abC1"', ["abC1", "xyz9", "Q8w"]),
+    ('auth_token = "abC1"\n  + "xyz99"', ["abC1", "xyz99"]), ('auth_token = "abC1" // one\n  + "xyz99"', ["abC1", "xyz99"]),
+    ('auth_token = \\\n  "abC1" \\\n  "xyz99"', ["abC1", "xyz99"]),
+    ("export AUTH_TOKEN=abc123\\\ndef456\nX=1", ["abc123", "def456"]), ('auth_token = "abC1\\\nxyz99"', ["abC1\\\nxyz99"]),
+    ('auth_token = """\naB3dEf9hijk\n"""', ["aB3dEf9hijk"]), ('half = (\n"abC12"\n)\nauth_token = half +\\\n"xyz99"', ["abC12", "xyz99"]),
+    ('auth_token\n  = "aB3dEf9hijk"', ["aB3dEf9hijk"]), ('api_key = [\n "aB3dEf9hijk",\n "zY8xWv7uts",\n]', ["aB3dEf9hijk", "zY8xWv7uts"]),
+    ('x = (  # auth_token = "aB3dEf9hijk"\n "q")', ["aB3dEf9hijk"]), ('AUTH_TOKEN="aB3dEf9hijk" \\\n  "some words"', ["aB3dEf9hijk"]), ("AUTH_TOKEN=\nabc123def456 stands alone", []), ('AUTH_TOKEN=\nNAME="aB3dEf9hijk"', []), ('auth_token = "changeme"\n"aB3dEf9hijk"', []),
+    ('call(\n  auth_token="aB3dEf9hijk",\n  name="aB3dEf9hijl")', ["aB3dEf9hijk"]), ('x = (\nauth_token := "aB3dEf9hijk")', ["aB3dEf9hijk"]),
+    ('-client_secret = "aB3dEf9hijk"\n+client_secret = "zY8xWv7uts"', ["aB3dEf9hijk", "zY8xWv7uts"])])
+def test_statements_over_line_ends(text, want):
+    padded = "first line\n\nno sign\n" + text + "\n\nlast line"
+    assert [padded[s:e] for s, e in secret_scan.lexed_spans(padded)] == want
+
+
 # ---- lines
 def brute_lines(texts, least):
     def key(line):

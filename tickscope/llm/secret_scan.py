@@ -1,7 +1,10 @@
 """Secrets in texts: three fixed patterns and an assignment-aware lexer.
 
 The lexer reads source and configuration syntax as (name, literal) pairs: ``name = "literal"``, ``name: 'literal'``,
-``name => "literal"``, ``export NAME=literal``, ``"name": "literal"``. Names bound to one literal are constants and are propagated
+``name => "literal"``, ``export NAME=literal``, ``"name": "literal"``. A statement goes on over a line end behind a sign of
+assignment or ``+``, inside round and square brackets, behind a backslash, and before a line that begins with ``+`` or a sign of
+assignment; comments at such line ends are read by themselves. Elements of a list are literals of their own. Bare values are read on
+the sign's own line (or behind a backslash). Names bound to one literal are constants and are propagated
 through ``other = NAME`` and concatenations ``a + "b"``. A literal is scored by its target's name, split into words at
 underscores, dashes, dots and case changes, and by its own shape.
 
@@ -14,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -38,13 +41,20 @@ PLACEHOLDERS = {"password", "passwd", "changeme", "secret", "token", "example",
 THRESHOLD = 4
 
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
+SIGNS = ("=", ":", ":=", "=>", "+=")
 TOKEN = re.compile(r"""
-    (?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
+    (?P<joined>\\\r?\n)
+  | (?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
   | (?P<op>=>|:=|[=!<>]=|\+=|[=:+])
   | (?P<name>[A-Za-z_][\w.$-]*)
   | (?P<break>[\n;,{}()\[\]])
   | (?P<other>[^\s])""", re.VERBOSE | re.ASCII)
-HINTED_LINES = re.compile(r"[^\n]*[=:][^\n]*")
+SIGN = re.compile("[=:]")
+#: Strings over several lines.
+LONG = re.compile(r"""(?P<quote>\"{3}|'{3})(?:[^\\]|\\[\s\S])*?(?P=quote)|"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'""")
+JOINED = re.compile(r"\\\r?\n")
+COMMENT = re.compile(r"#|//(?=\s)")
+PLUS_BELOW = re.compile(r"[^\n]*\n[^\S\n]*\+(?!=)")
 BARE = re.compile(r"[^\s\"'#;,]+")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -64,52 +74,190 @@ def literal_score(value: str) -> int:
     return 1 + (mixture >= 2) + (entropy >= 3)
 
 
-def assignments(text: str) -> Iterator[tuple[str, list[tuple[str, str, int, int]]]]:
-    """(target, operands) of each statement; an operand is (kind, value, start, end) with kind ``text`` or ``name``."""
-    for at in HINTED_LINES.finditer(text):
-        yield from _of_line(text, at.start(), at.end())
-
-
-
-
-def _of_line(text: str, start: int, end: int) -> Iterator[tuple[str, list[tuple[str, str, int, int]]]]:
-    tokens = [(m.lastgroup, m[0], m.start(), m.end()) for m in TOKEN.finditer(text, start, end)]
-    i = 0
-    while i + 1 < len(tokens):
-        kind, value, _, _ = tokens[i]
-        op = tokens[i + 1]
-        if kind not in ("name", "text") or op[0] != "op" or op[1] not in ("=", ":", ":=", "=>", "+="):
-            i += 1
-            continue
-        target = value.strip("\"'")
-        i += 2
-        if i < len(tokens) and tokens[i][0] == "name" and i + 1 < len(tokens) and tokens[i + 1][:2] == ("op", "="):
-            continue  # name: type = literal, or a = b = literal: the next target decides
-        operands = []
-        while i < len(tokens):
-            kind, value, s, e = tokens[i]
-            if kind == "text":
-                operands.append(("text", value[1:-1], s + 1, e - 1))
-            elif kind == "name" and not (i + 1 < len(tokens) and tokens[i + 1][1] == "("):
-                operands.append(("name", value, s, e))
-            else:
-                if not operands and kind in ("other", "name") and op[1] in ("=", ":") and (m := BARE.match(text, s, end)):
-                    operands.append(("text", m[0], m.start(), m.end()))
+Token = tuple[str, str, int, int]
+
+
+class _Tokens:
+    """Tokens of a text with a look ahead; a line end behind a backslash is none."""
+
+    def __init__(self, text: str, start: int, stop: int, comments: list[tuple[int, int]] | None):
+        self.text, self.stop, self.end = text, stop, ("end", "", stop, stop)
+        self.comments = comments  # those skipped inside a statement; None inside a comment, where none is skipped
+        self.known = -1  # a sign up to which no jump is of use
+        self.seek(start)
+
+    def seek(self, at: int) -> None:
+        self.found, self.ahead = TOKEN.finditer(self.text, at, self.stop), deque()
+
+    def peek(self, k: int = 0) -> Token:
+        while len(self.ahead) <= k:
+            m = next(self.found, None)
+            if m is None:
+                return self.end
+            if m.lastgroup != "joined":
+                self.ahead.append((m.lastgroup, m[0], m.start(), m.end()))
+        return self.ahead[k]
+
+    def pop(self) -> Token:
+        out = self.peek()
+        if self.ahead:
+            self.ahead.popleft()
+        return out
+
+    def to_sign(self, at: int) -> None:
+        """From the line start ``at`` to the next line with a sign, or the one before if the sign comes first."""
+        if at <= self.known:
+            return
+        m = SIGN.search(self.text, at, self.stop)
+        self.known = m.start() if m else self.stop
+        start = self.text.rfind("\n", at, at + len(self.text[at:self.known].rstrip())) + 1 if m else self.known
+        if start > at:
+            self.seek(start)
+
+    def sign(self, k: int) -> int:
+        """Tokens up to and with the sign of assignment at ``k``, which may begin the next line; 0 for none."""
+        if self.peek(k)[1] == "\n":
+            k += 1
+        t = self.peek(k)
+        return k + 1 if t[0] == "op" and t[1] in SIGNS else 0
+
+    def plus(self, k: int) -> bool:
+        if self.peek(k)[1] == "\n":
+            k += 1
+        return self.peek(k)[:2] == ("op", "+")
+
+
+#: (kind, value, start, end) with kind ``text``, ``bare`` or ``name``
+Operand = tuple[str, str, int, int]
+
+
+def assignments(text: str) -> Iterator[tuple[str, list[list[Operand]], list[list[Operand]]]]:
+    """(target, elements, beginnings) of each statement: one list of operands, or several for a bracketed list; literals that follow
+    each other only behind a backslash may also be words of a command, so the operands before are given as well."""
+    return _statements(_Tokens(text, 0, len(text), []), 0)
+
+
+def _statements(tokens: _Tokens, start: int) -> Iterator[tuple[str, list[list[Operand]], list[list[Operand]]]]:
+    tokens.to_sign(start)
+    while (t := tokens.peek()) is not tokens.end:
+        if t[0] in ("name", "text") and (n := tokens.sign(1)):
+            for _ in range(n):
+                sign = tokens.pop()[1]
+            elements, beginnings = _elements(tokens, sign, n > 2)
+            if elements:
+                yield t[1].strip("\"'"), elements, beginnings
+            while tokens.comments:
+                a, b = tokens.comments.pop()
+                yield from _statements(_Tokens(tokens.text, a, b, None), a)
+        else:
+            tokens.pop()
+            if t[1] == "\n":
+                tokens.to_sign(t[3])
+
+
+def _long(tokens: _Tokens, t: Token) -> tuple[Operand, int] | None:
+    """A string over several lines, if it is one word, and its end."""
+    quote, start = t[1][:1], t[2]
+    if quote not in ("'", '"') or not (t[0] == "other" or t[1] == quote * 2 and tokens.text.startswith(quote, t[3])):
+        return None
+    m = LONG.match(tokens.text, start, tokens.stop)
+    if m is None:
+        return None
+    width = 3 if m["quote"] else 1
+    body = m[0][width:-width]
+    value = JOINED.sub("", body).strip()
+    if not value or re.search(r"\s", value):
+        return None
+    s = start + width + len(body) - len(body.lstrip())
+    return ("text", value, s, s + len(body.strip())), m.end()
+
+
+def _bare(text: str, at: int) -> tuple[list[Operand], int]:
+    """The bare value at ``at``, in pieces where a backslash joins lines."""
+    out = []
+    while m := BARE.match(text, at):
+        at = m.end()
+        joined = JOINED.match(text, at - 1) if m[0][-1] == "\\" else None
+        value = m[0][:-1] if joined else m[0]
+        if value:
+            out.append(("bare", value, m.start(), m.start() + len(value)))
+        if not joined:
+            break
+        at = joined.end()
+    return out, at
+
+
+def _elements(tokens: _Tokens, sign: str, crossed: bool) -> tuple[list[list[Operand]], list[list[Operand]]]:
+    """Operands behind a sign of assignment; what is no operand stays to be read."""
+    text = tokens.text
+    out: list[list[Operand]] = [[]]
+    beginnings: list[list[Operand]] = []
+    depth, wanted, dashed = 0, True, False
+    while True:
+        t = kind, value, s, e = tokens.peek()
+        if value == "\n":
+            item = tokens.peek(1)
+            if dashed and not depth and not wanted and item[1] == "-" and text[item[3]:item[3] + 1].isspace():
+                out.append([])
+                wanted = True
+            elif not (wanted or depth or tokens.plus(1)):
+                break
+            tokens.pop()
+            crossed = True
+        elif kind == "other" and tokens.comments is not None and COMMENT.match(text, s) and (wanted or depth or PLUS_BELOW.match(text, s)):
+            line_end = text.find("\n", e)
+            tokens.comments.append((s, line_end if line_end >= 0 else tokens.stop))
+            tokens.seek(tokens.comments[-1][1])
+        elif value == "-" and wanted and crossed and text[e:e + 1].isspace() and sign == ":":
+            tokens.pop()
+            dashed = True
+        elif wanted and (found := _long(tokens, t)):
+            out[-1].append(found[0])
+            tokens.seek(found[1])
+            wanted = False
+        elif kind == "text":
+            if (crossed or depth) and tokens.sign(1):
+                break
+            if not wanted:
+                # in brackets or behind a backslash a literal directly behind another goes on with it
+                before = out[-1][-1] if out[-1] else ("", "", s, s)
+                if before[0] != "text" or not depth and not JOINED.search(text, before[3], s):
+                    break
+                if not depth:
+                    beginnings.append(list(out[-1]))
+            out[-1].append(("text", JOINED.sub("", value[1:-1]), s + 1, e - 1))
+            tokens.pop()
+            wanted = False
+        elif kind == "op" and value == "+" and not wanted:
+            tokens.pop()
+            wanted = True
+        elif kind == "break" and value in "([" and wanted:
+            tokens.pop()
+            depth += 1
+        elif kind == "break" and value in ")]" and depth:
+            tokens.pop()
+            depth -= 1
+            wanted = False
+        elif kind == "break" and value == "," and depth:
+            tokens.pop()
+            out.append([])
+            wanted = True
+        elif kind == "name" and wanted and tokens.peek(1)[1] != "(":
+            if (crossed or depth) and tokens.sign(1) or not out[-1] and tokens.peek(1)[:2] == ("op", "="):
+                break  # name: type = literal, a = b = literal, or a key below a key: the next target decides
+            if sign == "=" and not (crossed or depth or out[-1] or tokens.plus(1)):
+                # export NAME=value: a bare value directly after the sign is a literal unless it is a known constant
+                out[-1], end = _bare(text, s)
+                tokens.seek(end)
                 break
-            if i + 1 < len(tokens) and tokens[i + 1][:2] == ("op", "+"):
-                i += 2
-                continue
-            i += 1
+            out[-1].append(("name", value, s, e))
+            tokens.pop()
+            wanted = False
+        else:
+            if kind in ("other", "name") and not (crossed or depth or out[-1]) and sign in ("=", ":"):
+                out[-1] = [("text", *x[1:]) for x in _bare(text, s)[0]]
             break
-        if len(operands) == 1 and operands[0][0] == "name" and op[1] == "=":
-            # export NAME=value: a bare value directly after the sign is a literal unless it is a known constant
-            m = BARE.match(text, operands[0][2], end)
-            if m:
-                operands = [("bare", m[0], m.start(), m.end())]
-                while i < len(tokens) and tokens[i][2] < m.end():
-                    i += 1
-        if operands:
-            yield target, operands
+    return [x for x in out if x], beginnings
 
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
@@ -119,18 +267,21 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
         return []
     constants: dict[str, list[tuple[str, int, int]]] = {}
     pending: list[tuple[int, list[tuple[str, int, int]]]] = []
-    for target, operands in assignments(text):
-        parts: list[tuple[str, int, int]] = []
-        for kind, value, s, e in operands:
-            if kind == "text":
-                parts.append((value, s, e))
-            elif value in constants:
-                parts += constants[value]
-            elif kind == "bare" and re.search("[0-9]", value):
-                parts.append((value, s, e))
-        constants[target] = parts[:8]
-        if parts and (score := name_score(target)):
-            pending.append((score, parts))
+    for target, elements, beginnings in assignments(text):
+        score = name_score(target)
+        for operands in beginnings + elements:
+            digits = any(kind == "bare" and re.search("[0-9]", value) for kind, value, _, _ in operands)
+            parts: list[tuple[str, int, int]] = []
+            for kind, value, s, e in operands:
+                if kind == "text":
+                    parts.append((value, s, e))
+                elif value in constants:
+                    parts += constants[value]
+                elif kind == "bare" and digits:
+                    parts.append((value, s, e))
+            if parts and score:
+                pending.append((score, parts))
+        constants[target] = parts[:8] if len(elements) == 1 else []
     spans = set()
     for score, parts in pending:
         worth = literal_score("".join(v for v, _, _ in parts))
