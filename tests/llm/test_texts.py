@@ -74,6 +74,44 @@ def test_statements_over_line_ends(text, want):
     assert [padded[s:e] for s, e in secret_scan.lexed_spans(padded)] == want
 
 
+def test_constants_of_many_pieces():
+    pieces = [f"{c}{k:x}" for k, c in enumerate("qWeRtYuIoPaS")]
+    joined = " + ".join(f'"{p}"' for p in pieces)
+    def found(text):
+        return [text[s:e] for s, e in secret_scan.lexed_spans(text)]
+
+    assert found(f"k = {joined}\nauth_token = k") == pieces
+    assert found(f"k = {joined}\nm = k + k\nk = 'no'\nauth_token = m + m") == pieces
+    single = "\n".join(f"k{i} = '{c}'" for i, c in enumerate("aB3dEf9hijkl"))
+    assert found(single + "\nk = " + " + ".join(f"k{i}" for i in range(12)) + "\nauth_token = k") == list("aB3dEf9hijkl")
+    # eight pieces of one letter and the secret behind them
+    assert found("k = " + "'a' + " * 8 + "'B3dEf9hi'\nauth_token = k")[-1] == "B3dEf9hi"
+    assert found('k = "aB3x"\nauth_token = k + k') == ["aB3x"]
+    doubled = 'a = "aB3x"\n' + "a = a + a\n" * 3000 + "auth_token = a"
+    assert found(doubled) == ["aB3x"]
+    chain = 'a0 = "aB3x"\n' + "".join(f'a{i} = a{i - 1} + "{i}"\nauth_token = a{i}\n' for i in range(1, 3000))
+    assert len(found(chain)) == 3000
+
+
+def plain_score(value):
+    if len(value) < 6 or value.lower() in secret_scan.PLACEHOLDERS or re.search(r"\s|\$\{|\{\{|^<.*>$", value) or len(set(value)) < 4:
+        return 0
+    shares = [value.count(c) / len(value) for c in set(value)]
+    return 1 + (sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")) >= 2) + (-sum(p * np.log2(p) for p in shares) >= 3)
+
+
+def test_score_of_pieces_is_that_of_the_value():
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        pieces = ["".join(rng.choice(list("ab<>${} Zq9x7-"), rng.integers(0, 5), p=[.08] * 6 + [.02] + [.5 / 7] * 7)) for _ in range(4)]
+        if rng.random() < 0.2:
+            pieces = ["unde", "", "fin", "ed"]
+        shape = secret_scan.Shape()
+        for p in pieces:
+            shape.add(secret_scan.Shape(p))
+        assert shape.score() == secret_scan.literal_score("".join(pieces)) == plain_score("".join(pieces)), pieces
+
+
 # ---- lines
 def brute_lines(texts, least):
     def key(line):

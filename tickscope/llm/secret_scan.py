@@ -5,7 +5,7 @@ The lexer reads source and configuration syntax as (name, literal) pairs: ``name
 assignment or ``+``, inside round and square brackets, behind a backslash, and before a line that begins with ``+`` or a sign of
 assignment; comments at such line ends are read by themselves. Elements of a list are literals of their own. Bare values are read on
 the sign's own line (or behind a backslash). Names bound to one literal are constants and are propagated
-through ``other = NAME`` and concatenations ``a + "b"``. A literal is scored by its target's name, split into words at
+through ``other = NAME`` and concatenations ``a + "b"``, of any number of pieces. A literal is scored by its target's name, split into words at
 underscores, dashes, dots and case changes, and by its own shape.
 
 Defined cases: a null text is an empty one, without secrets; repeated rows give repeated rows; offsets count code points, ends
@@ -39,6 +39,8 @@ SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "secret": 3,
 #: Values that stand for a secret to be filled in.
 PLACEHOLDERS = {"password", "passwd", "changeme", "secret", "token", "example", "none", "null", "true", "false", "undefined"}
 THRESHOLD = 4
+#: First characters that tell a placeholder: one more than the longest has.
+HEAD = max(map(len, PLACEHOLDERS)) + 1
 
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
 SIGNS = ("=", ":", ":=", "=>", "+=")
@@ -65,13 +67,65 @@ def name_score(name: str) -> int:
     return max([SENSITIVE.get(w, 0) for w in words + both], default=0)
 
 
+class Shape:
+    """What the score of a value depends on; of a concatenation, from the shapes of its pieces, as ``a = a + a`` doubles the value."""
+
+    __slots__ = ("length", "counts", "head", "last", "broken")
+
+    def __init__(self, value: str = ""):
+        self.length, self.counts, self.head, self.last = len(value), Counter(value), value[:HEAD], value[-1:]
+        self.broken = bool(re.search(r"\s|\$\{|\{\{", value))
+
+    def add(self, other: "Shape") -> None:
+        self.broken |= other.broken or self.last + other.head[:1] in ("${", "{{")
+        self.length += other.length
+        self.counts.update(other.counts)
+        while self.length >> 62:
+            # only proportions matter: halved together, they stay the same up to rounding
+            self.counts = Counter({c: max(1, n >> 1) for c, n in self.counts.items()})
+            self.length = sum(self.counts.values())
+        self.head, self.last = (self.head + other.head)[:HEAD], other.last or self.last
+
+    def score(self) -> int:
+        if self.length < 6 or self.length < HEAD and self.head.lower() in PLACEHOLDERS or self.broken or len(self.counts) < 4:
+            return 0
+        if self.head[0] == "<" and self.last == ">":
+            return 0
+        letters = "".join(self.counts)
+        mixture = sum(bool(re.search(p, letters)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+        entropy = -sum(n / self.length * math.log2(n / self.length) for n in self.counts.values())
+        return 1 + (mixture >= 2) + (entropy >= 3)
+
+
 def literal_score(value: str) -> int:
     """0 for no secret, up to 3: length, mixture of characters and entropy."""
-    if len(value) < 6 or value.lower() in PLACEHOLDERS or re.search(r"\s|\$\{|\{\{|^<.*>$", value) or len(set(value)) < 4:
-        return 0
-    mixture = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    return 1 + (mixture >= 2) + (entropy >= 3)
+    return Shape(value).score()
+
+
+class Parts:
+    """A value as literals (value, start, end) and the values of constants, as these were when it was bound."""
+
+    __slots__ = ("items", "shape")
+
+    def __init__(self, items: list):
+        self.items, self.shape = items, None
+
+    def shaped(self) -> Shape:
+        """The shape, from those of the constants below; each value is shaped once."""
+        todo = [self]
+        while todo:
+            now = todo[-1]
+            below = [x for x in now.items if isinstance(x, Parts) and x.shape is None]
+            if now.shape is None and below:
+                todo += below
+                continue
+            todo.pop()
+            if now.shape is None:
+                shape = Shape()
+                for x in now.items:
+                    shape.add(x.shape if isinstance(x, Parts) else Shape(x[0]))
+                now.shape = shape
+        return self.shape
 
 
 Token = tuple[str, str, int, int]
@@ -265,28 +319,31 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     lowered = text.lower()
     if not any(h in lowered for h in HINTS) or not ("=" in text or ":" in text):
         return []
-    constants: dict[str, list[tuple[str, int, int]]] = {}
-    pending: list[tuple[int, list[tuple[str, int, int]]]] = []
+    constants: dict[str, Parts] = {}
+    found: list[Parts] = []
     for target, elements, beginnings in assignments(text):
         score = name_score(target)
         for operands in beginnings + elements:
             digits = any(kind == "bare" and re.search("[0-9]", value) for kind, value, _, _ in operands)
-            parts: list[tuple[str, int, int]] = []
+            items: list[tuple[str, int, int] | Parts] = []
             for kind, value, s, e in operands:
                 if kind == "text":
-                    parts.append((value, s, e))
+                    items.append((value, s, e))
                 elif value in constants:
-                    parts += constants[value]
+                    items.append(constants[value])
                 elif kind == "bare" and digits:
-                    parts.append((value, s, e))
-            if parts and score:
-                pending.append((score, parts))
-        constants[target] = parts[:8] if len(elements) == 1 else []
-    spans = set()
-    for score, parts in pending:
-        worth = literal_score("".join(v for v, _, _ in parts))
-        if worth and score + worth >= THRESHOLD and score > 1:
-            spans |= {(s, e) for _, s, e in parts if e > s}
+                    items.append((value, s, e))
+            parts = items[0] if len(items) == 1 and isinstance(items[0], Parts) else Parts(items)
+            if score > 1 and (worth := parts.shaped().score()) and score + worth >= THRESHOLD:
+                found.append(parts)
+        constants[target] = parts if len(elements) == 1 else Parts([])
+    spans, seen = set(), set()
+    while found:
+        parts = found.pop()
+        if parts not in seen:
+            seen.add(parts)
+            found += [x for x in parts.items if isinstance(x, Parts)]
+            spans |= {(x[1], x[2]) for x in parts.items if not isinstance(x, Parts) and x[2] > x[1]}
     return sorted(spans)
 
 
