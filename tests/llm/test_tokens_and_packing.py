@@ -162,3 +162,11 @@ def test_no_documents_no_files(spark):
     path = new_path(spark, "files")
     token_files.write_token_files(spark.createDataFrame([], DOCS), path)
     assert token_files.read_token_files(spark, path).count() == 0
+
+
+def test_copies_of_a_long_document_become_single_symbols():
+    one = np.random.default_rng(5).permutation(500).astype(np.uint32)
+    ids, ends = np.tile(one, 2000), np.arange(1, 2001) * 500
+    symbols, rules, firsts = token_files.repair(ids, ends, 1000)
+    assert len(symbols) == 2000 and (firsts == np.arange(2000)).all()
+    assert (token_files.expand(symbols, rules, token_files.rule_lengths(rules, 1000), 1000) == ids).all()

@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from tickscope.llm.tokens import default_path, encoder
 
 SHARD_IDS = 1_000_000
-ROUNDS = 4
 PAIRS_PER_ROUND = 2048
 LEAST = 16  # a rarer pair costs more than it saves
 _BUCKETS = 20
@@ -55,15 +54,13 @@ def _frequent_pairs(a: np.ndarray, b: np.ndarray, bucket: np.ndarray, free: np.n
     return np.sort(keys[np.lexsort((keys, -n))[:most]])
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, most: int = PAIRS_PER_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, firsts) of ``ids`` (unsigned 32-bit) whose documents end before ``ends``."""
+def repair(ids: np.ndarray, ends: np.ndarray, base: int, most: int = PAIRS_PER_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules, firsts) of ``ids`` (unsigned 32-bit) whose documents end before ``ends``; ends when no pair is seen ``LEAST`` times."""
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(ids), dtype=bool)
     last[ends - 1] = True
     rules = np.zeros((0, 2), dtype=np.uint32)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         a, b, free = symbols[:-1], symbols[1:], ~last[:-1]
         bucket = _buckets(a, b)
         keys = _frequent_pairs(a, b, bucket, free, most)
