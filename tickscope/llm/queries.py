@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickscope.llm import (decontaminate, embedding_dedup, language_id, line_dedup, packing, secret_scan, sharding, simhash, token_files,
+from tickscope.llm import (decontaminate, embedding_dedup, fingerprints, language_id, line_dedup, packing, secret_scan, sharding, simhash, token_files,
                            url_filter)
 from tickscope.sources.workdir import new_path
 
@@ -61,9 +61,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edits(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_embedding_dedup, op2_secret_scan, op3_url_filter, op4_language_id, op5_best_fit_packing, op6_line_dedup, op7_simhash,
-    op8_sharding, op9_decontamination, op10_token_files)}
+    op8_sharding, op9_decontamination, op10_token_files, op12_document_fingerprints)}
 
 SPACE = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
