@@ -64,24 +64,40 @@ def test_from_files(spark, make, tmp_path):
 
 
 def test_matches_arrive(spark, make, tmp_path):
-    from tickscope.streaming import arrivals
-    src, out, cp = (str(tmp_path / d) for d in ("in", "out", "cp"))
+    from datetime import datetime, timedelta
 
+    from tickscope.streaming import arrivals
+    src, polls, out, cp = (str(tmp_path / d) for d in ("in", "polls", "out", "cp"))
+    clock = iter(datetime(2024, 1, 1) + timedelta(seconds=s) for s in range(100))
     whole = scene(make).withColumn("match_id", F.lit("two")).drop("name")
 
-    def arrive(df):
-        df.coalesce(1).write.mode("append").parquet(src)
+    def analyse_now():
         none = lambda t: t.select("match_id", "tick", F.col("steamid").alias("user_steamid")).where("false")
-        arrivals.analyse_on_arrival(spark, src, none, out, cp, per_trigger=1).awaitTermination()
+        arrivals.analyse_on_arrival(spark, polls, none, out, cp).awaitTermination()
+
+    def arrive(df, looks=3):
+        df.coalesce(1).write.mode("append").parquet(src)
+        for _ in range(looks):
+            arrivals.record_poll(spark, src, polls, "*.parquet", next(clock))
+        analyse_now()
         return arrivals.latest_results(spark, f"{out}/players")
 
+    others = scene(make).drop("match_id").crossJoin(spark.range(5).select(F.concat(F.lit("other"), "id").alias("match_id"))).drop("name")
+    others.repartition(5, "match_id").write.parquet(src)
     first = arrive(scene(make).withColumn("match_id", F.lit("one")).drop("name"))
-    assert first.count() == 4
+    assert first.count() == 24
     arrive(whole.where("tick < 1060"))  # half of a match, the rest comes in a later batch
-    both = arrive(whole.where("tick >= 1060")).orderBy("match_id", "steamid").collect()
+    arrive(whole.where("tick >= 1060"), looks=1)  # not yet written to the end, as far as one poll can tell
+    for _ in range(2):
+        arrivals.record_poll(spark, src, polls, "*.parquet", next(clock))
+    analyse_now()
+    both = arrivals.latest_results(spark, f"{out}/players").where("match_id in ('one', 'two')").orderBy("match_id", "steamid").collect()
     assert [r.match_id for r in both] == ["one"] * 4 + ["two"] * 4
     assert [(r.steamid, r.verdict, r.suspicion_score, r.spinbot_yaw_speed_max) for r in both[:4]] == [(r.steamid, r.verdict, r.suspicion_score, r.spinbot_yaw_speed_max) for r in both[4:]]
-    assert os.listdir(out) and arrivals.latest_results(spark, f"{out}/events").count() > 0
+    assert arrivals.latest_results(spark, f"{out}/events").count() > 0
+    # a batch opens its new files and those of its matches, however many matches the folder holds
+    log = [(r.matches, r.new_files, r.files_read) for r in spark.read.parquet(f"{out}/log").orderBy("batch").collect()]
+    assert log[1:] == [(1, 1, 1), (1, 1, 2)] and log[0][0] == 6 and log[0][1] == log[0][2] <= 6
 
 
 def test_shots_without_fire_events(spark, make, shots):

@@ -2,6 +2,7 @@
 
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from conftest import one
 from pyspark.sql import functions as F
@@ -286,3 +287,68 @@ def test_first_source_wins(spark):
     s = lambda rows: spark.createDataFrame([("m", p, t) for p, t in rows], "match_id string, steamid string, tick long")
     got = {(r.steamid, r.tick) for r in trigger.shots_of(s([("a", 1), ("a", 1)]), s([("a", 9), ("b", 7)])).collect()}
     assert got == {("a", 1), ("b", 7)}
+
+
+def crowd(spark, n, seed=1):
+    """Players of two sides on one tick, at places with empty stretches, in a straight line and on top of each other; views in all directions, also past the zenith."""
+    rng = np.random.default_rng(seed)
+    x, y, z = rng.uniform(-1500, 1500, n), rng.choice([0.0, 300.0, 1000.0], n) + rng.uniform(0, 400, n), rng.uniform(0, 60, n)
+    x[:20], y[:20] = 77.0, np.arange(20) * 50.0
+    x[20:30], y[20:30], z[20:30] = 5.0, 5.0, 5.0
+    yaw, pitch = rng.uniform(-180, 180, n), rng.uniform(-8, 8, n)
+    yaw[:40], pitch[:40] = np.resize([0.0, 90.0, -90.0, 180.0], 40), 0.0
+    pitch[40:80] = rng.uniform(172, 188, 40)
+    rows = [("m", f"p{i:05d}", 7, float(x[i]), float(y[i]), float(z[i]), float(yaw[i]), float(pitch[i]), i % 2 + 2, 100) for i in range(n)]
+    rows += [("m", "null view", 7, 0.0, 0.0, 0.0, None, None, 2, 100), ("m", "nowhere", 7, None, None, None, 0.0, 0.0, 3, 100)]
+    t = spark.createDataFrame(rows, "match_id string, steamid string, tick long, X double, Y double, Z double, yaw double, pitch double, team_num int, health int")
+    return t, t.select("match_id", "steamid", "tick")
+
+
+@pytest.mark.parametrize("grid", [1, 3, 32, 200])
+def test_crowded_tick_is_split_by_place(spark, monkeypatch, grid):
+    """2,000 shooters on one tick: the same targets as with all pairs, whatever the cells; and the tick's pairs lie in many groups."""
+    t, s = crowd(spark, 2000)
+    want = {(r.steamid, r.target) for r in trigger.shot_targets(t, s, cfg=replace(DEFAULT, crowd=10**9), radius=20.0).collect()}
+    assert len(want) > 300
+    monkeypatch.setattr(trigger, "GRID", grid)
+    assert {(r.steamid, r.target) for r in trigger.shot_targets(t, s, radius=20.0).collect()} == want
+
+
+def test_all_players_at_one_place(spark):
+    t, s = crowd(spark, 100)
+    t = t.withColumns({"X": F.lit(1.0), "Y": F.lit(1.0)})
+    want = {(r.steamid, r.target) for r in trigger.shot_targets(t, s, cfg=replace(DEFAULT, crowd=10**9), radius=50.0).collect()}
+    assert want and {(r.steamid, r.target) for r in trigger.shot_targets(t, s, radius=50.0).collect()} == want
+
+
+def test_reactions_over_blocks(spark, monkeypatch):
+    """Walk back by hand: gaps in either player's rows, windows over the borders of blocks, several shots and targets."""
+    rng = np.random.default_rng(2)
+    rows, state = [], {}
+    for who, team in (("a", 2), ("b", 3), ("c", 3)):
+        for tick in range(900, 1200):
+            if rng.random() < 0.03:
+                continue
+            x = 0.0 if who == "a" else 500.0
+            y = 0.0 if who != "c" else 30.0
+            yaw = 0.0 if rng.random() < 0.96 else 40.0
+            state[who, tick] = (x, y, yaw)
+            rows.append(("m", who, tick, x, y, 0.0, yaw, 0.0, team, 100))
+    t = spark.createDataFrame(rows, "match_id string, steamid string, tick long, X double, Y double, Z double, yaw double, pitch double, team_num int, health int")
+    shot_ticks = [k for w, k in state if w == "a" and k % 5 == 0]
+    hits = trigger.shot_targets(t, spark.createDataFrame([("m", "a", k) for k in shot_ticks], "match_id string, steamid string, tick long"), radius=40.0)
+    got = {(r.shot_tick, r.target): r.ticks_aligned for r in trigger.reaction_times(t, hits, radius=40.0).collect()}
+    want = {}
+    for h in hits.collect():
+        since = 0
+        for ago in range(64):
+            me, he = state.get(("a", h.tick - ago)), state.get((h.target, h.tick - ago))
+            if me is None:
+                continue  # no row of the player: the walk goes on to his next one
+            if he is None or me[2] != 0.0:
+                break
+            since = ago
+        want[h.tick, h.target] = since
+    assert got == want and len(set(got.values())) > 10
+    plan = trigger.reaction_times(t, hits, radius=40.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence" not in plan

@@ -3,6 +3,7 @@
 import gzip
 import json
 import os
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,67 @@ def test_csv_columns_by_name(spark, tmp_path):
     assert {r.match_id: r.status for r in readers.match_status(d).collect()}["c_none"] == "rejected"
 
 
+HEADER = b"tick,steamid,X,Y,Z,pitch,yaw,remark\n"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_letters_at_any_byte(spark, tmp_path, packed):
+    """Wherever a block of bytes ends, also inside a letter: in the header, behind it, and in a header longer than a block."""
+    names = []
+    for shift in range(4):
+        rows = "".join(f"{i},76561198000000001,1,2,3,4,5,{'x' * shift}{'жä日𝄞' * 40}\n" for i in range(500)).encode()
+        wide = b"tick,steamid,X,Y,Z,pitch,yaw," + b"x" * shift + "ж日𝄞".encode() * 9000 + b"\n"
+        for kind, head in (("short", HEADER), ("wide", wide), ("odd", HEADER.replace(b"remark", b"rem\xff\xe6ark")), ("bom", b"\xef\xbb\xbf" + HEADER)):
+            names.append(f"{kind}{shift}")
+            data = head + rows
+            put(str(tmp_path / "c" / (names[-1] + (".csv.gz" if packed else ".csv"))), gzip.compress(data) if packed else data)
+    d = readers.read_ticks_csv(spark, str(tmp_path / "c"), match_column=False)
+    assert {(r.match_id, r.status, r.rows) for r in readers.match_status(d).collect()} == {(f"c_{n}", "accepted", 500) for n in names}
+
+
+def test_no_header(spark, tmp_path):
+    put(str(tmp_path / "c" / "blank.csv"), b"\n1,2\n")
+    put(str(tmp_path / "c" / "cut.csv.gz"), gzip.compress(HEADER * 1000)[:15])
+    put(str(tmp_path / "c" / "parts.csv.gz"), gzip.compress(HEADER[:9]) + gzip.compress(HEADER[9:] + b"1,a,1,2,3,4,5,x\n"))
+    got = {r.path.rsplit("/", 1)[1]: r.header for r in readers.file_headers(files.list_files(spark, str(tmp_path / "c"))).collect()}
+    assert got == {"blank.csv": None, "cut.csv.gz": None, "parts.csv.gz": HEADER.decode().strip()}
+
+
+def test_storage_errors_are_not_a_format(spark, tmp_path):
+    """A file that cannot be opened fails the read; it is not a match without columns."""
+    gone = spark.createDataFrame([(f"file:{tmp_path}/gone.csv",)], "path string")
+    for probe in (readers.file_headers, readers.file_schemas):
+        with pytest.raises(Exception, match="gone.csv|No such file"):
+            probe(gone).collect()
+
+
+def test_lines_of_a_split_file_keep_their_order(spark, tmp_path):
+    """One plain file in many pieces, every row three times far apart: the first line wins."""
+    rows = [(i % 4000, i // 4000) for i in range(12000)]
+    text = "".join(f"{tick},76561198000000001,{turn},2,3,4,5,{'ж' * (tick % 90)}\n" for tick, turn in rows)
+    put(str(tmp_path / "c" / "long.csv"), HEADER + text.encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        d = readers.read_ticks_csv(spark, str(tmp_path / "c"), match_column=False)
+        assert d.select("source_block").distinct().count() > 20
+        first = clean.deduplicate_ticks(readers.clean_ticks(d), readers.SOURCE).collect()
+        lines = [(r.tick, r.X) for r in d.orderBy(*readers.SOURCE).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(first) == 4000 and {r.X for r in first} == {0.0} and lines == [(t, float(n)) for t, n in rows]
+
+
+def test_foreign_columns_need_no_scan_of_their_own(spark, tmp_path):
+    """Files that differ only in columns nobody reads are one scan, which reads the contract's columns."""
+    base = spark.createDataFrame([(5, "76561198000000001", 1.0, 2.0, 3.0, 4.0, 5.0)], "tick long, steamid string, X double, Y double, Z double, pitch double, yaw double")
+    for i in range(6):
+        base.withColumn(f"foreign{i}", F.lit(i)).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+    d = readers.read_ticks(spark, [str(tmp_path / "in" / f"p{i}") for i in range(6)], match_column=False)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "foreign0" not in plan and readers.clean_ticks(d).count() == 6
+
+
 def test_path_schemes():
     from tickscope.sources.paths import normalize
 
@@ -78,9 +140,57 @@ def test_path_schemes():
     assert normalize("/a:b/c") == "/a:b/c" and normalize("hdfs://n:1/x") == "hdfs://n:1/x"
 
 
-def test_settled_files(spark):
-    polls = spark.createDataFrame([("a", 9, 1), ("a", 9, 2), ("b", 5, 1), ("b", 9, 2), ("c", 9, 2), ("d", 1, 1), ("d", 9, 2), ("d", 9, 3)], "path string, length long, polled int")
-    assert {tuple(r) for r in arrivals.settled(polls).collect()} == {("a", 9), ("d", 9)}
+def run_twice(spark, tmp_path, stream_of, schema, runs):
+    """Rows of each run are written, then the stream goes on from its checkpoint; what came out, in the order of runs."""
+    src, out, cp = (str(tmp_path / d) for d in ("in", "out", "cp"))
+    got = []
+    for i, rows in enumerate(runs):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        arrivals.on_arrival(stream_of(src), lambda b, n, i=i: b.write.mode("overwrite").parquet(f"{out}/run={i}/batch={n}"), cp).awaitTermination()
+        got.append(spark.read.parquet(f"{out}/run={i}") if os.path.isdir(f"{out}/run={i}") else None)
+    return got
+
+
+def at(second):
+    return datetime(2024, 1, 1) + timedelta(seconds=second)
+
+
+def test_settled_files(spark, tmp_path):
+    """Complete after two polls that changed nothing; growth begins the count anew; state lasts over runs; a changed file is followed again."""
+    def polls(*looks):
+        return [(p, n, at(0), at(s)) for p, s, n in looks]
+
+    runs = [polls(("a", 0, 9), ("a", 1, 9), ("a", 2, 9), ("a", 3, 9), ("b", 0, 9), ("b", 1, 10), ("b", 2, 10), ("short", 0, 7), ("short", 1, 7), ("short", 2, 7)),
+            polls(("a", 4, 9), ("b", 3, 10), ("b", 4, 10), ("short", 30, 7), ("grows", 4, 8), ("grows", 5, 9), ("grows", 9.5, 10), ("a", 30, 9), ("b", 30, 10)),
+            polls(("a", 31, 20), ("a", 32, 20), ("a", 33, 20), ("b", 33, 10))]
+    got = run_twice(spark, tmp_path, lambda src: arrivals.settled(arrivals.poll_stream(spark, src), timeout="5 seconds"), arrivals.POLL_SCHEMA, runs)
+    rows = [sorted((r.path, r.length, r.outcome, (r.polled - at(0)).total_seconds()) for r in g.collect()) if g else [] for g in got]
+    assert rows[0] == [("a", 9, "complete", 2.0)]
+    assert rows[1] == [("b", 10, "complete", 3.0), ("grows", 9, "timeout", 9.0), ("grows", 10, "timeout", 14.5), ("short", 7, "timeout", 5.0)]
+    assert rows[2] == [("a", 20, "complete", 33.0)]
+
+
+def test_repeats_by_time(spark, tmp_path):
+    """The same notice 2 s after one that passed is a repeat, 10 s after it is news; the clock starts at what passed, not at what was held back."""
+    def notices(*seen):
+        return [(p, n, at(0), at(s)) for p, s, n in seen]
+
+    runs = [notices(("p", 0, 1), ("p", 2, 1), ("p", 4.9, 1), ("p", 5, 1), ("q", 1, 1), ("q", 2, 2), ("q", 3, 1)), notices(("p", 7, 1), ("q", 10, 1), ("p", 15, 1)),
+            notices(("p", 300, 1), ("p", 301, 1))]
+    schema = "path string, length long, modified_time timestamp, arrived timestamp"
+    got = run_twice(spark, tmp_path, lambda src: arrivals.without_repeats(spark.readStream.schema(schema).parquet(src)), schema, runs)
+    rows = [sorted((r.path, (r.arrived - at(0)).total_seconds(), r.length) for r in g.collect()) for g in got]
+    assert rows == [[("p", 0.0, 1), ("p", 5.0, 1), ("q", 1.0, 1), ("q", 2.0, 2), ("q", 3.0, 1)], [("p", 15.0, 1), ("q", 10.0, 1)], [("p", 300.0, 1)]]
+
+
+def test_odd_paths_are_found_again(spark, tmp_path):
+    """Files of a match by the index, also where a folder's name needs escapes."""
+    src, index = str(tmp_path / "a b+c%20é"), str(tmp_path / "index")
+    _typed(spark, tmp_path / "a b+c%20é" / "x", ["*", "'m' as match_id"])
+    for batch in (0, 1, 1):  # a repeated batch writes its own place
+        arrivals.index_files(readers.read_ticks(spark, src), index, batch)
+    found = arrivals.files_of(spark, index, spark.createDataFrame([("m",)], "match_id string"))
+    assert len(found) == 1 and readers.read_ticks(spark, found).count() == 1
 
 
 def test_old_notices_are_not_lost(spark, tmp_path):

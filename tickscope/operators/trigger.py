@@ -1,6 +1,6 @@
 """Trigger detector: time between the view meeting a target and the shot."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickscope.config import DEFAULT, AnalysisConfig
@@ -45,17 +45,83 @@ def _aligned(radius: float, cfg: AnalysisConfig):
     return ray_hits_sphere("xj", "yj", "zj", "yaw", "pitch", "xe", "ye", "ze", radius, cfg.eye_height)
 
 
+#: Cells per side of the grid that is laid over the players of a crowded tick.
+GRID = 32
+
+
+def _grids(rows: DataFrame, radius: float, cfg: AnalysisConfig) -> DataFrame:
+    """(match, tick, low corner, side of a cell) of crowded ticks; ordinary matches have none."""
+    at = rows.groupBy("match_id", "tick").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("X").alias("_x0"), F.min("Y").alias("_y0"), F.max("X").alias("_x1"), F.max("Y").alias("_y1")).where(F.col("_n") > cfg.crowd)
+    extent = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
+    side = F.greatest(extent / GRID, F.lit(2.0 * radius), F.lit(1e-6))
+    return at.select("match_id", "tick", "_x0", "_y0", side.alias("_side"))
+
+
+def _index(c: Column, low: str) -> Column:
+    inside = F.greatest(F.least((c - F.col(low)) / F.col("_side"), F.lit(GRID + 2.0)), F.lit(-2.0))
+    return F.floor(inside).cast("int")
+
+
+def _cells_of_sphere(radius: float) -> Column:
+    """The cells, four at most, that a head's outline touches seen from above; a little wider, so that rounding loses none."""
+    r = F.lit(radius) + F.col("_side") * 1e-6
+    x, y = (F.sequence(_index(F.col(c) - r, low), _index(F.col(c) + r, low)) for c, low in (("xe", "_x0"), ("ye", "_y0")))
+    return F.flatten(F.transform(x, lambda i: F.transform(y, lambda j: F.struct(i.alias("i"), j.alias("j")))))
+
+
+def _cells_of_ray() -> Column:
+    """The cells that the view ray crosses seen from above, column by column, and no more than two a column and row of the grid."""
+    turned = F.when(F.cos(F.radians("pitch")) < 0, 180.0).otherwise(0.0)  # a view past the zenith looks backwards
+    yaw = F.radians(F.col("yaw") + turned)
+    dx, dy = F.cos(yaw), F.sin(yaw)
+    steep = F.abs(dx) < 1e-9
+    edge = F.lit(GRID + 1)  # heads at the border of the players' rectangle reach one cell beyond it
+    i0, j0 = _index(F.col("xj"), "_x0"), _index(F.col("yj"), "_y0")
+    last = F.when(steep, i0).when(dx > 0, edge).otherwise(F.lit(-1))
+    columns = F.sequence(i0, last)
+
+    def y_at(x: Column) -> Column:
+        """Height of the ray over ``x``, not before its start."""
+        ahead = F.greatest((x - F.col("xj")) / F.when(steep, F.lit(1.0)).otherwise(dx), F.lit(0.0))
+        return F.col("yj") + ahead * dy
+
+    def rows_of(i: Column) -> Column:
+        left = F.col("_x0") + i * F.col("_side")
+        a, b = _index(y_at(left), "_y0"), _index(y_at(left + F.col("_side")), "_y0")
+        lo = F.when(steep, F.when(dy < 0, -1).otherwise(j0)).otherwise(F.least(a, b))
+        hi = F.when(steep, F.when(dy < 0, j0).otherwise(edge)).otherwise(F.greatest(a, b))
+        lo, hi = F.greatest(lo, F.lit(-1)), F.least(hi, edge)
+        return F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda j: F.struct(i.alias("i"), j.alias("j"))))
+
+    crossed = F.flatten(F.filter(F.transform(columns, rows_of), lambda c: c.isNotNull()))
+    return F.when(F.col("yaw").isNotNull() & F.col("pitch").isNotNull() & F.col("xj").isNotNull() & F.col("yj").isNotNull(), crossed)
+
+
 def shot_targets(ticks: DataFrame, shots: DataFrame, *, cfg: AnalysisConfig = DEFAULT, radius: float | None = None,
                  team_mode="tick") -> DataFrame:
-    """First living opponent (by id) whose head the view ray meets at the shot tick."""
+    """First living opponent (by id) whose head the view ray meets at the shot tick.
+
+    Ticks with more than ``cfg.crowd`` players are split by place: a grid over the players, heads in the cells they touch, and the ray in the cells it
+    crosses. Rays and heads of different cells never meet, and the exact test follows, so the grid decides the work and never the result.
+    """
     radius = cfg.head_radius if radius is None else radius
     rows = not_dead(ticks)
-    me = _state(rows, "j", "steamid").join(shots, [*PLAYER, "tick"])
+    at = rows.join(shots.select("match_id", "tick").distinct(), ["match_id", "tick"], "left_semi")  # other ticks go no further
+    me = _state(at, "j", "steamid").join(shots, [*PLAYER, "tick"])
     if team_mode == "first":
         first = rows.groupBy(*PLAYER).agg(F.min_by("team_num", "tick").alias("team_j"))
         me = me.drop("team_j").join(first, [*PLAYER])
-    en = _state(rows, "e", "target")
-    cond = (F.col("me.match_id") == F.col("en.match_id")) & (F.col("me.tick") == F.col("en.tick")) \
+    grids = _grids(at, radius, cfg)
+    nowhere = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+
+    def placed(d: DataFrame, cells: Column) -> DataFrame:
+        known = d.join(grids, ["match_id", "tick"], "left")
+        return known.withColumn("_cell", F.explode(F.when(F.col("_side").isNull(), nowhere).otherwise(cells))).drop("_x0", "_y0", "_side")
+
+    en = placed(_state(at, "e", "target"), _cells_of_sphere(radius))
+    me = placed(me, _cells_of_ray())
+    cond = (F.col("me.match_id") == F.col("en.match_id")) & (F.col("me.tick") == F.col("en.tick")) & (F.col("me._cell") == F.col("en._cell")) \
         & (F.col("steamid") != F.col("target")) & F.coalesce(F.col("team_j") != F.col("team_e"), F.lit(True)) \
         & _aligned(radius, cfg)
     return me.alias("me").join(en.alias("en"), cond).groupBy(
@@ -67,21 +133,33 @@ def reaction_times(ticks: DataFrame, targets: DataFrame, *, cfg: AnalysisConfig
                    radius: float | None = None) -> DataFrame:
     """Walk back over the player's rows while the view stays on the target; a miss or a missing target row ends it.
 
-    The window is 64 ticks, so the range join is an equi-join on enumerated ticks and a group has at most 64 rows.
+    A hit asks for the rows of two players over ``lookback`` ticks. It travels to the blocks of that many ticks it touches, two at most, once for each of the two,
+    and meets their rows there: ticks are exchanged once and nothing is enumerated per tick. Rows of one hit then come together,
+    at most two per tick.
     """
     radius = cfg.head_radius if radius is None else radius
-    rows = not_dead(ticks)
-    back = targets.select("match_id", "steamid", "target", F.col("tick").alias("shot_tick"),
-                          F.explode(F.sequence(F.lit(0), F.lit(cfg.lookback - 1))).alias("ago")).withColumn(
-        "tick", F.col("shot_tick") - F.col("ago"))
-    hist = back.join(_state(rows, "j", "steamid").drop("team_j"), ["match_id", "steamid", "tick"]).join(
-        _state(rows, "e", "target").drop("team_e"), ["match_id", "target", "tick"], "left")
-    hist = hist.withColumn("on", F.coalesce(_aligned(radius, cfg), F.lit(False)))
-    g = hist.groupBy("match_id", "steamid", "shot_tick", "target").agg(
+    span = cfg.lookback
+    shot = F.col("tick")
+    blocks = F.array_distinct(F.array(F.expr(f"tick div {span}"), F.expr(f"(tick - {span - 1}) div {span}")))
+    who = F.array(F.struct(F.col("steamid").alias("p"), F.lit(True).alias("shooter")), F.struct(F.col("target").alias("p"), F.lit(False).alias("shooter")))
+    asked = targets.select("match_id", F.col("steamid").alias("_me"), "target", shot.alias("shot_tick"), F.explode(blocks).alias("_block"), who.alias("_who")).select(
+        "match_id", "_me", "target", "shot_tick", "_block", F.inline("_who")).withColumnRenamed("p", "steamid")
+    rows = not_dead(ticks).select("match_id", "steamid", F.expr(f"tick div {span}").alias("_block"), "tick", "X", "Y", "Z", "yaw", "pitch")
+    met = rows.join(asked, ["match_id", "steamid", "_block"]).where(F.col("tick").between(F.col("shot_tick") - (span - 1), F.col("shot_tick")))
+    hit = ["match_id", "_me", "target", "shot_tick"]
+
+    def of(shooter: bool, c: str) -> Column:
+        return F.max(F.when(F.col("shooter") == F.lit(shooter), F.col(c)))
+
+    both = met.repartition(*hit).groupBy(*hit, "tick").agg(
+        F.max("shooter").alias("_seen"), *[of(True, c).alias(f"{c.lower()}j") for c in "XYZ"], *[of(False, c).alias(f"{c.lower()}e") for c in "XYZ"],
+        *[of(True, c).alias(c) for c in ("yaw", "pitch")]).where("_seen")
+    on = both.select(*hit, (F.col("shot_tick") - F.col("tick")).alias("ago"), F.coalesce(_aligned(radius, cfg), F.lit(False)).alias("on"))
+    g = on.groupBy(*hit).agg(
         F.min(F.when(~F.col("on"), F.col("ago"))).alias("miss"),
         F.collect_list(F.when(F.col("on"), F.col("ago"))).alias("hits"))
-    since = F.array_max(F.filter("hits", lambda a: a < F.coalesce(F.col("miss"), F.lit(cfg.lookback))))
-    return g.select(*PLAYER, "shot_tick", "target", F.coalesce(since, F.lit(0)).alias("ticks_aligned")).withColumn(
+    since = F.array_max(F.filter("hits", lambda a: a < F.coalesce(F.col("miss"), F.lit(span))))
+    return g.select("match_id", F.col("_me").alias("steamid"), "shot_tick", "target", F.coalesce(since, F.lit(0)).alias("ticks_aligned")).withColumn(
         "reaction_ms", ticks_to_ms("ticks_aligned", cfg.tickrate))
 
 

@@ -11,7 +11,7 @@ from tickscope.operators import aim, bhop, occlusion, results, rules, spin, trig
 from tickscope.operators.blocks import PLAYER
 from tickscope.operators.clean import deduplicate_ticks
 from tickscope.operators.timeline import kinematics, mark_shots, timeline
-from tickscope.sources.ticks import clean_ticks
+from tickscope.sources.ticks import SOURCE, clean_ticks
 from tickscope.plans.dataset import FEATURES
 from tickscope.sources.workdir import Keep, WorkScope, lazy, materialize
 
@@ -22,7 +22,7 @@ KIN_COLUMNS = (*PLAYER, "tick", "yaw", "velocity_X", "velocity_Y", "pitch", "row
 
 def prepare(raw: DataFrame) -> DataFrame:
     """Cleaned ticks, one row per (match, tick, player): the first of its file."""
-    return deduplicate_ticks(clean_ticks(raw), ("source_file", "source_row")).drop("source_file", "source_row")
+    return deduplicate_ticks(clean_ticks(raw), SOURCE).drop(*SOURCE)
 
 
 class Analysis(NamedTuple):

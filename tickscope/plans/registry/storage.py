@@ -1,5 +1,7 @@
 """Queries of sources, sinks and streams. Files are written by Spark from the given tables, then read back."""
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import functions as F
 
 from tickscope.functions.numbers import stable_round
@@ -45,16 +47,18 @@ def write_variants(spark, sf, path):
 
 
 def write_csv_variants(spark, sf, path):
-    """Two orders of the header, an absent optional column, matches without yaw."""
-    t, k = raw_ticks(spark, sf), match_no() % 5
+    """Two orders of the header, an absent optional column, matches without yaw, plain and packed files, and letters of several bytes in a foreign
+    column of every length, so that any cut by bytes falls inside some letter."""
+    t, k = raw_ticks(spark, sf).withColumn("remark", F.expr("concat('ж', repeat('日本ж', cast(tick % 7 as int)))")), match_no() % 5
 
-    def put(df, name):
-        df.write.option("header", True).option("compression", "gzip").csv(f"{path}/{name}")
+    def put(df, name, packing="gzip"):
+        df.write.option("header", True).option("compression", packing).csv(f"{path}/{name}")
 
-    put(t.where(k < 2), "a")
+    put(t.where(k == 0), "a")
+    put(t.where(k == 1), "e", "none")
     put(t.where(k == 2).select(*reversed(t.columns)), "b")
-    put(t.where(k == 3).drop("spotted").select("yaw", *[c for c in t.columns if c not in ("yaw", "spotted")]), "c")
-    put(t.where(k == 4).drop("yaw"), "d")
+    put(t.where(k == 3).drop("spotted").select("yaw", *[c for c in t.columns if c not in ("yaw", "spotted")]), "c", "none")
+    put(t.where(k == 4).drop("yaw", "remark"), "d")
 
 
 def parquet_path(spark, sf):
@@ -63,7 +67,7 @@ def parquet_path(spark, sf):
 
 def _read_back(df):
     """Status of every match with its clean rows; a rejected match is one row without values."""
-    clean = readers.clean_ticks(df).drop("source_file", "source_row").withColumns({c: stable_round(c, 6) for c in ("pitch", "yaw")})
+    clean = readers.clean_ticks(df).drop(*readers.SOURCE).withColumns({c: stable_round(c, 6) for c in ("pitch", "yaw")})
     return readers.match_status(df).join(clean, "match_id", "left").select(*READ_COLUMNS)
 
 
@@ -276,65 +280,102 @@ def snk5(spark, sf):
 PLAIN_THR_SQL = I.METRICS_SQL + ",\nsm AS (SELECT * REPLACE (0.0::DOUBLE AS ml_score) FROM metrics)" + THR_SQL.removeprefix(I.SCALED_SQL)
 
 
+POLL_START = datetime(2024, 1, 1, tzinfo=timezone.utc)
+
+
 @query("STR-1", I.with_sql(PLAIN_THR_SQL, "SELECT match_id, steamid, verdict, suspicion_score, len(factors) AS factors FROM vd"))
 def str1(spark, sf):
-    """Every match arrives in two files and two batches; after the second it has the verdicts of the whole."""
-    def write(path):
-        I.ticks(spark, sf).drop("event_id").withColumn("_part", F.expr("tick % 2")).repartition(2, "_part").drop("_part").write.parquet(path)
-
-    src, out = I.stored_path(spark, sf, "split_ticks", write), new_path(spark, "arrivals")
+    """Every match arrives in two parts, each noticed by three polls; after the second part it has the verdicts of the whole."""
+    src, polls, out, checkpoint = (new_path(spark, name) for name in ("split_ticks", "polls", "arrivals", "cp"))
 
     def fires_of(t):
         return t.where("active_weapon_name = 'purchase'").select("match_id", "tick", F.col("steamid").alias("user_steamid"))
 
-    arrivals.analyse_on_arrival(spark, src, fires_of, out, new_path(spark, "cp"), per_trigger=1, radius=200.0).awaitTermination()
+    for part in (0, 1):
+        I.ticks(spark, sf).where(F.col("tick") % 2 == part).drop("event_id").write.parquet(f"{src}/part{part}")
+        for n in range(3):
+            arrivals.record_poll(spark, src, polls, "*.parquet", POLL_START + timedelta(seconds=20 * part + n))
+        arrivals.analyse_on_arrival(spark, polls, fires_of, out, checkpoint, radius=200.0).awaitTermination()
     return arrivals.latest_results(spark, f"{out}/players").select(
         *PLAYER, "verdict", "suspicion_score", F.size("factors").cast("long").alias("factors"))
 
 
-@query("STR-2", "SELECT doc_id, strlen(text) + 9 AS length FROM documents WHERE doc_id % 4 = 0")
+@query("STR-2", """SELECT doc_id, strlen(text) + 9 AS length, 'complete' AS outcome FROM documents WHERE doc_id % 5 IN (0, 3)
+  UNION ALL SELECT doc_id, 3, 'timeout' FROM documents WHERE doc_id % 5 = 2
+  UNION ALL SELECT doc_id, strlen(text) + 8, 'timeout' FROM documents WHERE doc_id % 5 = 4""")
 def str2(spark, sf):
-    """One file per document: complete, with a wrong start, too short, or still growing between two polls."""
-    kind = F.col("doc_id") % 4
+    """One file per document and polls of it over nine seconds, of which five may pass until it is complete: complete from the start, the same with a wrong
+    start of the file, too short for ever, growing and then complete, still growing when the time is over. A second run goes on with the state of the first."""
+    kind = F.col("doc_id") % 5
 
-    def write(path, part):
+    def write(path):
         magic = F.decode(F.unhex(F.lit(files.MAGIC_HEX)), "UTF-8")
         wrong = F.decode(F.unhex(F.lit("504244454D533100")), "UTF-8")
-        text = F.when((kind == 3) & (part == 1), F.substring("text", 1, 1)).otherwise(F.col("text"))
-        value = F.when(kind == 1, F.concat(wrong, text)).when(kind == 2, F.lit("PB")).otherwise(F.concat(magic, text))
+        value = F.when(kind == 1, F.concat(wrong, "text")).when(kind == 2, F.lit("PB")).otherwise(F.concat(magic, "text"))
         I.table(spark, sf, "documents").select("doc_id", value.alias("value")).repartition(8, "doc_id").write.partitionBy("doc_id").text(path)
 
-    polls = [I.stored_path(spark, sf, f"poll_{n}", lambda p, n=n: write(p, n)) for n in (1, 2)]
-    out = new_path(spark, "complete")
+    src = I.stored_path(spark, sf, "poll_files", write)
+    listed = files.list_files(spark, src, "*.txt", recursive=True).withColumn("doc_id", F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("long"))
 
-    def handle(batch, batch_id):
-        arrivals.complete_only(batch).select("path", "length").write.parquet(f"{out}/batch={batch_id}", mode="overwrite")
-
-    def named(df):
-        return df.withColumn("path", F.regexp_extract("path", "doc_id=([0-9]+)", 1))
-
-    arrivals.on_arrival(arrivals.replay_arrivals(spark, polls[1], "*.txt", 5000).drop("arrived"), handle, new_path(spark, "cp")).awaitTermination()
-    seen = [files.list_files(spark, p, "*.txt", recursive=True).select("path", "length", F.lit(n).alias("polled")) for n, p in enumerate(polls)]
-    whole = arrivals.settled(named(seen[0].union(seen[1])))
-    found = named(spark.read.parquet(out)).join(whole, ["path", "length"], "left_semi")
-    return found.select(F.col("path").cast("long").alias("doc_id"), "length")
+    def seen(*polls):
+        """(tenths of a second, bytes still missing) of each poll."""
+        return F.array(*[F.struct(F.lit(at).alias("at"), F.lit(less).alias("less")) for at, less in polls])
 
+    looks = (F.when(kind == 3, seen((0, 3), (10, 2), (20, 1), (30, 0), (40, 0), (45, 0), (90, 0)))
+             .when(kind == 4, seen((0, 2), (20, 1), (90, 0))).otherwise(seen((0, 0), (10, 0), (20, 0), (90, 0))))
+    every = listed.select("path", F.col("length").alias("_size"), "modified_time", F.explode(looks).alias("p")).select(
+        "path", (F.col("_size") - F.col("p.less")).alias("length"), "modified_time",
+        F.timestamp_millis(F.lit(int(POLL_START.timestamp() * 1000)) + F.col("p.at") * 100).alias("polled"))
+    polls, out, checkpoint = (new_path(spark, name) for name in ("polls", "settled", "cp"))
 
-@query("STR-3", "SELECT '/replays/' || event_id || '.dem' AS path, length(props) AS length, floor(epoch(ts))::BIGINT - (event_id % 2) * 31536000 AS modified_seconds FROM events")
+    def handle(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    for early in (True, False):
+        every.where((F.col("polled") < F.lit(POLL_START + timedelta(seconds=4))) == F.lit(early)).write.mode("append").parquet(polls)
+        arrivals.on_arrival(arrivals.settled(arrivals.poll_stream(spark, polls), timeout="5 seconds"), handle, checkpoint).awaitTermination()
+    found = spark.read.parquet(out)
+    whole = arrivals.complete_only(found.where("outcome = 'complete'").select("path", "length", "outcome"))
+    return whole.unionByName(found.where("outcome = 'timeout'").select("path", "length", "outcome")).select(
+        F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("long").alias("doc_id"), "length", "outcome")
+
+
+def notices(spark, sf):
+    """A notice of a user's file for every event, and more of the same or another size 2 to 12 seconds later; every second file is a year old."""
+    i, at = F.col("event_id"), F.unix_micros(F.col("ts").cast("timestamp"))
+    more = [F.struct(F.lit(s * 1_000_000).alias("after"), F.lit(d).alias("more")) for s, d in ((0, 0), (2, 0), (10, 0), (3, 1), (4, 0), (6, 0), (9, 0), (12, 0))]
+    picked = F.when(i % 3 == 0, F.array(*more[:3])).when(i % 3 == 1, F.array(more[0], more[3], more[4])).otherwise(F.array(more[0], more[4], more[5], more[6], more[7]))
+    each = I.table(spark, sf, "events").select("event_id", "user_id", "props", "ts", F.explode(picked).alias("n"))
+    return each.select(
+        F.concat(F.lit("/replays/"), F.col("user_id").cast("string"), F.lit(".dem")).alias("path"), (F.length("props") + F.col("n.more")).cast("long").alias("length"),
+        F.timestamp_seconds(F.floor(at / 1_000_000) - i % 2 * 31536000).alias("modified_time"), F.timestamp_micros(at + F.col("n.after")).alias("arrived"))
+
+
+def third(micros):
+    """Ten days each: the three runs of the stream."""
+    return F.least(F.floor((micros - F.lit(1704067200000000)) / 864000000000), F.lit(2))
+
+
+@query("STR-3", """WITH RECURSIVE e AS (SELECT *, unnest(CASE event_id % 3 WHEN 0 THEN [(0, 0), (2, 0), (10, 0)] WHEN 1 THEN [(0, 0), (3, 1), (4, 0)]
+      ELSE [(0, 0), (4, 0), (6, 0), (9, 0), (12, 0)] END::STRUCT(after BIGINT, more BIGINT)[]) AS n FROM events),
+  n AS (SELECT '/replays/' || user_id || '.dem' AS path, length(props) + n.more AS length, floor(epoch_us(ts) / 1000000)::BIGINT - event_id % 2 * 31536000 AS modified_seconds,
+    epoch_us(ts) + n.after * 1000000 AS us FROM e),
+  o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY path ORDER BY us, length, modified_seconds) AS i FROM n),
+  r AS (SELECT path, i, length, modified_seconds, us, TRUE AS passed, length AS l, modified_seconds AS m, us AS a FROM o WHERE i = 1
+    UNION ALL SELECT path, i, length, modified_seconds, us, passed, CASE WHEN passed THEN length ELSE l END, CASE WHEN passed THEN modified_seconds ELSE m END,
+      CASE WHEN passed THEN us ELSE a END FROM (SELECT o.*, r.l, r.m, r.a, NOT (o.length = r.l AND o.modified_seconds = r.m AND o.us - r.a < 5000000) AS passed
+        FROM r JOIN o ON o.path = r.path AND o.i = r.i + 1))
+  SELECT path, length, modified_seconds, us AS arrived_micros FROM r WHERE passed""")
 def str3(spark, sf):
-    """Notices in three batches: some, all of them, all again; every second one is a year old."""
-    def write(path):
-        e = I.table(spark, sf, "events").select(
-            "event_id", F.concat(F.lit("/replays/"), F.col("event_id").cast("string"), F.lit(".dem")).alias("path"), F.length("props").cast("long").alias("length"),
-            F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp")) - F.col("event_id") % 2 * 31536000).alias("modified_time"))
-        for rows in (e.where("event_id % 3 = 0"), e, e):
-            rows.drop("event_id").coalesce(1).write.mode("append").parquet(path)
-
-    src, out = I.stored_path(spark, sf, "notices", write), new_path(spark, "unique")
-    stream = spark.readStream.schema("path string, length long, modified_time timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    """Notices in three runs of one stream: the same again after 2 or 4 seconds is a repeat, after 6 or 10 it is news; so is another size at once."""
+    src, out, checkpoint = (new_path(spark, name) for name in ("notices", "unique", "cp"))
+    every = notices(spark, sf)
 
     def handle(batch, batch_id):
-        batch.select("path", "length", "modified_time").write.parquet(f"{out}/batch={batch_id}", mode="overwrite")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    arrivals.on_arrival(arrivals.without_repeats(stream, "1 hour"), handle, new_path(spark, "cp")).awaitTermination()
-    return spark.read.parquet(out).select("path", "length", F.unix_seconds("modified_time").alias("modified_seconds"))
+    for part in range(3):
+        every.where(third(F.unix_micros("arrived")) == part).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("path string, length long, modified_time timestamp, arrived timestamp").parquet(src)
+        arrivals.on_arrival(arrivals.without_repeats(stream), handle, checkpoint).awaitTermination()
+    return spark.read.parquet(out).select("path", "length", F.unix_seconds("modified_time").alias("modified_seconds"), F.unix_micros("arrived").alias("arrived_micros"))

@@ -1,6 +1,6 @@
 """File listings: replay catalog, header check, pairing of tick and metadata files."""
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +15,11 @@ MAP_PATTERN = r"((?:de|cs)_[a-zA-Z0-9_]+)"
 INFO_BYTES = 8192
 
 
-def list_files(spark: SparkSession, folder: str, glob: str = "*", recursive: bool = False) -> DataFrame:
-    """path, modified_time, length. The content column is never selected, so no file is opened."""
+def list_files(spark: SparkSession, paths: str | Sequence[str], glob: str = "*", recursive: bool = False) -> DataFrame:
+    """path, modified_time, length of the files of one or more folders, or of files named themselves, in one listing. The content column is
+    never selected, so no file is opened."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option(
-        "recursiveFileLookup", recursive).load(folder).select(
+        "recursiveFileLookup", recursive).load(paths if isinstance(paths, str) else list(paths)).select(
         "path", F.col("modificationTime").alias("modified_time"), "length")
 
 

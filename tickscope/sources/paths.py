@@ -18,15 +18,15 @@ def normalize(uri: str) -> str:
 
 
 def open_file(uri: str):
-    """Random-access file of any scheme."""
-    from urllib.parse import unquote
+    """Random-access file of any scheme. ``uri`` is a path as listings show it: letters that an address would escape stand for themselves."""
+    from urllib.parse import quote
 
     from pyarrow import fs
 
     path = normalize(uri)
     if path.startswith("file://"):
-        return fs.LocalFileSystem().open_input_file(unquote(path[len("file://"):]))
+        path = path[len("file://"):]
     if path.startswith("/"):
         return fs.LocalFileSystem().open_input_file(path)
-    system, inside = fs.FileSystem.from_uri(path)
+    system, inside = fs.FileSystem.from_uri(quote(path, safe="/:@"))
     return system.open_input_file(inside)

@@ -1,6 +1,8 @@
 """Tick and event readers."""
 
 import csv
+import gzip
+import zlib
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -28,6 +30,10 @@ EVENTS_SCHEMA = """
   player_death array<struct<tick:long,attacker_steamid:string,user_steamid:string,headshot:boolean>>,
   _corrupt string
 """
+#: Where a row stands in its source: file, first byte of the piece that a task read, row in the order of reading. Inside a file this is the order of lines.
+SOURCE = ("source_file", "source_block", "source_row")
+#: Longest first line of a CSV file that can be a header.
+HEADER_LIMIT = 16 << 20
 EVENT_KINDS = ("weapon_fire", "player_hurt", "player_death")
 
 
@@ -53,20 +59,42 @@ def _contract(df: DataFrame) -> list:
     return out
 
 
+def _footer(f) -> bytes | None:
+    """The end of a Parquet file: its metadata with the marks around it. None if the marks are not there."""
+    size = f.size()
+    if size < 12:
+        return None
+    f.seek(size - 8)
+    end = f.read(8)
+    length = int.from_bytes(end[:4], "little")
+    if end[4:] != b"PAR1" or length + 12 > size:
+        return None
+    f.seek(size - 8 - length)
+    return b"PAR1" + f.read(length) + end
+
+
 def file_schemas(files: DataFrame) -> DataFrame:
-    """(path, columns) of Parquet files: names and types as one text, from the footers, read by the tasks; null if there is none."""
+    """(path, columns) of Parquet files: names and types of the contract's columns as one text, from the footers, read by the tasks; null if there
+    is none. Other columns do not matter, since nobody reads them.
+
+    Only what is no footer makes a file unreadable. A storage error fails the task, and Spark tries it again.
+    """
+    wanted = {"match_id", *TICK_TYPES}
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
         import pyarrow.parquet as pq
 
         for b in batches:
             found = []
             for p in b["path"]:
+                with open_file(p) as f:
+                    footer = _footer(f)
                 try:
-                    with open_file(p) as f:
-                        schema = pq.read_schema(f)
-                    found.append(";".join(sorted(f"{c.name}:{c.type}" for c in schema)))
-                except (OSError, ValueError):  # no Parquet file; pyarrow's errors are kinds of these
-                    found.append(None)
+                    schema = pq.read_schema(pa.BufferReader(footer)) if footer else None
+                except (OSError, ValueError):  # of bytes in memory: no Parquet metadata
+                    schema = None
+                found.append(None if schema is None else ";".join(sorted(f"{c.name}:{c.type}" for c in schema if c.name in wanted)))
             yield pd.DataFrame({"path": b["path"], "columns": found})
 
     return files.select("path").mapInPandas(read, "path string, columns string")
@@ -78,28 +106,27 @@ def _grouped(files: DataFrame, kind: str) -> list:
 
 
 def _listed(spark: SparkSession, paths: str | Sequence[str], glob: str) -> DataFrame:
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    return reduce(DataFrame.union, [list_files(spark, p, glob, recursive=True).select("path") for p in paths])
+    return list_files(spark, paths, glob, recursive=True).select("path")
 
 
 def _unreadable(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One empty row per file that cannot be read, so that ``match_status`` rejects it under its own name."""
     rows = spark.createDataFrame([(p,) for p in paths], "source_file string")
-    empty = rows.select(match_of_path(F.col("source_file")).alias("match_id"), "source_file", F.lit(0).cast("long").alias("source_row"))
+    empty = rows.select(match_of_path(F.col("source_file")).alias("match_id"), "source_file", *[F.lit(0).cast("long").alias(c) for c in SOURCE[1:]])
     return empty.select("*", *[F.lit(None).cast(t).alias(c) for c, t in TICK_TYPES.items()])
 
 
 def _one_scan(df: DataFrame, match_column: bool) -> DataFrame:
     """Contract columns of one scan. Columns the contract does not name are not read."""
     named = F.col("match_id").cast("string") if match_column and "match_id" in df.columns else match_of_path(F.col("_metadata.file_path"))
-    return df.select(named.alias("match_id"), F.col("_metadata.file_path").alias("source_file"),
+    return df.select(named.alias("match_id"), F.col("_metadata.file_path").alias("source_file"), F.lit(0).cast("long").alias("source_block"),
                      F.col("_metadata.row_index").alias("source_row"), *_contract(df))
 
 
 def read_ticks(spark: SparkSession, paths: str | Sequence[str], match_column: bool = True) -> DataFrame:
-    """Parquet ticks with their place in the file (``source_file``, ``source_row``).
+    """Parquet ticks with their place in the file (``SOURCE``).
 
-    Files are grouped by their own columns and types, one scan per distinct schema, and each is cast to the contract. An absent
+    Files are grouped by the types of the contract's columns, one scan per distinct set, and each is cast to the contract. An absent
     column is null; a file that is no Parquet file is one row without values, hence a rejected match (Spark does not list files of no bytes). Without a match_id
     column the file is the match.
     """
@@ -114,23 +141,37 @@ def read_ticks(spark: SparkSession, paths: str | Sequence[str], match_column: bo
     return tidy_ticks(reduce(DataFrame.unionByName, parts))
 
 
-def file_headers(files: DataFrame, n_bytes: int = 65536) -> DataFrame:
-    """(path, header) of CSV and CSV.GZ files: the first line, null if there is none."""
+def _first_line(f, packed: bool) -> bytes | None:
+    """Bytes before the first line break, however long the line is. None if this is no gzip file or the line is too long to be a header."""
+    if packed:
+        try:
+            line = gzip.GzipFile(fileobj=f).readline(HEADER_LIMIT + 1)
+        except (gzip.BadGzipFile, EOFError, zlib.error):
+            return None
+    else:
+        line = b""
+        while b"\n" not in line and len(line) <= HEADER_LIMIT:
+            block = f.read(65536)
+            if not block:
+                break
+            line += block
+        line = line.split(b"\n", 1)[0]
+    return line if len(line) <= HEADER_LIMIT else None
+
+
+def file_headers(files: DataFrame) -> DataFrame:
+    """(path, header) of CSV and CSV.GZ files: the first line, null if there is none.
+
+    Bytes are cut at the line break and only then read as letters; bytes that are none are left out, so neither what follows the header nor an
+    odd byte in it loses the file. A storage error fails the task, and Spark tries it again.
+    """
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zlib
-
         for b in batches:
             found = []
             for p in b["path"]:
-                try:
-                    with open_file(p) as f:
-                        head = f.read(n_bytes)
-                    if p.endswith(".gz"):
-                        head = zlib.decompressobj(31).decompress(head, n_bytes)
-                    line = head.decode("utf-8-sig").split("\n")[0].strip("\r")
-                    found.append(line or None)
-                except (OSError, ValueError, zlib.error):
-                    found.append(None)
+                with open_file(p) as f:
+                    line = _first_line(f, p.endswith(".gz"))
+                found.append((line or b"").decode("utf-8-sig", errors="ignore").strip("\r\n") or None)
             yield pd.DataFrame({"path": b["path"], "header": found})
 
     return files.select("path").mapInPandas(read, "path string, header string")
@@ -140,8 +181,8 @@ def read_ticks_csv(spark: SparkSession, paths: str | Sequence[str], match_column
                    tick_block: int = 65536) -> DataFrame:
     """CSV / CSV.GZ with a header. Files are grouped by their header line, so columns are found by name in any order.
 
-    A gzip file is read by one task, so rows are spread again by match and tick block. ``source_row`` follows the lines of a gzip file; a
-    large plain file is read in pieces, whose numbers only rise inside a piece.
+    A gzip file is read by one task, so rows are spread again by match and tick block. A large plain file is read in pieces, in any order and by
+    any task; ``SOURCE`` orders its rows by the piece's first byte and the place in the piece, which is the order of lines.
     """
     parts, bad = [], []
     listed = _listed(spark, paths, "*.{csv,csv.gz}")
@@ -149,12 +190,13 @@ def read_ticks_csv(spark: SparkSession, paths: str | Sequence[str], match_column
         if header is None:
             bad += found
             continue
-        columns = next(csv.reader([header]))
+        columns = [c.strip() for c in next(csv.reader([header]))]
         schema = T.StructType([T.StructField(c if c and c not in columns[:i] else f"_{i}", T.StringType()) for i, c in enumerate(columns)])
         raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(found)
         named = F.col("match_id") if match_column and "match_id" in columns else match_of_path(F.col("_metadata.file_path"))
         parts.append(raw.select(named.alias("match_id"), F.col("_metadata.file_path").alias("source_file"),
-                                F.monotonically_increasing_id().alias("source_row"), *_contract(raw)))
+                                F.col("_metadata.file_block_start").alias("source_block"), F.monotonically_increasing_id().alias("source_row"),
+                                *_contract(raw)))
     if bad or not parts:
         parts.append(_unreadable(spark, bad))
     df = reduce(DataFrame.unionByName, parts)

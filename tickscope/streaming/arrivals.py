@@ -1,16 +1,29 @@
-"""Incremental arrival of replays and tick files with Structured Streaming."""
+"""Incremental arrival of replays and tick files with Structured Streaming.
 
-from collections.abc import Callable
+A folder is watched by polls: each appends (path, length, modified_time, polled) of the files it finds to a table. ``settled`` follows every file through the
+polls and lets it pass once it is written to the end; what it knows of a file is state in the checkpoint. The clock is that of the polls and notices,
+never the processing clock, so a stream that starts late or runs again comes to the same results.
+"""
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime
+
+import pandas as pd
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickscope.plans.analyze import analyse, prepare
-from tickscope.sources.files import MAGIC_HEX, valid_header, with_head
+from tickscope.sources.files import MAGIC_HEX, list_files, valid_header, with_head
 from tickscope.sources.ticks import read_ticks
 from tickscope.sources.workdir import WorkScope
 
+POLL_SCHEMA = "path string, length long, modified_time timestamp, polled timestamp"
+#: Folders that the index of files by match is dealt into: a batch reads those of its matches.
+INDEX_BUCKETS = 64
+
 
 def file_arrivals(spark: SparkSession, folder: str, glob: str = "*", per_trigger: int = 100) -> DataFrame:
     """Stream of new files (path, modified_time, length, arrived), none of them opened.
@@ -34,46 +47,167 @@ def complete_only(files: DataFrame, magic_hex: str = MAGIC_HEX) -> DataFrame:
     return valid_header(with_head(files.where("length >= 8"), 8), magic_hex=magic_hex).drop("head")
 
 
-def settled(polls: DataFrame, times: int = 2) -> DataFrame:
-    """(path, length) of files whose last ``times`` polls (path, length, polled) found the same size: they are written to the end.
+def record_poll(spark: SparkSession, folder: str, polls: str, glob: str = "*", at: datetime | None = None, horizon: str | None = None) -> None:
+    """Append one look at ``folder`` to the table ``polls``. With ``horizon`` (like ``1 hour``) only files modified in that time are noted, so a poll
+    of a folder with a long past stays small."""
+    polled = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
+    found = list_files(spark, folder, glob, recursive=True).withColumn("polled", polled)
+    if horizon:
+        found = found.where(F.col("modified_time") >= F.col("polled") - F.expr(f"interval {horizon}"))
+    found.select("path", "length", "modified_time", "polled").write.mode("append").parquet(polls)
+
+
+def poll_stream(spark: SparkSession, polls: str, per_trigger: int = 1000) -> DataFrame:
+    """The recorded polls as a stream, oldest first, however old."""
+    return (spark.readStream.schema(POLL_SCHEMA).option("maxFilesPerTrigger", per_trigger).option("maxFileAge", "36500d")
+            .option("recursiveFileLookup", True).parquet(polls))
+
+
+def _micros(times: pd.Series) -> list[int]:
+    return times.astype("datetime64[us]").astype("int64").tolist()
+
+
+def _in_order(pdfs: Iterator[pd.DataFrame], by: Sequence[str]) -> pd.DataFrame:
+    """Rows of one file in a batch, by time; a batch holds a bounded number of polls."""
+    return pd.concat(list(pdfs), ignore_index=True).sort_values(list(by), kind="stable", ignore_index=True)
+
+
+def _seconds(duration: str) -> float:
+    return pd.Timedelta(duration).total_seconds()
+
+
+def _until(state: GroupState, micros: int) -> None:
+    """Wake up when the watermark has passed ``micros``."""
+    state.setTimeoutTimestamp(max(micros // 1000, state.getCurrentWatermarkMs() + 1))
 
-    A file that still grows, or was seen too seldom, is left for a later look; a caller's timeout is a bound on ``polled``.
-    """
-    last = F.slice(F.sort_array(F.collect_set(F.struct(F.col("polled"), F.col("length"))), asc=False), 1, times)
-    seen = polls.groupBy("path").agg(last.alias("_last"))
-    return seen.where((F.size("_last") >= times) & (F.size(F.array_distinct(F.col("_last.length"))) == 1)).select(
-        "path", F.element_at(F.col("_last.length"), 1).alias("length"))
 
+SETTLED_STATE = "since long, seen long, size long, modified long, stable int, done boolean, last long"
 
-def without_repeats(files: DataFrame, memory: str = "60 seconds") -> DataFrame:
-    """One notice per (path, size, time) within ``memory`` of its arrival.
 
-    The clock is the time of arrival, never a file's own time, so a file that was not seen before passes however old it is.
+def settled(polls: DataFrame, checks: int = 2, timeout: str = "2 seconds", min_size: int = 8, memory: str = "1 hour", late: str = "10 seconds") -> DataFrame:
+    """(path, length, modified_time, polled, outcome) of a stream of polls: ``complete`` for a file that ``checks`` polls in a row found as large as the poll
+    before, ``timeout`` for one that did not get there within ``timeout`` of its first poll.
+
+    A file shorter than ``min_size`` only waits. After a timeout the next poll begins anew. A complete file is reported once per size and time of change, as long
+    as polls go on to see it; ``memory`` after the last one it is forgotten. The timers are event-time timers: they go by the latest poll, less ``late``.
+    """
+    limit, kept = int(_seconds(timeout) * 1e6), int(_seconds(memory) * 1e6)
+
+    def follow(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        since, seen, size, modified, stable, done, last = state.get if state.exists else (None, None, None, None, 0, False, None)
+
+        def report(at: int, outcome: str) -> None:
+            out.append((key[0], seen, modified, at, outcome))
+
+        if state.hasTimedOut:
+            if not done:
+                report(since + limit, "timeout")
+            state.remove()
+        else:
+            rows = _in_order(pdfs, ("polled", "length"))
+            for length, changed, at in zip(rows["length"].tolist(), _micros(rows["modified_time"]), _micros(rows["polled"])):
+                if since is not None and not done and at - since > limit:
+                    report(since + limit, "timeout")
+                    since = None
+                if since is None or done and (length, changed) != (seen, modified):
+                    since, size, stable, done = at, None, 0, False
+                seen, modified, last = length, changed, at
+                if length < min_size or done:
+                    continue
+                stable = stable + 1 if length == size else 0
+                size = length
+                if stable >= checks:
+                    done = True
+                    report(at, "complete")
+            state.update((since, seen, size, modified, stable, done, last))
+            _until(state, last + kept if done else since + limit)
+        if out:
+            found = pd.DataFrame(out, columns=["path", "length", "modified_time", "polled", "outcome"])
+            yield found.assign(**{c: pd.to_datetime(found[c], unit="us") for c in ("modified_time", "polled")})
+
+    return polls.withWatermark("polled", late).groupBy("path").applyInPandasWithState(
+        follow, f"{POLL_SCHEMA}, outcome string", SETTLED_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def without_repeats(files: DataFrame, cooldown: str = "5 seconds", memory: str = "60 seconds") -> DataFrame:
+    """Notices of a file, but not the same (size, time of change) again within ``cooldown`` of the last one that passed.
+
+    After the cooldown the same notice passes again. What passed last is state per path and forgotten ``memory`` after it. The clock is
+    the time of arrival, never a file's own time, so a file that was not seen before passes however old it is.
     """
     if "arrived" not in files.columns:
         files = files.withColumn("arrived", F.current_timestamp())
-    return files.withWatermark("arrived", memory).dropDuplicatesWithinWatermark(["path", "length", "modified_time"])
+    pause, kept, columns = int(_seconds(cooldown) * 1e6), int(_seconds(memory) * 1e6), files.columns
+
+    def passed(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = _in_order(pdfs, ("arrived", "length", "modified_time"))
+        size, modified, at = state.get if state.exists else (None, None, None)
+        let = []
+        for length, changed, now in zip(rows["length"].tolist(), _micros(rows["modified_time"]), _micros(rows["arrived"])):
+            again = at is not None and (length, changed) == (size, modified) and now - at < pause
+            let.append(not again)
+            if not again:
+                size, modified, at = length, changed, now
+        state.update((size, modified, at))
+        _until(state, at + kept)
+        if any(let):
+            yield rows[let][columns]
+
+    return files.withWatermark("arrived", memory).groupBy("path").applyInPandasWithState(
+        passed, files.schema, "size long, modified long, at long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _plain_path(uri: Column) -> Column:
+    """A file's address in metadata as a path that readers take."""
+    return F.url_decode(F.regexp_replace(uri, r"\+", "%2B"))
 
 
-def analyse_on_arrival(spark: SparkSession, folder: str, fires_of: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
-                       match_column: bool = True, per_trigger: int = 100, **options) -> StreamingQuery:
+def index_files(ticks: DataFrame, index: str, batch_id: int) -> None:
+    """Note which files hold which matches, as one more batch of the index. A batch that is repeated writes the same place."""
+    pairs = ticks.select("match_id", _plain_path(F.col("source_file")).alias("path")).distinct()
+    pairs.withColumn("bucket", F.pmod(F.xxhash64("match_id"), F.lit(INDEX_BUCKETS))).write.mode("overwrite").partitionBy("bucket").parquet(
+        f"{index}/batch={batch_id}")
+
+
+def files_of(spark: SparkSession, index: str, matches: DataFrame) -> list[str]:
+    """Paths of all files of ``matches``, which are in the index. Only the matches' buckets are read."""
+    buckets = [r["bucket"] for r in matches.select(F.pmod(F.xxhash64("match_id"), F.lit(INDEX_BUCKETS)).alias("bucket")).distinct().collect()]
+    known = spark.read.schema("match_id string, path string").parquet(*[f"{index}/batch=*/bucket={b}" for b in sorted(buckets)])
+    return sorted(r["path"] for r in known.join(matches, "match_id", "left_semi").select("path").distinct().collect())
+
+
+def analyse_on_arrival(spark: SparkSession, polls: str, fires_of: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
+                       match_column: bool = True, per_trigger: int = 1000, settle: dict | None = None, **options) -> StreamingQuery:
     """Verdicts of every match that has new tick files, under ``out``/players, /matches and /events; read them with ``latest_results``.
 
-    A batch only says which matches have changed. Each of them is analysed anew from all its files in ``folder``, those of earlier batches included, so a match
-    may arrive in any number of files and batches. ``fires_of`` gives the shots for a frame of ticks. A batch that is repeated after a
-    failure overwrites its own folder.
+    ``polls`` is the table that ``record_poll`` fills; only files that are ``settled`` (options ``settle``) are taken. A batch says which matches have
+    changed. Each of them is analysed anew from all its files, those of earlier batches included, so a match may arrive in any number of files and batches. An
+    index of files by match beside the checkpoint names them: a batch opens its new files and the files of its matches, nothing else, whatever the folder
+    holds. The driver lists those files, as it does for any scan. ``fires_of`` gives the shots for a frame of ticks. A batch that is repeated
+    after a failure overwrites its own folders; ``out``/log has what each batch read.
     """
+    index = f"{checkpoint.rstrip('/')}-files"
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        paths = [r["path"] for r in batch.select("path").collect()]  # per_trigger at most
-        if not paths:
-            return
         with WorkScope(spark, "arrival") as work:
-            changed = work.keep(read_ticks(spark, paths, match_column).select("match_id").distinct(), "changed")
-            clean = work.keep(prepare(read_ticks(spark, folder, match_column).join(changed, "match_id", "left_semi")), "ticks")
+            fresh = sorted(r["path"] for r in work.keep(batch.where("outcome = 'complete'").select("path").distinct(), "fresh").collect())
+            if not fresh:
+                return
+            pairs = work.keep(read_ticks(spark, fresh, match_column).select("match_id", "source_file").distinct(), "pairs")
+            index_files(pairs, index, batch_id)
+            changed = work.keep(pairs.select("match_id").distinct(), "changed")
+            paths = files_of(spark, index, changed)
+            clean = work.keep(prepare(read_ticks(spark, paths, match_column).join(changed, "match_id", "left_semi")), "ticks")
             for name, df in analyse(clean, fires_of(clean), keep=work.keep, **options)._asdict().items():
                 df.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+            changed.agg(F.count(F.lit(1)).alias("matches")).select("matches", F.lit(len(fresh)).cast("long").alias("new_files"), F.lit(len(paths)).cast("long").alias(
+                "files_read")).write.mode("overwrite").parquet(f"{out}/log/batch={batch_id}")
 
-    return on_arrival(file_arrivals(spark, folder, "*.parquet", per_trigger).drop("arrived"), handle, checkpoint)
+    return on_arrival(settled(poll_stream(spark, polls, per_trigger), **(settle or {})), handle, checkpoint)
 
 
 def latest_results(spark: SparkSession, path: str) -> DataFrame:
