@@ -1,6 +1,6 @@
 """Trigger detector: time between the view meeting a target and the shot."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickscope.config import DEFAULT, AnalysisConfig
@@ -35,10 +35,10 @@ def shots_of(*sources: DataFrame) -> DataFrame:
     return ranked.join(best, [*PLAYER, "_src"]).select(*PLAYER, "tick").distinct()
 
 
-def _state(rows: DataFrame, prefix: str, who: str) -> DataFrame:
+def _state(rows: DataFrame, prefix: str, who: str, more: list[str]) -> DataFrame:
     cols = ["X", "Y", "Z"] + (["yaw", "pitch"] if prefix == "j" else [])
     return rows.select("match_id", "tick", F.col("steamid").alias(who), F.col("team_num").alias(f"team_{prefix}"),
-                       *[F.col(c).alias(f"{c.lower()}{prefix}" if c in "XYZ" else c) for c in cols])
+                       *[F.col(c).alias(f"{c.lower()}{prefix}" if c in "XYZ" else c) for c in cols], *more)
 
 
 def _aligned(radius: float, cfg: AnalysisConfig):
@@ -49,57 +49,49 @@ def _aligned(radius: float, cfg: AnalysisConfig):
 GRID = 32
 
 
-def _grids(rows: DataFrame, radius: float, cfg: AnalysisConfig) -> DataFrame:
-    """(match, tick, low corner, side of a cell) of crowded ticks; ordinary matches have none."""
-    at = rows.groupBy("match_id", "tick").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("X").alias("_x0"), F.min("Y").alias("_y0"), F.max("X").alias("_x1"), F.max("Y").alias("_y1")).where(F.col("_n") > cfg.crowd)
+def _at_shots(rows: DataFrame, shots: DataFrame, radius: float, cfg: AnalysisConfig) -> DataFrame:
+    """Rows of the ticks in which somebody shoots; in crowded ticks with the low corner and the side of a cell of a grid over the players. Ordinary
+    matches have no such tick. Ticks are exchanged once, and only these rows go further."""
+    at = rows.join(shots.select("match_id", "tick").distinct(), ["match_id", "tick"], "left_semi")
+    w = Window.partitionBy("match_id", "tick")
+    lows = {"_x0": F.min("X").over(w), "_y0": F.min("Y").over(w)}
+    at = at.select("match_id", "tick", "steamid", "team_num", "X", "Y", "Z", "yaw", "pitch", F.count(F.lit(1)).over(w).alias("_n"),
+                   F.max("X").over(w).alias("_x1"), F.max("Y").over(w).alias("_y1"), *[c.alias(n) for n, c in lows.items()])
     extent = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
-    side = F.greatest(extent / GRID, F.lit(2.0 * radius), F.lit(1e-6))
-    return at.select("match_id", "tick", "_x0", "_y0", side.alias("_side"))
+    side = F.when(F.col("_n") > cfg.crowd, F.greatest(extent / GRID, F.lit(2.0 * radius), F.lit(1e-6)))
+    return at.withColumn("_side", side).drop("_n", "_x1", "_y1")
 
 
-def _index(c: Column, low: str) -> Column:
-    inside = F.greatest(F.least((c - F.col(low)) / F.col("_side"), F.lit(GRID + 2.0)), F.lit(-2.0))
-    return F.floor(inside).cast("int")
+def _index(place: str, low: str) -> str:
+    return f"cast(floor(greatest(least(({place} - {low}) / _side, {GRID + 2}D), -2D)) as int)"
 
 
 def _cells_of_sphere(radius: float) -> Column:
     """The cells, four at most, that a head's outline touches seen from above; a little wider, so that rounding loses none."""
-    r = F.lit(radius) + F.col("_side") * 1e-6
-    x, y = (F.sequence(_index(F.col(c) - r, low), _index(F.col(c) + r, low)) for c, low in (("xe", "_x0"), ("ye", "_y0")))
-    return F.flatten(F.transform(x, lambda i: F.transform(y, lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    r = f"({radius}D + _side * 1e-6D)"
+    x, y = (f"sequence({_index(f'{c} - {r}', low)}, {_index(f'{c} + {r}', low)})" for c, low in (("xe", "_x0"), ("ye", "_y0")))
+    return F.expr(f"flatten(transform({x}, i -> transform({y}, j -> named_struct('i', i, 'j', j))))")
 
 
 def _cells_of_ray() -> Column:
-    """The cells that the view ray crosses seen from above, column by column, and no more than two a column and row of the grid."""
-    turned = F.when(F.cos(F.radians("pitch")) < 0, 180.0).otherwise(0.0)  # a view past the zenith looks backwards
-    yaw = F.radians(F.col("yaw") + turned)
-    dx, dy = F.cos(yaw), F.sin(yaw)
-    steep = F.abs(dx) < 1e-9
-    edge = F.lit(GRID + 1)  # heads at the border of the players' rectangle reach one cell beyond it
-    i0, j0 = _index(F.col("xj"), "_x0"), _index(F.col("yj"), "_y0")
-    last = F.when(steep, i0).when(dx > 0, edge).otherwise(F.lit(-1))
-    columns = F.sequence(i0, last)
-
-    def y_at(x: Column) -> Column:
-        """Height of the ray over ``x``, not before its start."""
-        ahead = F.greatest((x - F.col("xj")) / F.when(steep, F.lit(1.0)).otherwise(dx), F.lit(0.0))
-        return F.col("yj") + ahead * dy
-
-    def rows_of(i: Column) -> Column:
-        left = F.col("_x0") + i * F.col("_side")
-        a, b = _index(y_at(left), "_y0"), _index(y_at(left + F.col("_side")), "_y0")
-        lo = F.when(steep, F.when(dy < 0, -1).otherwise(j0)).otherwise(F.least(a, b))
-        hi = F.when(steep, F.when(dy < 0, j0).otherwise(edge)).otherwise(F.greatest(a, b))
-        lo, hi = F.greatest(lo, F.lit(-1)), F.least(hi, edge)
-        return F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda j: F.struct(i.alias("i"), j.alias("j"))))
-
-    crossed = F.flatten(F.filter(F.transform(columns, rows_of), lambda c: c.isNotNull()))
-    return F.when(F.col("yaw").isNotNull() & F.col("pitch").isNotNull() & F.col("xj").isNotNull() & F.col("yj").isNotNull(), crossed)
+    """The cells that the view ray (direction _dx, _dy seen from above) crosses, column by column: about two for each column and row of the grid."""
+    steep, edge = "abs(_dx) < 1e-9D", GRID + 1  # heads at the border of the players' rectangle reach one cell beyond it
+    i0, j0 = _index("xj", "_x0"), _index("yj", "_y0")
+
+    def height(x: str) -> str:
+        """The ray's y over ``x``, not before its start."""
+        return f"yj + greatest(({x} - xj) / if({steep}, 1D, _dx), 0D) * _dy"
+
+    a, b = (_index(height(f"(_x0 + (i + {k}) * _side)"), "_y0") for k in (0, 1))
+    lo = f"greatest(if({steep}, if(_dy < 0, -1, {j0}), least({a}, {b})), -1)"
+    hi = f"least(if({steep}, if(_dy < 0, {j0}, {edge}), greatest({a}, {b})), {edge})"
+    rows = f"if({lo} <= {hi}, transform(sequence({lo}, {hi}), j -> named_struct('i', i, 'j', j)), null)"
+    columns = f"sequence({i0}, if({steep}, {i0}, if(_dx > 0, {edge}, -1)))"
+    return F.expr(f"if(_dx is not null and xj is not null and yj is not null, flatten(filter(transform({columns}, i -> {rows}), c -> c is not null)), null)")
 
 
 def shot_targets(ticks: DataFrame, shots: DataFrame, *, cfg: AnalysisConfig = DEFAULT, radius: float | None = None,
-                 team_mode="tick") -> DataFrame:
+                 team_mode="tick", keep: Keep = lazy) -> DataFrame:
     """First living opponent (by id) whose head the view ray meets at the shot tick.
 
     Ticks with more than ``cfg.crowd`` players are split by place: a grid over the players, heads in the cells they touch, and the ray in the cells it
@@ -107,19 +99,20 @@ def shot_targets(ticks: DataFrame, shots: DataFrame, *, cfg: AnalysisConfig = DE
     """
     radius = cfg.head_radius if radius is None else radius
     rows = not_dead(ticks)
-    at = rows.join(shots.select("match_id", "tick").distinct(), ["match_id", "tick"], "left_semi")  # other ticks go no further
-    me = _state(at, "j", "steamid").join(shots, [*PLAYER, "tick"])
+    at = keep(_at_shots(rows, shots, radius, cfg), "at_shots")
+    grid = ["_x0", "_y0", "_side"]
+    turned = F.when(F.cos(F.radians("pitch")) < 0, 180.0).otherwise(0.0)  # a view past the zenith looks backwards
+    yaw = F.when(F.col("pitch").isNotNull(), F.radians(F.col("yaw") + turned))
+    me = _state(at, "j", "steamid", grid).join(shots, [*PLAYER, "tick"]).withColumns({"_dx": F.cos(yaw), "_dy": F.sin(yaw)})
     if team_mode == "first":
         first = rows.groupBy(*PLAYER).agg(F.min_by("team_num", "tick").alias("team_j"))
         me = me.drop("team_j").join(first, [*PLAYER])
-    grids = _grids(at, radius, cfg)
     nowhere = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
 
     def placed(d: DataFrame, cells: Column) -> DataFrame:
-        known = d.join(grids, ["match_id", "tick"], "left")
-        return known.withColumn("_cell", F.explode(F.when(F.col("_side").isNull(), nowhere).otherwise(cells))).drop("_x0", "_y0", "_side")
+        return d.withColumn("_cell", F.explode(F.when(F.col("_side").isNull(), nowhere).otherwise(cells))).drop(*grid, "_dx", "_dy")
 
-    en = placed(_state(at, "e", "target"), _cells_of_sphere(radius))
+    en = placed(_state(at, "e", "target", grid), _cells_of_sphere(radius))
     me = placed(me, _cells_of_ray())
     cond = (F.col("me.match_id") == F.col("en.match_id")) & (F.col("me.tick") == F.col("en.tick")) & (F.col("me._cell") == F.col("en._cell")) \
         & (F.col("steamid") != F.col("target")) & F.coalesce(F.col("team_j") != F.col("team_e"), F.lit(True)) \
@@ -183,7 +176,7 @@ def trigger_metrics_of(reactions: DataFrame, roster: DataFrame, cfg: AnalysisCon
 
 def trigger_metrics(ticks: DataFrame, shots: DataFrame, *, cfg: AnalysisConfig = DEFAULT, radius: float | None = None,
                     team_mode="tick", keep: Keep = lazy) -> DataFrame:
-    hit = shot_targets(ticks, shots, cfg=cfg, radius=radius, team_mode=team_mode)
+    hit = shot_targets(ticks, shots, cfg=cfg, radius=radius, team_mode=team_mode, keep=keep)
     reactions = keep(reaction_times(ticks, hit, cfg=cfg, radius=radius), "reactions")
     return trigger_metrics_of(reactions, ticks.select(*PLAYER).distinct(), cfg)
 

@@ -374,7 +374,7 @@ def shots(spark, sf):
 
 def targets(spark, sf):
     t, s = shots(spark, sf)
-    return t, trigger.shot_targets(t, s, radius=RADIUS)
+    return t, trigger.shot_targets(t, s, radius=RADIUS, keep=materialize)
 
 
 def reactions(spark, sf):
