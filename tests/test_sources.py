@@ -331,3 +331,32 @@ def test_stream_repeats(spark, tmp_path):
     out = str(tmp_path / "out")
     arrivals.on_arrival(arrivals.without_repeats(s), lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"), str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.path, r.length) for r in spark.read.parquet(out).collect()) == [("p1", 10), ("p1", 11), ("p2", 10)]
+
+
+def test_retention_deletes(spark, tmp_path):
+    """The least recently used keys go: from readers at once, from disk with the purge; used or put again they live."""
+    from tickscope.sources import result_store as store
+    path = str(tmp_path / "store")
+
+    def rows(*keys):
+        return spark.createDataFrame([(k, at(s), i) for k, s in keys for i in range(2)], "result_key string, last_used timestamp, n int")
+
+    def alive():
+        return sorted(r.result_key for r in store.read(spark, path).select("result_key").distinct().collect())
+
+    def on_disk():
+        return sorted(r.result_key for r in store.stored_folders(spark, path).collect())
+
+    keys = ["007", "a b", "x/y=z", "é+%20", "last"]
+    store.put(rows(*[(k, i) for i, k in enumerate(keys)]), path)
+    assert alive() == on_disk() == sorted(keys) and store.purge(spark, path) == 0
+    store.touch(rows(("007", 90)), path)
+    before = store.read(spark, path)
+    store.evict(spark, path, 3)
+    assert alive() == sorted(["007", "é+%20", "last"]) and on_disk() == sorted(keys) and before.count() == 10  # who listed before reads on
+    assert store.purge(spark, path) == 2 and on_disk() == alive() and store.purge(spark, path) == 0
+    store.put(rows(("a b", 95)), path)  # comes back
+    store.put(rows(("last", 96)).limit(1), path)  # replaced, not doubled
+    assert alive() == sorted(["007", "a b", "é+%20", "last"]) and store.read(spark, path).count() == 7
+    store.evict(spark, path, 1)
+    assert store.purge(spark, path) == 3 and alive() == on_disk() == ["last"]

@@ -8,7 +8,8 @@ from tickscope.operators.blocks import PLAYER
 from tickscope.plans import inputs as I
 from tickscope.plans.analyze import combat_events, judge
 from tickscope.plans.registry import query
-from tickscope.sources.workdir import materialize
+from tickscope.sources import result_store
+from tickscope.sources.workdir import materialize, new_path
 
 RULE_CFG = rules.DEFAULT
 
@@ -314,12 +315,24 @@ def srt6(spark, sf):
     return results.first_events(event_timeline(spark, sf), 8).select(*PLAYER, "type", "at_tick", "seq", (F.col("seq") <= 5).alias("in_ticket"))
 
 
-@query("SRT-7", """WITH r AS (SELECT CAST(event_id AS VARCHAR) AS result_key, ts AS last_used FROM events),
-  k AS (SELECT result_key FROM r ORDER BY last_used DESC, result_key LIMIT 500)
-  SELECT * FROM r WHERE result_key NOT IN (SELECT result_key FROM k)""")
+@query("SRT-7", """WITH r AS (SELECT user_id || '/' || day(ts) // 6 AS result_key, count(*) AS rows, max(ts) AS last_used FROM events GROUP BY 1),
+  o AS (SELECT *, row_number() OVER (ORDER BY last_used DESC, result_key) <= 500 AS kept FROM r)
+  SELECT result_key, kept, CASE WHEN kept THEN rows ELSE 0 END AS rows_on_disk, kept AS folder_there FROM o""")
 def srt7(spark, sf):
-    d = I.table(spark, sf, "events").select(F.col("event_id").cast("string").alias("result_key"), F.col("ts").alias("last_used"))
-    return results.retention_victims(d).select("result_key", "last_used")
+    """Results by user and part of the month in a store; after retention 500 keys live, and the folders of the others are gone."""
+    e = I.table(spark, sf, "events")
+    key = F.concat_ws("/", F.col("user_id").cast("string"), F.expr("cast(day(ts) div 6 as string)"))
+    store = new_path(spark, "results")
+    result_store.put(e.select(key.alias("result_key"), F.col("ts").cast("timestamp").alias("last_used"), "event_id"), store)
+    result_store.evict(spark, store)
+    result_store.purge(spark, store)
+    left = result_store.data(spark, store).groupBy("result_key").agg(F.count(F.lit(1)).alias("rows_on_disk"))
+    folders = result_store.stored_folders(spark, store).select("result_key", F.lit(True).alias("folder_there"))
+    live = result_store.live_keys(spark, store).select("result_key", F.lit(True).alias("kept"))
+    every = e.select(key.alias("result_key")).distinct()
+    for part in (live, left, folders):
+        every = every.join(part, "result_key", "left")
+    return every.select("result_key", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("kept", "folder_there")], F.coalesce("rows_on_disk", F.lit(0)).alias("rows_on_disk"))
 
 
 # --- sets and joins ----------------------------------------------------------------------------------------------

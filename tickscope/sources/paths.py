@@ -1,4 +1,4 @@
-"""Reading the first or last bytes of files inside tasks, for the path schemes that Spark names and pyarrow does not."""
+"""Files inside tasks, their first or last bytes and their removal, for the path schemes that Spark names and pyarrow does not."""
 
 # Spark's name of a file system to pyarrow's; object stores have several in use
 SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfss", "abfs": "abfs", "wasbs": "abfss", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs"}
@@ -17,8 +17,8 @@ def normalize(uri: str) -> str:
     return SCHEMES.get(scheme, scheme) + ":" + rest
 
 
-def open_file(uri: str):
-    """Random-access file of any scheme. ``uri`` is a path as listings show it: letters that an address would escape stand for themselves."""
+def _located(uri: str):
+    """(file system, path in it). ``uri`` is a path as listings show it: letters that an address would escape stand for themselves."""
     from urllib.parse import quote
 
     from pyarrow import fs
@@ -27,6 +27,20 @@ def open_file(uri: str):
     if path.startswith("file://"):
         path = path[len("file://"):]
     if path.startswith("/"):
-        return fs.LocalFileSystem().open_input_file(path)
-    system, inside = fs.FileSystem.from_uri(quote(path, safe="/:@"))
-    return system.open_input_file(inside)
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(quote(path, safe="/:@"))
+
+
+def open_file(uri: str):
+    """Random-access file of any scheme."""
+    system, path = _located(uri)
+    return system.open_input_file(path)
+
+
+def delete_folder(uri: str) -> None:
+    """Remove a folder and what is in it; one that is not there is no error."""
+    system, path = _located(uri)
+    try:
+        system.delete_dir(path)
+    except FileNotFoundError:
+        pass
