@@ -352,3 +352,20 @@ def test_reactions_over_blocks(spark, monkeypatch):
     assert got == want and len(set(got.values())) > 10
     plan = trigger.reaction_times(t, hits, radius=40.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(sequence" not in plan
+
+
+def test_both_jump_profiles_in_one_pass(spark, make):
+    """The same rows as each profile by itself: players who are never alive, dead stretches, a first row in the air, one state only."""
+    rng = np.random.default_rng(8)
+
+    def player(who, **more):
+        n = 160
+        return dict(n=n, steamid=who, is_airborne=[bool(b) for b in rng.random(n) < 0.6], velocity_X=rng.uniform(-300, 300, n).tolist(),
+                    velocity_Y=rng.uniform(-300, 300, n).tolist(), yaw=rng.uniform(-180, 180, n).tolist()) | more
+
+    air = [True] + [bool(b) for b in rng.random(159) < 0.5]
+    t = make(player("a"), player("never", health=0), player("first", is_airborne=air), player("dies", health=[100] * 60 + [0] * 40 + [100] * 60),
+             player("sky", is_airborne=True), player("short", n=20, is_airborne=air[:20], velocity_X=0.0, velocity_Y=1.0, yaw=0.0))
+    got = sorted(map(tuple, bhop.bhop_metrics_both(t).select("profile", *bhop.PLAYER, *bhop.METRICS).collect()))
+    want = [(p, *r) for p in ("tabular", "replay") for r in bhop.bhop_metrics(t, profile=p).select(*bhop.PLAYER, *bhop.METRICS).collect()]
+    assert got == sorted(map(tuple, want)) and len(got) == 11

@@ -1,6 +1,6 @@
 """Jump detector: ground contact between jumps, perfect chains, air strafing."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickscope.config import DEFAULT, AnalysisConfig
@@ -13,27 +13,37 @@ from tickscope.sources.workdir import Keep, lazy
 METRICS = ("bhop_total_sauts", "bhop_ratio_parfaits", "bhop_variance_sol", "bhop_chaine_max", "bhop_vitesse_moyenne",
            "bhop_autostrafe_correlation", "bhop_velocity_gain_max")
 
+_KEPT = (*PLAYER, "tick", "yaw", "velocity_X", "velocity_Y", "row_i", "row_n", "air", "air_known")
+PROFILED = (*PLAYER, "profile")
+
 
 def jump_rows_of(kin: DataFrame, profile="tabular") -> DataFrame:
     """Adds takeoff / landing. Before the first row the player stood (replay) or was in the first state (tabular)."""
     start = F.lit(False) if profile == "replay" else F.col("air")
     before = F.coalesce("air_before", start)
+    return kin.select(*_KEPT, (F.col("air") & ~before).alias("takeoff"), (~F.col("air") & before).alias("landing"),
+                      horizontal_speed("velocity_X", "velocity_Y").alias("speed_2d"))
+
+
+def jump_rows_of_both(kin: DataFrame) -> DataFrame:
+    """Rows for both profiles at once, from the tabular timeline. The replay profile leaves out the rows of players who are never alive (``live`` is false)
+    and may see one takeoff more, in a player's first row (``takeoff_replay``); all else is the same."""
+    before = F.coalesce("air_before", F.col("air"))
     return kin.select(
-        *PLAYER, "tick", "yaw", "velocity_X", "velocity_Y", "row_i", "row_n", "air", "air_known",
-        (F.col("air") & ~before).alias("takeoff"), (~F.col("air") & before).alias("landing"),
-        horizontal_speed("velocity_X", "velocity_Y").alias("speed_2d"))
+        *_KEPT, (F.col("air") & ~before).alias("takeoff"), (~F.col("air") & before).alias("landing"), horizontal_speed("velocity_X", "velocity_Y").alias("speed_2d"),
+        (F.col("air") & ~F.coalesce("air_before", F.lit(False))).alias("takeoff_replay"), F.coalesce(F.col("health") > 0, F.lit(False)).alias("live"))
 
 
 def jump_rows(ticks: DataFrame, profile="tabular", cfg: AnalysisConfig = DEFAULT) -> DataFrame:
     return jump_rows_of(kinematics(timeline(ticks, profile, cfg), cfg), profile)
 
 
-def ground_intervals(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+def ground_intervals(rows: DataFrame, cfg: AnalysisConfig = DEFAULT, keys: tuple = PLAYER) -> DataFrame:
     """Landing to next takeoff. The two alternate, so the landing after k takeoffs pairs with takeoff k+1."""
-    steps = block_index(rows.where("takeoff or landing").select(*PLAYER, "tick", "takeoff"),
-                        {"jump": F.col("takeoff")}, PLAYER, ("tick",), cfg.tick_block)
+    steps = block_index(rows.where("takeoff or landing").select(*keys, "tick", "takeoff"),
+                        {"jump": F.col("takeoff")}, keys, ("tick",), cfg.tick_block)
     pair = F.when(F.col("takeoff"), F.col("jump_i") - 1).otherwise(F.col("jump_i"))
-    return steps.groupBy(*PLAYER, pair.alias("jump")).agg(
+    return steps.groupBy(*keys, pair.alias("jump")).agg(
         F.max(F.when(~F.col("takeoff"), F.col("tick"))).alias("landing_tick"),
         F.max(F.when(F.col("takeoff"), F.col("tick"))).alias("takeoff_tick"),
     ).where("landing_tick is not null and takeoff_tick is not null").withColumn(
@@ -41,14 +51,14 @@ def ground_intervals(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFram
         "perfect", F.col("ground_ticks") <= cfg.perfect_ground_ticks)
 
 
-def perfect_runs(intervals: DataFrame) -> DataFrame:
+def perfect_runs(intervals: DataFrame, keys: tuple = PLAYER) -> DataFrame:
     """Runs of consecutive perfect intervals, from first landing to last takeoff."""
-    return consecutive_runs(intervals.where("perfect"), "jump", PLAYER, [
+    return consecutive_runs(intervals.where("perfect"), "jump", keys, [
         F.min("landing_tick").alias("start_tick"), F.max("takeoff_tick").alias("end_tick")])
 
 
-def interval_stats(intervals: DataFrame) -> DataFrame:
-    return intervals.groupBy(*PLAYER).agg(
+def interval_stats(intervals: DataFrame, keys: tuple = PLAYER) -> DataFrame:
+    return intervals.groupBy(*keys).agg(
         F.avg(F.col("perfect").cast("double")).alias("ratio"), F.var_pop("ground_ticks").alias("ground_var"))
 
 
@@ -86,21 +96,46 @@ def bhop_metrics_of(rows: DataFrame, profile="tabular", cfg: AnalysisConfig = DE
         out = out.join(air_strafe(rows, cfg), [*PLAYER], "left")
     else:
         out = out.withColumns({"strafe": F.lit(0.0), "gain": F.lit(0.0)})
-    min_rows = cfg.bhop_min_rows_replay if replay else cfg.bhop_min_rows_tabular
-    min_jumps = cfg.bhop_min_jumps_replay if replay else cfg.bhop_min_jumps_tabular
+    return _finished(out, PLAYER, F.lit(replay), cfg)
+
+
+def bhop_metrics_of_both(rows: DataFrame, cfg: AnalysisConfig = DEFAULT, keep: Keep = lazy) -> DataFrame:
+    """Metrics of both profiles (column ``profile``) from one frame of ``jump_rows_of_both``: players and jumps are aggregated once, with the profile as a key."""
+    v2 = F.col("velocity_X") * F.col("velocity_X") + F.col("velocity_Y") * F.col("velocity_Y")
+    base = rows.groupBy(*PLAYER).agg(
+        F.max("row_n").alias("rows"), F.count_if("air").alias("air_rows"), F.count_if("air_known").alias("known_rows"), F.bool_or("live").alias("_live"),
+        F.count_if("takeoff").alias("_jumps"), F.count_if("takeoff_replay").alias("_jumps_replay"),
+        F.coalesce(F.sqrt(F.avg(v2)), F.lit(0.0)).alias("_speed"), F.coalesce(F.avg("speed_2d"), F.lit(0.0)).alias("_speed_replay"))
+
+    def of_profiles(live: Column, *columns: tuple[str, str, str]) -> Column:
+        """One struct per profile: (name, column in the tabular, in the replay profile)."""
+        each = [F.struct(F.lit(p).alias("profile"), *[F.col(c[i]).alias(c[0]) for c in columns]) for i, p in ((1, "tabular"), (2, "replay"))]
+        return F.inline(F.when(live, F.array(*each)).otherwise(F.array(each[0])))
+
+    base = base.select(*PLAYER, "rows", "air_rows", "known_rows", of_profiles(F.col("_live"), ("jumps", "_jumps", "_jumps_replay"), ("mean_speed", "_speed", "_speed_replay")))
+    steps = rows.where("takeoff or landing or takeoff_replay").select(
+        *PLAYER, "tick", of_profiles(F.col("live"), ("takeoff", "takeoff", "takeoff_replay"), ("landing", "landing", "landing")))
+    iv = keep(ground_intervals(steps, cfg, PROFILED), "intervals")
+    air = air_strafe(rows.where("live"), cfg).withColumn("profile", F.lit("replay"))
+    out = base.join(interval_stats(iv, PROFILED), [*PROFILED], "left").join(
+        perfect_runs(iv, PROFILED).groupBy(*PROFILED).agg(F.max("run_len").alias("chain")), [*PROFILED], "left").join(air, [*PROFILED], "left")
+    return _finished(out.fillna(0.0, ["strafe", "gain"]), PROFILED, F.col("profile") == "replay", cfg)
+
+
+def _finished(out: DataFrame, keys: tuple, replay: Column, cfg: AnalysisConfig) -> DataFrame:
+    """Guards, defaults and rounding."""
+    min_rows = F.when(replay, cfg.bhop_min_rows_replay).otherwise(cfg.bhop_min_rows_tabular)
+    min_jumps = F.when(replay, cfg.bhop_min_jumps_replay).otherwise(cfg.bhop_min_jumps_tabular)
     measured = (F.col("rows") >= min_rows) & (F.col("known_rows") > 0)  # a source without the flag has no profile
-    if replay:
-        jumps = F.col("jumps")
-    else:
-        one_state = (F.col("air_rows") == 0) | (F.col("air_rows") == F.col("rows"))
-        jumps = F.when(one_state, 0).otherwise(F.col("jumps"))
+    one_state = (F.col("air_rows") == 0) | (F.col("air_rows") == F.col("rows"))
+    jumps = F.when(~replay & one_state, 0).otherwise(F.col("jumps"))
     full = measured & (jumps >= min_jumps)
 
     def val(x, default):
         return F.when(full, F.coalesce(x, F.lit(default))).otherwise(F.lit(default))
 
     return out.select(
-        *PLAYER,
+        *keys,
         F.when(measured, jumps).otherwise(0).cast("double").alias("bhop_total_sauts"),
         stable_round(val(F.col("ratio"), 0.0), 4).alias("bhop_ratio_parfaits"),
         stable_round(val(F.col("ground_var"), cfg.default_ground_variance), 4).alias("bhop_variance_sol"),
@@ -114,6 +149,11 @@ def bhop_metrics(ticks: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="ta
     return bhop_metrics_of(keep(jump_rows(ticks, profile, cfg), "jump_rows"), profile, cfg, keep)
 
 
+def bhop_metrics_both(ticks: DataFrame, *, cfg: AnalysisConfig = DEFAULT, keep: Keep = lazy) -> DataFrame:
+    kin = kinematics(timeline(ticks, "tabular", cfg), cfg)
+    return bhop_metrics_of_both(keep(jump_rows_of_both(kin), "jump_rows"), cfg, keep)
+
+
 def chain_events_of(rows: DataFrame, cfg: AnalysisConfig = DEFAULT, keep: Keep = lazy) -> DataFrame:
     """Chains of at least ``chain_event`` perfect jumps, only where the metrics are defined."""
     iv = keep(ground_intervals(rows, cfg), "intervals")

@@ -209,9 +209,7 @@ BHOP = ", ".join(bhop.METRICS)
 @query("BHP-10", f"""SELECT * FROM (WITH {B} SELECT match_id, steamid, 'tabular' AS profile, {BHOP} FROM m_bhop)
   UNION ALL SELECT * FROM (WITH {B_REPLAY} SELECT match_id, steamid, 'replay' AS profile, {BHOP} FROM m_bhop)""")
 def bhp10(spark, sf):
-    t = I.ticks(spark, sf)
-    a = bhop.bhop_metrics(t, keep=materialize).withColumn("profile", F.lit("tabular"))
-    return a.unionByName(bhop.bhop_metrics(t, profile="replay", keep=materialize).withColumn("profile", F.lit("replay")))
+    return bhop.bhop_metrics_both(I.ticks(spark, sf), keep=materialize)
 
 
 # --- spin --------------------------------------------------------------------------------------------------------
