@@ -148,3 +148,31 @@ def test_isolation_forest_finds_outliers(spark):
     got = training.anomaly_scores(s, off).toPandas().set_index("player_key")["decision"].sort_values()
     assert set(got.index[:10]) == {f"k{i}" for i in range(10)}
     assert (got < 0).mean() == pytest.approx(0.04, abs=0.005)
+
+
+def test_walk_through_saved_trees(spark):
+    """Spark's own probability of every row, and the importances, from the saved nodes alone; a forest without chance by hand."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from tickscope.plans import forests
+    rng = np.random.default_rng(3)
+    rows = [(f"k{i}", *map(float, np.round(rng.normal(size=4), 2)), int(rng.random() < 0.4)) for i in range(300)]
+    d = spark.createDataFrame(rows, "k string, a double, b double, c double, d double, label int")
+    v = VectorAssembler(inputCols=["a", "b", "c", "d"], outputCol="scaled").transform(d)
+    model = RandomForestClassifier(featuresCol="scaled", numTrees=17, maxDepth=5, seed=4).fit(v)
+    nodes = forests.saved_nodes(spark, model)
+    want = {r.k: r.p for r in model.transform(v).select("k", vector_to_array("probability")[1].alias("p")).collect()}
+    got = {r.k: r.value for r in forests.walk(v, nodes, vector_to_array("scaled"), "k", 5).collect()}
+    assert set(got) == set(want) and max(abs(got[k] - want[k]) for k in want) < 1e-12 and len(set(got.values())) > 50
+    weights = {r.feature: r.importance for r in forests.importances(nodes).collect()}
+    assert [weights.get(i, 0.0) for i in range(4)] == pytest.approx(model.featureImportances.toArray().tolist(), abs=1e-9)
+
+    plain = forests.midpoint_forest(d, ["a", "b", "c", "d"])
+    x, y = np.array([r[1:5] for r in rows]), np.array([r[5] for r in rows])
+    cut = (x.min(axis=0) + x.max(axis=0)) / 2
+    leaf = [(x[:, i] > cut[i]) * 2 + (x[:, i + 1] > cut[i + 1]) for i in (0, 2)]
+    by_hand = np.mean([[y[leaf[t] == leaf[t][r]].mean() for r in range(300)] for t in range(2)], axis=0)
+    got = {r.k: r.value for r in forests.walk(d, plain, F.array("a", "b", "c", "d"), "k", 2).collect()}
+    assert [got[f"k{i}"] for i in range(300)] == pytest.approx(by_hand.tolist())

@@ -1,5 +1,6 @@
 """Queries of the dataset plan, evaluation and models."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tickscope.config import DEFAULT as CFG
@@ -7,11 +8,12 @@ from tickscope.functions.frames import one_row
 from tickscope.functions.numbers import stable_round
 from tickscope.operators import results
 from tickscope.operators.blocks import PLAYER
-from tickscope.plans import dataset, evaluation, training
+from tickscope.plans import dataset, evaluation, forests, training
 from tickscope.plans import inputs as I
 from tickscope.plans.registry import query
 from tickscope.sources import files
 from tickscope.sources import ticks as readers
+from tickscope.sources.workdir import materialize
 
 
 def match_no():
@@ -273,22 +275,45 @@ def forest(spark, sf):
     return _MODELS[key]
 
 
-@query("ML-2", I.with_sql(LABELS_SQL, f"""SELECT label, count(*) AS trained_on, {CFG.n_trees} AS trees, {len(dataset.FEATURES)} AS features, 1.0::DOUBLE AS importance,
-  TRUE AS depth_kept FROM feats WHERE split = 'train' AND label IN (0, 1) GROUP BY label"""))
+@query("ML-2", I.with_sql(LABELS_SQL, f"""SELECT label, count(*) AS trained_on, {CFG.n_trees} AS trees, {len(dataset.FEATURES)} AS features, TRUE AS importance_agrees,
+  TRUE AS leaves_kept, TRUE AS depth_kept FROM feats WHERE split = 'train' AND label IN (0, 1) GROUP BY label"""))
 def ml2(spark, sf):
-    """Rows that the forest was fitted on, by label, with what holds of any fitted forest."""
+    """Rows that the forest was fitted on, by label; whether its importances are those of its saved nodes, its leaves large and its trees flat enough."""
     fitted = forest(spark, sf).stages[-1]
+    nodes = forests.saved_nodes(spark, fitted)
+    said = fitted.featureImportances.toArray()
+    found = {r["feature"]: r["importance"] for r in forests.importances(nodes).collect()}
+    agrees = all(abs(said[i] - found.get(i, 0.0)) < 1e-6 for i in range(len(said)))
+    smallest = nodes.where("feature < 0").agg(F.min("rows")).first()[0]
     deep = max(t.depth for t in fitted.trees)
     return train_rows(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("trained_on")).select(
-        "label", "trained_on", F.lit(fitted.getNumTrees).alias("trees"), F.lit(fitted.numFeatures).alias("features"),
-        F.lit(round(float(fitted.featureImportances.toArray().sum()), 6)).alias("importance"), F.lit(deep <= CFG.max_depth).alias("depth_kept"))
+        "label", "trained_on", F.lit(fitted.getNumTrees).alias("trees"), F.lit(fitted.numFeatures).alias("features"), F.lit(agrees).alias("importance_agrees"),
+        F.lit(smallest >= CFG.min_leaf).alias("leaves_kept"), F.lit(deep <= CFG.max_depth).alias("depth_kept"))
 
 
-@query("ML-3", I.with_sql(LABELS_SQL, "SELECT player_key, split, label, TRUE AS in_range FROM feats"))
+PAIRS = [(a, b) for a, b in zip(dataset.FEATURES[::2], dataset.FEATURES[1::2])]
+MIDPOINT_SQL = ", tr AS (SELECT * FROM feats WHERE split = 'train' AND label IN (0, 1)), cuts AS (SELECT " + ", ".join(
+    f"(min({f}) + max({f})) / 2 AS {f}_c" for f in dataset.FEATURES) + " FROM tr), bits AS (SELECT f.player_key, f.split, f.label, " + ", ".join(
+    f"CASE WHEN {a} <= {a}_c THEN 0 ELSE 2 END + CASE WHEN {b} <= {b}_c THEN 0 ELSE 1 END AS leaf{i}" for i, (a, b) in enumerate(PAIRS)) + " FROM feats f, cuts)"
+
+
+@query("ML-3", I.with_sql(LABELS_SQL, MIDPOINT_SQL + ", " + ", ".join(
+    f"v{i} AS (SELECT leaf{i}, avg(label) AS share{i} FROM bits WHERE split = 'train' AND label IN (0, 1) GROUP BY 1)" for i in range(len(PAIRS))) +
+    "\n  SELECT player_key, split, label, TRUE AS agrees, round(100 * (" + " + ".join(f"coalesce(share{i}, 0.5)" for i in range(len(PAIRS))) + f") / {len(PAIRS)}, 6) AS baseline_score FROM bits " +
+    " ".join(f"LEFT JOIN v{i} USING (leaf{i})" for i in range(len(PAIRS)))))
 def ml3(spark, sf):
-    """Every player has a score of 0 to 100."""
-    d = training.score(forest(spark, sf), features(spark, sf))
-    return d.select("player_key", "split", "label", F.coalesce(F.col("ml_score").between(0, 100), F.lit(False)).alias("in_range"))
+    """Every score of the fitted forest is what a walk through its saved nodes gives, to nine digits, and in percent; the same walk scores a baseline forest, whose
+    scores the SQL computes anew."""
+    f, model = features(spark, sf), forest(spark, sf)
+    nodes = materialize(forests.saved_nodes(spark, model.stages[-1]), "nodes")
+    said = training.score(model, f).select("player_key", "split", "label", "ml_score")
+    scaled = model.stages[1].transform(model.stages[0].transform(dataset.canonical_features(f)))
+    walked = forests.walk(scaled, nodes, vector_to_array("scaled"), "player_key", CFG.max_depth).withColumnRenamed("value", "walked")
+    plain = forests.midpoint_forest(train_rows(spark, sf), list(dataset.FEATURES))
+    baseline = forests.walk(f, plain, F.array(*[F.col(c).cast("double") for c in dataset.FEATURES]), "player_key", 2)
+    agrees = (F.abs(F.col("ml_score") - F.col("walked") * 100) < 1e-9) & F.col("ml_score").between(0, 100)
+    return said.join(walked, "player_key", "left").join(baseline, "player_key", "left").select(
+        "player_key", "split", "label", F.coalesce(agrees, F.lit(False)).alias("agrees"), stable_round(F.col("value") * 100, 6).alias("baseline_score"))
 
 
 @query("ML-4", I.with_sql(LABELS_SQL, f"""SELECT 'tree' AS kind, CAST(t AS VARCHAR) AS name, least({CFG.iforest_sample}, (SELECT count(*) FROM feats WHERE split = 'train' AND label = 0)) AS value
@@ -297,19 +322,26 @@ def ml3(spark, sf):
   UNION ALL SELECT 'fitted', 'few outliers', 1
   UNION ALL SELECT 'player', player_key, 1 FROM feats"""))
 def ml4(spark, sf):
-    """Sample size of each tree, rows fitted on, whether no more than the contamination lies below the offset, and a score for every player."""
+    """Sample size of each tree, rows fitted on, whether no more than the contamination lies below the offset, and for every player whether the anomaly score is what
+    a walk through the stored nodes gives."""
     f, tr = features(spark, sf), train_rows(spark, sf)
     cols = [f"{c}_z" for c in dataset.FEATURES]
     clean = training.scale(f).where("split = 'train' and label = 0").select("player_key", *cols)
     n = clean.count()
     trees = training.tree_samples(clean, n).groupBy("tree").agg(F.count(F.lit(1)).alias("value")).select(
         F.lit("tree").alias("kind"), F.col("tree").cast("string").alias("name"), "value")
-    found = training.score_outliers(training.fit_outliers(tr), f)
+    fitted = training.fit_outliers(tr)
+    found = training.score_outliers(fitted, f)
     below = F.count_if((F.col("split") == "train") & (F.col("label") == 0) & (F.col("decision") < 0))
     few = found.agg((below <= n * CFG.contamination + 1).cast("long").alias("value")).select(
         F.lit("fitted").alias("kind"), F.lit("few outliers").alias("name"), "value")
     rows = clean.agg(F.count(F.lit(1)).alias("value")).select(F.lit("fitted").alias("kind"), F.lit("rows").alias("name"), "value")
-    players = found.select(F.lit("player").alias("kind"), F.col("player_key").alias("name"), F.col("anomaly_score").between(0, 100).cast("long").alias("value"))
+    # the same from the definition: mean path over all trees, its power of two, less the offset
+    paths = forests.walk(training.scale(f), fitted["nodes"].withColumnRenamed("path", "value"), F.array(*cols), "player_key", (CFG.iforest_sample - 1).bit_length())
+    raw = -F.pow(F.lit(2.0), -F.col("value") / training.mean_path(min(n, CFG.iforest_sample)))
+    both = found.join(paths, "player_key", "left").withColumn("_gap", F.abs(F.col("decision") - (raw - one_row(fitted["offset"])["offset"])))
+    agrees = (F.col("_gap") < 1e-9) & F.col("anomaly_score").between(0, 100)
+    players = both.select(F.lit("player").alias("kind"), F.col("player_key").alias("name"), F.coalesce(agrees, F.lit(False)).cast("long").alias("value"))
     return trees.unionByName(rows).unionByName(few).unionByName(players)
 
 

@@ -64,7 +64,7 @@ def score(model: PipelineModel, features: DataFrame) -> DataFrame:
 
 # --- isolation forest -------------------------------------------------------------------------------------------
 
-def _mean_path(n: float) -> float:
+def mean_path(n: float) -> float:
     """Mean depth of an unsuccessful search among n points."""
     if n <= 1:
         return 0.0
@@ -85,7 +85,7 @@ def grow_tree(x: np.ndarray, seed: int) -> list[tuple]:
         part = x[rows]
         varying = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(rows) else np.array([], dtype=int)
         if depth >= limit or len(rows) <= 1 or len(varying) == 0:
-            nodes.append((node, -1, 0.0, -1, -1, depth + _mean_path(len(rows))))
+            nodes.append((node, -1, 0.0, -1, -1, depth + mean_path(len(rows))))
             continue
         f = int(rng.choice(varying))
         cut = float(rng.uniform(part[:, f].min(), part[:, f].max()))
@@ -143,7 +143,7 @@ def isolation_score(rows: DataFrame, nodes: DataFrame, columns: list[str], sampl
         g = g.sort_values("node")
         trees.append(tuple(g[c].to_numpy() for c in ("feature", "cut", "left", "right", "path")))
     shipped = rows.sparkSession.sparkContext.broadcast(trees)
-    c = _mean_path(float(min(sample_size, cfg.iforest_sample)))
+    c = mean_path(float(min(sample_size, cfg.iforest_sample)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
