@@ -1,7 +1,10 @@
 """Operators on texts and addresses: brute force, fixtures of odd cases, held-out accuracy."""
 
 import hashlib
+import itertools
+import math
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -233,6 +236,67 @@ def test_segmentation(spark):
     assert {r.label: r.words for r in got.collect()} == {"freecasinogames": ["free", "casino", "games"], "zzz": ["zzz"], "gamefree": ["game", "free"]}
 
 
+def brute_cut(label, counts, total):
+    """The best of all ways to cut a label: by trying every set of cuts."""
+    best = None
+    for cuts in itertools.product([False, True], repeat=len(label) - 1):
+        words = "".join(c + (" " if cut else "") for c, cut in zip(label, [*cuts, False])).split()
+        if any(len(w) > url_filter.LONGEST_WORD for w in words):
+            continue
+        score = sum(math.log(counts[w] / total) if w in counts else math.log(10 / total) - len(w) * math.log(10) for w in words)
+        best = max(best or (-math.inf, None), (score, words))
+    return best[0]
+
+
+def test_segmentation_like_all_cuts(spark):
+    rng = np.random.default_rng(6)
+    counts = {w: int(rng.integers(1, 60)) for w in ("a", "ab", "abc", "bc", "ca", "cab", "bb", "abab", "c")}
+    labels = ["".join(rng.choice(list("abc"), rng.integers(1, 11))) for _ in range(60)]
+    got = url_filter.segment(spark.createDataFrame([(x,) for x in sorted(set(labels))], "label string"),
+                             spark.createDataFrame(list(counts.items()), "word string, n long")).collect()
+    total = sum(counts.values())
+    assert {r.label for r in got} == set(labels)
+    for r in got:
+        assert "".join(r.words) == r.label
+        score = sum(math.log(counts[w] / total) if w in counts else math.log(10 / total) - len(w) * math.log(10) for w in r.words)
+        assert score == pytest.approx(brute_cut(r.label, counts, total))
+
+
+def test_label_of_many_letters(spark):
+    """A host label of 300,000 letters is cut like any other."""
+    label = "freegames" * 33_333
+    counts = spark.createDataFrame([("free", 50), ("games", 30)], "word string, n long")
+    got = url_filter.segment(spark.createDataFrame([(label,), ("games",)], "label string"), counts).collect()
+    assert {len(r.label): r.words for r in got} == {5: ["games"], len(label): ["free", "games"] * 33_333}
+
+
+def test_items_without_an_id(spark):
+    item = "a benchmark question that has no number but is quoted in full by some document of the corpus, word by word"
+    bench = spark.createDataFrame([(None, item), (7, "another item, long enough to be one passage of eighty characters or a few more of them")], "item_id long, text string")
+    docs = frame(spark, [f"before {item} after", "nothing of it at all in these words, which are others"])
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()] == [(0, None)]
+    assert [r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()] == [1]
+
+
+def test_repetitive_texts_in_bounded_memory(monkeypatch):
+    """Every place of a text of one letter is like every place of such a passage; regions of it come from halves too, with a bounded part of that at once."""
+    index = decontaminate.PassageIndex([1], decontaminate.passages_of("0" * 80), decontaminate.ERROR_RATE)
+    text = decontaminate.normalized("word " * 40 + "0" * 8_000 + " end")
+
+    def run(hits):
+        monkeypatch.setattr(decontaminate, "HITS_AT_ONCE", hits)
+        tracemalloc.start()
+        found = index.find(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        exact = sorted((s, e) for _, d, s, e in found if d == 0)
+        assert all(text[s:e].tolist() == index.passages[0].tolist() for s, e in exact)
+        return exact, peak
+
+    (whole, most), (parts, least) = run(10**9), run(50_000)
+    assert parts[0] == whole[0] == (200, 280) and len(parts) >= len(whole) and least < most / 3
+
+
 def test_bayes_learns_from_ruled_pages(spark):
     rows = [(i, f"http://goodnews{i % 3}.com/read/{i}") for i in range(30)] + [(100 + i, f"http://badcasino{i % 3}.net/es/{i}") for i in range(30)]
     rows += [(200, "http://badcasino.org/x"), (201, "http://goodnews.org/read/x")]

@@ -72,19 +72,20 @@ def best_cut(label: str, known: dict[tuple[int, int], float], total: float) -> l
 
 
 def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
-    """(label, words) for distinct ``labels`` (label) under ``counts`` (word, n).
+    """(label, words) for distinct ``labels`` (label, letters a to z, not empty) under ``counts`` (word, n).
 
-    Every substring of a label that may be a word is joined with the counts; a label has at most 20 times its length of them.
+    Every substring of a label that may be a word is joined with the counts; a label has at most 20 times its length of them, each beside the label's number.
     """
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    starts = F.sequence(F.lit(1), F.length("label"))
-    spots = F.flatten(F.transform(starts, lambda s: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("label") - s + 1)),
-        lambda n: F.struct((s - 1).alias("start"), n.alias("n_letters"), F.substring(F.col("label"), s, n).alias("word")))))
-    pieces = labels.where(F.length("label") > 0).select("label", F.inline(spots))
-    matched = (pieces.join(counts, "word").groupBy("label")
+    labels = materialize(labels.select("label", F.monotonically_increasing_id().alias("no")), "numbered")
+    # letters are single bytes here, so a piece of a label of any length is cut out at once
+    at = labels.select("no", F.col("label").cast("binary").alias("bytes"), F.explode(F.sequence(F.lit(1), F.length("label"))).alias("at"))
+    ahead = at.select("no", (F.col("at") - 1).alias("start"), F.substring(F.col("bytes"), F.col("at"), F.lit(LONGEST_WORD)).cast("string").alias("ahead"))
+    spots = F.transform(F.sequence(F.lit(1), F.length("ahead")), lambda n: F.struct(n.alias("n_letters"), F.substring(F.col("ahead"), F.lit(1), n).alias("word")))
+    pieces = ahead.select("no", "start", F.inline(spots))
+    matched = (pieces.join(counts, "word").groupBy("no")
                .agg(F.collect_list(F.struct("start", "n_letters", F.col("n").cast("double").alias("n"))).alias("found")))
-    ready = labels.join(matched, "label", "left").withColumn("total", one_row(total)["total"])
+    ready = labels.join(matched, "no", "left").withColumn("total", one_row(total)["total"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
