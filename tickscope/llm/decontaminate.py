@@ -9,7 +9,7 @@ band holds them all; bands that reach the bound are aligned exactly within the b
 k is a tenth of the passage, less where the bound would fall under one q-gram.
 
 Defined cases: null and empty texts hold nothing; items with fewer than q characters match nothing; equal items are reported each;
-repeated documents are reported as often as they occur.
+repeated documents are reported as often as they occur. Items with a null id are searched like all others and are reported as one item, the null one.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ PASS_CHARS = 4_000_000
 #: Characters of a document that a task looks at together, and regions that it aligns together.
 CHARS_AT_ONCE = 2_000_000
 ALIGNED_AT_ONCE = 1024
+#: Shared q-grams that are held together; a text that has more, as repetitive ones do, is halved until it has not.
+HITS_AT_ONCE = 2_000_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -101,13 +103,16 @@ class PassageIndex:
         self.maybe = np.zeros(1 << self.BITS, dtype=bool)
         self.maybe[(self.hashes >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
 
-    def _hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place in the text, passage, place in the passage of every shared q-gram."""
+    def _spots(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the text with a q-gram of some passage, and that q-gram's number."""
         h = gram_hashes(c)
         at = np.flatnonzero(self.maybe[(h >> np.uint64(64 - self.BITS)).view(np.int64)])
         spot = np.searchsorted(self.hashes, h[at])
         hit = self.hashes[np.minimum(spot, len(self.hashes) - 1)] == h[at]
-        at, spot = at[hit], spot[hit]
+        return at[hit], spot[hit]
+
+    def _hits(self, at: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in the text, passage, place in the passage of every shared q-gram."""
         n = self.times[spot]
         ends = np.cumsum(n)
         index = np.repeat(self.first[spot] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
@@ -117,7 +122,13 @@ class PassageIndex:
         """(passage, distance, start, end) of the best region of each band that holds a passage; places in the normalized text."""
         if not len(self.hashes) or len(c) < Q:
             return []
-        text, owner, place = self._hits(c)
+        at, spot = self._spots(c)
+        if self.times[spot].sum() > HITS_AT_ONCE and len(c) > 16 * PASSAGE:
+            # the halves overlap by more than a region can be long
+            middle = len(c) // 2
+            base = middle - 2 * PASSAGE
+            return self.find(c[:middle + 2 * PASSAGE]) + [(o, e, start + base, end + base) for o, e, start, end in self.find(c[base:])]
+        text, owner, place = self._hits(at, spot)
         shift = int(self.length.max()) + 1
         width = self.budget[owner] + 1
         band = (text - place + shift) // width
@@ -196,7 +207,7 @@ def _search(index: PassageIndex):
                         item = index.items[owner]
                         best[item] = min(best.get(item, (edits, start + base, end + base)), (edits, start + base, end + base))
                         many.setdefault(item, set()).add(owner)
-                for item in sorted(best):
+                for item in sorted(best, key=lambda i: (i is None, i or 0)):
                     rows.append(row)
                     found.append((item, len(many[item]), *best[item]))
             item, n, edits, start, end = zip(*found) if found else [()] * 5
@@ -209,7 +220,7 @@ def _search(index: PassageIndex):
 
 def indexes(benchmark: DataFrame, item_col: str, text_col: str, rate: float, pass_chars: int) -> Iterator[PassageIndex]:
     """The benchmark in parts of about ``pass_chars`` characters, dealt by a hash of item and text; one part is on the driver at a time."""
-    own = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null")
+    own = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
     chars = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-2 * chars // pass_chars))  # each character is in two passages
     for k in range(parts):
