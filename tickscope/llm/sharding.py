@@ -8,7 +8,7 @@ for which they suffice.
 
 The driver holds the distinct sizes, at most the root of twice all bytes (245,000 at 30 GB), and with a fixed capacity the bins.
 
-Defined cases: a null text has no bytes and is a group with other nulls, apart from empty texts only by chance; every row counts one byte
+Defined cases: a null text has no bytes and is in one group with empty texts; every row counts one byte
 more than its text. Repeated rows are rows. A group above the capacity has a shard of its own. Empty input gives no rows.
 """
 
