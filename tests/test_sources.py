@@ -360,3 +360,22 @@ def test_retention_deletes(spark, tmp_path):
     assert alive() == sorted(["007", "a b", "é+%20", "last"]) and store.read(spark, path).count() == 7
     store.evict(spark, path, 1)
     assert store.purge(spark, path) == 3 and alive() == on_disk() == ["last"]
+
+
+def test_heads_source(spark, replays, tmp_path):
+    """Only what the filters leave is opened, and no more than the bytes asked for; the same files as Spark's own listing."""
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, StringContains, StringEndsWith
+
+    from tickscope.sources import heads
+    put(replays + "/_hidden/x.dem", b"x")
+    put(replays + "/sub dir/d%20é.dem", MAGIC + b"long" * 1000)
+    d = heads.file_heads(spark, replays, "*.dem", 8)
+    own = {(r.path, r.length, r.modified_time) for r in files.list_files(spark, replays, "*.dem", recursive=True).collect()}
+    assert {(r.path, r.length, r.modified_time) for r in d.collect()} == own and len(own) == 4
+    ok = files.valid_header(d.where("length >= 8")).collect()
+    assert sorted(os.path.basename(r.path) for r in ok) == ["a_De_Dust.dem", "d%20é.dem"] and all(len(r.head) == 8 for r in ok)
+    assert heads.file_heads(spark, replays, "*.info,*.dem").where("head is null").count() == 5
+    assert d.where(F.col("path").contains("sub dir") & (F.col("length") > 5) & F.col("modified_time").isNotNull()).count() == 1
+    reader = heads.HeadReader({"path": replays, "glob": "*.dem", "bytes": "8", "files_per_task": "1"})
+    left = list(reader.pushFilters([GreaterThanOrEqual(("length",), 8), StringEndsWith(("path",), ".dem"), StringContains(("path",), "/b"), EqualTo(("head",), b"")]))
+    assert left == [EqualTo(("head",), b"")] and [[os.path.basename(f[0]) for f in c.files] for c in reader.partitions()] == [["b.dem"]]

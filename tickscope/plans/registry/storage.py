@@ -13,7 +13,7 @@ from tickscope.plans.registry import query
 from tickscope.plans.registry.learning import K_SQL, LABELS_SQL, MANIFEST_SQL, features, manifest_with_split, match_no
 from tickscope.plans.registry.relational import THR_SQL, judged, report_events
 from tickscope.plans.registry.scalar import HURT_SQL, hurt
-from tickscope.sources import files, sinks
+from tickscope.sources import files, heads, sinks
 from tickscope.sources import ticks as readers
 from tickscope.sources.workdir import new_path
 from tickscope.streaming import arrivals
@@ -166,15 +166,28 @@ def src5(spark, sf):
     return catalog.select("path", "file_name", "length", F.unix_seconds("modified_time").alias("modified_seconds"), "map_name", "position")
 
 
-@query("SRC-6", "SELECT doc_id, strlen(text) + 8 AS length FROM documents WHERE doc_id % 3 = 0")
+def replay_files(spark, sf):
+    """One file per document: four of five kinds begin with the magic of a replay or a wrong one, the fifth is too short."""
+    kind = F.col("doc_id") % 5
+
+    def write(path):
+        magic = F.decode(F.unhex(F.lit(files.MAGIC_HEX)), "UTF-8")
+        wrong = F.decode(F.unhex(F.lit("504244454D533100")), "UTF-8")
+        value = F.when(kind == 1, F.concat(wrong, "text")).when(kind == 2, F.lit("PB")).otherwise(F.concat(magic, "text"))
+        I.table(spark, sf, "documents").select("doc_id", value.alias("value")).repartition(8, "doc_id").write.partitionBy("doc_id").text(path)
+
+    return I.stored_path(spark, sf, "replay_files", write)
+
+
+def doc_of_path():
+    return F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("long")
+
+
+@query("SRC-6", "SELECT doc_id, strlen(text) + 9 AS length FROM documents WHERE doc_id % 5 IN (0, 3, 4)")
 def src6(spark, sf):
-    """Whole documents behind a right, a wrong or no magic."""
-    i = F.col("doc_id")
-    body = F.encode("text", "UTF-8")
-    head = (F.when(i % 3 == 0, F.concat(F.unhex(F.lit(files.MAGIC_HEX)), body))
-            .when(i % 3 == 1, F.concat(F.unhex(F.lit("504244454D533100")), body)).otherwise(body))
-    d = I.table(spark, sf, "documents").select("doc_id", head.alias("head")).withColumn("length", F.octet_length("head").cast("long"))
-    return files.valid_header(d).select("doc_id", "length")
+    """Files that are long enough and begin with the right eight bytes; shorter ones are not opened, and no more of the others is read."""
+    found = heads.file_heads(spark, replay_files(spark, sf), "*.txt", 8).where("length >= 8")
+    return files.valid_header(found).select(doc_of_path().alias("doc_id"), "length")
 
 
 def data_listing(spark, sf):
@@ -306,21 +319,13 @@ def str1(spark, sf):
 def str2(spark, sf):
     """One file per document and polls of it over nine seconds, of which five may pass until it is complete: complete from the start, the same with a wrong
     start of the file, too short for ever, growing and then complete, still growing when the time is over. A second run goes on with the state of the first."""
-    kind = F.col("doc_id") % 5
-
-    def write(path):
-        magic = F.decode(F.unhex(F.lit(files.MAGIC_HEX)), "UTF-8")
-        wrong = F.decode(F.unhex(F.lit("504244454D533100")), "UTF-8")
-        value = F.when(kind == 1, F.concat(wrong, "text")).when(kind == 2, F.lit("PB")).otherwise(F.concat(magic, "text"))
-        I.table(spark, sf, "documents").select("doc_id", value.alias("value")).repartition(8, "doc_id").write.partitionBy("doc_id").text(path)
-
-    src = I.stored_path(spark, sf, "poll_files", write)
-    listed = files.list_files(spark, src, "*.txt", recursive=True).withColumn("doc_id", F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("long"))
+    listed = files.list_files(spark, replay_files(spark, sf), "*.txt", recursive=True)
 
     def seen(*polls):
         """(tenths of a second, bytes still missing) of each poll."""
         return F.array(*[F.struct(F.lit(at).alias("at"), F.lit(less).alias("less")) for at, less in polls])
 
+    kind = doc_of_path() % 5
     looks = (F.when(kind == 3, seen((0, 3), (10, 2), (20, 1), (30, 0), (40, 0), (45, 0), (90, 0)))
              .when(kind == 4, seen((0, 2), (20, 1), (90, 0))).otherwise(seen((0, 0), (10, 0), (20, 0), (90, 0))))
     every = listed.select("path", F.col("length").alias("_size"), "modified_time", F.explode(looks).alias("p")).select(
@@ -337,7 +342,7 @@ def str2(spark, sf):
     found = spark.read.parquet(out)
     whole = arrivals.complete_only(found.where("outcome = 'complete'").select("path", "length", "outcome"))
     return whole.unionByName(found.where("outcome = 'timeout'").select("path", "length", "outcome")).select(
-        F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("long").alias("doc_id"), "length", "outcome")
+        doc_of_path().alias("doc_id"), "length", "outcome")
 
 
 def notices(spark, sf):

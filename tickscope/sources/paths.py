@@ -44,3 +44,15 @@ def delete_folder(uri: str) -> None:
         system.delete_dir(path)
     except FileNotFoundError:
         pass
+
+
+def listing(uri: str) -> list[tuple]:
+    """(path, time of change, length) of all files below ``uri``, hidden ones left out and times cut to milliseconds as Spark
+    does, in the order of paths."""
+    from pyarrow import fs
+
+    system, root = _located(uri)
+    prefix = "file:" if isinstance(system, fs.LocalFileSystem) else uri.split("://", 1)[0] + "://"
+    found = [f for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File]
+    hidden = [any(part[0] in "._" for part in f.path[len(root):].split("/") if part) for f in found]
+    return sorted((prefix + f.path, f.mtime.replace(microsecond=f.mtime.microsecond // 1000 * 1000), f.size) for f, skip in zip(found, hidden) if not skip)
