@@ -1,5 +1,6 @@
 """Token ids, packing and token files: round trips, brute force on small instances."""
 
+import collections
 import itertools
 import random
 import zlib
@@ -130,6 +131,7 @@ def test_repair_round_trip():
         symbols, rules, firsts = token_files.repair(ids, ends, 100)
         lengths = token_files.rule_lengths(rules, 100)
         assert token_files.expand(symbols, rules, lengths, 100).tolist() == ids.tolist()
+        assert token_files.expand_shard(symbols, rules, lengths, 100).tolist() == ids.tolist()
         for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends)):
             mine = symbols[firsts[k]:firsts[k + 1] if k + 1 < len(firsts) else None]
             assert token_files.expand(mine, rules, lengths, 100).tolist() == ids[a:b].tolist()
@@ -170,3 +172,37 @@ def test_copies_of_a_long_document_become_single_symbols():
     symbols, rules, firsts = token_files.repair(ids, ends, 1000)
     assert len(symbols) == 2000 and (firsts == np.arange(2000)).all()
     assert (token_files.expand(symbols, rules, token_files.rule_lengths(rules, 1000), 1000) == ids).all()
+
+
+def plain_repair(ids, ends, base, most):
+    """Re-Pair by the book: every round counts all pairs, takes the most frequent ones and walks from left to right."""
+    docs = [ids[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+    rules = []
+    while True:
+        n = collections.Counter(p for d in docs for p in zip(d, d[1:]))
+        taken = sorted(sorted((p for p in n if n[p] >= token_files.LEAST), key=lambda p: (-n[p], p))[:most])
+        if not taken:
+            return docs, rules
+        number = {p: base + len(rules) + k for k, p in enumerate(taken)}
+        rules += taken
+        for k, d in enumerate(docs):
+            out, i = [], 0
+            while i < len(d):
+                symbol = number.get(tuple(d[i:i + 2]))
+                out.append(d[i] if symbol is None else symbol)
+                i += 1 if symbol is None else 2
+            docs[k] = out
+
+
+@pytest.mark.parametrize("base, few", [(100, 0), (100, 10**9), (65_530, 0), (70_000, 0)])
+def test_counts_kept_between_rounds_give_the_grammar_of_full_counts(monkeypatch, base, few):
+    monkeypatch.setattr(token_files, "FEW_PLACES", few)
+    rng = np.random.default_rng(4)
+    for n, letters, most in itertools.product((40, 900, 4000), (1, 2, 12, 60), (1, 5, 2048)):
+        ids = rng.integers(0, letters, n)
+        ends = np.unique(np.append(rng.integers(1, n + 1, 5), n))
+        symbols, rules, firsts = token_files.repair(ids, ends, base, most)
+        docs, want = plain_repair(ids.tolist(), ends.tolist(), base, most)
+        assert [tuple(r) for r in rules.tolist()] == want
+        assert symbols.tolist() == [s for d in docs for s in d]
+        assert firsts.tolist() == np.cumsum([0, *map(len, docs[:-1])]).tolist()

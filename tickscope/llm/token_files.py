@@ -31,69 +31,111 @@ from tickscope.llm.tokens import default_path, encoder
 
 SHARD_IDS = 1_000_000
 PAIRS_PER_ROUND = 2048
+#: Words a generation of a worker's memo: 600,000 of two generations take about 240 MB, and a third less time than half as many.
+MEMO_WORDS = 600_000
 LEAST = 16  # a rarer pair costs more than it saves
 _BUCKETS = 20
+FEW_PLACES = 50_000  # searched without a hash table
 
 
-def _buckets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(32 - _BUCKETS)
+def _pairs(a: np.ndarray, b: np.ndarray, known: int) -> np.ndarray:
+    """Pairs of symbols below ``known`` as numbers, 32 bits wide if they fit."""
+    if known <= 1 << 16:
+        return (a << np.uint32(16)) | b
+    return (a.astype(np.uint64) << np.uint64(32)) | b
 
 
-def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a.astype(np.uint64) << np.uint64(32)) | b
+def _sides(pairs: np.ndarray) -> np.ndarray:
+    half = pairs.dtype.type(pairs.dtype.itemsize * 4)
+    return np.column_stack([pairs >> half, pairs & ((pairs.dtype.type(1) << half) - pairs.dtype.type(1))]).astype(np.uint32)
+
+
+def _buckets(pairs: np.ndarray) -> np.ndarray:
+    if pairs.dtype == np.uint32:
+        return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BUCKETS)
+    return (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKETS)
 
 
-def _frequent_pairs(a: np.ndarray, b: np.ndarray, bucket: np.ndarray, free: np.ndarray, most: int) -> np.ndarray:
-    """Keys of the most frequent pairs, sorted; exact counts among pairs whose hash bucket is frequent."""
-    some = np.flatnonzero((np.bincount(bucket, minlength=1 << _BUCKETS) >= LEAST)[bucket] & free)
-    keys = _keys(a[some], b[some])
-    keys.sort()
+def _frequent(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that are seen ``LEAST`` times, ascending, and how often."""
+    keys = np.sort(keys)
     edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
     keys, n = keys[edge[:-1]], np.diff(edge)
-    keys, n = keys[n >= LEAST], n[n >= LEAST]
-    return np.sort(keys[np.lexsort((keys, -n))[:most]])
+    return keys[n >= LEAST], n[n >= LEAST]
+
+
+def _numbers(keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Place of each pair among the sorted ``keys``, -1 if it is none of them."""
+    if len(pairs) <= FEW_PLACES:
+        at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+        return np.where(keys[at] == pairs, at, -1)
+    slot = np.full(1 << _BUCKETS, -1, dtype=np.int32)
+    of_key, own = _buckets(keys), np.arange(len(keys), dtype=np.int32)
+    slot[of_key] = own
+    slot[of_key[slot[of_key] != own]] = -2  # several keys share the bucket
+    at = slot[_buckets(pairs)]
+    again = np.flatnonzero(at == -2)
+    at = np.where(keys[at] == pairs, at, -1)
+    found = np.minimum(np.searchsorted(keys, pairs[again]), len(keys) - 1)
+    at[again] = np.where(keys[found] == pairs[again], found, -1)
+    return at
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, base: int, most: int = PAIRS_PER_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, firsts) of ``ids`` (unsigned 32-bit) whose documents end before ``ends``; ends when no pair is seen ``LEAST`` times."""
-    symbols = ids.astype(np.uint32)
-    last = np.zeros(len(ids), dtype=bool)
-    last[ends - 1] = True
-    rules = np.zeros((0, 2), dtype=np.uint32)
-    while len(symbols) > 1:
-        a, b, free = symbols[:-1], symbols[1:], ~last[:-1]
-        bucket = _buckets(a, b)
-        keys = _frequent_pairs(a, b, bucket, free, most)
-        if not len(keys):
+    """(symbols, rules, firsts) of ``ids`` (unsigned 32-bit) whose documents end before ``ends``; ends when no pair is seen ``LEAST`` times.
+
+    A pair never becomes more frequent: a replaced place makes neighbours of its new symbol only, and all places of a pair that was
+    replaced are gone. So a round counts only places beside symbols of the round before and places of pairs that it left for lack of room.
+    """
+    symbols, lasts = ids.astype(np.uint32), ends - 1
+    rules = [np.zeros((0, 2), dtype=np.uint32)]
+    known = base
+    count = np.ones(len(ids), dtype=bool)
+    while True:
+        count[lasts] = False
+        at = np.flatnonzero(count)
+        pairs = _pairs(symbols[at], symbols[at + 1], known)
+        frequent, n = _frequent(pairs)
+        if not len(frequent):
             break
-        wanted = np.zeros(1 << _BUCKETS, dtype=bool)
-        wanted[_buckets((keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32))] = True
-        at = np.flatnonzero(wanted[bucket] & free)
-        mine = _keys(a[at], b[at])
-        which = np.searchsorted(keys, mine)
-        hit = keys[np.minimum(which, len(keys) - 1)] == mine
-        at, which = at[hit], which[hit]
+        taken = np.zeros(len(frequent) + 1, dtype=bool)  # the last place is that of rare pairs, numbered -1
+        taken[np.lexsort((frequent, -n))[:most]] = True
+        keys = frequent[taken[:-1]]
+        which = _numbers(frequent, pairs)
+        hit = taken[which]
+        left = at[(which >= 0) & ~hit] if len(keys) < len(frequent) else at[:0]
+        hit = np.flatnonzero(hit)
+        at, which = at[hit], (np.cumsum(taken) - 1)[which[hit]]
         # overlapping pairs: of a run of neighbouring places every other one, from the left
         new = np.concatenate([[True], np.diff(at) > 1])
         start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
         chosen = (np.arange(len(at)) - start) % 2 == 0
         at, which = at[chosen], which[chosen]
-        symbols[at] = (base + len(rules) + which).astype(np.uint32)
+        symbols[at] = known + which
+        known += len(keys)
+        rules.append(_sides(keys))
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
-        last[at] |= last[at + 1]
-        symbols, last = symbols[keep], last[keep]
-        rules = np.vstack([rules, np.column_stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)]).astype(np.uint32)])
-    firsts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1]) if len(ends) else np.zeros(0, np.int64)
-    return symbols, rules, firsts
+        symbols = symbols[keep]
+        lasts = lasts - np.searchsorted(at + 1, lasts, side="right")
+        if len(left):
+            count[:] = False
+            count[left] = True
+            count = count[keep]
+        else:
+            count = np.zeros(len(symbols), dtype=bool)
+        at = at - np.arange(len(at))
+        count[at] = True
+        count[at[at > 0] - 1] = True
+    return symbols, np.vstack(rules), np.concatenate([[0], lasts[:-1] + 1]) if len(ends) else np.zeros(0, np.int64)
 
 
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Ids that each rule expands to; a rule uses ids and earlier rules only."""
-    n = np.ones(len(rules), dtype=np.int64)
-    for r, (x, y) in enumerate(rules.astype(np.int64)):
-        n[r] = (n[x - base] if x >= base else 1) + (n[y - base] if y >= base else 1)
-    return n
+    n: list[int] = []
+    for x, y in rules.tolist():
+        n.append((n[x - base] if x >= base else 1) + (n[y - base] if y >= base else 1))
+    return np.array(n, dtype=np.int64)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
@@ -112,6 +154,18 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: in
         out = grown
 
 
+def expand_shard(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """Ids of all symbols of a shard: every rule is expanded once, then each symbol takes its run of ids."""
+    pool = np.concatenate([expand(rules.ravel(), rules, lengths, base), symbols])
+    of_rules = np.cumsum(lengths)
+    each, source = np.ones(len(symbols), dtype=np.int64), np.arange(len(pool) - len(symbols), len(pool))
+    big = np.flatnonzero(symbols >= base)
+    rule = symbols[big].astype(np.int64) - base
+    each[big], source[big] = lengths[rule], of_rules[rule] - lengths[rule]
+    source -= np.cumsum(each) - each
+    return pool[np.repeat(source, each) + np.arange(int(each.sum()))]
+
+
 def expand_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int, start: int, n: int) -> np.ndarray:
     """Ids ``start`` to ``start + n`` of a run of symbols: expansion lengths tell which symbols hold them."""
     if n <= 0:
@@ -148,7 +202,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     schema = ranged.sparkSession.createDataFrame([], FILE.format(id=dict(own.dtypes)["doc_id"])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, MEMO_WORDS)
         base = max(enc.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         part, shard, before = TaskContext.get().partitionId(), 0, 0
         ids, texts, held, kind = [], [], 0, None
@@ -190,7 +244,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 rules = np.frombuffer(get("rules").as_py(), "<u4").reshape(-1, 2)
                 body = np.frombuffer(get("body").as_py(), "<u4" if get("wide").as_py() else "<u2").astype(np.uint32)
                 base, first = get("base").as_py(), get("first_id").as_py()
-                ids = expand(body, rules, lengths, base).astype("<u4").tobytes()
+                ids = memoryview(expand_shard(body, rules, lengths, base).astype("<u4")).cast("B")
                 ends = np.cumsum(counts)
                 crc = [zlib.crc32(ids[4 * (e - n):4 * e]) for e, n in zip(ends.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays([get("doc_id").values, pa.array(first + ends - counts), pa.array(counts), pa.array(crc, pa.int64())],

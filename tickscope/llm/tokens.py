@@ -100,6 +100,6 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, memo_words: int = MEMO_WORDS) -> WordEncoder:
     """One per Python worker."""
-    return WordEncoder(path)
+    return WordEncoder(path, memo_words)
