@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tickscope.llm import embedding_dedup, simhash
 from tickscope.llm.components import components
@@ -109,6 +110,18 @@ def test_links_like_all_pairs(spark, tile):
     assert smallest(fps, links) == want
 
 
+def test_tile_pairs_of_equal_counts_are_spread(spark):
+    rng = np.random.default_rng(6)
+    halves = np.array([x for x in range(1 << 16) if x.bit_count() == 8], dtype=np.uint64)
+    fps = np.unique(sum(rng.choice(halves, 20_000) << np.uint64(16 * k) for k in range(4)).view(np.int64))
+    pairs = simhash.tile_pairs(spark.createDataFrame([(int(f),) for f in fps], "fp long"), 2, 256)
+    n = -(-len(fps) // 256)
+    each = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    assert sum(each) == n * (n + 1) // 2
+    assert max(each) < 0.5 * sum(each)
+    assert pairs.where("same").count() == n
+
+
 def test_near_duplicates_like_brute_force(spark):
     long = " ".join(f"w{i}" for i in range(400))
     texts = [*TEXTS, long, long + " tail", long.upper(), "w0 " + long, *["same text of some words here"] * 40]

@@ -2,8 +2,8 @@
 
 Distinct fingerprints are dealt by the population counts of their four 16-bit parts. Two fingerprints whose counts differ
 by more than the radius in all (summed over the parts) differ by more bits than that, so only tiles of neighbouring counts
-meet. Tiles have a bounded size and are compared with exclusive-or and bit counts; a task returns a spanning forest, not
-pairs.
+meet. Tiles have a bounded size, and their pairs are dealt by groups of tiles of both sides, so that equal counts of very many fingerprints
+are the work of many tasks. Tiles are compared with exclusive-or and bit counts; a task returns a spanning forest, not pairs.
 
 Defined cases: a text without words, null included, has fingerprint zero and is linked like any other; fewer words than a shingle
 give one shingle of them all. Rows without an id get a fingerprint, but are in no component. Repeated ids are one node.
@@ -27,6 +27,9 @@ from tickscope.sources.workdir import materialize
 SEED = 42
 HASHES_AT_ONCE = 1 << 16
 PARTS = 4
+_PLACE = 64  # of a part's count in the number that stands for all four; counts and their steps stay within it
+#: Tiles of either side that meet in one deal.
+TILES_AT_ONCE = 8
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -57,14 +60,17 @@ def fingerprints(docs: DataFrame, text_col: str, shingle: int = 3) -> DataFrame:
     return with_columns(docs, text_col, {"fp": "long"}, run, keep=[c for c in docs.columns if c != text_col])
 
 
-def _part_counts(fp: Column) -> list[Column]:
-    return [F.bit_count(F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF))).cast("int") for k in range(PARTS)]
+def _counts(fp: Column) -> Column:
+    """The population counts of the four parts as one number."""
+    parts = [F.bit_count(F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF))).cast("int") * _PLACE**k for k in range(PARTS)]
+    return sum(parts[1:], parts[0])
 
 
-def _steps(radius: int) -> list[tuple[int, ...]]:
-    """Differences of population counts within the radius, one of each pair of opposite ones."""
+def _steps(radius: int) -> list[int]:
+    """Differences of population counts within the radius, one of each pair of opposite ones. A count below zero borrows from the next
+    place and leaves a number that no fingerprint has."""
     every = itertools.product(range(-radius, radius + 1), repeat=PARTS)
-    return [s for s in every if sum(map(abs, s)) <= radius and s >= (0,) * PARTS]
+    return [sum(d * _PLACE**k for k, d in enumerate(s)) for s in every if sum(map(abs, s)) <= radius and s >= (0,) * PARTS]
 
 
 def _compare(radius: int):
@@ -90,19 +96,31 @@ def _compare(radius: int):
     return run
 
 
+def tile_pairs(prints: DataFrame, radius: int = 2, tile: int = 1024) -> DataFrame:
+    """``x, y, same``: every pair of tiles of fingerprints ``fp`` that may hold a link, once."""
+    own = prints.withColumn("counts", _counts(F.col("fp")))
+    # at most 17^4 different counts: these tables of one row for each may be broadcast
+    sizes = materialize(own.groupBy("counts").agg(F.ceil(F.count("*") / tile).alias("tiles")), "tile_counts")
+    tiles = materialize(own.join(F.broadcast(sizes), "counts").groupBy("counts", F.pmod(F.xxhash64("fp", F.lit(3)), "tiles").alias("chunk")).agg(
+        F.collect_list("fp").alias("fps")), "tiles").withColumn("group", F.floor(F.col("chunk") / TILES_AT_ONCE))
+    steps = F.explode(F.array(*map(F.lit, _steps(radius))))
+    groups = sizes.select("counts", F.ceil(F.col("tiles") / TILES_AT_ONCE).alias("groups"))
+    reach = groups.select("counts", "groups", steps.alias("step")).groupBy((F.col("counts") + F.col("step")).alias("counts")).agg(
+        F.max("groups").alias("reach"))
+    goes = tiles.select(F.col("fps").alias("x"), F.col("chunk").alias("x_chunk"), F.col("counts").alias("x_counts"), F.col("group").alias("x_group"),
+                        steps.alias("step")).withColumn("counts", F.col("x_counts") + F.col("step")).join(F.broadcast(groups), "counts").withColumn(
+        "group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    meets = tiles.join(F.broadcast(reach.join(sizes, "counts", "left_semi")), "counts").select(
+        F.col("fps").alias("y"), "chunk", "counts", "group", F.explode(F.sequence(F.lit(0), F.col("reach") - 1)).alias("x_group"))
+    # few bytes are much work: a number of partitions that is given is not reduced by adaptive execution
+    deal, parts = ["counts", "group", "x_group"], int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = goes.repartition(parts, *deal).hint("merge").join(meets.repartition(parts, *deal), deal).where((F.col("step") != 0) | (F.col("x_chunk") <= F.col("chunk")))
+    return met.select("x", "y", ((F.col("step") == 0) & (F.col("x_chunk") == F.col("chunk"))).alias("same"))
+
+
 def near_links(prints: DataFrame, radius: int = 2, tile: int = 1024) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that connect exactly those within ``radius`` bits, in the sense of components."""
-    own = prints.withColumn("counts", F.array(*_part_counts(F.col("fp"))))
-    # at most 17^4 different counts
-    sizes = own.groupBy("counts").agg(F.ceil(F.count("*") / tile).alias("tiles"))
-    tiles = materialize(own.join(sizes, "counts").groupBy("counts", F.pmod(F.xxhash64("fp", F.lit(3)), "tiles").alias("chunk")).agg(
-        F.collect_list("fp").alias("fps")), "tiles")
-    steps = F.array(*[F.array(*map(F.lit, s)) for s in _steps(radius)])
-    goes = tiles.select(F.col("fps").alias("x"), F.col("chunk").alias("x_chunk"), F.col("counts").alias("x_counts"), F.explode(
-        F.transform(steps, lambda s: F.zip_with("counts", s, lambda c, d: c + d))).alias("counts"))
-    met = goes.join(tiles, "counts").where((F.col("x_counts") != F.col("counts")) | (F.col("x_chunk") <= F.col("chunk")))
-    pairs = met.select("x", F.col("fps").alias("y"), ((F.col("x_counts") == F.col("counts")) & (F.col("x_chunk") == F.col("chunk"))).alias("same"))
-    return pairs.mapInPandas(_compare(radius), "a long, b long")
+    return tile_pairs(prints, radius, tile).mapInPandas(_compare(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
