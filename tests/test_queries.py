@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the smallest tables, and the driver contract."""
 
 import os
+from datetime import datetime
 
 import duckdb
 import pandas as pd
@@ -38,3 +39,12 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+def test_cubes_beyond_64_bits(spark, tmp_path):
+    """PRJ-4 on ids whose third power is no 64-bit number."""
+    ids = [3, 2_097_151, 2_097_152, 5_999_999, 36_000_001, 3_999_999_999]
+    rows = [(i, datetime(2024, 1, 2, 3, 4, 5)) for i in ids]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: r.mb for r in driver.queries()["PRJ-4"](spark, str(tmp_path)).collect()}
+    assert got == {i: pytest.approx(i ** 3 % 4000000007 // (4000000, 4000, 40, 1)[i % 4] / 1048576, abs=0.0051) for i in ids}
