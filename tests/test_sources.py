@@ -379,3 +379,28 @@ def test_heads_source(spark, replays, tmp_path):
     reader = heads.HeadReader({"path": replays, "glob": "*.dem", "bytes": "8", "files_per_task": "1"})
     left = list(reader.pushFilters([GreaterThanOrEqual(("length",), 8), StringEndsWith(("path",), ".dem"), StringContains(("path",), "/b"), EqualTo(("head",), b"")]))
     assert left == [EqualTo(("head",), b"")] and [[os.path.basename(f[0]) for f in c.files] for c in reader.partitions()] == [["b.dem"]]
+
+
+def test_texts_are_files_of_their_own(spark, tmp_path):
+    """One file a row, whole and under its own name, written again in place; folders are read back as partitions, whatever the values."""
+    from tickscope.sources import sinks
+    rows = [("m1", "a/b=c", "x"), ("m1", "é %20", "y\nz"), ("m2", None, None)]
+    df = spark.createDataFrame(rows, "m string, who string, value string").withColumn("path", F.lit("t.txt"))
+    for _ in range(2):
+        sinks.write_texts(df, str(tmp_path / "t"), ("m", "who"))
+    got = spark.read.text(str(tmp_path / "t"), wholetext=True).collect()
+    assert sorted((r.m, r.who or "", r.value) for r in got) == [("m1", "a/b=c", "x\n"), ("m1", "é %20", "y\nz\n"), ("m2", "", "\n")]
+    assert sorted(f.name for f in (tmp_path / "t").rglob("*") if f.is_file()) == ["t.txt"] * 3
+
+
+def test_store_writes_one_file_a_key(spark, tmp_path):
+    """No file beside it, nothing of an older layout left; a key's rows are one file across batches, and null is a key too."""
+    from tickscope.sources import result_store as store
+    rows = spark.range(30000).selectExpr("if(id < 3, null, if(id < 25000, 'big', concat('k', id % 3))) result_key", "timestamp_seconds(id) last_used", "id n")
+    path = tmp_path / "store"
+    (path / "data" / "result_key=big").mkdir(parents=True)
+    rows.limit(5).drop("result_key").coalesce(1).write.mode("append").parquet(str(path / "data" / "result_key=big"))
+    store.put(rows, str(path))
+    assert sorted(f.name for f in (path / "data").rglob("*.parquet") if f.name[0] != ".") == ["rows.parquet"] * 5
+    got = {r.result_key: (r.n, r.s) for r in store.data(spark, str(path)).groupBy("result_key").agg(F.count("*").alias("n"), F.sum("n").alias("s")).collect()}
+    assert got == {r.result_key: (r.n, r.s) for r in rows.groupBy("result_key").agg(F.count("*").alias("n"), F.sum("n").alias("s")).collect()} and len(got) == 5

@@ -174,7 +174,9 @@ def replay_files(spark, sf):
         magic = F.decode(F.unhex(F.lit(files.MAGIC_HEX)), "UTF-8")
         wrong = F.decode(F.unhex(F.lit("504244454D533100")), "UTF-8")
         value = F.when(kind == 1, F.concat(wrong, "text")).when(kind == 2, F.lit("PB")).otherwise(F.concat(magic, "text"))
-        I.table(spark, sf, "documents").select("doc_id", value.alias("value")).repartition(8, "doc_id").write.partitionBy("doc_id").text(path)
+        # a thousand files to a folder
+        name = F.concat(F.expr("cast(doc_id div 1000 as string)"), F.lit("/doc_id="), F.col("doc_id").cast("string"), F.lit(".txt"))
+        sinks.write_texts(I.table(spark, sf, "documents").select(name.alias("path"), value.alias("value")), path)
 
     return I.stored_path(spark, sf, "replay_files", write)
 

@@ -1,4 +1,9 @@
-"""Files inside tasks, their first or last bytes and their removal, for the path schemes that Spark names and pyarrow does not."""
+"""Files inside tasks, their first or last bytes, their making and their removal, for the path schemes that Spark names and pyarrow does not."""
+
+import re
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 # Spark's name of a file system to pyarrow's; object stores have several in use
 SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfss", "abfs": "abfs", "wasbs": "abfss", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs"}
@@ -37,6 +42,26 @@ def open_file(uri: str):
     return system.open_input_file(path)
 
 
+@contextmanager
+def new_file(uri: str) -> Iterator:
+    """Output stream of a file that appears under its name once it is whole, in place of one that has the name; folders above it are made. A task that is
+    repeated leaves the same files, and what a lost one began is hidden."""
+    system, path = _located(uri)
+    folder, _, name = path.rpartition("/")
+    system.create_dir(folder, recursive=True)
+    begun = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    with system.open_output_stream(begun, compression=None) as out:
+        yield out
+    system.move(begun, path)
+
+
+def partition_folder(column: str, value: str | None) -> str:
+    """Name of the folder of a value, escaped as Spark escapes it."""
+    if not value:
+        return f"{column}=__HIVE_DEFAULT_PARTITION__"
+    return f"{column}=" + re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda c: f"%{ord(c[0]):02X}", value)
+
+
 def delete_folder(uri: str) -> None:
     """Remove a folder and what is in it; one that is not there is no error."""
     system, path = _located(uri)
@@ -46,6 +71,19 @@ def delete_folder(uri: str) -> None:
         pass
 
 
+def delete_others(uri: str, name: str) -> None:
+    """Remove the files of a folder that are not hidden and not called ``name``; files that are gone already are no error."""
+    from pyarrow import fs
+
+    system, folder = _located(uri)
+    for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        if f.type == fs.FileType.File and f.base_name != name and f.base_name[0] not in "._":
+            try:
+                system.delete_file(f.path)
+            except FileNotFoundError:
+                pass
+
+
 def listing(uri: str) -> list[tuple]:
     """(path, time of change, length) of all files below ``uri``, hidden ones left out and times cut to milliseconds as Spark
     does, in the order of paths."""

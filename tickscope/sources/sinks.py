@@ -1,14 +1,16 @@
-"""Writers and their readers. Spark's commit protocol makes each write atomic."""
+"""Writers and their readers. Spark's commit protocol makes each write of a table atomic; single files (``write_texts``) appear one by one, each whole."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickscope.functions.text import safe_file_name
 from tickscope.operators.blocks import PLAYER
+from tickscope.sources.paths import new_file, partition_folder
 
 MANIFEST_SCHEMA = """match_id string, match_category string, data_path string, metadata_path string, label string,
   label_confidence string, label_source string, cheaters string, num_cheaters int, usable_for_training boolean,
@@ -118,5 +120,27 @@ def report_files(reports: DataFrame, text: str = "report", name: str = "name") -
                           F.col(text).alias("value"))
 
 
+def file_tasks(spark: SparkSession) -> int:
+    """Tasks that make or delete many small files: a number of its own, because such rows are too few bytes to be spread by size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def write_texts(files: DataFrame, root: str, folders: tuple[str, ...] = ()) -> None:
+    """One text file per row: ``value`` and a line end at ``path`` below ``root``, in a folder for each value of ``folders`` as partitionBy names them.
+
+    The tasks make the files themselves: Spark's writer starts a writer, sets modes in processes of their own and moves a folder in the driver for each of them.
+    """
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            above = zip(*[b[f] for f in folders]) if folders else ((),) * len(b)
+            for values, name, text in zip(above, b["path"], b["value"]):
+                with new_file("/".join([root, *[partition_folder(f, v) for f, v in zip(folders, values)], name])) as out:
+                    out.write((text or "").encode() + b"\n")
+            yield pd.DataFrame({"n": [len(b)]})
+
+    rows = files.select(*folders, "path", "value").repartition(file_tasks(files.sparkSession), *folders, "path")
+    rows.mapInPandas(write, "n long").agg(F.sum("n")).collect()
+
+
 def write_reports(reports: DataFrame, path: str, text: str = "report", name: str = "name") -> None:
-    report_files(reports, text, name).write.partitionBy("match_id", "file_name").text(path)
+    write_texts(report_files(reports, text, name).withColumn("path", F.lit("report.txt")), path, ("match_id", "file_name"))
