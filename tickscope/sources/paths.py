@@ -62,13 +62,14 @@ def partition_folder(column: str, value: str | None) -> str:
     return f"{column}=" + re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda c: f"%{ord(c[0]):02X}", value)
 
 
-def delete_folder(uri: str) -> None:
-    """Remove a folder and what is in it; one that is not there is no error."""
+def delete_folder(uri: str) -> bool:
+    """Remove a folder and what is in it; one that is not there is no error. Was it there?"""
     system, path = _located(uri)
     try:
         system.delete_dir(path)
     except FileNotFoundError:
-        pass
+        return False
+    return True
 
 
 def delete_others(uri: str, name: str) -> None:

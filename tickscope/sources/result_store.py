@@ -6,8 +6,11 @@ listed before stay until ``purge``. Every step is an append or can be repeated,
 """
 
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +19,39 @@ from pyspark.sql import types as T
 from tickscope.config import DEFAULT
 from tickscope.operators.results import retention_victims
 from tickscope.sources.files import list_files
-from tickscope.sources.paths import delete_folder
+from tickscope.sources.paths import delete_folder, delete_others, new_file, partition_folder
+from tickscope.sources.sinks import file_tasks
 
 LOG_SCHEMA = "result_key string, last_used timestamp"
+FILE = "rows.parquet"
 
 
 def put(results: DataFrame, store: str) -> None:
-    """Write rows (result_key, last_used and more). A key that is there already gets the new rows instead of the old ones."""
-    results.repartition("result_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("result_key").parquet(f"{store}/data")
+    """Write rows (result_key, last_used and more). A key that is there already gets the new rows instead of the old ones.
+
+    The tasks write the files themselves, one per key, and each takes the place of the former one when it is whole. Rows come sorted by key, so a task holds one
+    open file and one batch, however many rows a key has.
+    """
+    root = f"{store}/data"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, writer = None, 0, None
+        with ExitStack() as begun:
+            for b in batches:
+                keys = b.column("result_key").to_pylist()
+                rows = pa.Table.from_batches([b]).drop_columns(["result_key"])
+                ends = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
+                for start, end in zip([0, *ends], ends):
+                    if writer is None or keys[start] != key:
+                        begun.close()
+                        key, n, folder = keys[start], n + 1, f"{root}/{partition_folder('result_key', keys[start])}"
+                        begun.callback(delete_others, folder, FILE)
+                        writer = begun.enter_context(pq.ParquetWriter(begun.enter_context(new_file(f"{folder}/{FILE}")), rows.schema))
+                    writer.write_table(rows.slice(start, end - start))
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    dealt = results.repartition(file_tasks(results.sparkSession), "result_key").sortWithinPartitions("result_key")
+    dealt.mapInArrow(write, "n long").agg(F.sum("n")).collect()
     touch(results, store)
 
 
@@ -74,13 +102,16 @@ def stored_folders(spark: SparkSession, store: str) -> DataFrame:
 
 
 def purge(spark: SparkSession, store: str) -> int:
-    """Delete the folders of keys that do not live, in the tasks. Returns their number; call it when readers from before ``evict`` are done."""
+    """Delete the folders of keys that do not live, in the tasks. Returns their number; call it when readers from before ``evict`` are done.
+
+    The log names the keys and a key names its folder, so nothing is listed; a key that is being put and not yet noted is not touched.
+    """
+    root = f"{store}/data"
+
     def delete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for folder in b["folder"]:
-                delete_folder(folder)
-            yield b
+            yield pd.DataFrame({"n": [sum(delete_folder(f"{root}/{partition_folder('result_key', key)}") for key in b["result_key"])]})
 
-    known = _log(spark, f"{store}/used").select("result_key")  # a key that is being put and not yet noted is not touched
-    dead = stored_folders(spark, store).join(known, "result_key", "left_semi").join(live_keys(spark, store), "result_key", "left_anti")
-    return dead.select("folder").mapInPandas(delete, "folder string").count()
+    used = _log(spark, f"{store}/used").where("result_key <> ''").select("result_key")
+    dead = used.join(live_keys(spark, store).select("result_key"), "result_key", "left_anti").repartition(file_tasks(spark), "result_key")
+    return dead.mapInPandas(delete, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
