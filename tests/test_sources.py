@@ -404,3 +404,12 @@ def test_store_writes_one_file_a_key(spark, tmp_path):
     assert sorted(f.name for f in (path / "data").rglob("*.parquet") if f.name[0] != ".") == ["rows.parquet"] * 5
     got = {r.result_key: (r.n, r.s) for r in store.data(spark, str(path)).groupBy("result_key").agg(F.count("*").alias("n"), F.sum("n").alias("s")).collect()}
     assert got == {r.result_key: (r.n, r.s) for r in rows.groupBy("result_key").agg(F.count("*").alias("n"), F.sum("n").alias("s")).collect()} and len(got) == 5
+
+
+def test_polls_of_a_file_are_ordered_as_tuples():
+    """By time, then length, then time of change, across the frames of a group."""
+    import pandas as pd
+    t = pd.to_datetime([20, 10, 10], unit="us")
+    a = pd.DataFrame({"polled": t, "length": [1, 5, 5], "modified_time": pd.to_datetime([7, 9, 8], unit="us")})
+    rows, ordered = arrivals._in_order(iter([a, a.head(1)]), "polled")
+    assert ordered == [(10, 5, 8, 2), (10, 5, 9, 1), (20, 1, 7, 0), (20, 1, 7, 3)] and len(rows) == 4

@@ -5,9 +5,10 @@ polls and lets it pass once it is written to the end; what it knows of a file is
 never the processing clock, so a stream that starts late or runs again comes to the same results.
 """
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,13 +64,18 @@ def poll_stream(spark: SparkSession, polls: str, per_trigger: int = 1000) -> Dat
             .option("recursiveFileLookup", True).parquet(polls))
 
 
-def _micros(times: pd.Series) -> list[int]:
-    return times.astype("datetime64[us]").astype("int64").tolist()
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.to_numpy("datetime64[us]").astype("int64")
 
 
-def _in_order(pdfs: Iterator[pd.DataFrame], by: Sequence[str]) -> pd.DataFrame:
-    """Rows of one file in a batch, by time; a batch holds a bounded number of polls."""
-    return pd.concat(list(pdfs), ignore_index=True).sort_values(list(by), kind="stable", ignore_index=True)
+def _in_order(pdfs: Iterator[pd.DataFrame], time: str) -> tuple[pd.DataFrame, list[tuple]]:
+    """Rows of one file in a batch, and (time, length, time of change, place) of each in the order of time; a batch holds a bounded number of polls.
+
+    A group is a few rows, so its cost is the number of pandas calls: columns are taken out once and ordered as tuples.
+    """
+    frames = list(pdfs)
+    rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+    return rows, sorted(zip(_micros(rows[time]).tolist(), rows["length"].tolist(), _micros(rows["modified_time"]).tolist(), range(len(rows))))
 
 
 def _seconds(duration: str) -> float:
@@ -105,8 +111,7 @@ def settled(polls: DataFrame, checks: int = 2, timeout: str = "2 seconds", min_s
                 report(since + limit, "timeout")
             state.remove()
         else:
-            rows = _in_order(pdfs, ("polled", "length"))
-            for length, changed, at in zip(rows["length"].tolist(), _micros(rows["modified_time"]), _micros(rows["polled"])):
+            for at, length, changed, _ in _in_order(pdfs, "polled")[1]:
                 if since is not None and not done and at - since > limit:
                     report(since + limit, "timeout")
                     since = None
@@ -123,8 +128,8 @@ def settled(polls: DataFrame, checks: int = 2, timeout: str = "2 seconds", min_s
             state.update((since, seen, size, modified, stable, done, last))
             _until(state, last + kept if done else since + limit)
         if out:
-            found = pd.DataFrame(out, columns=["path", "length", "modified_time", "polled", "outcome"])
-            yield found.assign(**{c: pd.to_datetime(found[c], unit="us") for c in ("modified_time", "polled")})
+            path, length, changed, at, outcome = zip(*out)
+            yield pd.DataFrame({"path": path, "length": length, "modified_time": np.array(changed, "datetime64[us]"), "polled": np.array(at, "datetime64[us]"), "outcome": outcome})
 
     return polls.withWatermark("polled", late).groupBy("path").applyInPandasWithState(
         follow, f"{POLL_SCHEMA}, outcome string", SETTLED_STATE, "append", GroupStateTimeout.EventTimeTimeout)
@@ -138,24 +143,24 @@ def without_repeats(files: DataFrame, cooldown: str = "5 seconds", memory: str =
     """
     if "arrived" not in files.columns:
         files = files.withColumn("arrived", F.current_timestamp())
-    pause, kept, columns = int(_seconds(cooldown) * 1e6), int(_seconds(memory) * 1e6), files.columns
+    pause, kept = int(_seconds(cooldown) * 1e6), int(_seconds(memory) * 1e6)
 
     def passed(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = _in_order(pdfs, ("arrived", "length", "modified_time"))
+        rows, ordered = _in_order(pdfs, "arrived")
         size, modified, at = state.get if state.exists else (None, None, None)
         let = []
-        for length, changed, now in zip(rows["length"].tolist(), _micros(rows["modified_time"]), _micros(rows["arrived"])):
+        for now, length, changed, place in ordered:
             again = at is not None and (length, changed) == (size, modified) and now - at < pause
-            let.append(not again)
             if not again:
+                let.append(place)
                 size, modified, at = length, changed, now
         state.update((size, modified, at))
         _until(state, at + kept)
-        if any(let):
-            yield rows[let][columns]
+        if let:
+            yield rows.iloc[let]
 
     return files.withWatermark("arrived", memory).groupBy("path").applyInPandasWithState(
         passed, files.schema, "size long, modified long, at long", "append", GroupStateTimeout.EventTimeTimeout)
