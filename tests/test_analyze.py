@@ -112,3 +112,29 @@ def test_work_is_removed(spark, make, shots, tmp_path):
     before = set(os.listdir(root)) if os.path.isdir(root) else set()
     analyze.analyse_to(str(tmp_path / "out"), scene(make), shots([1050], "76561198000000003"))
     assert spark.read.parquet(str(tmp_path / "out" / "players")).count() == 4 and set(os.listdir(root)) == before
+
+
+def test_snaps_of_stored_rows(spark, make, shots):
+    """Stored rows get the rows around a snap by a window over blocks of positions: no join, and nothing at all where only the events are read."""
+    from dataclasses import replace
+
+    from tickscope.config import DEFAULT
+    from tickscope.operators import aim, results
+    cfg = replace(DEFAULT, row_block=32)
+    rows = aim.aim_rows(scene(make), shots([1050], "76561198000000003"), cfg=cfg)
+    kept = analyze.materialize(rows.drop("around"), "kept")
+    want = sorted(map(str, aim.snap_events_of(rows, cfg).collect()))
+    assert len(want) > 100 and sorted(map(str, aim.snap_events_of(kept, cfg).collect())) == want
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "Join" not in plan(aim.snap_events_of(kept, cfg)) and "Window" not in plan(results.event_rows(aim.snap_events_of(kept, cfg)))
+
+
+def test_some_detectors(spark, make, shots):
+    t, f = scene(make), shots([1050], "76561198000000003")
+    some = analyze.player_metrics(t, f, detectors=("spin", "trigger"))
+    assert not [c for c in some.columns if c.startswith(("aim_", "bhop_", "wh_"))]
+    whole = analyze.player_metrics(t, f).select(*some.columns)
+    assert some.orderBy("steamid").collect() == whole.orderBy("steamid").collect()

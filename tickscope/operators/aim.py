@@ -95,19 +95,17 @@ def aim_metrics(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig = DEF
     return aim_metrics_of(aim_rows(ticks, fires, profile, cfg), cfg, keep)
 
 
+def with_around(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
+    """Adds ``around``, three rows on each side, to stored rows: one exchange by blocks of positions, and none if the column is not read."""
+    w, point = block_window("row_i"), F.struct("tick", "yaw", "pitch")
+    near = F.array(*[F.lag(point, k).over(w) for k in range(TRAJECTORY, 0, -1)], point, *[F.lead(point, k).over(w) for k in range(1, TRAJECTORY + 1)])
+    return row_blocks(rows, TRAJECTORY, TRAJECTORY, "row_i", cfg.row_block).withColumn(
+        "around", F.filter(near, lambda x: x.isNotNull())).where("_own").drop("_own", "_rb")
+
+
 def snap_events_of(rows: DataFrame, cfg: AnalysisConfig = DEFAULT) -> DataFrame:
-    """Rows whose raw step (no contiguity test) exceeds the snap threshold, with three rows on each side.
-
-    Stored rows have no ``around``: the few rows near a snap are then looked up by position.
-    """
-    snaps = rows.where(F.col("raw_speed") > cfg.snap_threshold)
-    if "around" not in rows.columns:
-        near = snaps.select(*PLAYER, F.col("row_i").alias("_snap"), F.explode(F.sequence(
-            F.col("row_i") - TRAJECTORY, F.col("row_i") + TRAJECTORY)).alias("row_i"))
-        seen = near.join(rows.select(*PLAYER, "row_i", "tick", "yaw", "pitch"), [*PLAYER, "row_i"]).groupBy(*PLAYER, "_snap").agg(
-            F.sort_array(F.collect_list(F.struct("row_i", "tick", "yaw", "pitch"))).alias("_near"))
-        snaps = snaps.join(seen.withColumnRenamed("_snap", "row_i"), [*PLAYER, "row_i"]).withColumn(
-            "around", F.transform("_near", lambda x: F.struct(x["tick"].alias("tick"), x["yaw"].alias("yaw"), x["pitch"].alias("pitch"))))
+    """Rows whose raw step (no contiguity test) exceeds the snap threshold, with three rows on each side."""
+    snaps = (rows if "around" in rows.columns else with_around(rows, cfg)).where(F.col("raw_speed") > cfg.snap_threshold)
     return snaps.select(
         *PLAYER, F.lit("aim_snap").alias("type"), "tick",
         stable_round("raw_speed", 2).alias("snap_angle"), stable_round("raw_d_yaw", 2).alias("delta_yaw"),

@@ -1,5 +1,6 @@
 """End-to-end analysis: ticks and shots in, metrics, verdicts and event timeline out, for all matches in one job."""
 
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
@@ -47,27 +48,31 @@ def kinematic_rows(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig =
     return kinematics(timeline(mark_shots(ticks, fires, cfg), profile, cfg), cfg).select(*KIN_COLUMNS)
 
 
+DETECTORS = ("aim", "bhop", "spin", "occlusion", "trigger")
+
+
 def player_metrics(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="tabular",
-                   radius: float | None = None, stored: bool = True, kin: DataFrame | None = None, keep: Keep | None = None) -> DataFrame:
-    """All five detectors, one row per (match, player).
+                   radius: float | None = None, stored: bool = True, kin: DataFrame | None = None, keep: Keep | None = None,
+                   detectors: Sequence[str] = DETECTORS) -> DataFrame:
+    """All five detectors (or those named), one row per (match, player).
 
-    What several aggregations read (kinematics, aim rows, jump intervals, locks, reactions) is written once
+    What several aggregations read (kinematics, jump intervals, locks, reactions) is written once
     (``stored``, or with ``keep``) and scanned narrowly after that. ``kin``: written kinematics, if they are at hand.
     """
     keep = keep or (materialize if stored else lazy)
     shots = shots_from(ticks, fires, cfg)
     if kin is None:
         kin = keep(kinematic_rows(ticks, shots.withColumnRenamed("steamid", "user_steamid"), cfg=cfg, profile=profile), "kinematics")
-    builders = [
-        lambda: aim.aim_metrics_of(kin, cfg, keep),
-        lambda: bhop.bhop_metrics_of(bhop.jump_rows_of(kin, profile), profile, cfg, keep),
-        lambda: spin.spin_metrics_of(kin, cfg),
-        lambda: occlusion.occlusion_metrics(ticks, cfg=cfg, profile=profile, kin=kin, keep=keep),
-        lambda: trigger.trigger_metrics(ticks, shots, cfg=cfg, radius=radius, keep=keep),
-    ]
+    builders = {
+        "aim": lambda: aim.aim_metrics_of(kin, cfg),  # a filter of the kinematics: not written again
+        "bhop": lambda: bhop.bhop_metrics_of(bhop.jump_rows_of(kin, profile), profile, cfg, keep),
+        "spin": lambda: spin.spin_metrics_of(kin, cfg),
+        "occlusion": lambda: occlusion.occlusion_metrics(ticks, cfg=cfg, profile=profile, kin=kin, keep=keep),
+        "trigger": lambda: trigger.trigger_metrics(ticks, shots, cfg=cfg, radius=radius, keep=keep),
+    }
     # the written intermediates of the detectors are independent jobs: submit them together
-    with ThreadPoolExecutor(len(builders)) as pool:
-        parts = list(pool.map(lambda build: build(), builders))
+    with ThreadPoolExecutor(len(detectors)) as pool:
+        parts = list(pool.map(lambda name: builders[name](), detectors))
     out = results.roster(ticks)
     for p in parts:
         out = out.join(p, [*PLAYER], "left")

@@ -42,13 +42,24 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "ticks", lambda: derive_ticks(spark, sf_dir))
 
 
+def kinematics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinematics with shot marks, shared by the metrics, the timeline and the report events."""
+    from tickscope.plans.analyze import kinematic_rows
+
+    def build():
+        t = ticks(spark, sf_dir)
+        return kinematic_rows(t, fires(t))
+
+    return stored(spark, sf_dir, "kinematics", build)
+
+
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of all detectors with a head sphere of 200 units, so that the random view hits something."""
     from tickscope.plans.analyze import player_metrics
 
     def build():
         t = ticks(spark, sf_dir)
-        return player_metrics(t, fires(t), radius=200.0).join(
+        return player_metrics(t, fires(t), radius=200.0, kin=kinematics(spark, sf_dir)).join(
             t.groupBy("match_id", "steamid").agg(F.min("name").alias("name"), F.min("team_num").alias("team_number"),
                                                  (F.sum("event_id") % 1000 / 10.0).alias("ml_score")),
             ["match_id", "steamid"])

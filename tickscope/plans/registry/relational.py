@@ -6,7 +6,7 @@ from tickscope.functions.numbers import stable_round
 from tickscope.operators import aim, bhop, occlusion, reports, results, rules, spin, trigger
 from tickscope.operators.blocks import PLAYER
 from tickscope.plans import inputs as I
-from tickscope.plans.analyze import combat_events, judge
+from tickscope.plans.analyze import combat_events, judge, player_metrics
 from tickscope.plans.registry import query
 from tickscope.sources import result_store
 from tickscope.sources.workdir import materialize, new_path
@@ -292,10 +292,9 @@ def event_timeline(spark, sf):
     from tickscope.plans.registry.detectors import LOOSE
 
     def build():
-        t = I.ticks(spark, sf)
-        locks = occlusion.occlusion_metrics(t, cfg=LOOSE, keep=materialize)
-        m = I.metrics(spark, sf).drop(*occlusion.METRICS).join(locks, [*PLAYER])
-        return combat_events(t, I.fires(t), m, cfg=LOOSE)
+        t, k = I.ticks(spark, sf), I.kinematics(spark, sf)
+        m = materialize(player_metrics(t, I.fires(t), cfg=LOOSE, radius=200.0, kin=k, detectors=("spin", "occlusion", "trigger")), "combat_metrics")
+        return combat_events(t, I.fires(t), m, cfg=LOOSE, kin=k)
 
     return I.stored(spark, sf, "combat_events", build)
 
@@ -443,9 +442,9 @@ def report_events(spark, sf):
     from dataclasses import replace
 
     def build():
-        t = I.ticks(spark, sf)
+        k = I.kinematics(spark, sf)
         return results.event_timeline(
-            aim.snap_events(t, cfg=replace(RULE_CFG, snap_threshold=120.0)), bhop.chain_events(t, cfg=replace(RULE_CFG, chain_event=2), keep=materialize),
+            aim.snap_events_of(k, replace(RULE_CFG, snap_threshold=120.0)), bhop.chain_events_of(bhop.jump_rows_of(k), replace(RULE_CFG, chain_event=2), materialize),
             spin.spin_events(I.metrics(spark, sf)))
 
     return I.stored(spark, sf, "report_events", build)
