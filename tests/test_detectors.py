@@ -376,3 +376,24 @@ def test_both_jump_profiles_in_one_pass(spark, make):
     got = sorted(map(tuple, bhop.bhop_metrics_both(t).select("profile", *bhop.PLAYER, *bhop.METRICS).collect()))
     want = [(p, *r) for p in ("tabular", "replay") for r in bhop.bhop_metrics(t, profile=p).select(*bhop.PLAYER, *bhop.METRICS).collect()]
     assert got == sorted(map(tuple, want)) and len(got) == 11
+
+
+def test_crowded_ticks_are_written_apart(make):
+    """The table of crowded ticks is handed to ``keep``, so that its size is known; pairs are those of the lazy plan."""
+    from dataclasses import replace
+
+    from tickscope.config import DEFAULT
+    from tickscope.operators import occlusion
+    from tickscope.sources.workdir import materialize
+    t = make(*[{"n": 4, "steamid": s, "team_num": 2 + i % 2, "X": 300.0 * i, "Y": 250.0 * i} for i, s in enumerate("abcdef")])
+    kept = []
+
+    def keep(df, name):
+        kept.append((name, materialize(df, name)))
+        return kept[-1][1]
+
+    for crowd, ticks in ((64, 0), (4, 4)):
+        cfg = replace(DEFAULT, crowd=crowd)
+        got = occlusion.sight_pairs(t, cfg, keep=keep).collect()
+        assert sorted(got) == sorted(occlusion.sight_pairs(t, cfg).collect()) and got
+        assert kept[-1][0] == "crowded" and kept[-1][1].count() == ticks

@@ -32,10 +32,11 @@ def with_first_team(ticks: DataFrame) -> DataFrame:
 
 
 def sight_pairs(ticks: DataFrame, cfg: AnalysisConfig = DEFAULT, *, profile="tabular", team_mode="tick",
-                alive_only=True, in_range=True, occluded=True) -> DataFrame:
+                alive_only=True, in_range=True, occluded=True, keep: Keep = lazy) -> DataFrame:
     """(player, opponent) of the same tick with distances and angular error.
 
-    Ticks with more than ``cfg.crowd`` rows are matched by grid cell too; the rows do not depend on it.
+    Ticks with more than ``cfg.crowd`` rows are matched by grid cell too; the rows do not depend on it. Written with ``keep``, the table of those
+    ticks has a known size, and rows are not exchanged to meet an empty one.
     """
     rows = not_dead(ticks) if alive_only else ticks
     me_team = "team_num"
@@ -45,7 +46,7 @@ def sight_pairs(ticks: DataFrame, cfg: AnalysisConfig = DEFAULT, *, profile="tab
     if in_range:
         # few ticks or none: counted before the shuffle, and the table of crowded ticks is empty for ordinary matches
         crowded = rows.groupBy("match_id", "tick").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > cfg.crowd)
-        rows = rows.join(crowded, ["match_id", "tick"], "left")
+        rows = rows.join(keep(crowded, "crowded"), ["match_id", "tick"], "left")
         grid = F.col("_rows").isNotNull()
         around = F.array(*[F.struct(_cell("X", side, i).alias("cx"), _cell("Y", side, j).alias("cy"))
                            for i in (-1, 0, 1) for j in (-1, 0, 1)])
@@ -116,7 +117,7 @@ def info_timing(kin: DataFrame, pairs: DataFrame, cfg: AnalysisConfig = DEFAULT)
 def occlusion_metrics(ticks: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="tabular", team_mode="tick",
                       alive_only=True, kin: DataFrame | None = None, keep: Keep = lazy) -> DataFrame:
     """``kin``: kinematics of the same ticks, if they are at hand (replay profile)."""
-    pairs = sight_pairs(ticks, cfg, profile=profile, team_mode=team_mode, alive_only=alive_only)
+    pairs = sight_pairs(ticks, cfg, profile=profile, team_mode=team_mode, alive_only=alive_only, keep=keep)
     # all metrics look at small errors only: few pairs, read three times
     pairs = keep(pairs.where(F.col("error") < max(cfg.wide_angle, cfg.strict_angle, cfg.preaim_angle)).drop(
         "target_name", "pitch", "spotted"), "locks")
