@@ -152,3 +152,15 @@ def test_possible_never_drops_the_least(spark):
     d = spark.range(20_000).select(F.xxhash64("id").alias("t"), (F.col("id") % 7 * F.col("id") % 50 + 1).cast("double").alias("w"), (F.col("id") % 64).cast("int").alias("d"))
     a = F.shiftright(fp.sample(F.col("t"), F.col("w"), F.col("d")), fp.CODE_BITS) / F.lit(2.0 ** fp.FIXED)
     assert d.where(~fp.possible(F.col("t"), F.col("w"), a + 1e-9, F.col("d"))).count() == 0
+
+
+def test_carried_columns_are_not_aggregated_with_every_term(spark):
+    """Carried columns come back whole, nulls too, and the aggregation of terms holds nothing but the least sample."""
+    rows = [(1, "a b a", 5, True, -(2 ** 63)), (2, None, None, False, 2 ** 63 - 1), (3, " ".join(f"w{i}" for i in range(300)), 7, None, 0)]
+    docs = spark.createDataFrame(rows, "id long, text string, n int, flag boolean, sha long")
+    got = fp.fingerprints(docs, ["id"], carried=["n", "flag", "sha"])
+    assert [f.dataType.simpleString() for f in got.schema][1:4] == ["int", "boolean", "bigint"]
+    assert sorted((r.id, r.n, r.flag, r.sha) for r in got.collect()) == [(i, n, f, s) for i, _, n, f, s in rows]
+    plain = {r.id: r.codes for r in fp.fingerprints(docs, ["id"]).collect()}
+    assert {r.id: r.codes for r in got.collect()} == plain and "".join(f"{c:06x}" for c in plain[3]) == brute(rows[2][1])
+    assert "first(" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -18,6 +18,7 @@ each other's successors. A table of one row follows itself. Other columns are no
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,11 +57,11 @@ def _draws(term: Column, d: Column) -> tuple[Column, Column, Column]:
 
 def possible(term: Column, weight: Column, most: Column, d: Column) -> Column:
     """False only where a is above ``most``: a is at least 2 (1 - q) / (1 + q) times x / (x + s (1 - x)) / w, where s = 1 - b for w = 1 and 1 otherwise.
-    Most terms are done with here, without a logarithm."""
+    Most terms are done with here, without a logarithm. A filter evaluates what it names twice twice, so q, x and b stand once."""
     q, x, b = _draws(term, d)
     one = F.lit(1.0)
     s = F.when(weight == 1, one - b).otherwise(one)
-    return F.lit(2.0) * (one - q) * x <= most * weight * (one + q) * (x + s * (one - x))
+    return F.lit(4.0) / (one + q) - F.lit(2.0) <= most * weight * (one + s * (one / x - one))
 
 
 def sample(term: Column, weight: Column, d: Column) -> Column:
@@ -75,7 +76,7 @@ def sample(term: Column, weight: Column, d: Column) -> Column:
 
 def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", words: int = 1, samples: int = SAMPLES, carried: list[str] = ()) -> DataFrame:
     """``keys``, ``carried`` and ``codes``, the bag's samples (array of ``samples`` longs). Rows equal in ``keys`` count as one bag; ``carried``
-    columns, numbers or booleans, depend on them.
+    columns, whole numbers or booleans, depend on them.
 
     If ``docs`` is already dealt by some of ``keys``, nothing is exchanged.
     """
@@ -83,14 +84,24 @@ def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", words
     runs = F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))
     # the outer form adds no filter that would count the terms again; there is at least one
     terms = sorted_.withColumn("_runs", runs).select(*keys, *carried, "_s", "_runs", F.posexplode_outer("_runs").alias("_j", "_at")).select(
-        *keys, *carried, F.get("_s", F.col("_at")).alias("_term"), (F.lit(CERTAIN) / F.size("_s")).alias("_most"),
+        *keys, *carried, "_j", F.get("_s", F.col("_at")).alias("_term"), (F.lit(CERTAIN) / F.size("_s")).alias("_most"),
         (F.coalesce(F.get("_runs", F.col("_j") + 1), F.size("_s")) - F.col("_at")).cast("double").alias("_w"))
-    each = terms.withColumn("_d", F.explode_outer(F.sequence(F.lit(0), F.lit(samples - 1)))).where(possible(F.col("_term"), F.col("_w"), F.col("_most"), F.col("_d")))
-    least = each.groupBy(*keys, "_d").agg(F.min(sample(F.col("_term"), F.col("_w"), F.col("_d"))).alias("_m"), *[F.first(c).alias(c) for c in carried])
-    code = F.struct("_d", F.col("_m").bitwiseAND(F.lit((1 << CODE_BITS) - 1)).alias("code"))
-    found = least.groupBy(*keys).agg(F.sort_array(F.collect_list(code)).alias("_c"), *[F.first(c).alias(c) for c in carried])
-    filled = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda d: F.coalesce(F.get(F.filter("_c", lambda x: x["_d"] == d), F.lit(0))["code"], F.lit(0)))
-    return found.select(*keys, *carried, F.when(F.size("_c") == samples, F.col("_c.code")).otherwise(filled).alias("codes"))
+    # carried columns go along as further functions of the first term, so that the aggregation of all others holds one number
+    first, every = F.sequence(F.lit(0), F.lit(samples + len(carried) - 1)), F.sequence(F.lit(0), F.lit(samples - 1))
+    each = terms.withColumn("_d", F.explode_outer(F.when(F.col("_j") == 0, first).otherwise(every))).where(
+        (F.col("_d") >= samples) | possible(F.col("_term"), F.col("_w"), F.col("_most"), F.col("_d")))
+    # joined by bits: inside a branch, common parts of the sample would be evaluated again
+    drawn = sample(F.col("_term"), F.col("_w"), F.col("_d")).bitwiseAND(F.when(F.col("_d") < samples, F.lit(-1)).otherwise(F.lit(0)).cast("long"))
+    if carried:
+        at = [(F.col("_d") == samples + i, F.col(c).cast("long")) for i, c in enumerate(carried)]
+        drawn = drawn.bitwiseOR(reduce(lambda when, case: when.when(*case), at[1:], F.when(*at[0])).otherwise(F.lit(0).cast("long")))
+    least = each.groupBy(*keys, "_d").agg(F.min(drawn).alias("_m"))
+    code = F.struct("_d", F.when(F.col("_d") < samples, F.col("_m").bitwiseAND(F.lit((1 << CODE_BITS) - 1))).otherwise(F.col("_m")).alias("code"))
+    found = least.groupBy(*keys).agg(F.sort_array(F.collect_list(code)).alias("_all")).withColumn("_c", F.filter("_all", lambda x: x["_d"] < samples))
+    filled = F.transform(every, lambda d: F.coalesce(F.get(F.filter("_c", lambda x: x["_d"] == d), F.lit(0))["code"], F.lit(0)))
+    types = dict(docs.dtypes)
+    back = [F.get("_all", F.size("_c") + i)["code"].cast(types[c]).alias(c) for i, c in enumerate(carried)]
+    return found.select(*keys, *back, F.when(F.size("_c") == samples, F.col("_c.code")).otherwise(filled).alias("codes"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
