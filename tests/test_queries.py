@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as driver
+from tickscope.plans import inputs
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
@@ -48,3 +49,15 @@ def test_cubes_beyond_64_bits(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").write.parquet(str(tmp_path / "events.parquet"))
     got = {r.event_id: r.mb for r in driver.queries()["PRJ-4"](spark, str(tmp_path)).collect()}
     assert got == {i: pytest.approx(i ** 3 % 4000000007 // (4000000, 4000, 40, 1)[i % 4] / 1048576, abs=0.0051) for i in ids}
+
+
+@pytest.mark.parametrize("name", ["DST-5", "DST-6"])
+def test_labels_run_no_detector(spark, con, name, monkeypatch):
+    """Labels, and what is counted by them, follow from the roster and the manifest: the same as the SQL without any metrics."""
+    def none(*_):
+        raise AssertionError("metrics are computed for a label")
+
+    monkeypatch.setattr(inputs, "_STORED", {})
+    monkeypatch.setattr(inputs, "metrics", none)
+    monkeypatch.setattr(inputs, "kinematics", none)
+    test_same_as_sql(spark, con, name)

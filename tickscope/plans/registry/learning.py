@@ -31,9 +31,13 @@ def user_no():
 CLASS_SQL = f"CASE WHEN {K_SQL} % 2 = 0 THEN 'with_cheater_present' ELSE 'no_cheater_present' END"
 
 
+def class_of_match():
+    return F.when(match_no() % 2 == 0, dataset.WITH).otherwise(dataset.WITHOUT)
+
+
 def pairs(spark, sf):
     """One tick file and one metadata file per match of the telemetry view."""
-    folder = F.concat(F.lit("/data/"), F.when(match_no() % 2 == 0, dataset.WITH).otherwise(dataset.WITHOUT), F.lit("/"), F.col("match_id"))
+    folder = F.concat(F.lit("/data/"), class_of_match(), F.lit("/"), F.col("match_id"))
     listing = I.ticks(spark, sf).select("match_id").distinct().select(folder.alias("f")).select(
         F.explode(F.array(F.concat("f", F.lit(".parquet")), F.concat("f", F.lit(".json")))).alias("path"))
     return files.discover_pairs(listing)
@@ -84,6 +88,15 @@ split_ AS (
 """
 
 
+def labels(spark, sf):
+    """Labelled players, written once. A label follows from the roster and the manifest, so no detector runs for it."""
+    def build():
+        people = results.roster(I.ticks(spark, sf)).withColumn("match_id", F.concat_ws("_", class_of_match(), "match_id"))
+        return dataset.label_players(people, manifest_with_split(spark, sf), cheaters(spark, sf))
+
+    return I.stored(spark, sf, "labels", build)
+
+
 def features(spark, sf):
     """Labelled feature rows, written once as a training run would keep them."""
     def build():
@@ -91,8 +104,7 @@ def features(spark, sf):
         rows = dataset.feature_rows(m.select(*PLAYER, *[c for c in m.columns if c.startswith("aim_")]),
                                     m.select(*PLAYER, *[c for c in m.columns if c.startswith("bhop_")]),
                                     m.select(*PLAYER, *[c for c in m.columns if c.startswith("wh_")]))
-        label = F.when(match_no() % 2 == 0, dataset.WITH).otherwise(dataset.WITHOUT)
-        rows = rows.withColumn("match_id", F.concat_ws("_", label, "match_id"))
+        rows = rows.withColumn("match_id", F.concat_ws("_", class_of_match(), "match_id"))
         return dataset.label_players(rows, manifest_with_split(spark, sf), cheaters(spark, sf))
 
     return I.stored(spark, sf, "features", build)
@@ -163,12 +175,12 @@ def dst4(spark, sf):
 @query("DST-5", I.with_sql(LABELS_SQL, """SELECT player_key, label, CASE label WHEN 1 THEN 'verified_cheater' WHEN 0 THEN 'probable_non_cheater' ELSE 'unknown' END AS label_text,
   CASE label WHEN 1 THEN 'high' WHEN 0 THEN 'medium' ELSE 'low' END AS label_confidence, label IN (0, 1) AS usable_for_training FROM feats"""))
 def dst5(spark, sf):
-    return features(spark, sf).select("player_key", "label", "label_text", "label_confidence", "usable_for_training")
+    return labels(spark, sf).select("player_key", "label", "label_text", "label_confidence", "usable_for_training")
 
 
 @query("DST-6", I.with_sql(LABELS_SQL, "SELECT split, player_key, label FROM feats WHERE label IN (0, 1)"))
 def dst6(spark, sf):
-    f = features(spark, sf)
+    f = labels(spark, sf)
     out = None
     for s in ("train", "validation", "test"):
         d = dataset.supervised(f, s).select("split", "player_key", "label")
@@ -207,9 +219,7 @@ def agg8(spark, sf):
 
 @query("JOIN-7", I.with_sql(LABELS_SQL, "SELECT match_id, steamid, label, split FROM feats"))
 def join7(spark, sf):
-    label = F.when(match_no() % 2 == 0, dataset.WITH).otherwise(dataset.WITHOUT)
-    people = results.roster(I.ticks(spark, sf)).withColumn("match_id", F.concat_ws("_", label, "match_id"))
-    return dataset.label_players(people, manifest_with_split(spark, sf), cheaters(spark, sf)).select(*PLAYER, "label", "split")
+    return labels(spark, sf).select(*PLAYER, "label", "split")
 
 
 @query("JOIN-8", SCORED_SQL.replace("label FROM events)", "label, fmod(value * 3.0::DOUBLE, 100.0::DOUBLE) / 100.0::DOUBLE AS score_b FROM events)") + f"""
