@@ -51,7 +51,7 @@ def test_cubes_beyond_64_bits(spark, tmp_path):
     assert got == {i: pytest.approx(i ** 3 % 4000000007 // (4000000, 4000, 40, 1)[i % 4] / 1048576, abs=0.0051) for i in ids}
 
 
-@pytest.mark.parametrize("name", ["DST-5", "DST-6"])
+@pytest.mark.parametrize("name", ["DST-5", "AGG-7", "DST-6"])
 def test_labels_run_no_detector(spark, con, name, monkeypatch):
     """Labels, and what is counted by them, follow from the roster and the manifest: the same as the SQL without any metrics."""
     def none(*_):

@@ -205,7 +205,7 @@ def dst8(spark, sf):
 
 @query("AGG-7", I.with_sql(LABELS_SQL, "SELECT split, label, count(*) AS count FROM feats GROUP BY 1, 2"))
 def agg7(spark, sf):
-    return dataset.population(features(spark, sf))
+    return dataset.population(labels(spark, sf))
 
 
 @query("AGG-8", I.with_sql(I.BASE_SQL, f"""SELECT count(DISTINCT match_id) AS matches, count(DISTINCT match_id) FILTER ({K_SQL} % 5 = 4) AS failed,
