@@ -138,3 +138,14 @@ def test_some_detectors(spark, make, shots):
     assert not [c for c in some.columns if c.startswith(("aim_", "bhop_", "wh_"))]
     whole = analyze.player_metrics(t, f).select(*some.columns)
     assert some.orderBy("steamid").collect() == whole.orderBy("steamid").collect()
+
+
+def test_some_players(spark, make, shots):
+    """Metrics of some players are those they have among all: the others are still seen."""
+    t, f = scene(make).withColumns({"X": F.col("X") / 10, "Y": F.col("Y") / 10}), shots([1050], "76561198000000003").unionByName(shots([1060], "76561198000000002"))
+    of = t.where("name in ('quiet', 'idle')").select("match_id", "steamid").distinct()
+    for profile in ("tabular", "replay"):
+        some = analyze.player_metrics(t, f, of=of, profile=profile, radius=200.0)
+        whole = analyze.player_metrics(t, f, profile=profile, radius=200.0).join(of, ["match_id", "steamid"], "left_semi").select(*some.columns)
+        got = some.orderBy("steamid").collect()
+        assert len(got) == 2 and any(r.wh_ratio_lock_cache for r in got) and got == whole.orderBy("steamid").collect()

@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as driver
 from tickscope.plans import inputs
+from tickscope.plans.registry import learning
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
@@ -61,3 +62,20 @@ def test_labels_run_no_detector(spark, con, name, monkeypatch):
     monkeypatch.setattr(inputs, "metrics", none)
     monkeypatch.setattr(inputs, "kinematics", none)
     test_same_as_sql(spark, con, name)
+
+
+def test_training_measures_its_players_only(spark, con, monkeypatch):
+    """The forest of ML-2 needs the three detectors its features come from, for the players it is fitted on; their rows are those of the whole feature table."""
+    def none(*_):
+        raise AssertionError("metrics are computed for a model")
+
+    monkeypatch.setattr(inputs, "_STORED", {})
+    with monkeypatch.context() as m:
+        m.setattr(inputs, "metrics", none)
+        m.setattr(inputs, "kinematics", none)
+        few = learning.train_rows(spark, SF).orderBy("player_key").toPandas()
+    want = con.execute(driver.oracle_sql()["ML-2"]).df()
+    assert few.label.value_counts().to_dict() == dict(zip(want.label, want.trained_on))
+    whole = learning.features(spark, SF)
+    assert 0 < len(few) < whole.count()
+    pd.testing.assert_frame_equal(few, learning.train_rows(spark, SF).orderBy("player_key").toPandas())

@@ -32,30 +32,31 @@ def with_first_team(ticks: DataFrame) -> DataFrame:
 
 
 def sight_pairs(ticks: DataFrame, cfg: AnalysisConfig = DEFAULT, *, profile="tabular", team_mode="tick",
-                alive_only=True, in_range=True, occluded=True, keep: Keep = lazy) -> DataFrame:
-    """(player, opponent) of the same tick with distances and angular error.
+                alive_only=True, in_range=True, occluded=True, keep: Keep = lazy, viewers: DataFrame | None = None) -> DataFrame:
+    """(player, opponent) of the same tick with distances and angular error. ``viewers``: the rows of the players who look, if not all do.
 
     Ticks with more than ``cfg.crowd`` rows are matched by grid cell too; the rows do not depend on it. Written with ``keep``, the table of those
     ticks has a known size, and rows are not exchanged to meet an empty one.
     """
-    rows = not_dead(ticks) if alive_only else ticks
+    rows, views = ((not_dead(d) if alive_only else d) for d in (ticks, ticks if viewers is None else viewers))
     me_team = "team_num"
     if team_mode == "first":
-        rows, me_team = with_first_team(rows), "_team"
+        rows, views, me_team = with_first_team(rows), with_first_team(views), "_team"
     side = cfg.range_max
     if in_range:
         # few ticks or none: counted before the shuffle, and the table of crowded ticks is empty for ordinary matches
         crowded = rows.groupBy("match_id", "tick").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > cfg.crowd)
-        rows = rows.join(keep(crowded, "crowded"), ["match_id", "tick"], "left")
+        crowded = keep(crowded, "crowded")
+        rows, views = (d.join(crowded, ["match_id", "tick"], "left") for d in (rows, views))
         grid = F.col("_rows").isNotNull()
         around = F.array(*[F.struct(_cell("X", side, i).alias("cx"), _cell("Y", side, j).alias("cy"))
                            for i in (-1, 0, 1) for j in (-1, 0, 1)])
         none = F.array(F.struct(F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy")))
-        me = rows.withColumn("_cell", F.explode(F.when(grid, around).otherwise(none)))
+        me = views.withColumn("_cell", F.explode(F.when(grid, around).otherwise(none)))
         en = rows.withColumn("_cell", F.when(grid, F.struct(_cell("X", side).alias("cx"), _cell("Y", side).alias("cy")))
                              .otherwise(none[0]))
     else:
-        me = en = rows.withColumn("_cell", F.lit(0))
+        me, en = (d.withColumn("_cell", F.lit(0)) for d in (views, rows))
     me = me.select("match_id", "tick", "_cell", "steamid", F.col(me_team).alias("team_j"), F.col("X").alias("xj"),
                    F.col("Y").alias("yj"), F.col("Z").alias("zj"), "pitch", "yaw")
     if occluded:
@@ -115,19 +116,20 @@ def info_timing(kin: DataFrame, pairs: DataFrame, cfg: AnalysisConfig = DEFAULT)
 
 
 def occlusion_metrics(ticks: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="tabular", team_mode="tick",
-                      alive_only=True, kin: DataFrame | None = None, keep: Keep = lazy) -> DataFrame:
-    """``kin``: kinematics of the same ticks, if they are at hand (replay profile)."""
-    pairs = sight_pairs(ticks, cfg, profile=profile, team_mode=team_mode, alive_only=alive_only, keep=keep)
+                      alive_only=True, kin: DataFrame | None = None, keep: Keep = lazy, viewers: DataFrame | None = None) -> DataFrame:
+    """``kin``: kinematics of the same ticks, if they are at hand (replay profile). ``viewers``: the rows of the players asked for, if not all are."""
+    viewers = ticks if viewers is None else viewers
+    pairs = sight_pairs(ticks, cfg, profile=profile, team_mode=team_mode, alive_only=alive_only, keep=keep, viewers=viewers)
     # all metrics look at small errors only: few pairs, read three times
     pairs = keep(pairs.where(F.col("error") < max(cfg.wide_angle, cfg.strict_angle, cfg.preaim_angle)).drop(
         "target_name", "pitch", "spotted"), "locks")
     replay = profile == "replay"
     counted = F.coalesce(F.col("health") > 0, F.lit(True)) if alive_only and "health" in ticks.columns else F.lit(True)
-    rows = ticks.groupBy(*PLAYER).agg(F.count_if(counted).alias("rows"))
+    rows = viewers.groupBy(*PLAYER).agg(F.count_if(counted).alias("rows"))
     runs = (active_runs if replay else strict_runs)(pairs, cfg).groupBy(*PLAYER).agg(F.max("run_len").alias("run"))
     out = rows.join(lock_counts(pairs, cfg), [*PLAYER], "left").join(runs, [*PLAYER], "left")
     if replay:
-        kin = kinematics(timeline(ticks, "replay", cfg), cfg) if kin is None else kin
+        kin = kinematics(timeline(viewers, "replay", cfg), cfg) if kin is None else kin
         out = out.join(info_timing(kin, pairs, cfg), [*PLAYER], "left")
     else:
         out = out.withColumn("info_timing", F.lit(0.0))

@@ -49,31 +49,43 @@ def kinematic_rows(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig =
 
 
 DETECTORS = ("aim", "bhop", "spin", "occlusion", "trigger")
+#: Columns of the kinematics that a detector reads, beside player and tick.
+READ_BY = {
+    "aim": ("yaw", "row_n", "in_shot", "use_shot", "src_i", "src_n", "speed", "jerk", "direction_change"),
+    "bhop": ("yaw", "velocity_X", "velocity_Y", "row_i", "row_n", "air", "air_known", "air_before"),
+    "spin": ("pitch", "row_i", "row_n", "spin_mean", "pitch_var", "pitch_turns", "yaw_flip"),
+    "occlusion": ("row_n", "yaw_step"),
+    "trigger": (),
+}
 
 
 def player_metrics(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="tabular",
                    radius: float | None = None, stored: bool = True, kin: DataFrame | None = None, keep: Keep | None = None,
-                   detectors: Sequence[str] = DETECTORS) -> DataFrame:
-    """All five detectors (or those named), one row per (match, player).
+                   detectors: Sequence[str] = DETECTORS, of: DataFrame | None = None) -> DataFrame:
+    """All five detectors (or those named), one row per (match, player), of the players ``of`` or of all; the others are still opponents.
 
     What several aggregations read (kinematics, jump intervals, locks, reactions) is written once
     (``stored``, or with ``keep``) and scanned narrowly after that. ``kin``: written kinematics, if they are at hand.
     """
     keep = keep or (materialize if stored else lazy)
-    shots = shots_from(ticks, fires, cfg)
+    shots, mine = shots_from(ticks, fires, cfg), ticks
+    if of is not None:
+        shots, mine = shots.join(of, [*PLAYER], "left_semi"), keep(ticks.join(of, [*PLAYER], "left_semi"), "rows_of")
     if kin is None:
-        kin = keep(kinematic_rows(ticks, shots.withColumnRenamed("steamid", "user_steamid"), cfg=cfg, profile=profile), "kinematics")
+        read = {c for name in detectors for c in READ_BY[name]}
+        kin = kinematic_rows(mine, shots.withColumnRenamed("steamid", "user_steamid"), cfg=cfg, profile=profile)
+        kin = keep(kin.select(*PLAYER, "tick", *[c for c in KIN_COLUMNS if c in read]), "kinematics")
     builders = {
         "aim": lambda: aim.aim_metrics_of(kin, cfg),  # a filter of the kinematics: not written again
         "bhop": lambda: bhop.bhop_metrics_of(bhop.jump_rows_of(kin, profile), profile, cfg, keep),
         "spin": lambda: spin.spin_metrics_of(kin, cfg),
-        "occlusion": lambda: occlusion.occlusion_metrics(ticks, cfg=cfg, profile=profile, kin=kin, keep=keep),
+        "occlusion": lambda: occlusion.occlusion_metrics(ticks, cfg=cfg, profile=profile, kin=kin, keep=keep, viewers=mine),
         "trigger": lambda: trigger.trigger_metrics(ticks, shots, cfg=cfg, radius=radius, keep=keep),
     }
     # the written intermediates of the detectors are independent jobs: submit them together
     with ThreadPoolExecutor(len(detectors)) as pool:
         parts = list(pool.map(lambda name: builders[name](), detectors))
-    out = results.roster(ticks)
+    out = results.roster(mine)
     for p in parts:
         out = out.join(p, [*PLAYER], "left")
     return out

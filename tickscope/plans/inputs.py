@@ -67,6 +67,22 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "metrics", build)
 
 
+def is_stored(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    return (spark.sparkContext.applicationId, sf_dir, name) in _STORED
+
+
+def feature_metrics(spark: SparkSession, sf_dir: str, of: DataFrame | None = None, name: str = "feature_metrics") -> DataFrame:
+    """Metrics of the detectors that features come from, of the players ``of`` or of all. Written metrics and kinematics are used if they are at hand."""
+    from tickscope.plans.analyze import player_metrics
+
+    def build():
+        t = ticks(spark, sf_dir)
+        kin = kinematics(spark, sf_dir) if is_stored(spark, sf_dir, "kinematics") else None
+        return player_metrics(t, fires(t), radius=200.0, kin=kin, detectors=("aim", "bhop", "occlusion"), of=of)
+
+    return metrics(spark, sf_dir) if is_stored(spark, sf_dir, "metrics") else stored(spark, sf_dir, name, build)
+
+
 def scaled_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random views trip every aim rule; scaled down, each rule holds for some players and not for others."""
     m = metrics(spark, sf_dir)

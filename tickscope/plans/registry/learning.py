@@ -97,17 +97,17 @@ def labels(spark, sf):
     return I.stored(spark, sf, "labels", build)
 
 
+def labelled_features(spark, sf, m):
+    rows = dataset.feature_rows(m.select(*PLAYER, *[c for c in m.columns if c.startswith("aim_")]),
+                                m.select(*PLAYER, *[c for c in m.columns if c.startswith("bhop_")]),
+                                m.select(*PLAYER, *[c for c in m.columns if c.startswith("wh_")]))
+    rows = rows.withColumn("match_id", F.concat_ws("_", class_of_match(), "match_id"))
+    return dataset.label_players(rows, manifest_with_split(spark, sf), cheaters(spark, sf))
+
+
 def features(spark, sf):
     """Labelled feature rows, written once as a training run would keep them."""
-    def build():
-        m = I.metrics(spark, sf)
-        rows = dataset.feature_rows(m.select(*PLAYER, *[c for c in m.columns if c.startswith("aim_")]),
-                                    m.select(*PLAYER, *[c for c in m.columns if c.startswith("bhop_")]),
-                                    m.select(*PLAYER, *[c for c in m.columns if c.startswith("wh_")]))
-        rows = rows.withColumn("match_id", F.concat_ws("_", class_of_match(), "match_id"))
-        return dataset.label_players(rows, manifest_with_split(spark, sf), cheaters(spark, sf))
-
-    return I.stored(spark, sf, "features", build)
+    return I.stored(spark, sf, "features", lambda: labelled_features(spark, sf, I.feature_metrics(spark, sf)))
 
 
 LABELS_SQL = I.METRICS_SQL + "," + MANIFEST_SQL.split(",\nver AS", 1)[1].join(["ver AS", ""]) + f""",
@@ -274,7 +274,15 @@ _MODELS: dict = {}
 
 
 def train_rows(spark, sf):
-    return dataset.supervised(features(spark, sf), "train")
+    """Features of the players of the training split whose label is known. Where features are not written yet, labels come first and only these players are measured."""
+    if I.is_stored(spark, sf, "features"):
+        return dataset.supervised(features(spark, sf), "train")
+
+    def build():
+        who = dataset.supervised(labels(spark, sf), "train").select(F.expr("substring(match_id, length(match_category) + 2)").alias("match_id"), "steamid")
+        return dataset.supervised(labelled_features(spark, sf, I.feature_metrics(spark, sf, materialize(who, "trained_on"), "train_metrics")), "train")
+
+    return I.stored(spark, sf, "train_rows", build)
 
 
 def forest(spark, sf):
