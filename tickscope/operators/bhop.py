@@ -154,10 +154,11 @@ def bhop_metrics_both(ticks: DataFrame, *, cfg: AnalysisConfig = DEFAULT, keep:
     return bhop_metrics_of_both(keep(jump_rows_of_both(kin), "jump_rows"), cfg, keep)
 
 
-def chain_events_of(rows: DataFrame, cfg: AnalysisConfig = DEFAULT, keep: Keep = lazy) -> DataFrame:
-    """Chains of at least ``chain_event`` perfect jumps, only where the metrics are defined."""
-    iv = keep(ground_intervals(rows, cfg), "intervals")
-    m = bhop_metrics_of(rows, "tabular", cfg, intervals=iv).where(F.col("bhop_chaine_max") >= cfg.chain_event).select(
+def chain_events_of(rows: DataFrame, cfg: AnalysisConfig = DEFAULT, keep: Keep = lazy, intervals: DataFrame | None = None,
+                    metrics: DataFrame | None = None) -> DataFrame:
+    """Chains of at least ``chain_event`` perfect jumps, only where the metrics are defined. ``intervals`` and ``metrics`` of the same rows, if they are at hand."""
+    iv = keep(ground_intervals(rows, cfg), "intervals") if intervals is None else intervals
+    m = (bhop_metrics_of(rows, "tabular", cfg, intervals=iv) if metrics is None else metrics).where(F.col("bhop_chaine_max") >= cfg.chain_event).select(
         *PLAYER, stable_round("bhop_vitesse_moyenne", 2).alias("avg_speed"))
     runs = perfect_runs(iv).where(F.col("run_len") >= cfg.chain_event)
     return runs.join(m, [*PLAYER]).select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickscope.config import DEFAULT, AnalysisConfig
 from tickscope.operators.blocks import PLAYER, block_index
+from tickscope.sources.workdir import Keep, lazy
 
 NOT_A_PLAYER = ("", "0", "Player_Unknown")
 
@@ -138,8 +139,11 @@ def event_rows(df: DataFrame) -> DataFrame:
 KIND_ORDER = ("aim_snap", "bhop_chain", "wh_lock", "spinbot_detected", "triggerbot_event")
 
 
-def event_timeline(*kinds: DataFrame) -> DataFrame:
-    """Union of the event kinds with ``seq``, the position in the player's timeline (tick, else start tick, else 0)."""
+def event_timeline(*kinds: DataFrame, keep: Keep = lazy) -> DataFrame:
+    """Union of the event kinds with ``seq``, the position in the player's timeline (tick, else start tick, else 0).
+
+    Positions read the union twice; written with ``keep``, the kinds are worked out once.
+    """
     parts = [event_rows(k) for k in kinds]
     out = parts[0]
     for p in parts[1:]:
@@ -147,7 +151,7 @@ def event_timeline(*kinds: DataFrame) -> DataFrame:
     kind = F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("type"))
     out = out.withColumns({"at_tick": F.coalesce("tick", "start_tick", F.lit(0)), "_kind": kind})
     order = ("at_tick", "_kind", "end_tick", "reason")
-    return block_index(out, {"seq": F.lit(1)}, PLAYER, order).drop("seq_n", "_kind").withColumnRenamed("seq_i", "seq")
+    return block_index(keep(out, "timeline"), {"seq": F.lit(1)}, PLAYER, order).drop("seq_n", "_kind").withColumnRenamed("seq_i", "seq")
 
 
 def earliest_view_tick(timeline: DataFrame, lead_in: int = 350) -> DataFrame:

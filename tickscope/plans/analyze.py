@@ -61,14 +61,15 @@ READ_BY = {
 
 def player_metrics(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="tabular",
                    radius: float | None = None, stored: bool = True, kin: DataFrame | None = None, keep: Keep | None = None,
-                   detectors: Sequence[str] = DETECTORS, of: DataFrame | None = None) -> DataFrame:
+                   detectors: Sequence[str] = DETECTORS, of: DataFrame | None = None, shots: DataFrame | None = None,
+                   intervals: DataFrame | None = None) -> DataFrame:
     """All five detectors (or those named), one row per (match, player), of the players ``of`` or of all; the others are still opponents.
 
     What several aggregations read (kinematics, jump intervals, locks, reactions) is written once
-    (``stored``, or with ``keep``) and scanned narrowly after that. ``kin``: written kinematics, if they are at hand.
+    (``stored``, or with ``keep``) and scanned narrowly after that. ``kin``, ``shots`` and ``intervals`` between jumps: written ones, if they are at hand.
     """
     keep = keep or (materialize if stored else lazy)
-    shots, mine = shots_from(ticks, fires, cfg), ticks
+    shots, mine = shots_from(ticks, fires, cfg) if shots is None else shots, ticks
     if of is not None:
         shots, mine = shots.join(of, [*PLAYER], "left_semi"), keep(ticks.join(of, [*PLAYER], "left_semi"), "rows_of")
     if kin is None:
@@ -77,7 +78,7 @@ def player_metrics(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig =
         kin = keep(kin.select(*PLAYER, "tick", *[c for c in KIN_COLUMNS if c in read]), "kinematics")
     builders = {
         "aim": lambda: aim.aim_metrics_of(kin, cfg),  # a filter of the kinematics: not written again
-        "bhop": lambda: bhop.bhop_metrics_of(bhop.jump_rows_of(kin, profile), profile, cfg, keep),
+        "bhop": lambda: bhop.bhop_metrics_of(bhop.jump_rows_of(kin, profile), profile, cfg, keep, intervals),
         "spin": lambda: spin.spin_metrics_of(kin, cfg),
         "occlusion": lambda: occlusion.occlusion_metrics(ticks, cfg=cfg, profile=profile, kin=kin, keep=keep, viewers=mine),
         "trigger": lambda: trigger.trigger_metrics(ticks, shots, cfg=cfg, radius=radius, keep=keep),
@@ -101,17 +102,18 @@ def judge(metrics: DataFrame, *, cfg: AnalysisConfig = DEFAULT, model: DataFrame
 
 
 def combat_events(ticks: DataFrame, fires: DataFrame, metrics: DataFrame, *, cfg: AnalysisConfig = DEFAULT,
-                  profile="tabular", kin: DataFrame | None = None, keep: Keep = materialize) -> DataFrame:
+                  profile="tabular", kin: DataFrame | None = None, keep: Keep = materialize, intervals: DataFrame | None = None) -> DataFrame:
+    """``intervals`` between jumps: written ones, if they and the ``metrics`` come from the same kinematics and ``cfg``."""
     if kin is None:
         kin = keep(kinematic_rows(ticks, fires, cfg=cfg, profile=profile), "kinematics")
     kinds = [aim.snap_events_of(kin, cfg),
-             bhop.chain_events_of(bhop.jump_rows_of(kin, profile), cfg, keep),
+             bhop.chain_events_of(bhop.jump_rows_of(kin, profile), cfg, keep, intervals, None if intervals is None else metrics),
              occlusion.lock_events(ticks, metrics, cfg=cfg),
              spin.spin_events(metrics, cfg),
              trigger.trigger_flags(metrics, cfg).withColumn("type", F.lit("triggerbot_event"))]
     if profile == "replay":  # the replay profile reports no chains and no locks
         kinds = [kinds[0], kinds[3], kinds[4]]
-    return results.event_timeline(*kinds)
+    return results.event_timeline(*kinds, keep=keep)
 
 
 def analyse(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="tabular", radius: float | None = None,
@@ -121,17 +123,20 @@ def analyse(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig = DEFAULT
     ``model``: a bundle of ``training.load_bundle``; its forest gives ``ml_score``, its isolation forest ``anomaly_score``, its metadata the
     thresholds. A player whose features are incomplete has no score: rules may still decide, otherwise data are insufficient.
     """
-    shots = shots_from(ticks, fires, cfg).withColumnRenamed("steamid", "user_steamid")
-    kin = keep(kinematic_rows(ticks, shots, cfg=cfg, profile=profile), "kinematics")
-    m = keep(player_metrics(ticks, fires, cfg=cfg, profile=profile, radius=radius, kin=kin, keep=keep), "metrics")
+    shots = keep(shots_from(ticks, fires, cfg), "shots")
+    by_user = shots.withColumnRenamed("steamid", "user_steamid")
+    kin = keep(kinematic_rows(ticks, by_user, cfg=cfg, profile=profile), "kinematics")
+    iv = keep(bhop.ground_intervals(bhop.jump_rows_of(kin, profile), cfg), "intervals")
+    m = keep(player_metrics(ticks, fires, cfg=cfg, profile=profile, radius=radius, kin=kin, keep=keep, shots=shots, intervals=iv), "metrics")
     scored = m
     if model is not None:
         from tickscope.plans.training import score_players
 
         scored = score_players(model, m.withColumns({f: F.col(f).cast("double") for f in FEATURES}), cfg)
-    judged = judge(scored, cfg=cfg, model=model["meta"] if model else None).join(results.players(ticks), [*PLAYER], "left")
+    # read once for the players and three times for the matches
+    judged = keep(judge(scored, cfg=cfg, model=model["meta"] if model else None).join(results.players(ticks), [*PLAYER], "left"), "judged")
     match = results.match_verdict(judged).join(results.match_span(ticks, cfg=cfg), "match_id")
-    return Analysis(judged, match, combat_events(ticks, shots, m, cfg=cfg, profile=profile, kin=kin, keep=keep))
+    return Analysis(judged, match, combat_events(ticks, by_user, m, cfg=cfg, profile=profile, kin=kin, keep=keep, intervals=iv))
 
 
 def analyse_matches(ticks: DataFrame, fires: DataFrame, *, cfg: AnalysisConfig = DEFAULT, profile="tabular",
