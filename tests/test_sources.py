@@ -413,3 +413,43 @@ def test_polls_of_a_file_are_ordered_as_tuples():
     a = pd.DataFrame({"polled": t, "length": [1, 5, 5], "modified_time": pd.to_datetime([7, 9, 8], unit="us")})
     rows, ordered = arrivals._in_order(iter([a, a.head(1)]), "polled")
     assert ordered == [(10, 5, 8, 2), (10, 5, 9, 1), (20, 1, 7, 0), (20, 1, 7, 3)] and len(rows) == 4
+
+
+def test_tree_is_listed_by_tasks(spark, replays, tmp_path):
+    """The same files as Spark's own listing, whatever their depth and names, and no scan that has them one by one."""
+    put(replays + "/_hidden/x.dem", b"x")
+    put(replays + "/_day=1/.part/x.dem", b"x")
+    put(replays + "/_day=1/b+c%20é/y.dem", b"y")
+    put(replays + "/_day=1/y.dem._COPYING_", b"y")
+    put(replays + "/empty.dem", b"")
+    for i in range(300):
+        put(f"{replays}/many/{i % 3}/{i}.dem", b"long" * (i % 5 + 1))
+
+    def rows(df):
+        return sorted((r.path, r.modified_time, r.length) for r in df.collect())
+
+    tree = files.list_tree(spark, replays, "*.dem")
+    assert rows(tree) == rows(files.list_files(spark, replays, "*.dem", recursive=True)) and tree.columns == ["path", "modified_time", "length"]
+    assert not any(f.endswith(".dem") for f in tree.inputFiles()) and tree.where("path like '%/many/%'").count() == 300
+    assert rows(files.list_tree(spark, "file://" + replays, "*.info,*.dem")) == rows(files.list_files(spark, replays, "{*.info,*.dem}", recursive=True))
+    (tmp_path / "none").mkdir()
+    assert files.list_tree(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_files_share_rows_of_state(spark, tmp_path):
+    """Few groups follow many files, yet each file has its own count and timer, also in a batch that only brings polls of others."""
+    def polls(names, *looks):
+        return [(f"{n}", length, at(0), at(s)) for n in names for s, length in looks]
+
+    src, out, cp = (str(tmp_path / d) for d in ("in", "out", "cp"))
+    seen = []
+    for rows in (polls(range(300), (0, 9), (1, 9)), polls(range(100), (2, 9)) + polls(range(100, 200), (3, 10)), polls(["new"], (60, 9)), polls(["new"], (61, 9), (62, 9)), polls(["last"], (4000, 9))):
+        spark.createDataFrame(rows, arrivals.POLL_SCHEMA).write.mode("append").parquet(src)
+        stream = arrivals.settled(arrivals.poll_stream(spark, src), timeout="5 seconds", buckets=8)
+        run = arrivals.on_arrival(stream, lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"), cp)
+        run.awaitTermination()
+        seen.append(run.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = {(r.path, r.length, r.outcome, (r.polled - at(0)).total_seconds()) for r in spark.read.parquet(out).collect()}
+    assert got == ({(f"{i}", 9, "complete", 2.0) for i in range(100)} | {(f"{i}", 10, "timeout", 5.0) for i in range(100, 200)}
+                   | {(f"{i}", 9, "timeout", 5.0) for i in range(200, 300)} | {("new", 9, "complete", 62.0)})
+    assert max(seen) <= 8 and seen[-1] == 1  # all others are forgotten

@@ -321,7 +321,7 @@ def str1(spark, sf):
 def str2(spark, sf):
     """One file per document and polls of it over nine seconds, of which five may pass until it is complete: complete from the start, the same with a wrong
     start of the file, too short for ever, growing and then complete, still growing when the time is over. A second run goes on with the state of the first."""
-    listed = files.list_files(spark, replay_files(spark, sf), "*.txt", recursive=True)
+    listed = files.list_tree(spark, replay_files(spark, sf), "*.txt")
 
     def seen(*polls):
         """(tenths of a second, bytes still missing) of each poll."""

@@ -1,6 +1,8 @@
 """File listings: replay catalog, header check, pairing of tick and metadata files."""
 
 from collections.abc import Iterator, Sequence
+from fnmatch import fnmatch
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -8,11 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickscope.operators.blocks import block_index
-from tickscope.sources.paths import open_file
+from tickscope.sources.paths import folder_entries, open_file
+from tickscope.sources.sinks import file_tasks
+from tickscope.sources.workdir import materialize
 
 MAGIC_HEX = "504244454D533200"  # fixed value: first eight bytes of a complete replay
 MAP_PATTERN = r"((?:de|cs)_[a-zA-Z0-9_]+)"
 INFO_BYTES = 8192
+#: Rows that a listing hands on at once.
+LISTED_ROWS = 10_000
 
 
 def list_files(spark: SparkSession, paths: str | Sequence[str], glob: str = "*", recursive: bool = False) -> DataFrame:
@@ -23,6 +29,35 @@ def list_files(spark: SparkSession, paths: str | Sequence[str], glob: str = "*",
         "path", F.col("modificationTime").alias("modified_time"), "length")
 
 
+def list_tree(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """All files below ``folder`` as ``list_files`` gives them (those of no bytes are left out), listed by tasks: level by level, each folder by one task, its rows
+    written to the shared folder. The driver holds no file, where a scan's listing holds them all and makes a task of every few files.
+    ``glob``: patterns of names, separated by commas.
+    """
+    patterns = glob.split(",")
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = []
+
+        def part(size: int) -> Iterator[pd.DataFrame]:
+            while len(found) >= size:
+                yield pd.DataFrame(found[:LISTED_ROWS], columns=["path", "modified_time", "length", "folder"]).astype({"length": "Int64"})
+                del found[:LISTED_ROWS]
+
+        for b in batches:
+            for above in b["path"]:
+                found += [e for e in folder_entries(above) if e[3] or e[2] and any(fnmatch(e[0].rsplit("/", 1)[-1], p) for p in patterns)]
+                yield from part(LISTED_ROWS)
+        yield from part(1)
+
+    folders, levels = spark.createDataFrame([(folder,)], "path string"), []
+    while not levels or not folders.isEmpty():
+        spread = folders.select("path").repartition(file_tasks(spark), "path")
+        levels.append(materialize(spread.mapInPandas(look, "path string, modified_time timestamp, length long, folder boolean"), "listing"))
+        folders = levels[-1].where("folder")
+    return reduce(DataFrame.unionByName, levels).where("not folder").drop("folder")
+
+
 def with_head(files: DataFrame, n_bytes: int) -> DataFrame:
     """Adds ``head``, the first bytes of each file, reading no more than those."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -95,3 +95,16 @@ def listing(uri: str) -> list[tuple]:
     found = [f for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File]
     hidden = [any(part[0] in "._" for part in f.path[len(root):].split("/") if part) for f in found]
     return sorted((prefix + f.path, f.mtime.replace(microsecond=f.mtime.microsecond // 1000 * 1000), f.size) for f, skip in zip(found, hidden) if not skip)
+
+
+def folder_entries(uri: str) -> list[tuple]:
+    """(path, time of change, length, is it a folder) of what lies in one folder itself: no hidden names, times cut to milliseconds, and addresses as Spark's
+    listings show them. A folder that has gone since it was seen is empty."""
+    from pyarrow import fs
+
+    system, root = _located(uri)
+    above = ("file:" + root if isinstance(system, fs.LocalFileSystem) else uri).rstrip("/")
+    found = [f for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+             if f.base_name[0] != "." and (f.base_name[0] != "_" or "=" in f.base_name) and not f.base_name.endswith("._COPYING_")]
+    return [(f"{above}/{f.base_name}", f.mtime.replace(microsecond=f.mtime.microsecond // 1000 * 1000), f.size, False) if f.type == fs.FileType.File
+            else (f"{above}/{f.base_name}", None, None, True) for f in found if f.type in (fs.FileType.File, fs.FileType.Directory)]

@@ -7,6 +7,8 @@ never the processing clock, so a stream that starts late or runs again comes to
 
 from collections.abc import Callable, Iterator
 from datetime import datetime
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -87,33 +89,54 @@ def _until(state: GroupState, micros: int) -> None:
     state.setTimeoutTimestamp(max(micros // 1000, state.getCurrentWatermarkMs() + 1))
 
 
-SETTLED_STATE = "since long, seen long, size long, modified long, stable int, done boolean, last long"
+#: Groups that the files of a stream are dealt into by their paths, each with one row of state. A running stream cannot change it.
+FILE_BUCKETS = 1024
+#: One entry per file of the bucket in each array; ``timer`` in milliseconds, the other times in microseconds.
+SETTLED_STATE = ("path array<string>, since array<long>, seen array<long>, size array<long>, modified array<long>, stable array<long>, done array<boolean>, "
+                 "last array<long>, timer array<long>")
 
 
-def settled(polls: DataFrame, checks: int = 2, timeout: str = "2 seconds", min_size: int = 8, memory: str = "1 hour", late: str = "10 seconds") -> DataFrame:
+def _polls_in_order(pdfs: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """(path, time, length, time of change) of the polls of a bucket, file by file and each file's in the order of time."""
+    numbers: dict[str, int] = {}
+    parts = [np.empty((4, 0), "int64")]
+    for rows in pdfs:
+        at = [numbers.setdefault(p, len(numbers)) for p in rows["path"]]
+        parts.append(np.array([at, _micros(rows["polled"]), rows["length"].to_numpy(), _micros(rows["modified_time"])], "int64"))
+    polls = np.concatenate(parts, axis=1)
+    order, paths = np.lexsort(polls[::-1]), list(numbers)
+    for i in range(0, len(order), 10_000):
+        for number, at, length, changed in polls[:, order[i:i + 10_000]].T.tolist():
+            yield paths[number], at, length, changed
+
+
+def settled(polls: DataFrame, checks: int = 2, timeout: str = "2 seconds", min_size: int = 8, memory: str = "1 hour", late: str = "10 seconds",
+            buckets: int = FILE_BUCKETS) -> DataFrame:
     """(path, length, modified_time, polled, outcome) of a stream of polls: ``complete`` for a file that ``checks`` polls in a row found as large as the poll
     before, ``timeout`` for one that did not get there within ``timeout`` of its first poll.
 
     A file shorter than ``min_size`` only waits. After a timeout the next poll begins anew. A complete file is reported once per size and time of change, as long
     as polls go on to see it; ``memory`` after the last one it is forgotten. The timers are event-time timers: they go by the latest poll, less ``late``.
+
+    A call into Python and its state cost some milliseconds, a file in it some microseconds: so files are followed by the bucket, each with a timer of its own.
     """
     limit, kept = int(_seconds(timeout) * 1e6), int(_seconds(memory) * 1e6)
 
     def follow(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out = []
-        since, seen, size, modified, stable, done, last = state.get if state.exists else (None, None, None, None, 0, False, None)
+        files = {path: known for path, *known in zip(*state.get)} if state.exists else {}
+        watermark = state.getCurrentWatermarkMs()
 
-        def report(at: int, outcome: str) -> None:
-            out.append((key[0], seen, modified, at, outcome))
+        def report(path: str, seen: int, modified: int, at: int, outcome: str) -> None:
+            out.append((path, seen, modified, at, outcome))
 
-        if state.hasTimedOut:
-            if not done:
-                report(since + limit, "timeout")
-            state.remove()
-        else:
-            for at, length, changed, _ in _in_order(pdfs, "polled")[1]:
+        looked = set()
+        for path, polls_of in groupby(() if state.hasTimedOut else _polls_in_order(pdfs), itemgetter(0)):
+            looked.add(path)
+            since, seen, size, modified, stable, done, last, _ = files.get(path, (None, None, None, None, 0, False, None, None))
+            for _, at, length, changed in polls_of:
                 if since is not None and not done and at - since > limit:
-                    report(since + limit, "timeout")
+                    report(path, seen, modified, since + limit, "timeout")
                     since = None
                 if since is None or done and (length, changed) != (seen, modified):
                     since, size, stable, done = at, None, 0, False
@@ -124,14 +147,24 @@ def settled(polls: DataFrame, checks: int = 2, timeout: str = "2 seconds", min_s
                 size = length
                 if stable >= checks:
                     done = True
-                    report(at, "complete")
-            state.update((since, seen, size, modified, stable, done, last))
-            _until(state, last + kept if done else since + limit)
+                    report(path, seen, modified, at, "complete")
+            due = last + kept if done else since + limit
+            files[path] = since, seen, size, modified, stable, done, last, max(due // 1000, watermark + 1)
+        for path in [p for p, known in files.items() if known[-1] < watermark and p not in looked]:
+            since, seen, _, modified, _, done, _, _ = files.pop(path)
+            if not done:
+                report(path, seen, modified, since + limit, "timeout")
+        if files:
+            state.update(([*files], *map(list, zip(*files.values()))))
+            state.setTimeoutTimestamp(min(known[-1] for known in files.values()))
+        else:
+            state.remove()
         if out:
             path, length, changed, at, outcome = zip(*out)
             yield pd.DataFrame({"path": path, "length": length, "modified_time": np.array(changed, "datetime64[us]"), "polled": np.array(at, "datetime64[us]"), "outcome": outcome})
 
-    return polls.withWatermark("polled", late).groupBy("path").applyInPandasWithState(
+    bucket = F.pmod(F.xxhash64("path"), F.lit(buckets))
+    return polls.withWatermark("polled", late).withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(
         follow, f"{POLL_SCHEMA}, outcome string", SETTLED_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
